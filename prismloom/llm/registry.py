@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismloom.llm import language, mixing, quality
+from prismloom.llm import language, mixing, quality, simhash, tokens
 from prismloom.llm.common import table
 
 
@@ -14,6 +14,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+#: The vocabulary file of the byte-level tokenizer; any file of the same format will do.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.digests(table(spark, sf_dir, "documents"), tokens.read_vocabulary(VOCABULARY))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -23,7 +35,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op4_language_id": op4_language_id, "op5_mixing": op5_mixing}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op3_bpe": op3_bpe,
+        "op4_language_id": op4_language_id,
+        "op5_mixing": op5_mixing,
+        "op8_simhash": op8_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
