@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismloom.llm import language, mixing, quality, simhash, tokens
+from prismloom.llm import language, mixing, pii, quality, simhash, tokens
 from prismloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 #: The vocabulary file of the byte-level tokenizer; any file of the same format will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -37,6 +41,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_pii": op2_pii,
         "op3_bpe": op3_bpe,
         "op4_language_id": op4_language_id,
         "op5_mixing": op5_mixing,
