@@ -103,9 +103,9 @@ def links(fps: DataFrame, small: int = SMALL) -> DataFrame:
     keys = half_variants(fps).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialize(half_variants(fps).join(keys, "key"), "op8-met")
     groups = met.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("group")).select("group").distinct()
-    pairs = groups.select(F.posexplode("group").alias("i", "b"), "group").select("b", F.explode(F.expr("slice(group, i + 2, size(group))")).alias("a"))
-    close = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select("a", "b").distinct()
-    return close.unionByName(ball_links(met.where(F.col("n") > small).select("fp").distinct()))
+    close = F.expr(f"filter(transform(slice(group, i + 2, size(group)), a -> struct(a as a, b as b)), p -> bit_count(p.a ^ p.b) <= {RADIUS})")
+    pairs = groups.select(F.posexplode("group").alias("i", "b"), "group").select(F.explode(close).alias("p")).select("p.a", "p.b").distinct()
+    return pairs.unionByName(ball_links(met.where(F.col("n") > small).select("fp").distinct()))
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
