@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismloom.llm import language, mixing, pages, pii, quality, simhash, tokens
+from prismloom.llm import language, mixing, pages, pii, quality, simhash, substrings, tokens
 from prismloom.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(table(spark, sf_dir, "documents"), tokens.read_vocabulary(VOCABULARY))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_language_id": op4_language_id,
         "op5_mixing": op5_mixing,
+        "op7_substrings": op7_substrings,
         "op8_simhash": op8_simhash,
         "op10_html": op10_html,
     }
