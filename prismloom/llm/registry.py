@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismloom.llm import language, mixing, pages, pii, quality, simhash, substrings, tokens
+from prismloom.llm import language, media, mixing, pages, pii, quality, scoring, simhash, substrings, tokens
 from prismloom.llm.common import table
 
 
@@ -26,6 +26,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(table(spark, sf_dir, "documents"), tokens.read_vocabulary(VOCABULARY))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds recordings: each vector of `embeddings` becomes one, a tune of its 64 numbers."""
+    recordings = media.vector_recordings(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return media.align(recordings).withColumnRenamed("rec_id", "vec_id")
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -42,6 +48,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
@@ -53,8 +63,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_language_id": op4_language_id,
         "op5_mixing": op5_mixing,
+        "op6_media": op6_media,
         "op7_substrings": op7_substrings,
         "op8_simhash": op8_simhash,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_html": op10_html,
     }
 
