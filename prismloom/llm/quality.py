@@ -46,7 +46,7 @@ def text_figures(text: str | None) -> tuple[int, ...]:
     words = raw.split()
     n = len(words)
     if not n:
-        return (0, 0, len(SYMBOLS.findall(raw)), 0, 0, 0, 0, 0, 0, 0)
+        return (0, 0, len(SYMBOLS.findall(raw)), *[0] * 8)
     word_chars = len(text) - (len(raw) - sum(map(len, words)))
     lines = [x for x in text.split("\n") if x.strip(" \t\r\x0b\x0c")]
     numbers: dict[bytes, int] = {}
