@@ -119,18 +119,18 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
     return LanguageModel(langs, counts, np.array([share[x] for x in langs], float))
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """keep (columns of docs) with lang_pred and score."""
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """keep (columns of docs), the language predicted from text and its posterior, under `names`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     extra = [c for c in keep if c != "text"]
     given = docs.select(*[F.col(f"`{c}`") for c in extra], F.col("text"))
     kept = given.select(*[F.col(f"`{c}`") for c in keep])
-    schema = kept.schema.add("lang_pred", "string", False).add("score", "double", False)
+    schema = kept.schema.add(names[0], "string", False).add(names[1], "double", False)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in text_chunks(batches):
             found = shared.value.predict([r["text"] for r in rows])
-            out = {c: [r[c] for r in rows] for c in keep} | {"lang_pred": [x for x, _ in found], "score": [p for _, p in found]}
+            out = {c: [r[c] for r in rows] for c in keep} | {names[0]: [x for x, _ in found], names[1]: [p for _, p in found]}
             yield pa.RecordBatch.from_pydict(out, schema=to_arrow_schema(schema))
 
     return given.mapInArrow(scored, schema)
@@ -160,4 +160,5 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs, as they are, whose language is determined with at least this posterior."""
     model = fit(docs.where(learnable()))
     cols = docs.columns
-    return predict(docs, model, cols).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in cols])
+    judged = predict(docs, model, cols, ("__lang_pred", "__score"))
+    return judged.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in cols])

@@ -208,7 +208,8 @@ def _mapped(docs: DataFrame, keep: list[str], extra: str, make, vocabulary: str)
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """docs with token_ids (binary, little-endian unsigned 32-bit) and n_tokens."""
+    """docs with token_ids (binary, little-endian unsigned 32-bit) and n_tokens, in place of columns so named."""
+    docs = docs.drop("token_ids", "n_tokens")
 
     def make(automaton: MergeAutomaton, text: str):
         ids = automaton.encode(text)
@@ -217,18 +218,6 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     return _mapped(docs, docs.columns, "token_ids binary, n_tokens long", make, vocabulary)
 
 
-def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """docs with the text that decoding its encoding gives, and n_tokens."""
-    spare = [c for c in docs.columns if c != "text"]
-
-    def make(automaton: MergeAutomaton, text: str):
-        ids = automaton.encode(text)
-        return automaton.decode(ids), len(ids) // 4
-
-    out = _mapped(docs, docs.columns, "decoded string, n_tokens long", make, vocabulary)
-    return out.select(*[F.col("decoded").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "n_tokens") if spare else out
-
-
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
 
