@@ -101,7 +101,7 @@ def ball_links(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame, small: int = SMALL) -> DataFrame:
     """(a, b), a > b: links of distinct fingerprints that give the components of "at most RADIUS bits apart"."""
     # few bytes become many: without this, Spark would merge the fingerprints into a few partitions by their size
-    fps = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    fps = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     keys = half_variants(fps).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialize(half_variants(fps).join(keys, "key"), "op8-met")
     groups = met.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("group")).select("group").distinct()
