@@ -65,7 +65,7 @@ def mask_images(pixels: DataFrame, first: int = 30, step: int = 20) -> DataFrame
         for frame in frames:
             images = []
             for points_ in frame["points"]:
-                p = np.array([(r["y"], r["x"], -1 if r["obj_idx"] is None else r["obj_idx"]) for r in points_])
+                p = np.array([(r["y"], r["x"], -1 if r["obj_idx"] is None or r["obj_idx"] != r["obj_idx"] else r["obj_idx"]) for r in points_], int)
                 grey = np.zeros(p[:, :2].max(axis=0) + 1, np.uint8)
                 inside = p[p[:, 2] >= 0]
                 grey[inside[:, 0], inside[:, 1]] = (first + step * inside[:, 2]) % 256
