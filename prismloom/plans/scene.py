@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismloom.functions import boxes
+from prismloom.plans.shipping import ship
 
 CANVAS = 1024
 VOCAB_ATTRIBUTES = [("red", "color"), ("blue", "color"), ("small", "size"), ("large", "size"), ("hot", "state"), ("cold", "state"), ("new", "other"), ("old", "other")]
@@ -111,6 +112,7 @@ class Scene:
 
 def driver_scene(spark: SparkSession, sf_dir: str) -> Scene:
     """The scene-graph reading of lineitem and part: orders are images, line items objects, and neighbours relate."""
+    ship(spark)
     line, part = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/part.parquet")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
     name = F.split("p_name", " ")

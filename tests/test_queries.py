@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from prismloom.plans import more_queries  # noqa: F401  registers its queries
 from prismloom.plans import queries as library
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
