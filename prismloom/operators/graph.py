@@ -23,38 +23,40 @@ def single_edges(scene: Scene) -> DataFrame:
     return scene.relations.withColumn("__no", place).where("__no = 1").drop("__no")
 
 
-def components(scene: Scene, rounds: int = 40) -> DataFrame:
+def _roots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over each image's edges; the smaller index is the root."""
+    for frame in frames:
+        images, nodes, roots = [], [], []
+        for image_id, own, heads, targets in zip(frame["image_id"], frame["nodes"], frame["heads"], frame["targets"], strict=True):
+            parent = {n: n for n in own.tolist()}
+
+            def find(x: int, parent: dict[int, int] = parent) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            if heads is not None:
+                for h, t in zip(heads.tolist(), targets.tolist(), strict=True):
+                    a, b = find(h), find(t)
+                    parent[max(a, b)] = min(a, b)
+            images += [image_id] * len(parent)
+            nodes += parent
+            roots += [find(n) for n in parent]
+        yield pd.DataFrame({"image_id": images, "obj_idx": nodes, "component": roots})
+
+
+def components(scene: Scene) -> DataFrame:
     """image_id, obj_idx, component (its smallest object).
 
-    Objects of one image are connected by taking, again and again, the smallest component among a node's neighbours and
-    then that component's own; each round is a small join on (image, object), cut from its lineage by a checkpoint, and
-    the number of rounds follows the logarithm of the longest path.
+    A component lies within an image, whose objects and edges are few: both are gathered per image, in one shuffle each,
+    and connected in one pass. (Rounds of joins would shuffle all edges again and again.)
     """
-    spark = scene.objects.sparkSession
-    _checkpoints(spark)
-    nodes = scene.objects.select("image_id", "obj_idx")
-    ends = scene.relations.select("image_id", F.col("head").alias("a"), F.col("target").alias("b"))
-    links = ends.unionByName(ends.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
-    labels = nodes.withColumn("component", F.col("obj_idx")).checkpoint()
-    for _ in range(rounds):
-        theirs = links.join(labels.select("image_id", F.col("obj_idx").alias("b"), F.col("component").alias("c")), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("obj_idx")).agg(F.min("c").alias("c"))
-        lower = labels.join(theirs, ["image_id", "obj_idx"], "left").select("image_id", "obj_idx", "component", F.least("component", F.coalesce("c", "component")).alias("lower"))
-        # hook whole components: what any member has found holds for the component's smallest node, then follow it once
-        hooked = lower.groupBy("image_id", F.col("component").alias("old")).agg(F.min("lower").alias("new"))
-        jump = hooked.join(hooked.select("image_id", F.col("old").alias("new"), F.col("new").alias("newer")), ["image_id", "new"], "left").select("image_id", "old", F.coalesce("newer", "new").alias("component"))
-        after = labels.select("image_id", "obj_idx", F.col("component").alias("old")).join(jump, ["image_id", "old"]).select("image_id", "obj_idx", "component", (F.col("component") != F.col("old")).alias("moved")).checkpoint()
-        labels = after.drop("moved")
-        if after.where("moved").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
-def _checkpoints(spark) -> None:
-    """Checkpoints go where the session says; to a temporary folder only where it doesn't (tests)."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="prismloom-"))
+    nodes = scene.objects.groupBy("image_id").agg(F.collect_list("obj_idx").alias("nodes"))
+    edges = scene.relations.groupBy("image_id").agg(F.collect_list(F.struct("head", "target")).alias("e"))
+    both = nodes.join(edges, "image_id", "left").select("image_id", "nodes", F.col("e.head").alias("heads"), F.col("e.target").alias("targets"))
+    kind = scene.objects.schema["image_id"].dataType.simpleString()
+    return both.mapInPandas(_roots, f"image_id {kind}, obj_idx int, component int")
 
 
 def decomposed(scene: Scene) -> DataFrame:

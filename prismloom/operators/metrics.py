@@ -133,18 +133,20 @@ def filtered_detections(detections: DataFrame, least_iou: float = 0.5, least_sco
 
     detections(image_id, obj_idx, det_score, x1, y1, x2, y2). An image's detections are one array, bounded by its detector.
     """
-    box = F.struct("det_score", "obj_idx", "x1", "y1", "x2", "y2")
-    lists = detections.groupBy("image_id").agg(F.sort_array(F.collect_list(box)).alias("found"))
+    box = F.struct(-F.col("det_score"), "obj_idx", "x1", "y1", "x2", "y2", "det_score")
+    columns = ("det_score", "obj_idx", "x1", "y1", "x2", "y2")
+    lists = detections.groupBy("image_id").agg(F.sort_array(F.collect_list(box)).alias("d")).select("image_id", *[F.col(f"d.{c}").alias(c) for c in columns])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for image_id, found in zip(frame["image_id"], frame["found"], strict=True):
-                d = pd.DataFrame.from_records(list(found)).sort_values(["det_score", "obj_idx"], ascending=[False, True], kind="stable").reset_index(drop=True)
-                kept = d.iloc[suppressed(*[d[c].to_numpy() for c in ("det_score", "x1", "y1", "x2", "y2")], least_iou)]
-                kept = kept[kept["det_score"] > least_score].head(most)
-                out.append(pd.DataFrame({"image_id": image_id, "obj_idx": kept["obj_idx"], "det_score": kept["det_score"]}))
-            yield pd.concat(out)
+            images, numbers, found = [], [], []
+            for image_id, scores, idx, *sides in zip(frame["image_id"], *[frame[c] for c in columns], strict=True):
+                kept = suppressed(scores, *sides, least_iou)
+                kept = kept[scores[kept] > least_score][:most]
+                images += [image_id] * len(kept)
+                numbers.append(idx[kept])
+                found.append(scores[kept])
+            yield pd.DataFrame({"image_id": images, "obj_idx": np.concatenate(numbers), "det_score": np.concatenate(found)})
 
     return lists.mapInPandas(run, "image_id long, obj_idx int, det_score double")
 
