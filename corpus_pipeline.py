@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 from prismloom.llm import language, mixing, pii, simhash, tokens
 from prismloom.llm.common import materialize, table
 from prismloom.llm.registry import VOCABULARY
+from prismloom.plans.shipping import ship
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined stay as they are; the others go."""
+    ship(spark)
     return language.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
+    ship(spark)
     return simhash.one_of_each(docs)
 
 
@@ -39,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, token_ids (little-endian unsigned 32-bit) and n_tokens; ids decode to the text."""
+    ship(spark)
     return tokens.encode(docs, tokens.read_vocabulary(VOCABULARY)).drop("text")
 
 

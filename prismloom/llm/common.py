@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismloom.plans.shipping import ship
+
 #: A word: a run of anything but ASCII white space. Java and Python's `regex` read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,7 +42,7 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[list[dict]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], chars: int = 500_000) -> Iterator[list[dict]]:
     """Rows of the batches in lists of about so many characters of `text`, so that memory doesn't follow the batch size."""
     rows: list[dict] = []
     held = 0

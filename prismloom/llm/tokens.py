@@ -31,6 +31,18 @@ from prismloom.llm.common import text_chunks
 
 #: The usual pre-splitting pattern, with white space as Unicode has it.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+# Letters and numbers that the `regex` library knows and the Unicode version of the tokenizers library doesn't.
+UNKNOWN = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F "
+    "12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 "
+    "1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+_UNKNOWN = "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in UNKNOWN.split())
+HAS_UNKNOWN = regex.compile(f"[{_UNKNOWN}]")
+#: The same pattern for the rare texts with such characters.
+SPLIT_UNKNOWN = regex.compile(
+    r"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}--[UNKNOWN]]+| ?[\p{N}--[UNKNOWN]]+| ?(?:[^\p{White_Space}\p{L}\p{N}]|[UNKNOWN])+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+".replace("UNKNOWN", _UNKNOWN)
+)
 #: Words kept by each of two generations of a Python process's table.
 CACHED_WORDS = 250_000
 
@@ -40,6 +52,8 @@ def byte_letters() -> dict[str, int]:
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in set(plain)]
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+#: Arcs kept in the table before it is emptied.
+ARCS = 500_000
 
 
 class MergeAutomaton:
@@ -136,6 +150,13 @@ class MergeAutomaton:
             if at == n:
                 return path
 
+    def forget(self, arcs: int) -> None:
+        """Empty the tables that were filled on the way if more than so many arcs are known; they fill again."""
+        if len(self.arcs) > arcs:
+            self.arcs.clear()
+        if not arcs:
+            self.words, self.older_words = {}, {}
+
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
         if not self.stops:
@@ -151,6 +172,8 @@ class MergeAutomaton:
         for word in SPLIT.findall(text):
             known = words.get(word)
             if known is None:
+                if not word.isascii() and HAS_UNKNOWN.search(word):  # such words stay out of the table
+                    return b"".join(little_endian(self.walk(w.encode())) for w in SPLIT_UNKNOWN.findall(text))
                 known = words[word] = self.older_words.get(word) or little_endian(self.walk(word.encode()))
             out.append(known)
         if len(words) >= CACHED_WORDS:
@@ -202,8 +225,11 @@ def _mapped(docs: DataFrame, keep: list[str], extra: str, make, vocabulary: str)
         out = to_arrow_schema(schema)
         for rows in text_chunks(batches):
             made = [make(automaton, r["text"] or "") for r in rows]
+            automaton.forget(ARCS)
             yield pa.RecordBatch.from_pydict({c: [r[c] for r in rows] for c in keep} | dict(zip([p.split(" ")[0] for p in extra.split(", ")], map(list, zip(*made, strict=True)), strict=True)), schema=out)
 
+        automaton.forget(0)
+
     return given.mapInArrow(run, schema)
 
 
