@@ -111,10 +111,14 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
     n = sum(r["count"] for r in rows)
     if n > max_train:
         known = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int((1 << 20) * max_train / n))
-    counted = known.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counted["lang"].unique())
+    counted = known.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x buckets at most
+    found = counted["lang"].combine_chunks().dictionary_encode()
+    names = found.dictionary.to_pylist()
+    langs = sorted(names)
+    place = np.array([langs.index(x) for x in names], np.int64)
     counts = np.zeros((len(langs), BUCKETS))
-    counts[[langs.index(x) for x in counted["lang"]], counted["bucket"]] = counted["n"]
+    if langs:
+        counts[place[found.indices.to_numpy()], counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     share = {r["lang"]: r["count"] for r in rows}
     return LanguageModel(langs, counts, np.array([share[x] for x in langs], float))
 
