@@ -10,7 +10,8 @@ half of 2 bits (33 keys a half), the variants are shuffled, and fingerprints tha
 
 Emitting the full ball for every fingerprint would be the same method in one step, at 2,081 rows a document.
 
-Equal fingerprints are one node. Components come from alternating large-star and small-star rounds, each cut by a table
+Joins are sort-merge joins by hint: the compressed size by which Spark would choose to broadcast says little about a
+table of random numbers. Equal fingerprints are one node. Components come from alternating large-star and small-star rounds, each cut by a table
 in the shared folder.
 
 Defined results: a null or empty text has no words and fingerprint zero, linked like any other; fewer words than a
@@ -35,6 +36,8 @@ SEED = 42
 RADIUS = 4
 SMALL = 64
 BITS = 64
+#: Links up to which a round runs as one task instead of a series of shuffles of next to nothing.
+LINKS_A_TASK = 200_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -95,7 +98,7 @@ def ball_links(fps: DataFrame) -> DataFrame:
     """(a, b), a > b: every fp with the smallest fp it meets on each variant within 2 of its 64 bits."""
     ball = _explode_masks(fps.select("fp"), BITS, RADIUS // 2).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
     least = ball.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most").drop("most")
-    return ball.join(least, "key").where("fp > b").select(F.col("fp").alias("a"), "b").distinct()
+    return ball.join(least.hint("merge"), "key").where("fp > b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def links(fps: DataFrame, small: int = SMALL) -> DataFrame:
@@ -103,7 +106,7 @@ def links(fps: DataFrame, small: int = SMALL) -> DataFrame:
     # few bytes become many: without this, Spark would merge the fingerprints into a few partitions by their size
     fps = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     keys = half_variants(fps).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialize(half_variants(fps).join(keys, "key"), "op8-met")
+    met = materialize(half_variants(fps).join(keys.hint("merge"), "key"), "op8-met")
     groups = met.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("group")).select("group").distinct()
     close = F.expr(f"filter(transform(slice(group, i + 2, size(group)), a -> struct(a as a, b as b)), p -> bit_count(p.a ^ p.b) <= {RADIUS})")
     pairs = groups.select(F.posexplode("group").alias("i", "b"), "group").select(F.explode(close).alias("p")).select("p.a", "p.b").distinct()
@@ -113,15 +116,16 @@ def links(fps: DataFrame, small: int = SMALL) -> DataFrame:
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, root) of every node of edges(a, b), root the smallest node of its component; large-star and small-star in turn."""
     stars = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    mark = None
+    mark = (stars.count(),)
     for _ in range(rounds):
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.coalesce(1) if mark[0] <= LINKS_A_TASK else both
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        small = large.join(down.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         stars = materialize(small, name)
-        now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             break
         mark = now
@@ -136,9 +140,9 @@ def classes(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
     fps = found.groupBy("fp").agg(first.alias("first"))
     roots = components(links(fps), "op8-stars")
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("chosen")), "root").select("fp", F.col("chosen.doc_id").alias("component_id"), F.col("chosen.row_key").alias("kept_key"))
-    return found.join(named, "fp")
+    rooted = fps.join(roots.hint("merge"), fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("chosen")).hint("merge"), "root").select("fp", F.col("chosen.doc_id").alias("component_id"), F.col("chosen.row_key").alias("kept_key"))
+    return found.join(named.hint("merge"), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -150,5 +154,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id. Rows without a doc_id stay only where none has one."""
     keep = classes(docs).where("row_key = kept_key").select("row_key").distinct()
     marked = docs.withColumn("row_key", row_key()) if "row_key" not in docs.columns else docs.withColumnRenamed("row_key", "__own").withColumn("row_key", row_key())
-    kept = marked.join(keep, "row_key", "left_semi").dropDuplicates(["row_key"])
+    kept = marked.join(keep.hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"])
     return kept.select(*[F.col("__own").alias(c) if c == "row_key" else F.col(f"`{c}`") for c in docs.columns])
