@@ -70,9 +70,8 @@ def decomposed(scene: Scene) -> DataFrame:
 
 def adjacency(scene: Scene) -> DataFrame:
     """Both views of each edge: image_id, obj_idx, other, rel, direction (0 out, 1 in)."""
-    out = scene.relations.select("image_id", F.col("head").alias("obj_idx"), F.col("target").alias("other"), "rel", F.lit(0).alias("direction"))
-    into = scene.relations.select("image_id", F.col("target").alias("obj_idx"), F.col("head").alias("other"), "rel", F.lit(1).alias("direction"))
-    return out.unionByName(into)
+    view = lambda mine, other, direction: F.struct(F.col(mine).alias("obj_idx"), F.col(other).alias("other"), F.col("rel").alias("rel"), F.lit(direction).alias("direction"))
+    return scene.relations.select("image_id", F.explode(F.array(view("head", "target", 0), view("target", "head", 1))).alias("v")).select("image_id", "v.*")
 
 
 def _subsets(attributes: Column, size: int) -> Column:
