@@ -167,10 +167,12 @@ def marks(texts: DataFrame) -> DataFrame:
     found = materialize(texts.mapInArrow(_find_anchors, "key binary, positions array<int>, anchors array<long>, regions array<long>"), "op7-anchors")
     each = found.select("key", F.explode(F.arrays_zip("positions", "anchors", "regions")).alias("a")).select("key", F.col("a.positions").alias("position"), F.col("a.anchors").alias("anchor"), F.col("a.regions").alias("region"))
     counted = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("least"), F.max("region").alias("most")).where("n > 1")
-    repeated = materialize(each.drop("region").join(counted.select("anchor", (F.col("least") == F.col("most")).alias("equal")), "anchor").select("key", "position", "equal"), "op7-repeated")
+    # counts are written first: a join of two plain shuffles is one whose hot keys Spark can split
+    counted = materialize(counted.select("anchor", (F.col("least") == F.col("most")).alias("equal")), "op7-counted")
+    repeated = materialize(each.drop("region").join(counted, "anchor").select("key", "position", "equal"), "op7-repeated")
     unequal = repeated.where("not equal").groupBy("key").agg(F.collect_set("position").alias("positions"))
     windows = materialize(texts.join(unequal, "key").mapInArrow(_find_windows, "key binary, start int, h1 long, h2 long"), "op7-windows")
-    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = materialize(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "op7-twice")
     single = windows.join(twice, ["h1", "h2"]).select("key", (F.col("start") * 2).alias("mark"))
     whole = repeated.where("equal").select("key", (F.col("position") * 2 + 1).alias("mark"))
     return single.unionByName(whole).groupBy("key").agg(F.collect_set("mark").alias("marks"))
