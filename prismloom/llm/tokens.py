@@ -53,7 +53,7 @@ def byte_letters() -> dict[str, int]:
     others = [b for b in range(256) if b not in set(plain)]
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 #: Arcs kept in the table before it is emptied.
-ARCS = 500_000
+ARCS = 250_000
 
 
 class MergeAutomaton:
@@ -122,39 +122,42 @@ class MergeAutomaton:
 
     def walk(self, word: bytes) -> list[int]:
         """The accepted token sequence of one pre-split word: a depth-first walk, longer labels first, that never re-enters a dead end."""
-        child, token_at, n = self.child, self.token_at, len(word)
+        child, token_at, arcs, n = self.child.get, self.token_at, self.arcs.get, len(word)
         path: list[int] = []
-        choices: list[list[tuple[int, int]]] = []
+        before: list[tuple[int, int, list[tuple[int, int]]]] = []  # place, state and untried labels at each step
         dead: set[tuple[int, int]] = set()
         at, last = 0, -1
-        while True:
-            node, found, k = 0, [], at
+        while at < n:
+            node, k, found = 0, at, []
             while k < n:
-                node = child.get(node << 8 | word[k], -1)
+                node = child(node << 8 | word[k], -1)
                 if node < 0:
                     break
                 k += 1
-                t = token_at[node]
-                if t >= 0 and (last < 0 or self.allows(last, t)) and (k, t) not in dead:
-                    found.append((k, t))
-            choices.append(found)
-            while not choices[-1]:
-                choices.pop()
-                if not choices:
+                if token_at[node] >= 0:
+                    found.append((k, token_at[node]))
+            while True:
+                if found:
+                    k, t = found.pop()
+                    known = last < 0 or arcs(last << 32 | t)
+                    if (known or (known is None and self.allows(last, t))) and not (dead and (k, t) in dead):
+                        break
+                elif before:
+                    dead.add((at, last))
+                    at, last, found = before.pop()
+                    path.pop()
+                else:
                     raise ValueError(f"no encoding of {word!r}")
-                k, t = choices[-1].pop()
-                dead.add((k, t))
-                path.pop()
-            at, last = choices[-1][-1]
-            path.append(last)
-            if at == n:
-                return path
-
-    def forget(self, arcs: int) -> None:
-        """Empty the tables that were filled on the way if more than so many arcs are known; they fill again."""
-        if len(self.arcs) > arcs:
+            before.append((at, last, found))
+            path.append(t)
+            at, last = k, t
+        return path
+
+    def forget(self, words: bool = False) -> None:
+        """Empty the table of arcs where it has grown large, and the words where asked; both fill again."""
+        if len(self.arcs) > ARCS:
             self.arcs.clear()
-        if not arcs:
+        if words:
             self.words, self.older_words = {}, {}
 
     def encode(self, text: str) -> bytes:
@@ -225,10 +228,10 @@ def _mapped(docs: DataFrame, keep: list[str], extra: str, make, vocabulary: str)
         out = to_arrow_schema(schema)
         for rows in text_chunks(batches):
             made = [make(automaton, r["text"] or "") for r in rows]
-            automaton.forget(ARCS)
+            automaton.forget()
             yield pa.RecordBatch.from_pydict({c: [r[c] for r in rows] for c in keep} | dict(zip([p.split(" ")[0] for p in extra.split(", ")], map(list, zip(*made, strict=True)), strict=True)), schema=out)
 
-        automaton.forget(0)
+        automaton.forget(words=True)
 
     return given.mapInArrow(run, schema)
 
