@@ -170,12 +170,12 @@ def marks(texts: DataFrame) -> DataFrame:
     # counts are written first: a join of two plain shuffles is one whose hot keys Spark can split
     counted = materialize(counted.select("anchor", (F.col("least") == F.col("most")).alias("equal")), "op7-counted")
     repeated = materialize(each.drop("region").join(counted, "anchor").select("key", "position", "equal"), "op7-repeated")
-    unequal = repeated.where("not equal").groupBy("key").agg(F.collect_set("position").alias("positions"))
+    unequal = materialize(repeated.where("not equal").groupBy("key").agg(F.collect_set("position").alias("positions")), "op7-unequal")
     windows = materialize(texts.join(unequal, "key").mapInArrow(_find_windows, "key binary, start int, h1 long, h2 long"), "op7-windows")
     twice = materialize(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "op7-twice")
     single = windows.join(twice, ["h1", "h2"]).select("key", (F.col("start") * 2).alias("mark"))
     whole = repeated.where("equal").select("key", (F.col("position") * 2 + 1).alias("mark"))
-    return single.unionByName(whole).groupBy("key").agg(F.collect_set("mark").alias("marks"))
+    return materialize(single.unionByName(whole).groupBy("key").agg(F.collect_set("mark").alias("marks")), "op7-marks")
 
 
 def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
