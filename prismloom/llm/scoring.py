@@ -1,35 +1,44 @@
 """Language-model scoring by masked pseudo-likelihood.
 
-A small window network predicts every word from the two words on either side: each neighbour's row of an embedding
-table for its place is added up, passes a tanh layer and gives a softmax over word classes (hashed words). The sum of
-the log-probabilities of all words is the document's score.
+A small window network predicts every word's class (hashed words) from the two words on either side: each neighbour's
+row of an embedding table for its place is added up, passes a tanh layer and gives a softmax over the classes. The word
+itself is predicted within its class from the counts of all words of the corpus, with one more of each and one word kept
+for all that never occur, so that the probabilities of a class's words sum to one. The sum of the log-probabilities
+of all words is the document's score.
 
 Training reads all documents. Each task trains its own copy of the network from the same start, by mini-batches in
-numpy, and sends it in blocks; blocks are averaged on the executors, weighted by words, so what is gathered grows with
-the input and what reaches the driver is one network (a fixed number of parameters).
+numpy, and sends it in blocks; blocks are averaged on the executors, weighted by words, so what reaches the driver is one
+network (a fixed number of parameters).
+
+Words are counted by shuffle, never on the driver. Scoring writes a record for each chunk of texts, with its distinct
+words once; these are joined with the counts and come back to their chunk, so a frequent word meets its count once a
+chunk and not once a document.
 
 Defined results: a null or empty text has no words, log-probability 0 and no mean; without any words all scores come
-from the untrained network; repeated rows are scored alike; long texts are read whole. Columns but doc_id and text are
-not read.
+from the untrained network; repeated rows are scored alike; long texts are read whole; words are told apart by 64-bit
+hashes. Columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismloom.llm.common import text_chunks
+from prismloom.llm.common import materialize, text_chunks
 
 INPUTS, CLASSES, WIDTH = 4096, 64, 16
 PLACES = (-2, -1, 1, 2)
 BATCH = 4096
 RATE = 0.1
 BLOCK = 4096
+RECORD = 4_000_000  # characters of a chunk that is recorded: larger ones hold fewer distinct words for their text
 
 
 def word_numbers(text: str | None) -> np.ndarray:
@@ -76,7 +85,7 @@ class WindowNetwork:
         return hidden, logits
 
     def log_p(self, inputs: np.ndarray, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log-probability of the word at each place."""
+        """Log-probability of the class of the word at each place."""
         out = np.empty(len(at), np.float64)
         for k in range(0, len(at), BATCH):
             here = at[k : k + BATCH]
@@ -148,23 +157,74 @@ def fit(docs: DataFrame) -> WindowNetwork:
     return WindowNetwork(np.frombuffer(b"".join(bytes(r["floats"]) for r in rows), np.float32)) if rows else WindowNetwork()
 
 
-def score(docs: DataFrame, network: WindowNetwork) -> DataFrame:
-    """doc_id, n_words, log_prob and mean_log_prob of every row."""
+CHUNKS = "chunk long, doc_ids array<long>, n_words array<long>, log_probs array<double>, words array<long>, counts array<long>, places binary"
+
+
+def chunk_records(docs: DataFrame, network: WindowNetwork) -> DataFrame:
+    """A row for each chunk of texts: its documents with the log-probabilities of their words' classes, its distinct words (hashes) with their counts, and the number of the word at each place."""
     shared = docs.sparkSession.sparkContext.broadcast(network.flat)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = WindowNetwork(shared.value)
-        for rows in text_chunks(batches):
+    def recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, task = WindowNetwork(shared.value), TaskContext.get().partitionId()
+        for k, rows in enumerate(text_chunks(batches, RECORD)):
             numbers = [word_numbers(r["text"]) for r in rows]
             n = np.array([len(x) for x in numbers])
             inputs, classes, at = own.tokens(numbers)
             ends = np.concatenate(([0], np.cumsum(own.log_p(inputs, classes, at))))
             after = np.cumsum(n)
-            sums = ends[after] - ends[after - n]
-            means = [float(s / k) if k else None for s, k in zip(sums, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
+            words, places, counts = np.unique(np.concatenate(numbers), return_inverse=True, return_counts=True)
+            columns = ([r["doc_id"] for r in rows], n, ends[after] - ends[after - n], words.view(np.int64), counts)
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([(task << 32) + k], pa.int64()), *[pa.array([c], pa.list_(t)) for c, t in zip(columns, types, strict=True)], pa.array([zlib.compress(places.astype(np.uint32).tobytes(), 1)], pa.binary())],
+                names=["chunk", "doc_ids", "n_words", "log_probs", "words", "counts", "places"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(recorded, CHUNKS)
+
+
+def word_class(word: Column) -> Column:
+    """The class of a word by its hash, as WindowNetwork.tokens has it."""
+    return F.shiftrightunsigned(word, 40) % CLASSES
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """word (hash) and n of every word of the chunks."""
+    return chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n"))
+
+
+def within_class(chunks: DataFrame, counts: DataFrame) -> DataFrame:
+    """chunk, and of its distinct words in no order, but both lists alike, the numbers (at) and the log-probabilities within their classes (within)."""
+    sizes = [1] * CLASSES  # all words of a class, one more of each, and one for those that never occur
+    for r in counts.groupBy(word_class(F.col("word")).alias("class")).agg((F.sum("n") + F.count("*")).alias("size")).collect():  # CLASSES rows
+        sizes[r["class"]] += r["size"]
+    size = F.element_at(F.array(*[F.lit(float(x)) for x in sizes]), word_class(F.col("word")).cast("int") + 1)
+    asked = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
+    found = asked.join(counts, "word", "left").select("chunk", "at", F.log((F.coalesce("n", F.lit(0)) + 1) / size).alias("log_p"))
+    return found.groupBy("chunk").agg(F.collect_list("at").alias("at"), F.collect_list("log_p").alias("within"))
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {name: batch.column(name)[k] for name in batch.schema.names}
+            n, sums = (row[x].values.to_numpy(zero_copy_only=False) for x in ("n_words", "log_probs"))
+            if row["within"].is_valid:
+                each = np.empty(len(row["at"]))
+                each[row["at"].values.to_numpy()] = row["within"].values.to_numpy(zero_copy_only=False)
+                ends = np.concatenate(([0], np.cumsum(each[np.frombuffer(zlib.decompress(row["places"].as_py()), np.uint32)])))
+                after = np.cumsum(n)
+                sums = sums + ends[after] - ends[after - n]
+            means = [float(s / m) if m else None for s, m in zip(sums, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
+
+
+def score(docs: DataFrame, network: WindowNetwork, counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, log_prob and mean_log_prob of every row, by these word counts (or those of docs)."""
+    chunks = materialize(chunk_records(docs, network), "op9-chunks")
+    counts = materialize(word_counts(chunks), "op9-counts") if counts is None else counts
+    whole = chunks.drop("words", "counts").join(within_class(chunks, counts), "chunk", "left")
+    return whole.select("doc_ids", "n_words", "log_probs", "places", "at", "within").mapInArrow(_summed, "doc_id long, n_words long, log_prob double, mean_log_prob double")
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:

@@ -290,3 +290,20 @@ def test_scoring_gradient_and_learning(docs):
         assert grad[k] == pytest.approx((up - down) / (2 * step), abs=1e-5)
     before = scoring.score(docs, scoring.WindowNetwork()).agg({"log_prob": "sum"}).first()[0]
     assert scoring.pseudo_likelihood(docs).agg({"log_prob": "sum"}).first()[0] > before
+
+
+def test_scoring_predicts_words_not_classes(spark):
+    """Words of one class: a frequent word scores above a rare one, a rare one above one never seen, as the counts say."""
+    kind = lambda w: int(scoring.word_numbers(w)[0] >> np.uint64(40)) % scoring.CLASSES
+    alike = [w for w in (f"w{k}" for k in range(2000)) if kind(w) == kind("w0")][:3]
+    often, rare, never = alike
+    corpus = spark.createDataFrame([(k, often) for k in range(60)] + [(60, rare), (61, None)], "doc_id long, text string").repartition(3)
+    network = scoring.WindowNetwork()
+    counts = scoring.word_counts(scoring.chunk_records(corpus, network))
+    asked = spark.createDataFrame([(0, often), (1, rare), (2, never)], "doc_id long, text string")
+    found = {r.doc_id: r.log_prob for r in scoring.score(asked, network, counts).collect()}
+    inputs, classes, at = network.tokens([scoring.word_numbers(often)])
+    same = network.log_p(inputs, classes, at)[0]  # a word alone has edges for neighbours whichever it is
+    assert found == pytest.approx({k: same + np.log(n / 64) for k, n in enumerate((61, 2, 1))})  # 61 words, one more of 2, 1 for the rest
+    own = {r.doc_id: r.log_prob for r in scoring.score(corpus, network).collect()}
+    assert own[0] == own[59] > own[60] and own[61] == 0
