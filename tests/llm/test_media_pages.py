@@ -75,6 +75,18 @@ def test_repeats_across_pages_of_a_host(spark):
     assert pages.extract(frame.where("false")).count() == 0
 
 
+def test_common_phrases_and_copies_stay(spark):
+    """Five words that two pages share and pages published twice stay; blocks on most distinct pages go, inside articles too."""
+    plain = [(k, f"http://a.com/{k}", f"<p>page {k} tells that on the other hand of course it rains in {k}</p><p>Share this</p>") for k in range(4)]
+    article = [(10 + k, f"http://b.com/{k}", f"<article><p>story number {k // 2}</p><p>Read more here</p></article><p>ad {k}</p>") for k in range(8)]
+    copies = [(20 + k, f"http://c.com/{k}", f"<article><p>the same story</p></article><p>ad {k}</p>") for k in range(4)]
+    frame = spark.createDataFrame(plain + article + copies + [(30, "http://d.com", "<p>the one page of d</p>")] * 2, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in pages.extract(frame).collect()}
+    assert [found[k] for k in range(4)] == [f"page {k} tells that on the other hand of course it rains in {k}" for k in range(4)]
+    assert [found[10 + k] for k in range(8)] == [f"story number {k // 2}" for k in range(8)]
+    assert {found[20 + k] for k in range(4)} == {"the same story"} and found[30] == "the one page of d"
+
+
 def test_inline_parts_named_as_something_else():
     assert pages.page_blocks("<article><p>one <span class='ad'>buy</span> two</p></article>") == [(pages.ARTICLE, "one two"), (pages.NAMED, "buy")]
 
