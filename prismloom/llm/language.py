@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismloom.llm.common import text_chunks
+from prismloom.llm.common import mapped, text_chunks
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -111,7 +111,7 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
     n = sum(r["count"] for r in rows)
     if n > max_train:
         known = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int((1 << 20) * max_train / n))
-    counted = known.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x buckets at most
+    counted = known.select("text", "lang").transform(mapped, _count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x buckets at most
     found = counted["lang"].combine_chunks().dictionary_encode()
     names = found.dictionary.to_pylist()
     langs = sorted(names)
@@ -137,7 +137,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple
             out = {c: [r[c] for r in rows] for c in keep} | {names[0]: [x for x, _ in found], names[1]: [p for _, p in found]}
             yield pa.RecordBatch.from_pydict(out, schema=to_arrow_schema(schema))
 
-    return given.mapInArrow(scored, schema)
+    return given.transform(mapped, scored, schema)
 
 
 def to_arrow_schema(schema) -> pa.Schema:

@@ -27,7 +27,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismloom.llm.common import materialize
+from prismloom.llm.common import mapped, materialize
 
 RATE = 4096
 FRAME, HOP = 512, 256
@@ -128,7 +128,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(recordings: DataFrame) -> DataFrame:
     """rec_id, items and digest of recordings(rec_id, media)."""
-    return recordings.select(F.col("rec_id").cast("long"), "media").mapInArrow(_fingerprints, "rec_id long, items array<long>, digest string")
+    return recordings.select(F.col("rec_id").cast("long"), "media").transform(mapped, _fingerprints, "rec_id long, items array<long>, digest string")
 
 
 def align(recordings: DataFrame, every: int = QUERY_EVERY) -> DataFrame:
@@ -186,4 +186,4 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vector_recordings(vectors: DataFrame, key: str, column: str) -> DataFrame:
     """recordings(rec_id, media): each vector as a tune."""
-    return vectors.select(F.col(key).cast("long").alias("rec_id"), F.col(column).alias("vector")).mapInArrow(_render, "rec_id long, media binary")
+    return vectors.select(F.col(key).cast("long").alias("rec_id"), F.col(column).alias("vector")).transform(mapped, _render, "rec_id long, media binary")

@@ -5,7 +5,7 @@ vote patterns (at most 3 ** len(RULES) rows, counted on the executors) estimates
 on bad documents; the posterior probability of "good" then replaces demanding that all rules pass.
 
 Defined results: a null or empty text has no words and fails the base test; an empty table gives no rows; repeated rows
-are judged alike; very long texts are read whole, one at a time. Columns other than doc_id and text are not read.
+are judged alike; very long texts are read whole; a quality of exactly one half counts as good, which settles ties. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismloom.llm.common import materialize, text_chunks
+from prismloom.llm.common import mapped, materialize, text_chunks
 
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 #: Two or more marks at the end of a word.
@@ -73,7 +73,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id and the figures of every row's whole text."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_measure, f"doc_id long, {FIGURES}")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(mapped, _measure, f"doc_id long, {FIGURES}")
 
 
 def _votes(value: F.Column, good, bad) -> F.Column:

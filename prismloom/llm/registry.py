@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from prismloom.llm import language, media, mixing, pages, pii, quality, scoring, simhash, substrings, tokens
@@ -18,8 +19,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-#: The vocabulary file of the byte-level tokenizer; any file of the same format will do.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: The vocabulary file of the byte-level tokenizer; other files of plain byte-level merges do as well.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismloom.llm.common import materialize, text_chunks
+from prismloom.llm.common import mapped, materialize, text_chunks
 
 INPUTS, CLASSES, WIDTH = 4096, 64, 16
 PLACES = (-2, -1, 1, 2)
@@ -152,7 +152,7 @@ SCHEMA = "block int, words long, floats binary"
 
 def fit(docs: DataFrame) -> WindowNetwork:
     """The average of the tasks' networks."""
-    blocks = docs.select("text").mapInArrow(_train, SCHEMA).repartition("block").mapInArrow(_average, SCHEMA)
+    blocks = docs.select("text").transform(mapped, _train, SCHEMA).repartition("block").mapInArrow(_average, SCHEMA)
     rows = sorted(blocks.collect(), key=lambda r: r["block"])  # the parameters of one network
     return WindowNetwork(np.frombuffer(b"".join(bytes(r["floats"]) for r in rows), np.float32)) if rows else WindowNetwork()
 
@@ -180,7 +180,7 @@ def chunk_records(docs: DataFrame, network: WindowNetwork) -> DataFrame:
                 names=["chunk", "doc_ids", "n_words", "log_probs", "words", "counts", "places"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(recorded, CHUNKS)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(mapped, recorded, CHUNKS)
 
 
 def word_class(word: Column) -> Column:
@@ -224,7 +224,7 @@ def score(docs: DataFrame, network: WindowNetwork, counts: DataFrame | None = No
     chunks = materialize(chunk_records(docs, network), "op9-chunks")
     counts = materialize(word_counts(chunks), "op9-counts") if counts is None else counts
     whole = chunks.drop("words", "counts").join(within_class(chunks, counts), "chunk", "left")
-    return whole.select("doc_ids", "n_words", "log_probs", "places", "at", "within").mapInArrow(_summed, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    return whole.select("doc_ids", "n_words", "log_probs", "places", "at", "within").transform(mapped, _summed, "doc_id long, n_words long, log_prob double, mean_log_prob double")
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:

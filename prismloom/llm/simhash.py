@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismloom.llm.common import materialize, text_chunks
+from prismloom.llm.common import mapped, materialize, text_chunks
 
 SHINGLE = 4
 SEED = 42
@@ -70,7 +70,7 @@ def row_key() -> F.Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), "text").mapInArrow(_fingerprints, "doc_id long, row_key string, fp long")
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), "text").transform(mapped, _fingerprints, "doc_id long, row_key string, fp long")
 
 
 def _masks(bits: int, radius: int) -> list[int]:

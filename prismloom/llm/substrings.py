@@ -31,7 +31,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismloom.llm.common import materialize, text_chunks
+from prismloom.llm.common import mapped, materialize, text_chunks
 
 LENGTH = 35
 ANCHOR = 10
@@ -164,14 +164,14 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def marks(texts: DataFrame) -> DataFrame:
     """key -> marks (see covered_words) of every text with something to remove. texts: key, text."""
-    found = materialize(texts.mapInArrow(_find_anchors, "key binary, positions array<int>, anchors array<long>, regions array<long>"), "op7-anchors")
+    found = materialize(texts.transform(mapped, _find_anchors, "key binary, positions array<int>, anchors array<long>, regions array<long>"), "op7-anchors")
     each = found.select("key", F.explode(F.arrays_zip("positions", "anchors", "regions")).alias("a")).select("key", F.col("a.positions").alias("position"), F.col("a.anchors").alias("anchor"), F.col("a.regions").alias("region"))
     counted = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("least"), F.max("region").alias("most")).where("n > 1")
     # counts are written first: a join of two plain shuffles is one whose hot keys Spark can split
     counted = materialize(counted.select("anchor", (F.col("least") == F.col("most")).alias("equal")), "op7-counted")
     repeated = materialize(each.drop("region").join(counted, "anchor").select("key", "position", "equal"), "op7-repeated")
     unequal = materialize(repeated.where("not equal").groupBy("key").agg(F.collect_set("position").alias("positions")), "op7-unequal")
-    windows = materialize(texts.join(unequal, "key").mapInArrow(_find_windows, "key binary, start int, h1 long, h2 long"), "op7-windows")
+    windows = materialize(texts.join(unequal, "key").transform(mapped, _find_windows, "key binary, start int, h1 long, h2 long"), "op7-windows")
     twice = materialize(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "op7-twice")
     single = windows.join(twice, ["h1", "h2"]).select("key", (F.col("start") * 2).alias("mark"))
     whole = repeated.where("equal").select("key", (F.col("position") * 2 + 1).alias("mark"))
@@ -185,4 +185,4 @@ def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
     own = _keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
-    return own.join(marks(_keyed(docs)), "key", "left").select("doc_id", "text", "marks").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return own.join(marks(_keyed(docs)), "key", "left").select("doc_id", "text", "marks").transform(mapped, _strip, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -1,16 +1,23 @@
-"""Byte-pair encoding and decoding by a tokenization automaton.
-
-The automaton reads tokens. Its states are the tokens read last, and an arc leads from state p with label t if t may
-follow p in an encoding. It starts universal and every merge, in order of rank, adds a gadget: merge (u, v) of rank r
-forbids the arcs from states that still end in a piece u to labels that still begin with a piece v when rule r has its
-turn. A piece is in a token from its own rank until the rank of the piece that takes it up. What remains accepts exactly
-one token sequence for each byte string: its encoding. Arcs are looked up in a table that is filled as they are met.
-
-Words are pre-split by the usual pattern and walked once per distinct word and task; decoding emits the arcs' labels.
+"""Byte-pair encoding and decoding by a deterministic tokenization automaton.
+
+Compiling, on the driver, goes by successive merge gadgets. The automaton over tokens starts universal: its states are
+the tokens read last, its labels the tokens read next, and every arc is there. The gadget of merge (u, v), in order of
+rank, removes the arcs from states that still end in a piece u to labels that still begin with a piece v when the merge
+has its turn, and brings in the label uv if its own arc from u to v is still there. A piece is in a token from its own
+rank until the rank of the piece that takes it up. What remains accepts exactly one token sequence for each byte string:
+its encoding. States that no gadget tells apart are one state, labels likewise, so the table of arcs is a bit matrix
+(14,639 states x 10,603 labels and 19 MB for 50,000 merges; `MOST_BYTES` bounds what may be broadcast).
+
+Encoding reads bytes. Every prefix of a word has one encoding, so the byte automaton's state is the set of its live
+pairs (token state, place in the trie of labels), and a step by a byte yields the next state and the prefix's last token.
+Sets become numbered states and steps become entries of a table the first time they are met; a word is encoded by one
+table step a byte, and its tokens are read off from the end. No step is ever taken back. Words are pre-split by the usual
+pattern and encoded once per distinct word and task; decoding emits the arcs' labels.
 
 Defined results: a null or empty text has no tokens and the hash of nothing; special tokens in a text become their ids,
-as the tokenizers library does by default; long texts are read whole; repeated rows are encoded alike. Columns other
-than doc_id and text are not read.
+as the tokenizers library does by default; long texts and long words are read whole; repeated rows are encoded alike;
+there are no ties, as every text has one encoding; an empty table gives no rows. Columns other than doc_id and text are
+not read, so clashing names do no harm; `encode` replaces columns named like its own.
 """
 
 from __future__ import annotations
@@ -19,15 +26,17 @@ import array
 import hashlib
 import json
 import sys
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismloom.llm.common import text_chunks
+from prismloom.llm.common import mapped, text_chunks
 
 #: The usual pre-splitting pattern, with white space as Unicode has it.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -43,8 +52,12 @@ HAS_UNKNOWN = regex.compile(f"[{_UNKNOWN}]")
 SPLIT_UNKNOWN = regex.compile(
     r"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}--[UNKNOWN]]+| ?[\p{N}--[UNKNOWN]]+| ?(?:[^\p{White_Space}\p{L}\p{N}]|[UNKNOWN])+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+".replace("UNKNOWN", _UNKNOWN)
 )
-#: Words kept by each of two generations of a Python process's table.
-CACHED_WORDS = 250_000
+#: Bytes of text kept by each of two generations of a Python process's table of words; longer words aren't kept.
+CACHED_BYTES, LONGEST_CACHED = 24_000_000, 64
+#: Byte states kept in the table before it is emptied.
+STATES = 400_000
+#: Of the compiled table that is broadcast.
+MOST_BYTES = 200_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,8 +65,6 @@ def byte_letters() -> dict[str, int]:
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in set(plain)]
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-#: Arcs kept in the table before it is emptied.
-ARCS = 250_000
 
 
 class MergeAutomaton:
@@ -61,104 +72,135 @@ class MergeAutomaton:
 
     def __init__(self, vocabulary: str):
         data = json.loads(vocabulary)
+        check_form(data)
         letters = byte_letters()
         ids, merges = data["model"]["vocab"], data["model"]["merges"]
         self.special = {x["content"]: x["id"] for x in data.get("added_tokens", [])}
         self.label: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.gadget: dict[tuple[int, int], int] = {}  # (u, v) -> rank
-        self.rank: dict[int, int] = {}  # of the token a merge makes
-        parts: dict[int, tuple[int, int]] = {}
-        for r, pair in enumerate(merges):
-            u, v = (ids[x] for x in (pair.split(" ") if isinstance(pair, str) else pair))
-            made = ids[data_token(pair)]
-            self.gadget[u, v] = r
-            if made not in parts:
-                parts[made], self.rank[made] = (u, v), r
-        never = len(merges)
-        self.ends: dict[int, list[tuple[int, int]]] = {}  # token -> its last pieces, each with the rank that takes it up
-        self.begins: dict[int, list[tuple[int, int]]] = {}
-        sound: dict[int, bool] = {}
-        for t in sorted(ids.values(), key=lambda x: self.rank.get(x, -1)):
-            if t in parts:
-                u, v = parts[t]
-                r = self.rank[t]
-                self.ends[t] = [(t, never), *((p, min(d, r)) for p, d in self.ends[v])]
-                self.begins[t] = [(t, never), *((p, min(d, r)) for p, d in self.begins[u])]
-                sound[t] = sound[u] and sound[v] and self._first_merge(u, v) == r
-            else:
-                self.ends[t] = self.begins[t] = [(t, never)]
-                sound[t] = len(self.label[t]) == 1
+        pairs = [tuple(ids[x] for x in (pair.split(" ") if isinstance(pair, str) else pair)) for pair in merges]
+        made = [ids[data_token(pair)] for pair in merges]
+        ends, begins = self._pieces(ids.values(), pairs, made)
+        self.state, from_piece = self._classes(ends, [u for u, _ in pairs], bisect_left)  # taken up at its turn, a piece at the end is gone
+        self.entry, to_piece = self._classes(begins, [v for _, v in pairs], bisect_right)  # at the beginning it isn't: of equal ranks the left goes first
+        self.width = (max(self.entry.values(), default=0) + 8) // 8
+        self.arcs = self._add_gadgets(pairs, made, from_piece, to_piece)
+        if len(self.arcs) > MOST_BYTES:
+            raise ValueError(f"the arcs take {len(self.arcs)} bytes, more than MOST_BYTES")
         self.child: dict[int, int] = {}  # (node << 8 | byte) -> node
         self.token_at: list[int] = [-1]
-        for t, good in sound.items():
-            if good:
-                node = 0
-                for b in self.label[t]:
-                    node = self.child.setdefault(node << 8 | b, len(self.token_at))
-                    if node == len(self.token_at):
-                        self.token_at.append(-1)
-                self.token_at[node] = t
-        self.arcs: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.older_words: dict[str, bytes] = {}
+        self.inner = {0}  # nodes with children
+        for t in self.usable:
+            node = 0
+            for b in self.label[t]:
+                self.inner.add(node)
+                node = self.child.setdefault(node << 8 | b, len(self.token_at))
+                if node == len(self.token_at):
+                    self.token_at.append(-1)
+            self.token_at[node] = t
         self.stops = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
-
-    def _first_merge(self, p: int, t: int) -> int:
-        """The rank of the first gadget that forbids t after p, -1 if none does. Of equal ranks, the pair further left goes first."""
-        found = -1
-        for u, taken_u in self.ends[p]:
-            for v, taken_v in self.begins[t]:
-                r = self.gadget.get((u, v), -1)
-                if -1 < r < taken_u and r <= taken_v and (found < 0 or r < found):
-                    found = r
+        self.forget(words=True, states=True)
+
+    @staticmethod
+    def _pieces(tokens, pairs: list[tuple[int, int]], made: list[int]) -> tuple[dict, dict]:
+        """For each token its last and its first pieces, each with the rank that takes it up."""
+        parts: dict[int, tuple[int, int, int]] = {}
+        for r, ((u, v), t) in enumerate(zip(pairs, made, strict=True)):
+            parts.setdefault(t, (r, u, v))
+        never = len(pairs)
+        ends: dict[int, list[tuple[int, int]]] = {}
+        begins: dict[int, list[tuple[int, int]]] = {}
+        for t in sorted(tokens, key=lambda x: parts[x][0] if x in parts else -1):
+            r, u, v = parts.get(t, (never, t, t))
+            ends[t] = [(t, never), *((p, min(d, r)) for p, d in ends.get(v, []))]
+            begins[t] = [(t, never), *((p, min(d, r)) for p, d in begins.get(u, []))]
+        return ends, begins
+
+    @staticmethod
+    def _classes(pieces: dict[int, list[tuple[int, int]]], merged: list[int], below: Callable) -> tuple[dict[int, int], dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """Token -> class of those whose pieces the same merges meet; piece -> the classes that show it and until which rank."""
+        ranks: dict[int, list[int]] = {}
+        for r, piece in enumerate(merged):
+            ranks.setdefault(piece, []).append(r)
+        numbers: dict[tuple, int] = {}
+        of: dict[int, int] = {}
+        shown: dict[int, list[tuple[int, int]]] = {}
+        for t, own in pieces.items():
+            key = tuple((p, n) for p, d in own if (n := below(ranks.get(p, []), d)))
+            of[t] = numbers.setdefault(key, len(numbers))
+        for key, k in numbers.items():
+            for p, n in key:
+                shown.setdefault(p, []).append((k, ranks[p][n - 1]))
+        return of, {p: tuple(np.array(x) for x in zip(*who, strict=True)) for p, who in shown.items()}
+
+    def _add_gadgets(self, pairs: list[tuple[int, int]], made: list[int], from_piece: dict, to_piece: dict) -> bytes:
+        """The arcs removed, a bit for each state and label, and `usable`: the labels that merges bring in."""
+        gone = np.zeros((max(self.state.values(), default=0) + 1, self.width), np.uint8)
+        self.usable = {t for t in self.state if len(self.label[t]) == 1}
+        seen: set[int] = set()
+        for r, ((u, v), t) in enumerate(zip(pairs, made, strict=True)):
+            open_ = not gone[self.state[u], self.entry[v] >> 3] >> (self.entry[v] & 7) & 1
+            if open_ and u in self.usable and v in self.usable and t not in seen:
+                self.usable.add(t)
+            seen.add(t)
+            states, until = from_piece[u]
+            labels, and_until = to_piece[v]
+            row = np.zeros(self.width * 8, bool)
+            row[labels[and_until >= r]] = True
+            gone[states[until >= r]] |= np.packbits(row, bitorder="little")
+        return gone.tobytes()
+
+    def allows(self, state: int, t: int) -> bool:
+        label = self.entry[t]
+        return state < 0 or not self.arcs[state * self.width + (label >> 3)] >> (label & 7) & 1
+
+    def _step(self, state: int, byte: int) -> int:
+        """Enter into the table what reading a byte in a state leads to: the next state << 32 and the prefix's last token."""
+        live, last = [], -1
+        for before, node in self.live[state]:
+            node = self.child.get(node << 8 | byte, -1)
+            if node >= 0:
+                t = self.token_at[node]
+                if last < 0 <= t and self.allows(before, t):
+                    last = t
+                if node in self.inner:
+                    live.append((before, node))
+        if last < 0:
+            raise ValueError(f"no encoding of byte {byte}")
+        live.append((self.state[last], 0))
+        key = tuple(live)
+        following = self.numbers.setdefault(key, len(self.live))
+        if following == len(self.live):
+            self.live.append(key)
+        found = self.steps[state << 8 | byte] = following << 32 | last
         return found
 
-    def allows(self, p: int, t: int) -> bool:
-        key = p << 32 | t
-        known = self.arcs.get(key)
-        if known is None:
-            known = self.arcs[key] = self._first_merge(p, t) < 0
-        return known
-
-    def walk(self, word: bytes) -> list[int]:
-        """The accepted token sequence of one pre-split word: a depth-first walk, longer labels first, that never re-enters a dead end."""
-        child, token_at, arcs, n = self.child.get, self.token_at, self.arcs.get, len(word)
-        path: list[int] = []
-        before: list[tuple[int, int, list[tuple[int, int]]]] = []  # place, state and untried labels at each step
-        dead: set[tuple[int, int]] = set()
-        at, last = 0, -1
-        while at < n:
-            node, k, found = 0, at, []
-            while k < n:
-                node = child(node << 8 | word[k], -1)
-                if node < 0:
-                    break
-                k += 1
-                if token_at[node] >= 0:
-                    found.append((k, token_at[node]))
-            while True:
-                if found:
-                    k, t = found.pop()
-                    known = last < 0 or arcs(last << 32 | t)
-                    if (known or (known is None and self.allows(last, t))) and not (dead and (k, t) in dead):
-                        break
-                elif before:
-                    dead.add((at, last))
-                    at, last, found = before.pop()
-                    path.pop()
-                else:
-                    raise ValueError(f"no encoding of {word!r}")
-            before.append((at, last, found))
+    def encode_word(self, word: bytes) -> list[int]:
+        """The accepted token sequence of one pre-split word."""
+        steps, state, lasts = self.steps.get, 0, []
+        for byte in word:
+            found = steps(state << 8 | byte)
+            if found is None:
+                found = self._step(state, byte)
+            lasts.append(found & 0xFFFFFFFF)
+            state = found >> 32
+        path, at, label = [], len(word), self.label
+        while at:
+            t = lasts[at - 1]
             path.append(t)
-            at, last = k, t
+            at -= len(label[t])
+        path.reverse()
         return path
 
-    def forget(self, words: bool = False) -> None:
-        """Empty the table of arcs where it has grown large, and the words where asked; both fill again."""
-        if len(self.arcs) > ARCS:
-            self.arcs.clear()
+    def forget(self, words: bool = False, states: bool = False) -> None:
+        """Empty the table of steps where asked or where it has grown large, and the words where asked; both fill again."""
+        if states or len(self.live) > STATES:
+            self.live: list[tuple] = [((-1, 0),)]
+            self.numbers: dict[tuple, int] = {self.live[0]: 0}
+            self.steps: dict[int, int] = {}
         if words:
-            self.words, self.older_words = {}, {}
+            self.words: dict[str, bytes] = {}
+            self.older_words: dict[str, bytes] = {}
+            self.held = 0
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
@@ -176,11 +218,14 @@ class MergeAutomaton:
             known = words.get(word)
             if known is None:
                 if not word.isascii() and HAS_UNKNOWN.search(word):  # such words stay out of the table
-                    return b"".join(little_endian(self.walk(w.encode())) for w in SPLIT_UNKNOWN.findall(text))
-                known = words[word] = self.older_words.get(word) or little_endian(self.walk(word.encode()))
+                    return b"".join(little_endian(self.encode_word(w.encode())) for w in SPLIT_UNKNOWN.findall(text))
+                known = self.older_words.get(word) or little_endian(self.encode_word(word.encode()))
+                if len(word) <= LONGEST_CACHED:
+                    words[word] = known
+                    self.held += len(word) + len(known)
             out.append(known)
-        if len(words) >= CACHED_WORDS:
-            self.words, self.older_words = {}, words
+        if self.held >= CACHED_BYTES:
+            self.words, self.older_words, self.held = {}, words, 0
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -190,6 +235,15 @@ class MergeAutomaton:
         return b"".join(map(self.label.__getitem__, whole)).decode("utf-8", "replace")
 
 
+def check_form(data: dict) -> None:
+    """Raise where a vocabulary file asks for something else than byte-level pre-splitting and plain merges."""
+    level, model = data.get("pre_tokenizer") or {}, data["model"]
+    odd = [x for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(x)]
+    odd += [f"{k} of an added token" for x in data.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized") if x.get(k)]
+    if data.get("normalizer") or model.get("type") != "BPE" or level.get("type") != "ByteLevel" or level.get("add_prefix_space") or not level.get("use_regex", True) or odd:
+        raise ValueError(f"not a plain byte-level vocabulary: {odd or level}")
+
+
 def data_token(pair: str | list[str]) -> str:
     return pair.replace(" ", "") if isinstance(pair, str) else "".join(pair)
 
@@ -203,7 +257,7 @@ def little_endian(ids: list[int]) -> bytes:
 
 @lru_cache(maxsize=2)
 def compiled(vocabulary: str) -> MergeAutomaton:
-    """One automaton for each vocabulary and Python process."""
+    """One automaton for each vocabulary and driver."""
     return MergeAutomaton(vocabulary)
 
 
@@ -216,7 +270,7 @@ def _mapped(docs: DataFrame, keep: list[str], extra: str, make, vocabulary: str)
     """keep (columns of docs) and what make(automaton, text) returns for each whole text, as the columns `extra`."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(compiled(vocabulary))
     others = [c for c in keep if c != "text"]
     given = docs.select(*[F.col(f"`{c}`") for c in others], F.col("text"))
     schema = given.select(*[F.col(f"`{c}`") for c in keep]).schema
@@ -224,7 +278,7 @@ def _mapped(docs: DataFrame, keep: list[str], extra: str, make, vocabulary: str)
         schema = schema.add(*part.split(" "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = compiled(shared.value)
+        automaton = shared.value
         out = to_arrow_schema(schema)
         for rows in text_chunks(batches):
             made = [make(automaton, r["text"] or "") for r in rows]
@@ -233,7 +287,7 @@ def _mapped(docs: DataFrame, keep: list[str], extra: str, make, vocabulary: str)
 
         automaton.forget(words=True)
 
-    return given.mapInArrow(run, schema)
+    return mapped(given, run, schema)
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
