@@ -10,13 +10,16 @@ half of 2 bits (33 keys a half), the variants are shuffled, and fingerprints tha
 
 Emitting the full ball for every fingerprint would be the same method in one step, at 2,081 rows a document.
 
+A row is named by its doc_id and the hash of its text, so rows that share a doc_id but not their text stay apart.
 Joins are sort-merge joins by hint: the compressed size by which Spark would choose to broadcast says little about a
 table of random numbers. Equal fingerprints are one node. Components come from alternating large-star and small-star rounds, each cut by a table
 in the shared folder.
 
 Defined results: a null or empty text has no words and fingerprint zero, linked like any other; fewer words than a
 shingle give one shingle of all; repeated rows share a component; an empty table gives no rows; very long texts are read
-whole. A row whose doc_id is null takes part, but never names a component. Columns but doc_id and text are not read.
+whole. A row whose doc_id is null takes part, but never names a component. Of a component `one_of_each` keeps the row with
+the smallest doc_id, of ties the smallest text hash; rows that agree in both are one row. Columns but doc_id and text
+are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -29,15 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismloom.llm.common import mapped, materialize, text_chunks
+from prismloom.llm.common import delete_table, mapped, materialize, text_chunks, write_table
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
 SMALL = 64
 BITS = 64
-#: Links up to which a round runs as one task instead of a series of shuffles of next to nothing.
-LINKS_A_TASK = 200_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -61,16 +62,17 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in text_chunks(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["row_key"] for r in rows], pa.string()), pa.array([fingerprint(r["text"]) for r in rows], pa.int64())], names=["doc_id", "row_key", "fp"])
+        yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["text_hash"] for r in rows], pa.binary()), pa.array([fingerprint(r["text"]) for r in rows], pa.int64())], names=["doc_id", "text_hash", "fp"])
 
 
-def row_key() -> F.Column:
-    """Names a row by its doc_id or, where that is null, by its text."""
-    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+def text_hash() -> F.Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), "text").transform(mapped, _fingerprints, "doc_id long, row_key string, fp long")
+    """doc_id, text_hash and fp of every row."""
+    given = docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), "text")
+    return mapped(given, _fingerprints, "doc_id long, text_hash binary, fp long")
 
 
 def _masks(bits: int, radius: int) -> list[int]:
@@ -115,34 +117,40 @@ def links(fps: DataFrame, small: int = SMALL) -> DataFrame:
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, root) of every node of edges(a, b), root the smallest node of its component; large-star and small-star in turn."""
-    stars = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    mark = (stars.count(),)
+    spark = edges.sparkSession
+    path = write_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
+    mark = None
     for _ in range(rounds):
+        stars = spark.read.schema("a long, b long").parquet(path)
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        both = both.coalesce(1) if mark[0] <= LINKS_A_TASK else both
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        stars = materialize(small, name)
+        before, path = path, write_table(small, name)
+        delete_table(spark, before)
+        stars = spark.read.schema("a long, b long").parquet(path)
         now = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
-            break
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, fp and component_id of every row, and the smallest row_key of the component's best-named rows."""
+    """doc_id, text_hash, fp and component_id of every row, and kept: the first of its component's rows by doc_id and text hash."""
     found = materialize(fingerprints(docs), "op8-fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
     fps = found.groupBy("fp").agg(first.alias("first"))
     roots = components(links(fps), "op8-stars")
-    rooted = fps.join(roots.hint("merge"), fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("chosen")).hint("merge"), "root").select("fp", F.col("chosen.doc_id").alias("component_id"), F.col("chosen.row_key").alias("kept_key"))
-    return found.join(named.hint("merge"), "fp")
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    rooted = materialize(fps.join(members.hint("merge"), fps["fp"] == members["node"], "left").select("fp", "first", "root"), "op8-rooted")
+    # firsts are written before the join, so that Spark can split the rows of a large component; without links a fingerprint is its own
+    firsts = materialize(rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("chosen")), "op8-firsts")
+    many = rooted.join(firsts.hint("merge"), "root").select("fp", "chosen")
+    named = many.unionByName(rooted.where("root is null").select("fp", F.col("first").alias("chosen")))
+    kept = F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("text_hash") == F.col("chosen.text_hash"))
+    return found.join(named.hint("merge"), "fp").select("doc_id", "text_hash", "fp", F.col("chosen.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -152,7 +160,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id. Rows without a doc_id stay only where none has one."""
-    keep = classes(docs).where("row_key = kept_key").select("row_key").distinct()
-    marked = docs.withColumn("row_key", row_key()) if "row_key" not in docs.columns else docs.withColumnRenamed("row_key", "__own").withColumn("row_key", row_key())
-    kept = marked.join(keep.hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"])
-    return kept.select(*[F.col("__own").alias(c) if c == "row_key" else F.col(f"`{c}`") for c in docs.columns])
+    keep = classes(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    marked = docs.withColumn("__own_id", F.col("doc_id").cast("long")).withColumn("__own_hash", text_hash())
+    same = F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_hash") == F.col("__hash"))
+    kept = marked.join(keep.hint("merge"), same, "left_semi").dropDuplicates(["__own_id", "__own_hash"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -248,6 +248,13 @@ def test_simhash(given):
     assert len(found) == len(named) and {d for d in found if d is not None} == named - {None}
 
 
+def test_one_of_each_tells_rows_of_one_doc_id_apart(spark):
+    other = "nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(1, "one two three four five six seven"), (1, other), (2, other), (None, "x y z"), (None, "q r s t u"), (3, "q r s t u"), (None, None), (4, "same"), (4, "same")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, kept)) == sorted(f"Row(doc_id={d}, text={t!r})" for d, t in [(1, rows[0][1]), (1, other), (3, "q r s t u"), (4, "same"), (None, "x y z"), (None, None)])
+
+
 @pytest.mark.parametrize("small_keys", [2, 64])
 def test_simhash_links_large_and_small_keys(spark, small_keys):
     rng = np.random.default_rng(5)
