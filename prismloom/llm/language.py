@@ -4,17 +4,19 @@ Counts of 1-, 2- and 3-grams of lower-cased code points, hashed into `BUCKETS` b
 executors. The log-probability matrix (languages x buckets, one float each) goes to every task; a batch of documents is
 one long code point array, scored by gathering the columns of its n-grams and summing per document.
 
-Fitting reads whole texts of at most `MAX_TRAIN` labelled rows, chosen by a hash of doc_id and text (all rows below
-that number); prediction reads whole texts of every row and nothing but the text.
+Fitting reads whole texts of at most `MAX_TRAIN` labelled rows, or a few more: every language has the same share of that
+number, keeps all its rows up to it and a sample by a hash of doc_id and text beyond, so that no labelled language is
+lost; how frequent languages are is counted over all rows. The matrix is bounded by `MAX_LANGUAGES`; more raise an error.
+Prediction reads whole texts of every row and nothing but the text.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without any learnable row everything is
 `und`. A null doc_id is neither held out nor learned from. Very long texts are read whole, one at a time. Repeated rows
 are scored alike; columns other than doc_id, text and lang are not read. Ties go to the first language by code point.
+A letter is what Unicode calls one, so number signs are none; no n-gram reaches over a U+0000 in a text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,8 @@ ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 MAX_TRAIN = 400_000
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: At most this many rows of the log-probability matrix: 131 MB.
+MAX_LANGUAGES = 1000
 _SEPARATOR = "\0"
 
 
@@ -74,9 +77,9 @@ class LanguageModel:
 
     def __init__(self, langs: list[str], counts: np.ndarray, rows: np.ndarray):
         smooth = counts + SMOOTHING
-        table = np.log(smooth / smooth.sum(axis=1, keepdims=True)) if langs else np.zeros((0, BUCKETS))
+        table = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32) if langs else np.zeros((0, BUCKETS), np.float32)
         self.langs = langs
-        self.log_p = np.hstack([table, np.zeros((len(langs), 1))])
+        self.log_p = np.hstack([table, np.zeros((len(langs), 1), np.float32)])
         self.prior = np.log(rows / rows.sum()) if langs else np.zeros(0)
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -88,12 +91,12 @@ class LanguageModel:
         for bucket in gram_buckets(codes):
             at = np.minimum(starts, len(bucket) - 1)
             for k, row in enumerate(self.log_p):
-                sums[:, k] += np.add.reduceat(row[bucket], at)
+                sums[:, k] += np.add.reduceat(row[bucket], at, dtype=np.float64)
         return sums
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out = [(UNDETERMINED, 0.0)] * len(texts)
-        some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         if self.langs and some:
             joint = self.score([texts[i].lower() for i in some])
             joint -= joint.max(axis=1, keepdims=True)
@@ -105,12 +108,16 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
-    """Learn from (doc_id, text, lang); over max_train rows, from about that many, chosen by hash."""
+    """Learn from (doc_id, text, lang); a language with more than its share of max_train rows from about that many, chosen by hash."""
     known = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    rows = known.groupBy("lang").count().collect()  # a row a language
-    n = sum(r["count"] for r in rows)
-    if n > max_train:
-        known = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int((1 << 20) * max_train / n))
+    rows = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()  # a row a language
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"more than MAX_LANGUAGES = {MAX_LANGUAGES} languages")
+    share = max_train / max(len(rows), 1)
+    sampled = {r["lang"]: share / r["count"] for r in rows if r["count"] > share}
+    if sampled:
+        part = F.coalesce(F.create_map(*[F.lit(x) for pair in sampled.items() for x in pair])[F.col("lang")], F.lit(1.0))
+        known = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < part * (1 << 20))
     counted = known.select("text", "lang").transform(mapped, _count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x buckets at most
     found = counted["lang"].combine_chunks().dictionary_encode()
     names = found.dictionary.to_pylist()
@@ -119,8 +126,8 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
     counts = np.zeros((len(langs), BUCKETS))
     if langs:
         counts[place[found.indices.to_numpy()], counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-    share = {r["lang"]: r["count"] for r in rows}
-    return LanguageModel(langs, counts, np.array([share[x] for x in langs], float))
+    frequent = {r["lang"]: r["count"] for r in rows}
+    return LanguageModel(langs, counts, np.array([frequent[x] for x in langs], float))
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
