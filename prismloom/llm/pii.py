@@ -7,15 +7,18 @@ estimates the labelers' reliabilities, and a logistic span classifier is trained
 arithmetic over that bounded table, and the classifier returns to the rows as a column expression.
 
 The base kinds are rules: a match that passes its check stays a span whatever the classifier says, and one that fails is
-dropped. The method adds spans of further forms: secrets that are assigned to a telling name, and phone numbers in
-national form.
+dropped. The method adds spans of further forms: phone numbers in national form, secrets that are assigned to a telling
+name, persons by title or given name, and street addresses.
 
 Positions come from the gaps between matches (split and extract agree on the matches), summed by a window over the
 matches of one text and kind, so long texts with many matches cost no more than their matches. The patterns are
 possessive and anchored with look-behind where that leaves their matches as they are, so they read a text once.
 
-Defined results: a null text counts as empty; a text without spans gets zero counts, the hash of the empty string and
-empty spans; repeated rows are reported each; null doc_ids are kept. Columns but doc_id and text are not read.
+Defined results: a null text counts as empty, and stays null where texts are masked; a text without spans gets zero
+counts, the hash of the empty string and empty spans; repeated rows are reported each; null doc_ids are kept; very long
+texts are searched whole. A probability of exactly one half adds the span; where spans overlap, base ones stay and added
+ones go, and a mask covers overlapping base spans together under the kind that starts first. An empty table gives no rows.
+Columns but doc_id and text are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -29,9 +32,25 @@ from pyspark.sql import functions as F
 from prismloom.llm.common import materialize
 
 #: Kinds in the order in which spans are listed; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "local_phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "local_phone", "secret", "person", "address")
 BASE = KINDS[:4]
 
+#: Frequent given names that are rarely other words, and frequent surnames.
+GIVEN_NAMES = (
+    "Alexander Alice Amanda Andrea Andrew Angela Anna Anthony Barbara Benjamin Betty Brandon Brenda Brian Carlos Carol Catherine Charles Christine Christopher Claudia Cynthia Daniel David "
+    "Deborah Dennis Diana Donald Donna Dorothy Edward Elizabeth Emily Emma Eric Frank Gabriel Gary George Gregory Hannah Heather Helen Henry Jacob James Janet Jason Jeffrey Jennifer Jessica "
+    "Joan John Jonathan Jose Joseph Joshua Juan Julia Julie Karen Katherine Kathleen Kenneth Kevin Kimberly Larry Laura Linda Lisa Louis Luis Margaret Maria Marie Martha Martin Mary Matthew "
+    "Megan Melissa Michael Michelle Nancy Nathan Nicholas Nicole Olivia Pamela Patricia Patrick Paul Peter Philip Rachel Raymond Rebecca Richard Robert Ronald Samantha Samuel Sandra Sarah "
+    "Scott Sharon Shirley Sophia Stephanie Stephen Steven Susan Thomas Timothy Victoria Virginia Walter William Zachary"
+).split()
+SURNAMES = (
+    "Adams Allen Anderson Baker Brown Campbell Carter Clark Davis Evans Fischer Garcia Gomez Gonzalez Hall Harris Hernandez Hill Jackson Johnson Jones King Lee Lewis Lopez Martin Martinez "
+    "Meyer Miller Mitchell Moore Mueller Nelson Nguyen Parker Perez Phillips Ramirez Roberts Robinson Rodriguez Sanchez Schmidt Schneider Scott Smith Taylor Thomas Thompson Torres Turner "
+    "Walker Weber White Williams Wilson Wright Young"
+).split()
+TITLES = "Mr Mrs Ms Dr Prof".split()
+STREETS = "Street St Avenue Ave Road Rd Lane Ln Drive Dr Boulevard Blvd Way Court Ct Place Pl Square Sq Terrace".split()
+
 #: Each kind's candidates. \G lets a match start where the last one ended, inside a run of its own characters.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -39,7 +58,9 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "local_phone": r"(?<![0-9+)] ?)\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9-])",
-    "secret": r"(?<=\b(?:token|secret|password|passwd|api_key|apikey|access_key) {0,2}[:=] {0,2}[\"'])[A-Za-z0-9+/_=-]{16,256}+(?=[\"'])",
+    "secret": r"(?<=[\"'])(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key) {0,2}[:=] {0,2}[\"'])[A-Za-z0-9+/_=-]{16,}+(?=[\"'])",
+    "person": rf"(?<![A-Za-z])(?=[A-Z])(?:(?:{'|'.join(TITLES)})\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?+|(?:{'|'.join(GIVEN_NAMES)}) (?:[A-Z]\. )?[A-Z][a-z]+)(?![A-Za-z])",
+    "address": rf"(?<![A-Za-z0-9])[0-9]{{1,5}}[A-Za-z]? (?:[A-Z][a-z]+ ){{1,3}}(?:{'|'.join(STREETS)})(?![A-Za-z])",
 }
 
 #: Fixed word lists of the gazetteer and context labelers.
@@ -54,6 +75,8 @@ CONTEXT = {
     "phone": r"(?i)(?:tel|phone|call|fax|mobile|cell|\+[0-9]{1,3}\W{0,4})\W*$",
     "local_phone": r"(?i)(?:tel|phone|call|fax|mobile|cell|\+[0-9]{1,3}\W{0,5})\W*$",
     "secret": r"(?i)(?:token|secret|password|passwd|key)\W*$",
+    "person": r"(?i)(?:name|dear|contact|by|from|to|author|signed|patient|customer|employee)\W*$",
+    "address": r"(?i)(?:address|lives? at|ship to|street|at)\W*$",
 }
 VERSION_BEFORE = r"(?i)(?:version|release|v|section|isbn|order|no|nr|#)[ .:]*$"
 
@@ -89,7 +112,9 @@ def _wanted(kind: str, text: Column) -> Column:
         "card": digit & text.rlike(r"[0-9](?:[ -]?[0-9]){15}"),
         "phone": text.rlike(r"\+[0-9]"),
         "local_phone": text.rlike(r"\([0-9]{3}\)"),
-        "secret": digit & text.rlike("[:=] {0,2}[\"'][A-Za-z0-9+/_=-]{16}"),
+        "secret": text.rlike("[:=] {0,2}[\"'][A-Za-z0-9+/_=-]{16}"),
+        "person": text.rlike(r"[A-Z][a-z]*\.? [A-Z]"),
+        "address": digit & text.rlike("[0-9][A-Za-z]? [A-Z][a-z]+ [A-Z]"),
     }[kind]
 
 
@@ -99,24 +124,29 @@ def _span(kind: int) -> Callable[[Column, Column], Column]:
     )
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """A row for each proposed span, and one with a null kind for each text without any.
-
-    row_id, doc_id, kind (number), start, end (code points, end exclusive), value, before, after.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
+def proposed(text: Column) -> Column:
+    """The spans that the patterns propose in a text: kind (number), no (of its kind), gap before it, value and surroundings."""
+    text = F.coalesce(text, F.lit(""))
     found = []
     for k, kind in enumerate(KINDS):
         gaps, matches = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
         found.append(F.when(_wanted(kind, text), F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(gaps) - 1).alias("gap"), matches.alias("value"), F.slice(gaps, 2, F.size(gaps)).alias("next")), _span(k))))
     none = F.array().cast("array<struct<kind:int,no:int,gap:int,before:string,value:string,after:string>>")
-    spans = F.concat(*[F.coalesce(x, none) for x in found])
-    flat = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", spans.alias("spans")).select("row_id", "doc_id", F.explode_outer("spans").alias("s")).select("row_id", "doc_id", "s.*")
-    flat = materialize(flat, "op2-candidates")
+    return F.concat(*[F.coalesce(x, none) for x in found])
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """rows(row_id, doc_id, spans) -> a row for each proposed span, with start and end (code points, end exclusive), and one with a null kind for each row without any."""
+    flat = rows.select("row_id", "doc_id", F.explode_outer("spans").alias("s")).select("row_id", "doc_id", "s.*")
     running = F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("row_id", "kind").orderBy("no"))
     return flat.withColumn("end", running).withColumn("start", F.col("end") - F.length("value"))
 
 
+def candidates(docs: DataFrame) -> DataFrame:
+    """row_id, doc_id, kind, start, end, value, before and after of each proposed span, and a row with a null kind for each text without any."""
+    return placed(materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", proposed(F.col("text")).alias("spans")), "op2-candidates"))
+
+
 def kind_name(kind: Column) -> Column:
     return F.element_at(F.array(*[F.lit(k) for k in KINDS]), kind + 1)
 
@@ -125,7 +155,8 @@ def votes(kind: Column, value: Column, before: Column, after: Column) -> dict[st
     """Labeler -> vote on a candidate of this kind (by name), between what stands before and after it."""
     yes_no = lambda yes, no: F.when(no, -1).when(yes, 1).otherwise(0)
     tld = F.lower(F.substring_index(value, ".", -1)).isin(*TOP_LEVEL)
-    known = (kind == "email") & tld | (kind == "card") & value.rlike(CARD_ISSUERS) | (kind == "phone") & value.rlike(COUNTRY_CODES)
+    named = F.arrays_overlap(F.split(value, "[^A-Za-z]+"), F.array(*[F.lit(x) for x in SURNAMES]))
+    known = (kind == "person") & named | (kind == "address") | (kind == "email") & tld | (kind == "card") & value.rlike(CARD_ISSUERS) | (kind == "phone") & value.rlike(COUNTRY_CODES)
     odd = (kind == "ip") & value.rlike(RESERVED_IP) | (kind == "email") & value.rlike(r"(?:^\.|\.\.|\.[0-9-]+$)") | (kind == "secret") & value.rlike(r"^(.)\1*$")
     context = F.lit(False)
     for k, pattern in CONTEXT.items():
@@ -134,7 +165,7 @@ def votes(kind: Column, value: Column, before: Column, after: Column) -> dict[st
     return {
         "format": yes_no(passes(kind, value), ~passes(kind, value)),
         "gazetteer": yes_no(known, odd),
-        "context": yes_no(context, (kind != "phone") & (kind != "local_phone") & before.rlike(VERSION_BEFORE)),
+        "context": yes_no(context, ~kind.isin("phone", "local_phone", "person", "address") & before.rlike(VERSION_BEFORE)),
         "shape": yes_no(mixed | (kind != "secret") & value.rlike("[ .()@-]"), (kind == "secret") & ~mixed),
         "surroundings": yes_no(after.rlike(r"^(?:$|[\s,;:.!?)\"'<])"), after.rlike("^[A-Za-z0-9_]") | before.rlike("[A-Za-z0-9_]$")),
     }
@@ -189,18 +220,17 @@ def scored(kind: Column, cast: dict[str, Column], model: dict) -> Column:
     return 1 / (1 + F.exp(-score))
 
 
-def judged(docs: DataFrame) -> tuple[DataFrame, dict]:
-    """All candidates with their votes, and the classifier trained on them."""
-    found = candidates(docs)
+def judged(found: DataFrame) -> tuple[DataFrame, dict]:
+    """The candidates with their votes, and the classifier trained on them."""
     cast = votes(kind_name(F.col("kind")), F.col("value"), F.col("before"), F.col("after"))
     seen = materialize(found.select("row_id", "doc_id", "kind", "start", "end", *[F.when(F.col("kind").isNotNull(), v).alias(f"vote_{x}") for x, v in cast.items()]), "op2-votes")
     table = seen.where("kind is not null").groupBy("kind", *[f"vote_{x}" for x in cast]).count().collect()  # at most kinds * 3 ** labelers rows
     return seen, train(sorted((r[0], tuple(r)[1:-1], r["count"]) for r in table))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """A row for each span kept (and one with a null kind for each candidate that isn't and each text without any): row_id, doc_id, kind, start, end, base, probability."""
-    seen, model = judged(docs)
+def spans(found: DataFrame) -> DataFrame:
+    """candidates -> a row for each span kept (and one with a null kind for each candidate that isn't and each text without any): row_id, doc_id, kind, start, end, base, probability."""
+    seen, model = judged(found)
     cast = {c.removeprefix("vote_"): F.col(c) for c in seen.columns if c.startswith("vote_")}
     rated = seen.withColumn("probability", scored(F.col("kind"), cast, model)).withColumn("base", (F.col("kind") < len(BASE)) & (F.col("vote_format") == 1))
     by_start = Window.partitionBy("row_id").orderBy("start", "end", "kind")
@@ -213,26 +243,34 @@ def spans(docs: DataFrame) -> DataFrame:
     return kept.select("row_id", "doc_id", *[F.when(F.col("kept"), F.col(c)).alias(c) for c in ("kind", "start", "end", "base", "probability")])
 
 
-def masked(docs: DataFrame) -> DataFrame:
-    """docs with every span that is kept replaced by its kind in square brackets, one kind after the other; nothing else changes."""
-    _, model = judged(docs)
-    out = docs.withColumnRenamed("text", "__text")
-    for k, kind in enumerate(KINDS):
-        text = F.col("__text")
-        gaps, matches = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-        pieces = F.transform(F.arrays_zip(gaps.alias("gap"), matches.alias("value"), F.slice(gaps, 2, F.size(gaps)).alias("next")), _replaced(k, model))
-        out = out.withColumn("__text", F.when(_wanted(kind, text), F.array_join(pieces, "")).otherwise(text))
-    return out.select(*[F.col("__text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+#: `cuts` of a text in UTF-32 (`wide`) replaced by their kinds. A letter goes before each piece that is decoded, or a U+FEFF there would be lost.
+_REWRITTEN = """
+array_join(transform(sequence(0, size(cuts)), i -> concat(
+    substring(decode(concat(X'00000078', substring(wide, 4 * coalesce(get(cuts, i - 1).end, 0) + 1, 4 * (coalesce(get(cuts, i).start, length(wide) div 4) - coalesce(get(cuts, i - 1).end, 0)))), 'UTF-32'), 2),
+    coalesce('[' || get(cuts, i).kind || ']', ''))), '')
+"""
 
 
-def _replaced(kind: int, model: dict) -> Callable[[Column], Column]:
-    def piece(x: Column) -> Column:
-        name = F.lit(KINDS[kind])
-        cast = votes(name, x["value"], F.right(x["gap"], F.lit(32)), F.left(x["next"], F.lit(16)))
-        private = cast["format"] == 1 if kind < len(BASE) else scored(F.lit(kind), cast, model) >= 0.5
-        return F.when(x["value"].isNull(), x["gap"]).otherwise(F.concat(x["gap"], F.when(private, F.lit(f"[{KINDS[kind]}]")).otherwise(x["value"])))
+def masked(docs: DataFrame) -> DataFrame:
+    """docs with every span that `report` lists replaced by its kind in square brackets; nothing else changes.
 
-    return piece
+    Rows are written once with what the patterns propose in them; only those with a proposal meet their spans in a join.
+    """
+    own = {f"own_{k}": c for k, c in enumerate(docs.columns) if c != "text"}
+    rows = docs.select(*[docs[f"`{c}`"].alias(k) for k, c in own.items()], docs["text"], proposed(docs["text"]).alias("spans"), F.monotonically_increasing_id().alias("row_id"))
+    rows = materialize(rows, "op2-rows")
+    some = rows.where(F.size("spans") > 0)
+    kept = spans(placed(some.select("row_id", F.lit(None).cast("long").alias("doc_id"), "spans"))).where("kind is not null")
+    in_order = Window.partitionBy("row_id").orderBy("start", "end", "kind")
+    reach = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = kept.withColumn("apart", (F.col("start") >= F.coalesce(reach, F.lit(0))).cast("int")).withColumn("run", F.sum("apart").over(in_order))
+    first = F.min_by(kind_name(F.col("kind")), F.struct("start", "end", "kind"))
+    cuts = runs.groupBy("row_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), first.alias("kind")).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts"))
+    rewritten = some.drop("spans").join(cuts, "row_id", "left").withColumn("wide", F.encode("text", "UTF-32"))
+    rewritten = rewritten.select(*own, F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.expr(_REWRITTEN)).alias("text"))
+    both = rows.where(F.size("spans") == 0).select(*own, "text").unionByName(rewritten)
+    names = {c: k for k, c in own.items()}
+    return both.select(*[F.col(names.get(c, "text")).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -241,7 +279,7 @@ def report(docs: DataFrame) -> DataFrame:
     listed: Callable[[Column], Column] = lambda x: F.array_join(
         F.transform(F.array_sort(x), lambda s: F.concat_ws(":", kind_name(s["kind"]), s["start"], s["end"])), ","
     )
-    grouped = spans(docs).groupBy("row_id", "doc_id").agg(
+    grouped = spans(candidates(docs)).groupBy("row_id", "doc_id").agg(
         *[F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{kind}") for k, kind in enumerate(BASE)],
         F.collect_list(F.when(F.col("base"), here)).alias("base_spans"),
         F.collect_list(F.when(F.col("kind").isNotNull(), here)).alias("all_spans"),
