@@ -50,7 +50,7 @@ PAGE = """<html><body><header>Top</header><nav>Home</nav><div class="cookie-noti
 
 
 def test_article_of_a_page():
-    assert pages.main_text(pages.page_blocks(PAGE), None) == "T & x\n\nOne two three\n\nFour five\n\na\n\nb"
+    assert pages.main_texts([pages.page_blocks(PAGE)]) == [("T & x\n\nOne two three\n\nFour five\n\na\n\nb", 0)]
 
 
 def test_pages_table(spark, small):
@@ -67,7 +67,7 @@ def test_repeats_across_pages_of_a_host(spark):
     chrome = "<div>all rights reserved by the owner of this site</div>"
     rows = [(k, f"http://a.com/{k}", f"<body><div>only page {k} says this here {k}</div>{chrome}</body>", "x") for k in range(3)]
     rows += [(7, "http://b.com/", f"<body>{chrome}</body>", "x"), (8, None, None, None), (9, "http://[", "", None), (10, "http://c.com", "<p>twice five words here now</p><p>twice five words here now</p>", "x")]
-    frame = spark.createDataFrame(rows, "page_id long, url string, html string, blocks string")
+    frame = spark.createDataFrame([(*r, 1, "h") for r in rows], "page_id long, url string, html string, blocks string, shard long, host string")
     found = {r.page_id: r.text for r in pages.extract(frame).collect()}
     assert [found[k] for k in range(3)] == [f"only page {k} says this here {k}" for k in range(3)]
     assert found[7] == "all rights reserved by the owner of this site" and found[8] == found[9] == ""
@@ -87,6 +87,45 @@ def test_common_phrases_and_copies_stay(spark):
     assert {found[20 + k] for k in range(4)} == {"the same story"} and found[30] == "the one page of d"
 
 
+def plain_covered(streams, kinds, least):
+    """Which tokens lie in a window of RUN tokens that stands in so many distinct pages, by comparing all windows."""
+    where: dict = {}
+    for k, x in enumerate(streams):
+        for i in range(len(x) - pages.RUN + 1):
+            where.setdefault(tuple(x[i : i + pages.RUN]), set()).add(kinds[k])
+    return [[any(len(where[tuple(x[i : i + pages.RUN])]) >= least for i in range(max(0, p - pages.RUN + 1), min(p, len(x) - pages.RUN) + 1)) for p in range(len(x))] for x in streams]
+
+
+def test_suffix_array_equals_all_windows():
+    rng = np.random.default_rng(3)
+    run = [f"r{k}" for k in range(45)]
+    streams = []
+    for k in range(12):
+        own = [f"w{x}" for x in rng.integers(0, 3, rng.integers(0, 90))]
+        at = int(rng.integers(0, len(own) + 1))
+        streams.append(own[:at] + (run[: int(rng.integers(25, 46))] if k % 3 else []) + own[at:])
+    kinds = np.array([k % 10 for k in range(12)])
+    for least in (2, 3, 5):
+        assert [x.tolist() for x in pages.repeated_runs(streams, kinds, least)] == plain_covered(streams, kinds, least)
+    assert [x.tolist() for x in pages.repeated_runs([[], ["a"]], np.array([0, 1]), 1)] == [[], [False]]
+
+
+def test_repeated_runs_decide_inside_articles(spark):
+    """A passage of a host inside its articles goes and what is around it in the same block stays, in shards of a hot host too; a long page is read whole."""
+    passage = " ".join(f"terms{k}" for k in range(40))
+    own = lambda k: " ".join(f"p{k}w{i}" for i in range(60))
+    rows = [(k, "http://www.hot.com/x", f"<article><p>{own(k)} {passage} end{k}</p></article><footer>f</footer>") for k in range(120)]
+    rows += [(200 + k, f"http://small.com:80/{k}", f"<div>{own(k)} {passage}</div>") for k in range(2)]
+    rows += [(300, "https://long.com", "<p>" + " ".join(f"w{i}" for i in range(300_000)) + "</p>"), (301, None, "<p>one</p>"), (301, None, "<p>one</p>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for shard in (pages.SHARD, 20_000):
+        found = pages.extract(frame, shard).collect()
+        text = {r.page_id: r.text for r in found}
+        assert len(found) == len(rows) and all(text[k] == f"{own(k)} end{k}" for k in range(120))
+        assert text[200] == f"{own(0)} {passage}" and text[301] == "one" and len(text[300].split()) == 300_000
+        assert {r.n_repeated for r in found if r.page_id < 120} == {40}
+
+
 def test_inline_parts_named_as_something_else():
     assert pages.page_blocks("<article><p>one <span class='ad'>buy</span> two</p></article>") == [(pages.ARTICLE, "one two"), (pages.NAMED, "buy")]
 
