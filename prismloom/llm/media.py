@@ -5,12 +5,13 @@ rectangles of frames and pitch classes come from an integral image, and sixteen
 bits each, so every position of a 16-frame window gives one packed 32-bit integer.
 
 Recordings with equal fingerprints form a class, and only one of a class is aligned. Query recordings meet the others on
-equal integers, up to four bits; the offset with the most meetings aligns a pair, and the share of differing bits over the overlap at
+equal integers, up to four bits, of windows with sound (silence is alike everywhere and says nothing); the offset with the most meetings aligns a pair, and the share of differing bits over the overlap at
 that offset judges it.
 
 Defined results: a null, unreadable or too short recording has no integers, forms a class with its like and matches
 nothing; repeated rows are one class; an empty table gives no rows; ties of offsets go to the smallest offset by size,
-then to the negative one; long recordings are read whole. Columns other than the id and the media are not read.
+then to the negative one, ties of matches to the smallest id; long recordings are read whole, recordings without any
+sound match nothing. Columns other than the id and the media are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismloom.llm.common import mapped, materialize
+from prismloom.llm.common import mapped, materialize, row_chunks
 
 RATE = 4096
 FRAME, HOP = 512, 256
@@ -79,21 +80,30 @@ def _folding(rate: int) -> np.ndarray:
     return fold
 
 
-def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
-    """Frames x 12 shares of energy."""
+def chroma(samples: np.ndarray, rate: int = RATE) -> tuple[np.ndarray, np.ndarray]:
+    """Frames x 12 shares of energy, and which frames have any."""
     if len(samples) < FRAME:
-        return np.zeros((0, 12), np.float32)
-    frames = sliding_window_view(samples, FRAME)[::HOP] * np.hanning(FRAME).astype(np.float32)
-    energy = (np.abs(np.fft.rfft(frames, axis=1)).astype(np.float32) ** 2) @ _folding(rate)
-    return energy / np.maximum(energy.sum(axis=1, keepdims=True), 1e-9)
+        return np.zeros((0, 12), np.float32), np.zeros(0, bool)
+    frames = sliding_window_view(samples, FRAME)[::HOP]
+    energy = np.empty((len(frames), 12), np.float32)
+    for k in range(0, len(frames), 4096):  # a long recording's spectrum isn't held whole
+        block = frames[k : k + 4096] * np.hanning(FRAME).astype(np.float32)
+        energy[k : k + 4096] = (np.abs(np.fft.rfft(block, axis=1)).astype(np.float32) ** 2) @ _folding(rate)
+    whole = energy.sum(axis=1, keepdims=True)
+    return energy / np.maximum(whole, 1e-9), whole[:, 0] > 1e-9
 
 
 def fingerprint(media: bytes | None) -> np.ndarray:
     """A packed integer for each full window of frames."""
-    image = chroma(*read_wav(media))
+    return heard(media)[0]
+
+
+def heard(media: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint, and which of its windows have sound."""
+    image, loud = chroma(*read_wav(media))
     n = len(image) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, np.uint32), np.zeros(0, bool)
     total = np.zeros((len(image) + 1, 13))
     total[1:, 1:] = image.cumsum(axis=0, dtype=np.float64).cumsum(axis=1)
 
@@ -113,22 +123,26 @@ def fingerprint(media: bytes | None) -> np.ndarray:
         }[kind]()
         lean = np.log1p(part) - np.log1p(whole - part)
         out |= _GRAY[np.digitize(lean, (-0.5, 0.0, 0.5))] << np.uint32(2 * k)
-    return out
+    return out, sliding_window_view(loud, WINDOW).any(axis=1)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            items = fingerprint(row["media"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["rec_id"]], pa.int64()), pa.array([items.astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([hashlib.sha256(items.astype("<u4").tobytes()).hexdigest()])],
-                names=["rec_id", "items", "digest"],
-            )
+    for rows in row_chunks(batches, "media", 4_000_000):
+        prints = [heard(r["media"]) for r in rows]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([r["rec_id"] for r in rows], pa.int64()),
+                pa.array([items.astype(np.int64) for items, _ in prints], pa.list_(pa.int64())),
+                pa.array([loud for _, loud in prints], pa.list_(pa.bool_())),
+                pa.array([hashlib.sha256(items.astype("<u4").tobytes()).hexdigest() for items, _ in prints], pa.string()),
+            ],
+            names=["rec_id", "items", "loud", "digest"],
+        )
 
 
 def fingerprints(recordings: DataFrame) -> DataFrame:
-    """rec_id, items and digest of recordings(rec_id, media)."""
-    return recordings.select(F.col("rec_id").cast("long"), "media").transform(mapped, _fingerprints, "rec_id long, items array<long>, digest string")
+    """rec_id, items, loud (which of them have sound) and digest of recordings(rec_id, media)."""
+    return recordings.select(F.col("rec_id").cast("long"), "media").transform(mapped, _fingerprints, "rec_id long, items array<long>, loud array<boolean>, digest string")
 
 
 def align(recordings: DataFrame, every: int = QUERY_EVERY) -> DataFrame:
@@ -138,15 +152,17 @@ def align(recordings: DataFrame, every: int = QUERY_EVERY) -> DataFrame:
     apart over MIN_OVERLAP integers or more; match_id is the class with the fewest errors, then the smallest.
     """
     found = materialize(fingerprints(recordings), "op6-fingerprints")
-    classes = found.groupBy("digest").agg(F.min("rec_id").alias("class_id"), F.first("items").alias("items"), F.max((F.col("rec_id") % every == 0).cast("int")).alias("asked"))
+    classes = found.groupBy("digest").agg(F.min("rec_id").alias("class_id"), F.first("items").alias("items"), F.first("loud").alias("loud"), F.max((F.col("rec_id") % every == 0).cast("int")).alias("asked"))
     classes = materialize(classes.where("class_id is not null"), "op6-classes")
     keys = F.array(*[F.struct(F.lit(k).alias("which"), F.col("item").bitwiseAND(F.lit(mask)).alias("part")) for k, mask in enumerate(KEYS)])
-    places = classes.select("class_id", "asked", F.posexplode("items").alias("at", "item")).select("class_id", "asked", "at", F.explode(keys).alias("key"))
+    places = classes.select("class_id", "asked", F.posexplode(F.arrays_zip("items", "loud")).alias("at", "window")).where("window.loud").select("class_id", "asked", "at", F.col("window.items").alias("item"))
+    places = places.select("class_id", "asked", "at", F.explode(keys).alias("key"))
     asked = places.where("asked = 1").select(F.col("class_id").alias("query_id"), F.col("at").alias("query_at"), F.col("key").alias("query_key"))
     met = asked.join(places.select("class_id", "at", "key"), (F.col("key") == F.col("query_key")) & (F.col("query_id") != F.col("class_id")))
     votes = met.groupBy("query_id", "class_id", (F.col("at") - F.col("query_at")).alias("offset")).count()
     order = F.struct(F.col("count"), -F.abs("offset"), -F.col("offset"))
-    best = votes.groupBy("query_id", "class_id").agg(F.max_by("offset", order).alias("offset"))
+    # written before the joins, so that Spark can split what a frequent class or query meets
+    best = materialize(votes.groupBy("query_id", "class_id").agg(F.max_by("offset", order).alias("offset")), "op6-offsets")
     theirs = classes.select("class_id", F.col("items").alias("their_items"))
     ours = classes.select(F.col("class_id").alias("query_id"), F.col("items").alias("our_items"))
     judged = best.join(theirs, "class_id").join(ours, "query_id")

@@ -27,6 +27,23 @@ def test_recordings_align_with_their_offset(spark):
     assert found[4].class_id == found[5].class_id == found[6].class_id == 4 and found[150].n_links == 0
 
 
+def test_recordings_long_silent_and_clashing(spark):
+    """A long recording that holds a query's tune, silences of different lengths, ties of matches, columns named like the operator's own."""
+    tune = noise(1, 8)
+    part = media.read_wav(media.tune(tune))[0]
+    long = np.concatenate([media.read_wav(media.tune(noise(k, 60)))[0] for k in range(20, 24)] + [np.zeros(50 * media.HOP, np.float32), part])
+    quiet = [media.write_wav(np.zeros(n * media.HOP)) for n in (60, 61, 62)]
+    rows = [(50, media.write_wav(part)), (7, media.write_wav(long)), (100, quiet[0]), (8, quiet[1]), (9, quiet[2]), (3, media.write_wav(part * 0.5)), (2, media.write_wav(part * 0.25))]
+    frame = spark.createDataFrame([(*r, 1, [1], "x", 2) for r in rows], "rec_id long, media binary, class_id long, items array<long>, digest string, offset int")
+    found = {r.rec_id: r for r in media.align(frame).collect()}
+    assert found[50].n_links >= 1 and found[50].match_id in (2, 3, 7)
+    assert found[7].n_items > 3000 and found[100].n_links == 0 and found[8].n_links is None
+    prints = {k: media.fingerprint(m) for k, m in rows if k in (2, 3, 7)}
+    errors = {k: min(np.bitwise_count(media.fingerprint(rows[0][1]) ^ x[o : o + found[50].n_items]).sum() for o in range(len(x) - found[50].n_items + 1)) for k, x in prints.items()}
+    least = min(errors.values())
+    assert found[50].match_id in [k for k, e in errors.items() if e == least]
+
+
 def test_recordings_empty(spark):
     assert media.align(spark.createDataFrame([], "rec_id long, media binary")).count() == 0
     assert media.tune(None) is None and media.tune([1.0, None]) is None
@@ -38,10 +55,15 @@ def test_search_recall(spark):
     base = rng.normal(0, 0.125, (6, 64))
     vectors = [(k, (base[k % 6] + rng.normal(0, 0.012, 64)).tolist()) for k in range(300)]
     prints = {k: media.fingerprint(media.tune(v)) for k, v in vectors}
-    want = {(q, k) for q in prints if q % 50 == 0 for k in prints if k != q and np.bitwise_count(prints[q] ^ prints[k]).sum() <= media.MAX_BIT_ERROR * 32 * len(prints[q])}
+    errors = {(q, k): int(np.bitwise_count(prints[q] ^ prints[k]).sum()) for q in prints if q % 50 == 0 for k in prints if k != q}
+    want = {pair for pair, e in errors.items() if e <= media.MAX_BIT_ERROR * 32 * len(prints[pair[0]])}
     recordings = media.vector_recordings(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), "vec_id", "embedding")
-    found = sum(r.n_links or 0 for r in media.align(recordings).collect())
+    rows = media.align(recordings).collect()
+    found = sum(r.n_links or 0 for r in rows)
     assert want and found >= 0.9 * len(want)
+    for r in rows:  # what is found is right: the bits that differ at offset 0, and a match among the closest that were found
+        if r.match_id is not None and r.match_offset == 0:
+            assert r.bit_error == pytest.approx(errors[r.rec_id, r.match_id] / (32 * r.n_items))
 
 
 PAGE = """<html><body><header>Top</header><nav>Home</nav><div class="cookie-notice">We use cookies</div><main><article><header><h1>T &amp; x</h1></header>
