@@ -406,11 +406,69 @@ def test_scoring(given):
         assert (r.mean_log_prob is None) == (r.n_words == 0) and r.log_prob <= 0
 
 
-def test_scoring_gradient_and_learning(docs):
-    network = scoring.WindowNetwork()
+def plain_scores(texts, model, counts):
+    """Sum over the words of log P(class | two words on either side) + log P(word | class), word by word."""
+    network = scoring.WindowNetwork(model.flat.astype(np.float64))
+    heads = set(model.heads.tolist())
+    tails = [1] * scoring.TAIL
+    for w, n in counts.items():
+        if w not in heads:
+            tails[(w >> 40) % scoring.TAIL] += n + 1
+    out = []
+    for text in texts:
+        words = scoring.word_numbers(text).tolist()
+        inputs = [scoring.INPUTS] * 2 + [(w >> 20) % scoring.INPUTS for w in words] + [scoring.INPUTS] * 2
+        total = 0.0
+        for i, w in enumerate(words):
+            hidden = np.tanh(sum(network.embed[k][inputs[i + 2 + p]] for k, p in enumerate(scoring.PLACES)) + network.bias)
+            logits = hidden @ network.out + network.out_bias
+            kind = sorted(heads).index(w) if w in heads else len(heads) + (w >> 40) % scoring.TAIL
+            total += logits[kind] - np.log(np.exp(logits).sum()) + (0 if w in heads else np.log((counts.get(w, 0) + 1) / tails[(w >> 40) % scoring.TAIL]))
+        out.append(total)
+    return out
+
+
+@pytest.fixture(scope="module")
+def scored_corpus(spark, docs):
+    from prismloom.llm.common import materialize
+
+    chunks = materialize(scoring.chunk_records(docs.where("doc_id % 5 > 0")), "t-chunks")
+    counts = materialize(scoring.word_counts(chunks), "t-counts")
+    return chunks, counts, {r.word % 2**64: r.n for r in counts.collect()}, scoring.fit(chunks, counts)
+
+
+def test_scoring_equals_a_plain_version(spark, docs, scored_corpus):
+    chunks, counts, plain_counts, model = scored_corpus
+    asked = docs.where("doc_id % 5 = 0 and length(text) < 3000")
+    rows = asked.collect()
+    found = {r.doc_id: r.log_prob for r in scoring.score(scoring.chunk_records(asked), model, counts).collect()}
+    want = plain_scores([r.text for r in rows], model, plain_counts)
+    assert rows and [found[r.doc_id] for r in rows] == pytest.approx(want, rel=1e-4, abs=1e-2)
+
+
+def test_scoring_beats_words_alone_on_held_out_text(docs, scored_corpus):
+    chunks, counts, plain_counts, model = scored_corpus
+    asked = scoring.chunk_records(docs.where("doc_id % 5 = 0"))
+    total = lambda m: scoring.score(asked, m, counts).agg({"log_prob": "sum"}).first()[0]
+    assert total(model) > total(scoring.untrained(counts))  # untrained, it is the model of words without their neighbours
+
+
+def test_scoring_hardly_depends_on_tasks(docs):
+    means = []
+    for tasks in (1, 8):
+        r = scoring.pseudo_likelihood(docs.repartition(tasks)).agg({"log_prob": "sum", "n_words": "sum"}).first()
+        means.append(r["sum(log_prob)"] / r["sum(n_words)"])
+    assert abs(means[0] - means[1]) < 0.15
+
+
+def test_scoring_gradient():
+    words, places = np.unique(scoring.word_numbers("a b c d e f the of the a b"), return_inverse=True)
+    model = scoring.Model(words[:3], scoring.WindowNetwork.start(np.ones(3 + scoring.TAIL)))
+    network = scoring.WindowNetwork(model.flat)
     network.flat = network.flat.astype(np.float64)
+    network.flat[-len(model.heads) - scoring.TAIL * (scoring.WIDTH + 1) :] += np.random.default_rng(1).normal(0, 0.1, len(model.heads) + scoring.TAIL * (scoring.WIDTH + 1))
     network.embed, network.bias, network.out, network.out_bias = network.parts(network.flat)
-    inputs, classes, at = network.tokens([scoring.word_numbers("a b c d e f the of the a b")])
+    inputs, classes, at = model.layout(words, places, np.array([4, 0, 7]))
     grad = network.gradient(inputs, classes, at)
     for k in np.random.default_rng(0).choice(np.flatnonzero(grad), 8):
         own, step = network.flat[k], 1e-4
@@ -420,22 +478,19 @@ def test_scoring_gradient_and_learning(docs):
         down = -network.log_p(inputs, classes, at).mean()
         network.flat[k] = own
         assert grad[k] == pytest.approx((up - down) / (2 * step), abs=1e-5)
-    before = scoring.score(docs, scoring.WindowNetwork()).agg({"log_prob": "sum"}).first()[0]
-    assert scoring.pseudo_likelihood(docs).agg({"log_prob": "sum"}).first()[0] > before
-
-
-def test_scoring_predicts_words_not_classes(spark):
-    """Words of one class: a frequent word scores above a rare one, a rare one above one never seen, as the counts say."""
-    kind = lambda w: int(scoring.word_numbers(w)[0] >> np.uint64(40)) % scoring.CLASSES
-    alike = [w for w in (f"w{k}" for k in range(2000)) if kind(w) == kind("w0")][:3]
-    often, rare, never = alike
-    corpus = spark.createDataFrame([(k, often) for k in range(60)] + [(60, rare), (61, None)], "doc_id long, text string").repartition(3)
-    network = scoring.WindowNetwork()
-    counts = scoring.word_counts(scoring.chunk_records(corpus, network))
-    asked = spark.createDataFrame([(0, often), (1, rare), (2, never)], "doc_id long, text string")
-    found = {r.doc_id: r.log_prob for r in scoring.score(asked, network, counts).collect()}
-    inputs, classes, at = network.tokens([scoring.word_numbers(often)])
-    same = network.log_p(inputs, classes, at)[0]  # a word alone has edges for neighbours whichever it is
-    assert found == pytest.approx({k: same + np.log(n / 64) for k, n in enumerate((61, 2, 1))})  # 61 words, one more of 2, 1 for the rest
-    own = {r.doc_id: r.log_prob for r in scoring.score(corpus, network).collect()}
-    assert own[0] == own[59] > own[60] and own[61] == 0
+
+
+def test_scoring_tells_rare_words_from_frequent_ones(spark):
+    """Words of one hash class: a frequent word scores above a rare one, a rare one above one never seen, as the counts say."""
+    kind = lambda w: int(scoring.word_numbers(w)[0] >> np.uint64(40)) % scoring.TAIL
+    often, rare, never = [w for w in (f"w{k}" for k in range(2000)) if kind(w) == kind("w0")][:3]
+    corpus = scoring.chunk_records(spark.createDataFrame([(k, often) for k in range(60)] + [(60, rare), (61, None)], "doc_id long, text string").repartition(3))
+    counts = scoring.word_counts(corpus)
+    model = scoring.untrained(counts, 0)
+    asked = scoring.chunk_records(spark.createDataFrame([(0, often), (1, rare), (2, never)], "doc_id long, text string"))
+    found = {r.doc_id: r.log_prob for r in scoring.score(asked, model, counts).collect()}
+    same = found[0] - np.log(61 / 64)
+    assert found == pytest.approx({k: same + np.log(n / 64) for k, n in enumerate((61, 2, 1))}, abs=1e-6)  # 61 words, one more of 2, 1 for the rest
+    head = scoring.untrained(counts)
+    own = {r.doc_id: r.log_prob for r in scoring.score(corpus, head, counts).collect()}
+    assert len(head.heads) == 2 and own[0] == own[59] > own[60] and own[61] == 0
