@@ -23,9 +23,30 @@ def test_stages(spark, small, tmp_path):
 
 
 def test_odd_documents(spark, odd_docs, no_docs):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, an empty table and clashing names, through every stage."""
     for docs in (odd_docs, no_docs):
-        columns = docs.columns
+        columns, first = docs.columns, docs
         for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, "")
             assert docs.columns == columns, name
-        docs.count()
+        assert docs.count() <= 2 * first.count()
+        clashing = first.withColumn("token_ids", first["key"]).withColumn("row", first["key"])
+        last = corpus_pipeline.STAGES[-1][1](spark, clashing, "")
+        assert sorted(last.columns) == sorted({*columns, "row", "token_ids", "n_tokens"} - {"text"})
+        rows, texts = last.collect(), first.collect()
+        automaton = tokens.compiled(tokens.read_vocabulary(VOCABULARY))
+        assert sorted(automaton.decode(bytes(r.token_ids)) for r in rows) == sorted(r.text or "" for r in texts)
+        assert all(len(r.token_ids) == 4 * r.n_tokens for r in rows)
+
+
+def test_every_stage_alone_on_odd_documents(spark, odd_docs):
+    """What each stage's docstring says of nulls, empty texts, repeated rows and ties."""
+    stages = dict(corpus_pipeline.STAGES)
+    before = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    kept = [(r.doc_id, r.text) for r in stages["language_id"](spark, odd_docs, "").collect()]
+    assert kept and all(any(c.isalpha() for c in t or "") for _, t in kept) and set(kept) <= set(before)
+    masked = [(r.doc_id, r.text, r.n_chars) for r in stages["personal_data"](spark, odd_docs, "").collect()]
+    assert len(masked) == len(before) and all(n == (None if t is None else len(t)) for _, t, n in masked)
+    assert {d for d, t, _ in masked if t and "[email]" in t} == {8}
+    mixed = [(r.doc_id, r.text) for r in stages["mixing"](spark, odd_docs, "").collect()]
+    assert all((t or "").strip(" \t\n\r\x0b\x0c") for _, t in mixed) and all(mixed.count(x) <= 2 * before.count(x) for x in set(mixed))
