@@ -12,8 +12,6 @@ from prismloom.functions import draws, words
 from prismloom.plans.scene import Scene
 
 REFERENCE_SIZE = 3
-#: Attributes of one object beyond which its subsets aren't listed (2 ** 12 subsets).
-MOST_ATTRIBUTES = 12
 
 
 def single_edges(scene: Scene) -> DataFrame:
@@ -75,10 +73,11 @@ def adjacency(scene: Scene) -> DataFrame:
 
 
 def _subsets(attributes: Column, size: int) -> Column:
-    """All subsets of this size of a sorted array, as sorted arrays."""
-    short = F.slice(attributes, 1, MOST_ATTRIBUTES)
-    masks = F.filter(F.sequence(F.lit(0), (F.pow(F.lit(2), F.size(short)) - 1).cast("int")), lambda m: F.bit_count(m) == size)
-    return F.transform(masks, lambda m: F.filter(short, lambda a, i: F.getbit(m, i) == 1))
+    """All subsets of this size of a sorted array of distinct values, as sorted arrays: each step appends what comes after the last."""
+    found = F.array(F.array().cast("array<string>"))
+    for _ in range(size):
+        found = F.flatten(F.transform(found, lambda c: F.transform(F.filter(attributes, lambda a: F.coalesce(a > F.get(c, F.size(c) - 1), F.lit(True))), lambda a: F.concat(c, F.array(a)))))  # noqa: B023
+    return found
 
 
 def references(scene: Scene, size: int = REFERENCE_SIZE, exclude_category: bool = False) -> DataFrame:

@@ -1,8 +1,11 @@
 """Questions about several images.
 
 All pairs of images that share a label grow with the square of its frequency. Instead, the images of a group (a label,
-a relation, ...) stand in a drawn order and each is joined with its successor: distinct images that share the group, in
-one sort. What qualifies is then kept, and the first n_sample in drawn order are the result.
+a relation, ...) stand in a drawn order and each is joined with its successor: distinct images that share the group. What
+qualifies is then kept, and the first n_sample in drawn order are the result.
+
+A group may hold most of the images, so none meets in one task: its order is cut into ranges of the draw, whose counts
+give the rows of a range their numbers, and successors are found in blocks of numbers that overlap by a tuple.
 """
 
 from __future__ import annotations
@@ -14,11 +17,33 @@ from prismloom.functions import draws, words
 from prismloom.plans.scene import Scene
 
 
+#: Successive numbers of a group that one task orders.
+RANGE = 10_000
+
+
+def running(df: DataFrame, by: list[str], part: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """df with the sum of value over the rows of its group up to and with it, in the order of part, then order."""
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(*by, part).agg(F.sum(value).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = F.sum(value).over(Window.partitionBy(*by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.join(starts, [*by, part]).withColumn(name, F.col("__start") + inside).drop("__start", part)
+
+
+def ranked(df: DataFrame, by: list[str], drawn: Column, name: str = "no") -> DataFrame:
+    """df with each image's number in the drawn order of its group, from 0."""
+    keyed = df.withColumn("__drawn", drawn).withColumn("__part", F.substring("__drawn", 1, 3))
+    return running(keyed, by, "__part", ["__drawn", "image_id"], F.lit(1), name).withColumn(name, F.col(name) - 1).drop("__drawn")
+
+
 def neighbours(df: DataFrame, by: list[str], op: str, carry: list[str], n: int = 2) -> DataFrame:
     """Tuples of n successive images of a group in drawn order: columns <c>_0 ... <c>_{n-1} for image_id and carry."""
-    order = Window.partitionBy(*by).orderBy(draws.key(op, *by, "image_id"), "image_id")
+    placed = ranked(df.select(*by, "image_id", *carry), by, draws.key(op, *by, "image_id")).withColumn("__block", F.floor(F.col("no") / RANGE))
+    twice = (F.col("no") >= RANGE) & (F.col("no") % RANGE < n - 1)  # the first of a block also end the tuples of the block before
+    held = F.when(twice, F.array("__block", F.col("__block") - 1)).otherwise(F.array("__block"))
+    order = Window.partitionBy(*by, "__held").orderBy("no")
     ahead = [F.lead(c, k).over(order).alias(f"{c}_{k}") for k in range(n) for c in ("image_id", *carry)]
-    return df.select(*by, *ahead).where(F.col(f"image_id_{n - 1}").isNotNull())
+    tuples = placed.withColumn("__held", F.explode(held)).select(*by, "__block", "__held", *ahead)
+    return tuples.where((F.col("__block") == F.col("__held")) & F.col(f"image_id_{n - 1}").isNotNull()).drop("__block", "__held")
 
 
 def limited(df: DataFrame, n_sample: int | None, op: str, keys: list[str]) -> DataFrame:
@@ -31,9 +56,8 @@ def _contents(scene: Scene) -> DataFrame:
 
 
 def image_pairs(scene: Scene, op: str) -> DataFrame:
-    """Each image with the next in a drawn order of all. The order is cut into ranges so that no task sorts all images."""
-    contents = _contents(scene).withColumn("part", F.substring(draws.key(f"{op}|part", "image_id"), 1, 3))
-    return neighbours(contents, ["part"], op, ["labels"]).drop("part")
+    """Each image with the next in a drawn order of all."""
+    return neighbours(_contents(scene), [], op, ["labels"])
 
 
 def has_object(scene: Scene, n_sample: int | None = None) -> DataFrame:
@@ -63,30 +87,34 @@ def has_attributed_object(scene: Scene, n_sample: int | None = None, negated: bo
     return limited(out, n_sample, op, ["object", "image_id_0", "image_id_1"])
 
 
-def _with_and_without(having: DataFrame, lacking: DataFrame, by: list[str], op: str) -> DataFrame:
-    """Pairs of the k-th drawn image of having and the k-th of lacking, per group."""
-    place = lambda df, side: df.select(*by, F.col("image_id").alias(side), F.row_number().over(Window.partitionBy(*by).orderBy(draws.key(f"{op}|{side}", *by, "image_id"), "image_id")).alias("no"))
-    return place(having, "with_id").join(place(lacking, "without_id"), [*by, "no"]).drop("no")
+def _with_and_without(having: DataFrame, universe: DataFrame, all_of: list[str], by: list[str], op: str) -> DataFrame:
+    """Per group `by` pairs of the k-th drawn image of having and the k-th drawn image of universe (grouped by all_of) that having lacks.
+
+    What a group lacks is never listed. In the drawn order of the universe, which its groups share, the group's own images
+    have the numbers r_0 < r_1 < ...; r_j - j images before r_j are lacking, so the k-th that is lacking has the number k + (how
+    many j have r_j - j <= k): a running count over as many rows as having has, twice.
+    """
+    shared = ranked(universe.select(*all_of, "image_id").distinct(), all_of, draws.key(f"{op}|without_id", *all_of, "image_id"), "rank")
+    with_id = ranked(having.select(*by, "image_id"), by, draws.key(f"{op}|with_id", *by, "image_id"), "k")
+    placed = having.select(*by, "image_id").join(shared, [*all_of, "image_id"]).withColumn("__range", F.floor(F.col("rank") / RANGE))
+    gaps = running(placed, by, "__range", ["rank"], F.lit(1), "j").select(*by, (F.col("rank") - F.col("j") + 1).alias("at"), F.lit(1).alias("own"), F.lit(None).cast("long").alias("k"), F.lit(None).cast(having.schema["image_id"].dataType).alias("with_id"))
+    asked = with_id.select(*by, F.col("k").alias("at"), F.lit(0).alias("own"), "k", F.col("image_id").alias("with_id"))
+    events = gaps.unionByName(asked).withColumn("__range", F.floor(F.col("at") / RANGE))
+    counted = running(events, by, "__range", ["at", F.col("own").desc()], F.col("own"), "passed").where("own = 0")
+    return counted.withColumn("rank", F.col("k") + F.col("passed")).join(shared.withColumnRenamed("image_id", "without_id"), [*all_of, "rank"]).select(*by, "with_id", "without_id")
 
 
 def has_not_object(scene: Scene, n_sample: int | None = None) -> DataFrame:
     """Of an image with a label and one without, which hasn't it."""
-    having = scene.object_index().select("label", "image_id")
-    labels = scene.object_vocab.select(F.col("object").alias("label"))  # a closed vocabulary
-    lacking = scene.images.select("image_id").crossJoin(F.broadcast(labels)).join(having, ["label", "image_id"], "left_anti")
-    out = _with_and_without(having, lacking, ["label"], "has_not_object").select(F.col("label").alias("object"), "with_id", "without_id")
+    out = _with_and_without(scene.object_index().select("label", "image_id"), scene.images, [], ["label"], "has_not_object").select(F.col("label").alias("object"), "with_id", "without_id")
     return limited(out, n_sample, "has_not_object", ["object", "with_id"])
 
 
 def has_relation(scene: Scene, n_sample: int | None = None, negated: bool = False) -> DataFrame:
     """Of two images with a label pair, one with a relation between them and one without, which has (or hasn't) it."""
-    index = scene.relation_index()
-    pair = ["head_label", "target_label"]
-    images = index.select(*pair, "image_id").distinct()
-    names = index.select(*pair, "rel").distinct()
-    lacking = images.join(names, pair).join(index, [*pair, "rel", "image_id"], "left_anti")
+    index, pair = scene.relation_index(), ["head_label", "target_label"]
     op = "has_not_relation" if negated else "has_relation"
-    out = _with_and_without(index, lacking, [*pair, "rel"], op)
+    out = _with_and_without(index, index, pair, [*pair, "rel"], op)
     out = out.select(F.col("head_label").alias("object1"), F.col("rel").alias("relation"), F.col("target_label").alias("object2"), "with_id", "without_id", F.lit(negated).alias("negated"))
     return limited(out, n_sample, op, ["object1", "relation", "object2", "with_id"])
 

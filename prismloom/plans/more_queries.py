@@ -136,10 +136,11 @@ def w14(s: Scene) -> DataFrame:
     return graph.decomposed(s).groupBy("image_id", "component_no").agg(F.count(F.lit(1)).alias("size"))
 
 
-@scene_query("w16_to_size", "select 2500 as n")
+@scene_query("w16_to_size", f"select image_id, count(*) as copies from (select image_id from images, range(2) union all select * from (select image_id from images order by {key_sql('to_size', 'image_id')}, image_id limit (select count(*) // 2 from images))) group by 1")
 def w16(s: Scene) -> DataFrame:
-    images = s.images.select("image_id").where("image_id < 1000")
-    return draws.to_size(images, 2500, images.count(), "to_size", ["image_id"]).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    images = s.images.select("image_id")
+    n = images.count()
+    return draws.to_size(images, 2 * n + n // 2, n, "to_size", ["image_id"]).groupBy("image_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
 @scene_query("w18_image_sample", f"select image_id from images order by {key_sql('images', 'image_id')}, image_id limit 500")
@@ -348,10 +349,10 @@ def v15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("CRPE", 7576), ("VSR", 1222), ("SugarCREPE", 2812), ("SEED", 14233), ("GQA", 12578), ("VCR", 26534)], "name string, n int")
 
 
-@scene_query("v19_review_gallery", "select image_id, first_label, array_to_string(labels[1:5], '|') as labels from (select image_id, list(label order by obj_idx)[1] as first_label, list(label order by obj_idx) as labels from objects group by 1) order by image_id limit 500")
+@scene_query("v19_review_gallery", "select image_id, first_label, array_to_string(labels[1:5], '|') as labels from (select image_id, list(label order by obj_idx)[1] as first_label, list(label order by obj_idx) as labels from objects group by 1)")
 def v19(s: Scene) -> DataFrame:
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("obj_idx", "label"))), lambda x: x["label"])
-    made = s.objects.groupBy("image_id").agg(ordered.alias("l")).orderBy("image_id").limit(500)
+    made = s.objects.groupBy("image_id").agg(ordered.alias("l"))
     return made.select("image_id", F.col("l")[0].alias("first_label"), F.slice("l", 1, 5).alias("labels")).select("image_id", "first_label", *joined("labels"))
 
 

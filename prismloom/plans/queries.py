@@ -303,9 +303,11 @@ def j7(s: Scene) -> DataFrame:
     where not exists (select 1 from edges e where e.image_id = i.image_id and e.head_label = i.head_label and e.target_label = i.target_label and e.rel = n.rel) group by all""",
 )
 def j8(s: Scene) -> DataFrame:
+    """Images of a label pair, less those that show it with the relation: counts say how many lack it."""
     index, pair = s.relation_index(), ["head_label", "target_label"]
-    missing = index.select(*pair, "image_id").distinct().join(index.select(*pair, "rel").distinct(), pair).join(index, [*pair, "rel", "image_id"], "left_anti")
-    return missing.groupBy(*pair, "rel").agg(F.count(F.lit(1)).alias("n_images"))
+    shown = index.groupBy(*pair, "rel").agg(F.count(F.lit(1)).alias("n_with"))
+    images = index.select(*pair, "image_id").distinct().groupBy(*pair).agg(F.count(F.lit(1)).alias("n_all"))
+    return shown.join(images, pair).where("n_all > n_with").select(*pair, "rel", (F.col("n_all") - F.col("n_with")).alias("n_images"))
 
 
 @scene_query(
@@ -331,12 +333,12 @@ def a19(s: Scene) -> DataFrame:
 
 def pairs_sql(source: str, by: list[str], op: str, carry: list[str]) -> str:
     """Successive images of a group in drawn order, as multi.neighbours."""
-    order = f"over (partition by {', '.join(by)} order by {key_sql(op, *by, 'image_id')}, image_id)"
+    order = f"over ({'partition by ' + ', '.join(by) if by else ''} order by {key_sql(op, *by, 'image_id')}, image_id)"
     cols = ", ".join(f"{c} as {c}_0, lead({c}) {order} as {c}_1" for c in ("image_id", *carry))
-    return f"(select * from (select {', '.join(by)}, {cols} from {source}) where image_id_1 is not null)"
+    return f"(select * from (select {', '.join([*by, cols])} from {source}) where image_id_1 is not null)"
 
 
-CONTENTS_SQL = "contents as (select image_id, list_sort(list(distinct label)) as labels, substr({k}, 1, 3) as part from objects group by image_id)"
+CONTENTS_SQL = "contents as (select image_id, list_sort(list(distinct label)) as labels from objects group by image_id)"
 ATTRIBUTES_SQL = "owned as (select label, image_id, list_sort(list(distinct attr)) as attributes, count(*) as cnt from objects group by all)"
 COUNTED_SQL = "counted as (select label, image_id, count(*) as cnt from countable_objects group by all)"
 ONLY_SQL = "list_sort(list_concat(list_filter(attributes_0, lambda v: not list_contains(attributes_1, v)), list_filter(attributes_1, lambda v: not list_contains(attributes_0, v))))"
@@ -346,8 +348,8 @@ ONLY_LABELS_SQL = ONLY_SQL.replace("attributes_", "labels_")
 @scene_query(
     "m1_has_object",
     f"""select image_id_0, image_id_1, object, case when list_contains(labels_0, object) then 0 else 1 end as answer
-    from (select *, {pick_sql('only_one', 'has_object', 'image_id_0', 'image_id_1')} as object from (select *, {ONLY_LABELS_SQL} as only_one from {pairs_sql('contents', ['part'], 'has_object', ['labels'])}) where len(only_one) > 0)""",
-    CONTENTS_SQL.format(k=key_sql("has_object|part", "image_id")),
+    from (select *, {pick_sql('only_one', 'has_object', 'image_id_0', 'image_id_1')} as object from (select *, {ONLY_LABELS_SQL} as only_one from {pairs_sql('contents', [], 'has_object', ['labels'])}) where len(only_one) > 0)""",
+    CONTENTS_SQL,
 )
 def m1(s: Scene) -> DataFrame:
     return multi.has_object(s)
@@ -365,13 +367,14 @@ for _no, _name, _negated in ((2, "has_attributed_object", False), (4, "has_not_a
         return multi.has_attributed_object(s, negated=negated)
 
 
-def place_sql(source: str, by: list[str], op: str, side: str) -> str:
-    return f"(select {', '.join(by)}, image_id as {side}, row_number() over (partition by {', '.join(by)} order by {key_sql(op + '|' + side, *by, 'image_id')}, image_id) as no from {source})"
+def place_sql(source: str, by: list[str], op: str, side: str, drawn_by: list[str] | None = None) -> str:
+    drawn = key_sql(op + "|" + side, *(by if drawn_by is None else drawn_by), "image_id")
+    return f"(select {', '.join(by)}, image_id as {side}, row_number() over (partition by {', '.join(by)} order by {drawn}, image_id) as no from {source})"
 
 
 @scene_query(
     "m3_has_not_object",
-    f"select label as object, with_id, without_id from {place_sql('having_it', ['label'], 'has_not_object', 'with_id')} join {place_sql('lacking_it', ['label'], 'has_not_object', 'without_id')} using (label, no)",
+    f"select label as object, with_id, without_id from {place_sql('having_it', ['label'], 'has_not_object', 'with_id')} join {place_sql('lacking_it', ['label'], 'has_not_object', 'without_id', [])} using (label, no)",
     """having_it as (select distinct label, image_id from objects),
     lacking_it as (select v.object as label, i.image_id from images i, object_vocab v where not exists (select 1 from having_it h where h.label = v.object and h.image_id = i.image_id))""",
 )
@@ -385,7 +388,7 @@ for _no, _negated in ((5, False), (6, True)):
     @scene_query(
         f"m{_no}_{_op}",
         f"""select head_label as object1, rel as relation, target_label as object2, with_id, without_id, {str(_negated).lower()} as negated
-        from {place_sql('having_it', ['head_label', 'target_label', 'rel'], _op, 'with_id')} join {place_sql('lacking_it', ['head_label', 'target_label', 'rel'], _op, 'without_id')} using (head_label, target_label, rel, no)""",
+        from {place_sql('having_it', ['head_label', 'target_label', 'rel'], _op, 'with_id')} join {place_sql('lacking_it', ['head_label', 'target_label', 'rel'], _op, 'without_id', ['head_label', 'target_label'])} using (head_label, target_label, rel, no)""",
         """having_it as (select distinct head_label, target_label, rel, image_id from edges),
         lacking_it as (select i.head_label, i.target_label, n.rel, i.image_id from (select distinct head_label, target_label, image_id from edges) i join (select distinct head_label, target_label, rel from edges) n using (head_label, target_label)
                        where not exists (select 1 from having_it h where h.head_label = i.head_label and h.target_label = i.target_label and h.rel = n.rel and h.image_id = i.image_id))""",
@@ -429,8 +432,8 @@ _SHARED = "array_to_string(list_filter({0}_0, lambda v: list_contains({0}_1, v))
 
 @scene_query(
     "m11_common_object",
-    f"select * from (select image_id_0, image_id_1, {_SHARED.format('labels')}, array_to_string({ONLY_LABELS_SQL}, '|') as distractors from {pairs_sql('contents', ['part'], 'common_object', ['labels'])}) where answer <> '' and distractors <> ''",
-    CONTENTS_SQL.format(k=key_sql("common_object|part", "image_id")),
+    f"select * from (select image_id_0, image_id_1, {_SHARED.format('labels')}, array_to_string({ONLY_LABELS_SQL}, '|') as distractors from {pairs_sql('contents', [], 'common_object', ['labels'])}) where answer <> '' and distractors <> ''",
+    CONTENTS_SQL,
 )
 def m11(s: Scene) -> DataFrame:
     return multi.common_object(s).select("image_id_0", "image_id_1", *joined("answer", "distractors"))
@@ -521,7 +524,7 @@ def t8(s: Scene) -> DataFrame:
 @scene_query("k2_multi_image_records")
 def k2(s: Scene) -> DataFrame:
     keys = ["object", "image_id_0", "image_id_1"]
-    asked = multi.has_most_object(s, n_sample=100).withColumn("answer", F.concat(F.lit("Image "), F.col("answer").cast("string")))
+    asked = multi.has_most_object(s).withColumn("answer", F.concat(F.lit("Image "), F.col("answer").cast("string")))
     q = records.with_template(asked, grammar.templates(s.objects.sparkSession), "HasMostObject", {"object": words.plural(F.col("object")), "answer": F.col("answer")}, keys)
     return records.conversation(q, "HasMostObject", keys, F.array(F.col("image_id_0").cast("string"), F.col("image_id_1").cast("string")))
 

@@ -260,3 +260,39 @@ def test_several_images(scene):
     (r,) = multi.has_attributed_object(scene).collect()
     assert r.object == "cat" and r.attribute in ("black", "white") and (r.image_id_0, r.image_id_1)[r.answer] == (1 if r.attribute == "black" else 2)
     assert {(r.object, r.with_id != r.without_id) for r in multi.has_not_object(scene).collect()} >= {("cat", True)}
+
+
+def test_hot_groups_are_cut_into_ranges(spark, monkeypatch):
+    """One label on all images: tuples of neighbours and pairs with and without are those of one sort, though ranges are small."""
+    import hashlib
+
+    from prismloom.functions import draws
+    from prismloom.operators import multi
+
+    monkeypatch.setattr(multi, "RANGE", 10)
+    key = lambda *parts: hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    images = list(range(500))
+    for by in (["label"], []):
+        frame = spark.createDataFrame([(i, "a", i % 7) for i in images], "image_id long, label string, cnt int")
+        for n in (2, 3):
+            order = sorted(images, key=lambda i: (key("op", *["a"][: len(by)], i), i))
+            found = {tuple(r[f"image_id_{k}"] for k in range(n)) for r in multi.neighbours(frame, by, "op", ["cnt"], n).collect()}
+            assert found == {tuple(order[k : k + n]) for k in range(500 - n + 1)}
+    places = multi.ranked(frame.select("image_id", "label"), ["label"], draws.key("op", "label", "image_id"))
+    assert places.withColumn("part", F.substring(draws.key("op", "label", "image_id"), 1, 3)).groupBy("part").count().agg(F.max("count")).first()[0] <= 5
+
+    held = [(i, "a") for i in images if i % 5] + [(i, "b") for i in range(40)]
+    pairs = multi._with_and_without(spark.createDataFrame(held, "image_id long, label string"), frame.select("image_id"), [], ["label"], "op").collect()
+    want = set()
+    for label in "ab":
+        having = sorted((i for i, x in held if x == label), key=lambda i: (key("op|with_id", label, i), i))
+        lacking = sorted(set(images) - set(having), key=lambda i: (key("op|without_id", i), i))
+        want |= {(label, a, b) for a, b in zip(having, lacking)}
+    assert {(r.label, r.with_id, r.without_id) for r in pairs} == want and len(pairs) == len(want)
+
+
+def test_subsets_of_many_attributes(spark):
+    from prismloom.operators import graph
+
+    row = spark.range(1).select(F.transform(F.sequence(F.lit(10), F.lit(22)), lambda x: x.cast("string")).alias("a")).select(*[graph._subsets(F.col("a"), k).alias(f"s{k}") for k in range(4)]).first()
+    assert [len(set(map(tuple, x))) for x in row] == [1, 13, 78, 286] and ["10", "11", "22"] in row.s3
