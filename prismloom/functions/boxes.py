@@ -80,3 +80,8 @@ def square_padded(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     dx, dy = F.greatest(h - w, F.lit(0)), F.greatest(w - h, F.lit(0))
     left, top = F.floor(dx / 2), F.floor(dy / 2)
     return F.struct((x1 - left).alias("x1"), (y1 - top).alias("y1"), (x2 + dx - left).alias("x2"), (y2 + dy - top).alias("y2"))
+
+
+def same_point(a: list[Column], b: list[Column], sizes: list[Column]) -> Column:
+    """Whether two points are one at the precision of their ratio text."""
+    return ratio_text(a, sizes) == ratio_text(b, sizes)

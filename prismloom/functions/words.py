@@ -123,3 +123,20 @@ def judge_pair(review: Column) -> Column:
     pair = F.transform(parts, lambda x: x.try_cast("double"))
     good = (F.size(parts) == 2) & F.forall(pair, lambda x: x.isNotNull())
     return F.when(F.coalesce(good, F.lit(False)), pair).otherwise(F.array(F.lit(-1.0), F.lit(-1.0)))
+
+
+# Parts of category names that say nothing.
+EMPTY_PARTS = ("stuff", "other", "merged")
+
+
+def spoken_category(name: Column, sentence: str = "{}") -> Column:
+    """A category name such as "sky-other-merged" as words, put into a sentence at {}."""
+    parts = F.filter(F.split(name, "-"), lambda x: ~x.isin(*EMPTY_PARTS))
+    return F.replace(F.lit(sentence), F.lit("{}"), F.array_join(parts, " "))
+
+
+def region_key(text: Column) -> Column:
+    """struct(source, region): "sam_3" names region 3 of source "sam", "7" region 7 of source "region"; null for anything else."""
+    source = F.regexp_extract(text, r"^(?:([A-Za-z]+)_)?(\d+)$", 1)
+    number = F.regexp_extract(text, r"^(?:([A-Za-z]+)_)?(\d+)$", 2)
+    return F.when(number != "", F.struct(F.when(source == "", "region").otherwise(source).alias("source"), number.try_cast("int").alias("region")))

@@ -122,6 +122,12 @@ def _texts(df: DataFrame, joint: str) -> DataFrame:
     return df.withColumn("reference", reference_text(*[F.col(c) for c in ("attributes", "other_name", "other_attributes", "rel", "direction")], joint))
 
 
+def fitting(scene: Scene, size: int = REFERENCE_SIZE, joint: str = " that ") -> DataFrame:
+    """image_id, component, reference and how many objects of the component it fits."""
+    refs = _texts(references(scene, size), joint).join(components(scene), ["image_id", "obj_idx"])
+    return refs.groupBy("image_id", "component", "reference").agg(F.count_distinct("obj_idx").alias("n"))
+
+
 def object_questions(scene: Scene, size: int = REFERENCE_SIZE) -> DataFrame:
     """What a reference means, per component of more than one object: all names it fits, one drawn as answer."""
     parts = components(scene)

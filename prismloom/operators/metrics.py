@@ -14,8 +14,8 @@ from prismloom.functions import boxes, words
 TRIPLET = ["image_id", "subject", "rel", "object"]
 
 
-def triplet_recall(truth: DataFrame, predicted: DataFrame, least_iou: float = 0.5) -> DataFrame:
-    """One row: triplet_recall, mean_recall (over relations) and object_recall, in percent.
+def triplet_hits(truth: DataFrame, predicted: DataFrame, least_iou: float = 0.5) -> DataFrame:
+    """image_id, subject, rel, object, hit and subject_hit (0 or 1) of every true triplet.
 
     Both sides: image_id, subject, rel, object (labels) and boxes s_x1 ... s_y2, o_x1 ... o_y2. A true triplet is found
     if a prediction agrees in all names and overlaps both boxes enough; its subject if label and box agree.
@@ -25,9 +25,17 @@ def triplet_recall(truth: DataFrame, predicted: DataFrame, least_iou: float = 0.
     p = predicted.select("image_id", "subject", F.col("rel").alias("p_rel"), F.col("object").alias("p_object"), *[F.col(c).alias(f"p_{c}") for c in box])
     near = t.join(p, ["image_id", "subject"], "left").withColumn("subject_ok", F.coalesce(boxes.iou("s_", "p_s_") >= least_iou, F.lit(False)))
     whole = F.col("subject_ok") & F.coalesce((F.col("rel") == F.col("p_rel")) & (F.col("object") == F.col("p_object")) & (boxes.iou("o_", "p_o_") >= least_iou), F.lit(False))
-    found = near.groupBy("truth_id", "rel").agg(F.max(whole.cast("int")).alias("hit"), F.max(F.col("subject_ok").cast("int")).alias("subject_hit"))
-    per_rel = found.groupBy("rel").agg(F.sum("hit").alias("hits"), F.sum("subject_hit").alias("subject_hits"), F.count(F.lit(1)).alias("n"))
-    return per_rel.agg(
+    return near.groupBy("truth_id", *TRIPLET).agg(F.max(whole.cast("int")).alias("hit"), F.max(F.col("subject_ok").cast("int")).alias("subject_hit")).drop("truth_id")
+
+
+def relation_recall(hits: DataFrame) -> DataFrame:
+    """rel, hits, subject_hits and n true triplets of each relation."""
+    return hits.groupBy("rel").agg(F.sum("hit").alias("hits"), F.sum("subject_hit").alias("subject_hits"), F.count(F.lit(1)).alias("n"))
+
+
+def triplet_recall(truth: DataFrame, predicted: DataFrame, least_iou: float = 0.5) -> DataFrame:
+    """One row: triplet_recall, mean_recall (over relations) and object_recall, in percent; see triplet_hits."""
+    return relation_recall(triplet_hits(truth, predicted, least_iou)).agg(
         F.round(100 * F.sum("hits") / F.sum("n"), 6).alias("triplet_recall"), F.round(100 * F.avg(F.col("hits") / F.col("n")), 6).alias("mean_recall"), F.round(100 * F.sum("subject_hits") / F.sum("n"), 6).alias("object_recall")
     )
 
@@ -48,16 +56,37 @@ def recall_at(truth: DataFrame, scored: DataFrame, at: tuple[int, ...] = (20, 50
     return per_rel.groupBy("k").agg(F.round(100 * F.sum("hits") / F.sum("n"), 6).alias("recall"), F.round(100 * F.avg(F.col("hits") / F.col("n")), 6).alias("mean_recall"))
 
 
-def box_coverage(truth: DataFrame, predicted: DataFrame, least_iou: float = 0.5) -> DataFrame:
-    """image_id and the share of its true boxes that a predicted box overlaps by more than least_iou; 1 without true boxes."""
+def best_overlaps(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """image_id, the true box and the largest IoU with a predicted box of its image (null without one)."""
     t = truth.select("image_id", "x1", "y1", "x2", "y2", F.monotonically_increasing_id().alias("box_id"))
     p = predicted.select("image_id", *[F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")])
-    best = t.join(p, "image_id", "left").groupBy("image_id", "box_id").agg(F.max(boxes.iou("", "p_")).alias("best"))
-    covered = best.groupBy("image_id").agg(F.avg(F.coalesce((F.col("best") > least_iou).cast("double"), F.lit(0.0))).alias("coverage"))
+    return t.join(p, "image_id", "left").groupBy("box_id", "image_id", "x1", "y1", "x2", "y2").agg(F.max(boxes.iou("", "p_")).alias("best")).drop("box_id")
+
+
+def box_coverage(truth: DataFrame, predicted: DataFrame, least_iou: float = 0.5) -> DataFrame:
+    """image_id and the share of its true boxes that a predicted box overlaps by more than least_iou; 1 without true boxes."""
+    covered = best_overlaps(truth, predicted).groupBy("image_id").agg(F.avg(F.coalesce((F.col("best") > least_iou).cast("double"), F.lit(0.0))).alias("coverage"))
     images = truth.select("image_id").union(predicted.select("image_id")).distinct()
     return images.join(covered, "image_id", "left").select("image_id", F.coalesce("coverage", F.lit(1.0)).alias("coverage"))
 
 
+def one_per_pair(scored: DataFrame) -> DataFrame:
+    """The best scored relation of each ordered pair: what recall with graph constraint ranks."""
+    best = F.min(F.struct((-F.col("score")).alias("least"), F.col("rel"))).alias("b")
+    return scored.groupBy("image_id", "head", "target").agg(best).select("image_id", "head", "target", F.col("b.rel").alias("rel"), (-F.col("b.least")).alias("score"))
+
+
+def recall_suite(truth: DataFrame, scored: DataFrame, seen: DataFrame, at: tuple[int, ...] = (20, 50, 100)) -> DataFrame:
+    """metric, k, recall and mean_recall: with ("R") and without ("ngR") graph constraint, and of triplets whose labels seen(subject, rel, object) lacks ("zR", "ng-zR").
+
+    truth(image_id, head, target, rel, subject, object); scored(image_id, head, target, rel, score).
+    """
+    bound, new = one_per_pair(scored), truth.join(seen, ["subject", "rel", "object"], "left_anti")
+    parts = {"R": (truth, bound), "ngR": (truth, scored), "zR": (new, bound), "ng-zR": (new, scored)}
+    rows = [recall_at(t, p, at).select(F.lit(name).alias("metric"), "k", "recall", "mean_recall") for name, (t, p) in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 def accuracy(rows: DataFrame, right: Column, by: str) -> DataFrame:
     """Accuracy of each category and, with a null category, of all."""
     return rows.select(F.col(by).alias("category"), right.cast("int").alias("right")).rollup("category").agg(F.round(F.avg("right"), 6).alias("accuracy"), F.count(F.lit(1)).alias("n"))

@@ -138,3 +138,34 @@ def region_list(images: DataFrame, n: str) -> DataFrame:
 def sharded(df: DataFrame, index: str, n: int, k: int) -> DataFrame:
     """Every n-th row from the k-th, by index."""
     return df.where(F.pmod(F.col(index), F.lit(n)) == k)
+
+
+def all_different(sets: Column) -> Column:
+    """Whether the sets of an array are pairwise distinct, whatever the order of their elements."""
+    return F.size(F.array_distinct(F.transform(sets, lambda x: F.array_sort(x)))) == F.size(sets)
+
+
+def common_columns(parts: list[DataFrame]) -> list[str]:
+    """Columns that all parts have, in the order of the first."""
+    return [c for c in parts[0].columns if all(c in p.columns for p in parts)]
+
+
+def with_common_columns(parts: list[DataFrame]) -> DataFrame:
+    """All rows with what the parts have in common."""
+    keep = common_columns(parts)
+    return reduce(DataFrame.unionByName, [p.select(*keep) for p in parts])
+
+
+def region_conversations(turns: DataFrame, regions: DataFrame, keep_brackets: bool = False) -> DataFrame:
+    """One record a conversation: its turn pairs, angle brackets taken out unless kept, and its regions as corner boxes.
+
+    turns(conv_id, turn, text); regions(conv_id, no, x, y, w, h).
+    """
+    text = F.col("text") if keep_brackets else F.regexp_replace("text", "[<>]", "")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    t = turns.select("conv_id", F.row_number().over(order).alias("no"), text.alias("question"), F.lead(text).over(order).alias("answer")).where("no % 2 = 1 and answer is not null")
+    said = F.struct("no", F.array(F.struct(F.lit("human").alias("from"), F.col("question").alias("value")), F.struct(F.lit("gpt").alias("from"), F.col("answer").alias("value"))).alias("t"))
+    talks = t.groupBy("conv_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(said)), lambda x: x["t"])).alias("conversations"))
+    corner = F.array("x", "y", F.col("x") + F.col("w"), F.col("y") + F.col("h"))
+    boxes_ = regions.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("no", corner.alias("box")))), lambda x: x["box"]).alias("boxes"))
+    return talks.join(boxes_, "conv_id", "left")

@@ -234,7 +234,7 @@ def x18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(words.dot(F.col("embedding"), F.col("embedding")), 5).alias("norm"))
 
 
-@scene_query("sg14_detailed_triples", "select distinct image_id, head, rel, target from relations")
+@scene_query("sg9_detailed_triples", "select distinct image_id, head, rel, target from relations")
 def sg9(s: Scene) -> DataFrame:
     part = F.concat(F.lit("region"), (F.col("target") + 1).cast("string"), F.lit(" "), "rel")
     return parse.detailed_triples(s.relations.groupBy("image_id", "head").agg(F.array_join(F.collect_list(part), ", ").alias("text")))
@@ -256,36 +256,6 @@ def d1(s: Scene) -> DataFrame:
     return made.select("image_id", F.col("conversations")[0]["value"].alias("question"), F.col("conversations")[1]["value"].alias("answer"))
 
 
-@scene_query("d2_graph_conversations_with_boxes")
-def d2(s: Scene) -> DataFrame:
-    return shaping.graph_conversations(parse.graph_texts(s, with_boxes=True), ["List all objects with boxes.", "Find the objects and relations."])
-
-
-@scene_query("d4_reasoning_turns", "select image_id, 2 * count(*) as n_turns from objects where obj_idx < 3 group by image_id")
-def d4(s: Scene) -> DataFrame:
-    questions = s.objects.select("image_id", F.col("obj_idx").alias("no"), F.concat(F.lit("What is region"), (F.col("obj_idx") + 1).cast("string"), F.lit("?")).alias("question"), F.col("label").alias("answer"), F.array("obj_idx").alias("region_ids"))
-    regions = s.objects.select("image_id", F.col("obj_idx").alias("region_id"), F.concat(F.lit("region: "), "label").alias("line"))
-    return shaping.reasoning_turns(questions, regions, "Think first.", 3).select("image_id", F.size("conversations").cast("long").alias("n_turns"))
-
-
-@scene_query("d5_referring_turns", f"select image_id, captioning, 2 * count(*) as n_turns from (select image_id, {uniform_sql('referring_turns', 'image_id', 'obj_idx')} < 0.5 as captioning from objects) group by all")
-def d5(s: Scene) -> DataFrame:
-    rows = s.objects.select("image_id", F.col("obj_idx").alias("no"), F.concat_ws(" ", F.array_join("attributes", " "), "label").alias("caption"), F.col("obj_idx").alias("region_index"))
-    return shaping.referring_turns(rows, ["Which region is {}?"], ["What is in {}?"]).select("image_id", "captioning", F.size("conversations").cast("long").alias("n_turns"))
-
-
-@scene_query("d6b_subject_turns", "select image_id, 2 * count(distinct head) as n_turns from relations group by image_id")
-def d6b(s: Scene) -> DataFrame:
-    made = shaping.subject_turns(s.relations, lambda r: F.concat(F.lit("What does "), r, F.lit(" do?")))
-    return made.select("image_id", F.size("conversations").cast("long").alias("n_turns"))
-
-
-@scene_query("d6c_summaries_with_regions", "select image_id, 'See |thing| at [region1] and nothing.' as text from images")
-def d6c(s: Scene) -> DataFrame:
-    texts = s.images.select("image_id", F.lit("See <thing> [a, b] and <nothing> [c].").alias("text"))
-    return shaping.summaries_with_regions(texts, s.images.select("image_id", F.lit("a").alias("object_id"), F.lit(0).alias("region")))
-
-
 @scene_query("d7_located_questions", "select image_id, obj_idx, 'What is this? [' || concat_ws(', ', x1 * 1000 // 1024, y1 * 1000 // 1024, x2 * 1000 // 1024, y2 * 1000 // 1024) || ']' || chr(10) || 'Answer the question using a single word or phrase.' as question, label as answer from objects")
 def d7(s: Scene) -> DataFrame:
     rows = s.objects.join(s.images, "image_id").select(F.struct("image_id", "obj_idx").alias("id"), F.lit("What is this?").alias("question"), F.col("label").alias("answer"), "x1", "y1", "x2", "y2", F.col("x1").alias("px"), F.col("y1").alias("py"), "width", "height")
