@@ -154,8 +154,9 @@ def attribute_questions(scene: Scene, size: int = REFERENCE_SIZE) -> DataFrame:
 def relation_questions(scene: Scene, size: int = REFERENCE_SIZE) -> DataFrame:
     """The relations from one object to another, each given by a reference that fits it alone and doesn't use the other."""
     refs = _texts(references(scene, size), ", which ").join(components(scene), ["image_id", "obj_idx"])
-    fits = refs.groupBy("image_id", "component", "reference").agg(F.count_distinct("obj_idx").alias("n")).where("n = 1")
-    alone = refs.join(fits, ["image_id", "component", "reference"], "left_semi").select("image_id", "obj_idx", "other", "reference").distinct()
+    # the neighbours that one reference uses are objects of one image
+    grouped = refs.groupBy("image_id", "component", "reference").agg(F.min("obj_idx").alias("obj_idx"), F.max("obj_idx").alias("last"), F.collect_set(F.struct("other")).alias("uses"))
+    alone = grouped.where("obj_idx = last").select("image_id", "obj_idx", "reference", F.explode("uses.other").alias("other"))
     rels = scene.relations.groupBy("image_id", "head", "target").agg(F.sort_array(F.collect_set("rel")).alias("answers"))
     side = lambda p, end: alone.select("image_id", F.col("obj_idx").alias(end), F.col("other").alias(f"{p}_uses"), F.col("reference").alias(f"{p}_reference"))
     both = rels.join(side("a", "head"), ["image_id", "head"]).where(~F.col("a_uses").eqNullSafe(F.col("target"))).join(side("b", "target"), ["image_id", "target"]).where(~F.col("b_uses").eqNullSafe(F.col("head")))
