@@ -8,19 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from prismloom.sources.sinks import append_missing
-
 
 def generate_stream(images: DataFrame, generate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Run generate on each micro-batch of images and append its rows that path doesn't hold yet.
+    """Run generate on each micro-batch of images, those whose keys came before left out, and write its rows to path/batch=<number>.
 
-    A batch that is run again after a failure writes nothing twice. Generators of single images need no state.
+    Which keys came before is the stream's own state, partitioned by key, so a batch costs by its own size and not by what
+    path holds. A batch that is run again after a failure replaces what it wrote. Generators of single images need no state.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        append_missing(generate(batch), path, keys)
+    def write(batch: DataFrame, number: int) -> None:
+        generate(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return images.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return images.dropDuplicates(keys).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_counts(rows: DataFrame, kind: str, value: str) -> DataFrame:
