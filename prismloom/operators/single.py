@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismloom.functions import boxes, draws, words
+from prismloom.operators.multi import running
 from prismloom.plans.scene import Scene
 
 N_CHOICE = 4
@@ -103,18 +104,30 @@ def typed_attribute_of_box(scene: Scene, n_choice: int = N_CHOICE) -> DataFrame:
     )
 
 
-def _relation_vocab(scene: Scene) -> DataFrame:
-    """One row with all relation names: a closed vocabulary."""
-    return scene.relations.select("rel").distinct().agg(F.sort_array(F.collect_set("rel")).alias("vocab"))
+def _other_relations(own: DataFrame, scene: Scene, op: str, keys: list[str], n: int) -> DataFrame:
+    """own(*keys, own, ...) with others: up to n names of relations that aren't among the array own.
+
+    Names may be many, so no row meets all of them: they stand in a drawn order, a row starts at a drawn place and looks up
+    the n + size(own) names that follow it, the last being followed by the first; at least n of them aren't its own.
+    """
+    names = scene.relations.select("rel").distinct().withColumn("drawn", draws.key(f"{op}|names", "rel")).withColumn("part", F.substring("drawn", 1, 3))
+    placed = running(names, [], "part", ["drawn", "rel"], F.lit(1), "no").select((F.col("no") - 1).alias("place"), "rel")
+    size = names.agg(F.count(F.lit(1)).alias("n_names"))  # one row
+    start = F.floor(draws.uniform(f"{op}|start", *keys) * F.col("n_names"))
+    steps = F.sequence(F.lit(0), F.least(F.col("n_names"), F.size(F.array_distinct("own")) + n).cast("int") - 1)
+    asked = own.crossJoin(F.broadcast(size)).select(*keys, "own", start.alias("start"), "n_names", F.explode(steps).alias("step"))
+    met = asked.withColumn("place", (F.col("start") + F.col("step")) % F.col("n_names")).join(placed, "place").where(~F.array_contains("own", F.col("rel")))
+    found = met.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("step", "rel"))).alias("found")).select(*keys, F.slice("found.rel", 1, n).alias("others"))
+    return own.join(found, keys, "left").withColumn("others", F.coalesce("others", F.array().cast("array<string>")))
 
 
 def exists_relation(scene: Scene, n_choice: int = N_CHOICE) -> DataFrame:
     """How two labels that occur once relate; one of several relations is asked for, against relations they don't have."""
+    keys = ["image_id", "object1", "object2"]
     own = scene.unique_edges().groupBy("image_id", F.col("head_label").alias("object1"), F.col("target_label").alias("object2")).agg(F.sort_array(F.collect_set("rel")).alias("own"))
-    keys = ("exists_relation", "image_id", "object1", "object2")
     return (
-        own.crossJoin(_relation_vocab(scene))
-        .select("image_id", "object1", "object2", F.when(words.looks_plural(F.col("object1")), "are").otherwise("is").alias("be"), draws.pick(F.col("own"), *keys).alias("answer"), draws.some(F.array_except("vocab", "own"), n_choice - 1, *keys).alias("others"))
+        _other_relations(own, scene, "exists_relation", keys, n_choice - 1)
+        .select(*keys, F.when(words.looks_plural(F.col("object1")), "are").otherwise("is").alias("be"), draws.pick(F.col("own"), "exists_relation", *keys).alias("answer"), "others")
         .withColumn("candidates", F.concat(F.array("answer"), "others"))
         .drop("others")
     )
@@ -122,14 +135,14 @@ def exists_relation(scene: Scene, n_choice: int = N_CHOICE) -> DataFrame:
 
 def relation_of_boxes(scene: Scene, n_choice: int = N_CHOICE) -> DataFrame:
     """How two objects, given by their boxes, relate."""
-    own = scene.relations.groupBy("image_id", "head", "target").agg(F.sort_array(F.collect_list("rel")).alias("own"))
+    keys = ["image_id", "head", "target"]
+    own = scene.relations.groupBy(*keys).agg(F.sort_array(F.collect_list("rel")).alias("own"))
     place = scene.objects.join(scene.images, "image_id").select("image_id", "obj_idx", boxes.box_ratio_text("", F.col("width"), F.col("height")).alias("bbox"))
-    keys = ("relation_of_boxes", "image_id", "head", "target")
     return (
-        own.join(place.select("image_id", F.col("obj_idx").alias("head"), F.col("bbox").alias("bbox1")), ["image_id", "head"])
+        _other_relations(own, scene, "relation_of_boxes", keys, n_choice - 1)
+        .join(place.select("image_id", F.col("obj_idx").alias("head"), F.col("bbox").alias("bbox1")), ["image_id", "head"])
         .join(place.select("image_id", F.col("obj_idx").alias("target"), F.col("bbox").alias("bbox2")), ["image_id", "target"])
-        .crossJoin(_relation_vocab(scene))
-        .select("image_id", "head", "target", "bbox1", "bbox2", draws.pick(F.col("own"), *keys).alias("answer"), draws.some(F.array_except("vocab", "own"), n_choice - 1, *keys).alias("others"))
+        .select(*keys, "bbox1", "bbox2", draws.pick(F.col("own"), "relation_of_boxes", *keys).alias("answer"), "others")
         .withColumn("candidates", F.concat(F.array("answer"), "others"))
         .drop("others")
     )

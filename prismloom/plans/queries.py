@@ -203,16 +203,23 @@ def g10(s: Scene) -> DataFrame:
 
 # Relations
 
-RELS_SQL = "rels as (select list_sort(list(distinct rel)) as vocab from relations)"
+def rels_sql(op: str) -> str:
+    """One row with all relation names in the order drawn for op."""
+    return f"rels as (select list(rel order by {key_sql(op + '|names', 'rel')}, rel) as vocab from (select distinct rel from relations))"
+
+
+def others_sql(op: str, *parts: str) -> str:
+    """The first 3 names of vocab that aren't in own, from a drawn place on and round to it."""
+    start = f"cast(floor({uniform_sql(op + '|start', *parts)} * len(vocab)) as int)"
+    return f"list_filter(list_concat(vocab[{start} + 1:], vocab[:{start}]), lambda v: not list_contains(own, v))[1:3]"
 
 
 @scene_query(
     "g11_exists_relation",
     f"""select image_id, object1, object2, 'is' as be, {pick_sql('own', 'exists_relation', 'image_id', 'object1', 'object2')} as answer,
-    array_to_string(list_prepend({pick_sql('own', 'exists_relation', 'image_id', 'object1', 'object2')}, {some_sql('others', 3, 'exists_relation', 'image_id', 'object1', 'object2')}), '|') as candidates
-    from (select image_id, head_label as object1, target_label as object2, list_sort(list(distinct rel)) as own,
-          list_filter(any_value(vocab), lambda v: not list_contains(list_sort(list(distinct rel)), v)) as others from unique_edges, rels group by 1, 2, 3)""",
-    RELS_SQL,
+    array_to_string(list_prepend({pick_sql('own', 'exists_relation', 'image_id', 'object1', 'object2')}, {others_sql('exists_relation', 'image_id', 'object1', 'object2')}), '|') as candidates
+    from (select image_id, head_label as object1, target_label as object2, list_sort(list(distinct rel)) as own from unique_edges group by 1, 2, 3), rels""",
+    rels_sql("exists_relation"),
 )
 def g11(s: Scene) -> DataFrame:
     return single.exists_relation(s).select("image_id", "object1", "object2", "be", "answer", *joined("candidates"))
@@ -221,11 +228,11 @@ def g11(s: Scene) -> DataFrame:
 @scene_query(
     "g12_relation_of_boxes",
     f"""select image_id, head, target, bbox1, bbox2, {pick_sql('own', 'relation_of_boxes', 'image_id', 'head', 'target')} as answer,
-    array_to_string(list_prepend({pick_sql('own', 'relation_of_boxes', 'image_id', 'head', 'target')}, {some_sql('others', 3, 'relation_of_boxes', 'image_id', 'head', 'target')}), '|') as candidates
-    from (select r.image_id, r.head, r.target, {box_sql('h.')} as bbox1, {box_sql('t.')} as bbox2, r.own, list_filter(vocab, lambda v: not list_contains(r.own, v)) as others
+    array_to_string(list_prepend({pick_sql('own', 'relation_of_boxes', 'image_id', 'head', 'target')}, {others_sql('relation_of_boxes', 'image_id', 'head', 'target')}), '|') as candidates
+    from (select r.image_id, r.head, r.target, {box_sql('h.')} as bbox1, {box_sql('t.')} as bbox2, r.own, vocab
           from (select image_id, head, target, list_sort(list(rel)) as own from relations group by all) r
           join objects h on h.image_id = r.image_id and h.obj_idx = r.head join objects t on t.image_id = r.image_id and t.obj_idx = r.target, rels)""",
-    RELS_SQL,
+    rels_sql("relation_of_boxes"),
 )
 def g12(s: Scene) -> DataFrame:
     return single.relation_of_boxes(s).select("image_id", "head", "target", "bbox1", "bbox2", "answer", *joined("candidates"))
