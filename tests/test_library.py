@@ -296,3 +296,24 @@ def test_subsets_of_many_attributes(spark):
 
     row = spark.range(1).select(F.transform(F.sequence(F.lit(10), F.lit(22)), lambda x: x.cast("string")).alias("a")).select(*[graph._subsets(F.col("a"), k).alias(f"s{k}") for k in range(4)]).first()
     assert [len(set(map(tuple, x))) for x in row] == [1, 13, 78, 286] and ["10", "11", "22"] in row.s3
+
+
+def test_other_relations_follow_a_drawn_place(spark):
+    """Wrong answers are the names that follow a drawn place in a drawn order, round to it, without the row's own."""
+    import hashlib
+    from types import SimpleNamespace
+
+    from prismloom.operators import single
+
+    md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+    names = [f"rel{k}" for k in range(30)]
+    owned = {1: ["rel3"], 2: names[:29], 3: names, 4: names[5:20] + ["rel5"]}
+    scene = SimpleNamespace(relations=spark.createDataFrame([(n,) for n in names * 2], "rel string"))
+    own = spark.createDataFrame(list(owned.items()), "image_id long, own array<string>")
+    found = {r.image_id: r.others for r in single._other_relations(own, scene, "t", ["image_id"], 3).collect()}
+    order = sorted(names, key=lambda n: (md5(f"t|names|{n}"), n))
+    for image_id, mine in owned.items():
+        start = int(int(md5(f"t|start|{image_id}")[:8], 16) / 4294967296 * len(order))
+        assert found[image_id] == [n for n in order[start:] + order[:start] if n not in mine][:3]
+    empty = SimpleNamespace(relations=scene.relations.limit(0))
+    assert [r.others for r in single._other_relations(own.where("image_id = 1"), empty, "t", ["image_id"], 3).collect()] == [[]]
