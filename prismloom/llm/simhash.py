@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismloom.llm.common import delete_table, mapped, materialize, text_chunks, write_table
@@ -39,6 +39,8 @@ SEED = 42
 RADIUS = 4
 SMALL = 64
 BITS = 64
+#: Edges of one node are dealt over this many groups, so that the centre of a large star doesn't land in one task.
+PARTS = 256
 
 
 def fingerprint(text: str | None) -> int:
@@ -115,6 +117,14 @@ def links(fps: DataFrame, small: int = SMALL) -> DataFrame:
     return pairs.unionByName(ball_links(met.where(F.col("n") > small).select("fp").distinct()))
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges(a, b) with m, the least of a and all its b: least of each part of a's edges, then least of at most PARTS parts."""
+    split = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
+    parts = split.groupBy("a", "part").agg(F.min("b").alias("m"))
+    least = parts.select("a", "part", F.least(F.min("m").over(Window.partitionBy("a")), "a").alias("m"))
+    return split.join(least.hint("merge"), ["a", "part"]).drop("part")
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, root) of every node of edges(a, b), root the smallest node of its component; large-star and small-star in turn."""
     spark = edges.sparkSession
@@ -123,10 +133,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     for _ in range(rounds):
         stars = spark.read.schema("a long, b long").parquet(path)
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = _with_least(large).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         before, path = path, write_table(small, name)
         delete_table(spark, before)
         stars = spark.read.schema("a long, b long").parquet(path)
