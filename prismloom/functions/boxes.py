@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -82,6 +82,12 @@ def square_padded(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.struct((x1 - left).alias("x1"), (y1 - top).alias("y1"), (x2 + dx - left).alias("x2"), (y2 + dy - top).alias("y2"))
 
 
+def cropped(pixels: DataFrame, cuts: DataFrame) -> DataFrame:
+    """pixels(image_id, x, y, ...) inside each box of cuts(image_id, box_no, x1, y1, x2, y2), x and y counted from the box's corner; ends are exclusive."""
+    inside = (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
+    return pixels.join(cuts, "image_id").where(inside).withColumns({"x": F.col("x") - F.col("x1"), "y": F.col("y") - F.col("y1")}).drop("x1", "y1", "x2", "y2")
+
+
 def same_point(a: list[Column], b: list[Column], sizes: list[Column]) -> Column:
     """Whether two points are one at the precision of their ratio text."""
     return ratio_text(a, sizes) == ratio_text(b, sizes)

@@ -135,6 +135,11 @@ def spoken_category(name: Column, sentence: str = "{}") -> Column:
     return F.replace(F.lit(sentence), F.lit("{}"), F.array_join(parts, " "))
 
 
+def panoptic_name(name: Column) -> Column:
+    """A panoptic category as an object's text: "wall-other-brick-merged" is "wall is brick"."""
+    return F.trim(F.replace(F.regexp_replace(name, "-(?:" + "|".join(EMPTY_PARTS) + ")", ""), F.lit("-"), F.lit(" is ")))
+
+
 def region_key(text: Column) -> Column:
     """struct(source, region): "sam_3" names region 3 of source "sam", "7" region 7 of source "region"; null for anything else."""
     source = F.regexp_extract(text, r"^(?:([A-Za-z]+)_)?(\d+)$", 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismloom.functions import boxes, words
+from prismloom.functions import boxes, draws, words
 from prismloom.plans.scene import Scene
 
 
@@ -62,6 +62,34 @@ def object_lines(texts: DataFrame) -> DataFrame:
     return lines.select("image_id", words.region_number(F.col("line")).alias("obj_idx"), head.alias("label"), F.when(rest == "", nothing).otherwise(F.split(rest, ", ")).alias("attributes"))
 
 
+def _sections(texts: DataFrame) -> DataFrame:
+    """image_id, told_objects and told_relations of answers with one "Relations:" after "Objects:"; any other answer says nothing."""
+    parts = F.split("text", "Relations:")
+    told = F.when(F.contains(parts[1], F.lit("region1")), F.replace(parts[1], F.lit("s:"), F.lit(""))).otherwise(F.replace(parts[1], F.lit("s:"), F.lit("region1:")))
+    return texts.where((F.size(parts) == 2) & F.contains(parts[0], F.lit("Objects:"))).select("image_id", F.trim(F.split(parts[0], "Objects:")[1], F.lit(" \n\t")).alias("told_objects"), F.trim(told, F.lit(" \n\t")).alias("told_relations"))
+
+
+def parsed_objects(texts: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """image_id, obj_idx (the line's place) and name of the objects in a model's answers; with labels(name, label) also label, null for others.
+
+    labels is the caller's table of names and classes, by spelling or by metrics.nearest.
+    """
+    lines = _sections(texts).select("image_id", F.posexplode(F.split("told_objects", "\n")).alias("obj_idx", "line"))
+    named = lines.where(F.contains("line", F.lit(":"))).select("image_id", "obj_idx", F.trim(F.split("line", ":")[1]).alias("name"))
+    return named if labels is None else named.join(labels, "name", "left")
+
+
+def parsed_relations(texts: DataFrame, mode: int = 2, most: int | None = None, labels: DataFrame | None = None, op: str = "parsed_relations") -> DataFrame:
+    """image_id, head, rel, target of the relations in a model's answers, mode 0 by relation, else by target; with `most` a draw of as many an image.
+
+    A subject that shrank to "s:" is region 1, unless region 1 is named. labels(rel, label) as for parsed_objects.
+    """
+    told = _sections(texts).select("image_id", F.col("told_relations").alias("text"))
+    found = (triples_by_relation(told) if mode == 0 else triples_by_target(told)).select("image_id", "head", "rel", "target").distinct()
+    kept = found if most is None else draws.sample_groups(found, ["image_id"], most, op, ["head", "target", "rel"])
+    return kept if labels is None else kept.join(labels, "rel", "left")
+
+
 def graph_texts(scene: Scene, mode: int = 2, most_relations: int = 1_000_000, with_boxes: bool = False) -> DataFrame:
     """image_id and text: an "Objects:" block and, if any, a "Relations:" block (mode 2), or region by region (mode 1)."""
     place = F.row_number().over(Window.partitionBy("image_id", "head").orderBy("target", "rel"))

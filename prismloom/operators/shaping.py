@@ -10,7 +10,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismloom.functions import boxes, draws
+from prismloom.functions import boxes, draws, words
+from prismloom.operators import parse
+from prismloom.plans.scene import Scene
 
 SHORT_ANSWER = "Answer the question using a single word or phrase."
 LETTER_ANSWER = "Answer with the option's letter from the given choices directly."
@@ -33,6 +35,18 @@ def graph_conversations(texts: DataFrame, questions: Sequence[str], op: str = "g
     return texts.select("image_id", exchange(drawn(questions, op, "image_id"), F.col("text")).alias("conversations"))
 
 
+def panoptic_conversations(scene: Scene, questions: Sequence[str], most: int = 1_000_000, most_relations: int = 1_000_000) -> DataFrame:
+    """image_id and a question for the scene graph of the image's first `most` regions, labels being panoptic categories.
+
+    A region has at most `most_relations` relations; those with a region that isn't shown are left out.
+    """
+    shown = scene.objects.where(F.col("obj_idx") < most)
+    named = shown.withColumns({"label": words.panoptic_name(F.col("label")), "attributes": F.array().cast("array<string>")})
+    edges = scene.relations.where((F.col("head") < most) & (F.col("target") < most))
+    part = Scene(scene.images, named, edges, scene.attribute_vocab, scene.object_vocab)
+    return graph_conversations(parse.graph_texts(part, most_relations=most_relations), questions, "panoptic_conversations")
+
+
 def reasoning_turns(questions: DataFrame, regions: DataFrame, lead: str, most: int = 1_000_000) -> DataFrame:
     """One record an image: each question answered by the lines of the regions it needs and "Answer: ...".
 
@@ -103,6 +117,31 @@ def located_questions(rows: DataFrame, forms: Sequence[str] = ("box", "point"))
     return each.select("id", "f.form", exchange(F.concat_ws("\n", F.concat_ws(" ", "question", "f.place"), F.lit(SHORT_ANSWER)), F.col("answer")).alias("conversations"))
 
 
+def asked_twice(rows: DataFrame, forms: Sequence[str] = ("box", "point")) -> DataFrame:
+    """A record for the question that names its object (form "object"), and for each form the general question with the place; all ask for a short answer.
+
+    rows(id, object_question, general_question, answer, x1 ... y2, px, py, width, height).
+    """
+    by_name = rows.select("id", F.lit("object").alias("form"), exchange(F.concat_ws("\n", "object_question", F.lit(SHORT_ANSWER)), F.col("answer")).alias("conversations"))
+    return by_name.unionByName(located_questions(rows.withColumn("question", F.col("general_question")), forms))
+
+
+def inference_turns(rows: DataFrame, questions: dict[str, Sequence[str]], lists: Sequence[str], op: str = "inference_turns") -> DataFrame:
+    """One record an id: for each kind, in drawn order, a question on the subjects and its inferences joined by "; ".
+
+    rows(id, subjects, kind, no, text); {} in questions[kind] takes the subjects, and the first question asks for a
+    list. A kind with an inference that could not be worded (null) is left out.
+    """
+    each = rows.groupBy("id", "subjects", "kind").agg(F.sort_array(F.collect_list(F.struct("no", "text"))).alias("l"))
+    worded = each.where(F.forall("l", lambda x: x["text"].isNotNull())).withColumn("answer", F.array_join(F.transform("l", lambda x: x["text"]), "; "))
+    ask = F.coalesce(*[F.when(F.col("kind") == k, drawn(qs, f"{op}|question", "id", "kind")) for k, qs in questions.items()])
+    asked = worded.withColumn("question", F.replace(ask, F.lit("{}"), F.col("subjects"))).where("question is not null")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(draws.key(op, "id", "kind"), "kind"))
+    listed = F.when(F.col("place") == 1, F.concat_ws(" ", "question", drawn(lists, f"{op}|list", "id"))).otherwise(F.col("question"))
+    turns = asked.withColumn("place", place).select("id", "place", exchange(listed, F.col("answer")).alias("turns"))
+    return turns.groupBy("id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", "turns"))), lambda x: x["turns"])).alias("conversations"))
+
+
 def box_choices(rows: DataFrame, lead: str, op: str = "box_choices") -> DataFrame:
     """Four boxes in drawn order with letters; the right one is the last before the draw. rows(id, question, choices array<string>)."""
     mixed = draws.shuffled(F.col("choices"), op, "id")

@@ -14,10 +14,13 @@ from prismloom.operators import graph, metrics, multi, parse, records, shaping,
 from prismloom.plans.queries import (
     COMPONENTS_SQL,
     ORACLES,
+    LINES_SQL,
     PREDICTED_SQL,
     REFERENCES_SQL,
+    REGIONS_SQL,
     _edges_with_boxes,
     _table,
+    embedding_pixels,
     iou_sql,
     joined,
     key_sql,
@@ -458,3 +461,125 @@ def v13(s: Scene) -> DataFrame:
     truth, scored = _edges_with_boxes(s, False), _edges_with_boxes(s, True).select("image_id", "head", "target", "rel", "score")
     seen = truth.where("image_id % 10 = 0").select("subject", "rel", "object").distinct()
     return metrics.recall_suite(truth, scored, seen, (1, 2, 3))
+
+
+# Answers of models, read back
+
+
+def _garbled(s: Scene) -> DataFrame:
+    """Each image's objects, and its first region's relations under a subject that shrank to "s:"."""
+    first = s.relations.where("head = 0").groupBy("image_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("region"), (F.col("target") + 1).cast("string"), F.lit(" "), "rel"))), ", ").alias("line"))
+    whole = parse.graph_texts(s).select("image_id", F.split("text", "Relations:")[0].alias("block"))
+    return whole.join(first, "image_id", "left").select("image_id", F.concat("block", F.coalesce(F.concat(F.lit("Relations:\ns: "), "line"), F.lit(""))).alias("text"))
+
+
+@scene_query("sg11_parsed_relations", "select image_id, head, rel, target, coalesce(label, -1) as label from relations left join (values ('near', 1), ('NO', 2), ('RF', 3)) v(rel, label) using (rel) where head = 0")
+def sg11(s: Scene) -> DataFrame:
+    labels = s.images.sparkSession.createDataFrame([("near", 1), ("NO", 2), ("RF", 3)], "rel string, label int")
+    return parse.parsed_relations(_garbled(s), labels=labels).withColumn("label", F.coalesce("label", F.lit(-1)))
+
+
+@scene_query("sg11b_parsed_objects", "select image_id, obj_idx, label || ' is ' || attr as name from objects where image_id in (select image_id from relations where head = 0)")
+def sg11b(s: Scene) -> DataFrame:
+    return parse.parsed_objects(_garbled(s))
+
+
+@scene_query(
+    "sg11c_drawn_relations",
+    f"select image_id, head, rel, target from (select *, row_number() over (partition by image_id order by {key_sql('parsed_relations', 'image_id', 'head', 'target', 'rel')}, head, target, rel) as place from (select distinct image_id, head, rel, target from relations)) where place <= 2",
+)
+def sg11c(s: Scene) -> DataFrame:
+    return parse.parsed_relations(parse.graph_texts(s), most=2)
+
+
+@scene_query(
+    "sg17b_renamed",
+    "select image_id, obj_idx, case when obj_idx % 3 = 0 then 'new ' || label else label end as label from objects",
+)
+def sg17b(s: Scene) -> DataFrame:
+    renames = s.objects.where("obj_idx % 2 = 0 or obj_idx % 3 = 0").select("image_id", "obj_idx", F.when(F.col("obj_idx") % 3 == 0, F.concat(F.lit("new "), "label")).otherwise("").alias("name"))
+    nothing = s.relations.select("image_id", "head", "rel", "target", F.lit("add").alias("op"))
+    return parse.edited(s.relations, s.objects.select("image_id", "obj_idx", "label"), nothing, renames)[1]
+
+
+@scene_query(
+    "sg18b_merged_by_mode",
+    """select mode, image_id, region_id from (select *, overlap < 0.6 as free, area > coalesce(med, 0) as medium, area > q as large from (select s.image_id, s.obj_idx as region_id, any_value((s.x2 - s.x1) * (s.y2 - s.y1)) as area,
+      max(coalesce(inter / ((s.x2 - s.x1) * (s.y2 - s.y1)), 0)) as overlap, max(coalesce(inter / ((s.x2 - s.x1) * (s.y2 - s.y1) + f_area - inter), 0)) as iou
+      from second_regions s left join lateral (select f.image_id, greatest(least(f.x2, s.x2) - greatest(f.x1, s.x1), 0) * greatest(least(f.y2, s.y2) - greatest(f.y1, s.y1), 0)::double as inter, (f.x2 - f.x1) * (f.y2 - f.y1) as f_area
+        from first_regions f where f.image_id = s.image_id) on true group by all) m
+    left join (select image_id, quantile_cont((x2 - x1) * (y2 - y1), 0.5) as med from first_regions group by 1) f using (image_id)
+    join (select image_id, quantile_cont((x2 - x1) * (y2 - y1), 0.75) as q from second_regions group by 1) q using (image_id)), (values (1), (2), (3), (4)) v(mode)
+    where iou <= 0.7 and case mode when 1 then free when 2 then medium when 3 then medium and free else large and free end""",
+    REGIONS_SQL,
+)
+def sg18b(s: Scene) -> DataFrame:
+    first, second = s.objects.where("obj_idx % 2 = 0"), s.objects.where("obj_idx % 2 = 1").withColumnRenamed("obj_idx", "region_id")
+    made = [parse.merged_regions(first, second, mode).withColumn("mode", F.lit(mode)) for mode in (1, 2, 3, 4)]
+    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+
+
+@scene_query(
+    "sg20b_proposals_by_setup",
+    """select setup, image_id, obj_idx from (select distinct 0 as setup, image_id, head as obj_idx from relations union select distinct 2, image_id, obj_idx from (select image_id, head as obj_idx from relations union select image_id, target from relations union select image_id, obj_idx from objects where obj_idx % 2 = 0)
+    union select 3, image_id, obj_idx from objects where obj_idx % 3 = 1 union select 4, image_id, obj_idx from objects)
+    qualify row_number() over (partition by setup, image_id order by obj_idx) <= 3""",
+)
+def sg20b(s: Scene) -> DataFrame:
+    own = s.objects.select("image_id", "obj_idx")
+    made = [shaping.proposals(s.relations, k, own, own.where("obj_idx % 2 = 0"), own.where("obj_idx % 3 = 1"), 3).withColumn("setup", F.lit(k)) for k in (0, 2, 3, 4)]
+    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+
+
+# Further conversations
+
+_GRAPH_QUESTIONS = ["What relates to what here?", "Give the scene as a graph."]
+
+
+@scene_query(
+    "d3_panoptic_conversations",
+    f"""select image_id, {pick_sql("['" + "', '".join(_GRAPH_QUESTIONS) + "']", 'panoptic_conversations', 'image_id')} as question, text as answer from (select o.image_id, 'Objects:' || chr(10) || o.block || chr(10) || coalesce(chr(10) || 'Relations:' || chr(10) || r.block || chr(10), '') as text
+    from (select image_id, string_agg('region' || (obj_idx + 1) || ': ' || label || ' is ' || attr, chr(10) order by obj_idx) as block from objects where obj_idx < 4 group by 1) o
+    left join (select image_id, string_agg(line, chr(10) order by head) as block from (select image_id, head, 'region' || (head + 1) || ': ' || string_agg('region' || (target + 1) || ' ' || rel, ', ' order by target, rel) as line from relations where head < 4 and target < 4 group by image_id, head) group by 1) r using (image_id))""",
+)
+def d3(s: Scene) -> DataFrame:
+    categories = s.objects.withColumn("label", F.concat_ws("-", "label", "attributes", F.lit("other"), F.lit("merged")))
+    made = shaping.panoptic_conversations(Scene(s.images, categories, s.relations, s.attribute_vocab, s.object_vocab), _GRAPH_QUESTIONS, most=4)
+    return made.select("image_id", F.col("conversations")[0]["value"].alias("question"), F.col("conversations")[1]["value"].alias("answer"))
+
+
+@scene_query(
+    "d7b_asked_twice",
+    """select image_id, obj_idx, form, case form when 'object' then 'How many like the ' || label || '?' when 'box' then 'How many? [' || concat_ws(', ', x1 * 1000 // 1024, y1 * 1000 // 1024, x2 * 1000 // 1024, y2 * 1000 // 1024) || ']'
+      else 'How many? [' || concat_ws(', ', x1 * 1000 // 1024, y1 * 1000 // 1024) || ']' end || chr(10) || 'Answer the question using a single word or phrase.' as question, label as answer from objects, (values ('object'), ('box'), ('point')) v(form)""",
+)
+def d7b(s: Scene) -> DataFrame:
+    rows = s.objects.join(s.images, "image_id").select(F.struct("image_id", "obj_idx").alias("id"), F.concat(F.lit("How many like the "), "label", F.lit("?")).alias("object_question"), F.lit("How many?").alias("general_question"), F.col("label").alias("answer"), "x1", "y1", "x2", "y2", F.col("x1").alias("px"), F.col("y1").alias("py"), "width", "height")
+    return shaping.asked_twice(rows).select("id.image_id", "id.obj_idx", "form", F.col("conversations")[0]["value"].alias("question"), F.col("conversations")[1]["value"].alias("answer"))
+
+
+@scene_query(
+    "d8_inference_turns",
+    f"""select image_id, cast(2 * (place - 1) + side as int) as no, case side when 0 then 'human' else 'gpt' end as who, case side when 0 then case kind when 'before' then 'What came before ' else 'What comes after ' end || first || '?' || case when place = 1 then ' As a list.' else '' end else answer end as value
+    from (select *, row_number() over (partition by image_id order by {key_sql('inference_turns', 'image_id', 'kind')}, kind) as place from
+      (select r.image_id, 'region1' as first, case when rel = 'near' then 'before' else 'after' end as kind, string_agg(h.label || ' at region' || (head + 1) || ' is ' || rel || ' ' || t.label || ' at region' || (target + 1), '; ' order by head, target) as answer
+       from relations r join objects h on h.image_id = r.image_id and h.obj_idx = head join objects t on t.image_id = r.image_id and t.obj_idx = target group by all)), (values (0), (1)) v(side)""",
+)
+def d8(s: Scene) -> DataFrame:
+    names = s.objects.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("obj_idx", "label"))), lambda x: x["label"]).alias("names"))
+    numbered = F.concat((F.col("head") + 1).cast("string"), F.lit(" is "), "rel", F.lit(" "), (F.col("target") + 1).cast("string"))
+    kind = F.when(F.col("rel") == "near", "before").otherwise("after")
+    rows = s.relations.join(names, "image_id").select(F.col("image_id").alias("id"), F.lit("region1").alias("subjects"), kind.alias("kind"), (F.col("head") * 1000 + F.col("target")).alias("no"), shaping.numbers_as_tags(numbered, F.col("names")).alias("text"))
+    made = shaping.inference_turns(rows, {"before": ["What came before {}?"], "after": ["What comes after {}?"]}, ["As a list."])
+    return said(made.withColumnRenamed("id", "image_id"), "image_id")
+
+
+# Pixels and images
+
+
+@table_query("p5_cropped", f"with {_PX} select image_id, box_no, (x - x1)::int as x, (y - y1)::int as y, depth from px, (values (0, 1, 2, 4, 6), (1, 5, 0, 8, 3)) v(box_no, x1, y1, x2, y2) where x >= x1 and x < x2 and y >= y1 and y < y2")
+def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = embedding_pixels(spark, sf_dir).select("image_id", "x", "y", "depth")
+    box = lambda *n: F.struct(*[F.lit(v).alias(c) for c, v in zip(("box_no", "x1", "y1", "x2", "y2"), n, strict=True)])
+    cuts = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.inline(F.array(box(0, 1, 2, 4, 6), box(1, 5, 0, 8, 3))))
+    return boxes.cropped(pixels, cuts)

@@ -43,6 +43,11 @@ def listed(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = IMAGE_S
     return files.where(F.lower(F.substring_index("path", ".", -1)).isin(*suffixes)).orderBy("path")
 
 
+def image_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """path, width and height of the images that Spark's image source can read."""
+    return spark.read.format("image").option("dropInvalid", True).load(path).select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+
+
 def repeated(df: DataFrame, times: int) -> DataFrame:
     return df.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("__epoch")
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismloom.functions import boxes, draws, grammar, words
-from prismloom.operators import graph, metrics, multi, parse, records, single
+from prismloom.operators import graph, metrics, multi, parse, records, shaping, single
 from prismloom.plans.scene import Scene
 from prismloom.sources import annotations, files, sinks
 from prismloom.streaming import incremental
@@ -317,3 +317,40 @@ def test_other_relations_follow_a_drawn_place(spark):
         assert found[image_id] == [n for n in order[start:] + order[:start] if n not in mine][:3]
     empty = SimpleNamespace(relations=scene.relations.limit(0))
     assert [r.others for r in single._other_relations(own.where("image_id = 1"), empty, "t", ["image_id"], 3).collect()] == [[]]
+
+
+def test_answers_that_cannot_be_read_say_nothing(spark):
+    texts = spark.createDataFrame(
+        [
+            (1, "Objects:\nregion1: cat\nregion2: mat is red\n\nRelations:\ns: region2 on, region3 near"),
+            (2, "Objects:\nregion1: cat\nodd line\nregion3: dog\n\nRelations:\nregion1: region3 under\ns: region2 lost"),
+            (3, "Objects:\nregion1: cat"),
+            (4, "Relations:\nregion1: region2 on"),
+            (5, "Objects:\nregion1: a\nRelations:\nregion1: region2 on\nRelations:\nregion1: region2 on"),
+            (6, None),
+            (7, ""),
+        ],
+        "image_id long, text string",
+    )
+    found = {tuple(r) for r in parse.parsed_relations(texts).select("image_id", "head", "rel", "target").collect()}
+    assert found == {(1, 0, "on", 1), (1, 0, "near", 2), (2, 0, "under", 2)}
+    assert {tuple(r) for r in parse.parsed_objects(texts).select("image_id", "obj_idx", "name").collect()} == {(1, 0, "cat"), (1, 1, "mat is red"), (2, 0, "cat"), (2, 2, "dog")}
+    assert parse.parsed_relations(texts, most=1).groupBy("image_id").count().where("count > 1").isEmpty()
+
+
+def test_panoptic_names(spark):
+    names = spark.createDataFrame([("wall-other-brick-merged",), ("sky-stuff",), ("person",), (None,)], "n string")
+    assert [r[0] for r in names.select(words.panoptic_name(F.col("n"))).collect()] == ["wall is brick", "sky", "person", None]
+
+
+def test_inferences_without_a_region_are_left_out(spark):
+    rows = spark.createDataFrame([(1, "region1", "before", 0, "a"), (1, "region1", "before", 1, None), (1, "region1", "after", 1, "c"), (1, "region1", "after", 0, "b")], "id long, subjects string, kind string, no int, text string")
+    made = shaping.inference_turns(rows, {"before": ["Before {}?"], "after": ["After {}?"]}, ["List."]).first()
+    assert [t["value"] for t in made.conversations] == ["After region1? List.", "b; c"]
+
+
+def test_image_sizes(spark, tmp_path):
+    for name, shape in (("a", (3, 5)), ("b", (1, 1))):
+        (tmp_path / f"{name}.png").write_bytes(sinks.png(np.zeros(shape, np.uint8)))
+    (tmp_path / "c.png").write_bytes(b"no image")
+    assert {(r.path.rsplit("/", 1)[-1], r.width, r.height) for r in files.image_sizes(spark, str(tmp_path)).collect()} == {("a.png", 5, 3), ("b.png", 1, 1)}
