@@ -6,7 +6,7 @@ from them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismloom.functions import boxes, draws, words
@@ -220,17 +220,16 @@ def object_depth_anchors(scene: Scene, depths: DataFrame, farther: bool = False,
 
 
 def segment_points(pixels: DataFrame, different: bool = False) -> DataFrame:
-    """For each object: an anchor and another of its points, and a point outside at the distance closest to theirs.
+    """For each object: an anchor and another of its points, drawn, and of all points outside it the one whose distance from the anchor is closest to theirs.
 
-    The same and different points are drawn among the object's and the image's pixels; distances are compared for a
-    drawn handful of outside pixels of the image, not for all pairs.
+    Each pixel meets the objects of its image and only the best stays, before any shuffle of the pairs; distances count to
+    six digits, and of ties the first by x and y is taken.
     """
     inside = pixels.where("obj_idx is not null").select("image_id", "obj_idx", F.struct("x", "y").alias("p"), draws.key("segment_points", "image_id", "obj_idx", "y", "x").alias("k"))
-    own = inside.groupBy("image_id", "obj_idx").agg(F.min(F.struct("k", "p")).alias("first"), F.max(F.struct("k", "p")).alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    place = F.row_number().over(Window.partitionBy("image_id", "obj_idx").orderBy(draws.key("segment_outside", "image_id", "y", "x"), "y", "x"))
-    handful = pixels.select("image_id", "obj_idx", "x", "y", place.alias("no")).where("no <= 8").groupBy("image_id").agg(F.collect_list(F.struct("obj_idx", "x", "y")).alias("others"))
-    both = own.join(handful, "image_id").select("image_id", "obj_idx", F.col("first.p").alias("anchor_point"), F.col("last.p").alias("same_point"), F.filter("others", lambda o: ~o["obj_idx"].eqNullSafe(F.col("obj_idx"))).alias("others")).where(F.size("others") > 0)
-    distance: Column = F.hypot(F.col("anchor_point.x") - F.col("same_point.x"), F.col("anchor_point.y") - F.col("same_point.y"))
-    ranked = F.array_sort(F.transform("others", lambda o: F.struct(F.abs(F.hypot(F.col("anchor_point.x") - o["x"], F.col("anchor_point.y") - o["y"]) - distance).alias("off"), o["x"].alias("x"), o["y"].alias("y"))))
-    out = both.select("image_id", "obj_idx", "anchor_point", "same_point", F.struct(ranked[0]["x"].alias("x"), ranked[0]["y"].alias("y")).alias("diff_point"))
+    own = inside.groupBy("image_id", "obj_idx").agg(F.min(F.struct("k", "p")).alias("first"), F.max(F.struct("k", "p")).alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("image_id", "obj_idx", F.col("first.p").alias("anchor_point"), F.col("last.p").alias("same_point"))
+    outside = pixels.select("image_id", F.col("obj_idx").alias("its"), F.struct("x", "y").alias("p"))
+    away = lambda p: F.hypot(F.col("anchor_point.x") - F.col(f"{p}.x"), F.col("anchor_point.y") - F.col(f"{p}.y"))
+    met = own.join(outside, "image_id").where(~F.col("its").eqNullSafe(F.col("obj_idx")))
+    best = F.min(F.struct(F.round(F.abs(away("p") - away("same_point")), 6).alias("off"), "p")).alias("best")
+    out = met.groupBy("image_id", "obj_idx", "anchor_point", "same_point").agg(best).withColumn("diff_point", F.col("best.p")).drop("best")
     return out.withColumn("answer", F.col("diff_point" if different else "same_point")).withColumn("candidates", F.array("same_point", "diff_point"))

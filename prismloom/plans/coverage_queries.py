@@ -364,6 +364,12 @@ for _no, _name, _answer in ((18, "closer_to_anchor", "closer"), (19, "farther_to
         n as (select *, case when gap1 < gap2 then o[1].label else o[3].label end as near, case when gap1 < gap2 then o[3].label else o[1].label end as farther, {uniform_sql('object_depth_anchors', 'image_id', 'a_obj_idx', 'b_obj_idx', 'c_obj_idx')} < 0.5 as coin from g where abs(gap1 - gap2) >= 50)
         select *, {_answer} as answer from (select image_id, a_obj_idx, b_obj_idx, c_obj_idx, case when coin then o[2].label else near end as anchor, case when coin then near else o[2].label end as closer, farther from n)"""
 
+for _no, _name, _x, _y in ((20, "same_object_point", "bx", "cy"), (21, "diff_object_point", "dx", "dy")):
+    ORACLES[f"g{_no}_{_name}"] = f"""with {_PX}, k as (select *, {key_sql('segment_points', 'image_id', 'obj_idx', 'y', 'x')} as k from px where obj_idx is not null),
+        o as (select image_id, obj_idx, arg_min(x, k) as ax, arg_min(y, k) as ay, arg_max(x, k) as bx, arg_max(y, k) as cy from k group by 1, 2 having count(*) > 1),
+        d as (select o.*, p.x as dx, p.y as dy, row_number() over (partition by o.image_id, o.obj_idx order by round(abs(sqrt((ax - p.x) ** 2 + (ay - p.y) ** 2) - sqrt((ax - bx) ** 2 + (ay - cy) ** 2)), 6), p.x, p.y) as r from o join px p on p.image_id = o.image_id and p.obj_idx is distinct from o.obj_idx)
+        select image_id, obj_idx::int as obj_idx, ax::int as x, ay::int as y, {_x}::int as answer_x, {_y}::int as answer_y from d where r = 1"""
+
 # Conversations, turn by turn
 
 
