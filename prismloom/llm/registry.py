@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prismloom.llm import language, media, mixing, pages, pii, quality, scoring, simhash, substrings, tokens
+from prismloom.llm import divergence, language, media, mixing, pages, pii, quality, scoring, simhash, substrings, tokens
 from prismloom.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -69,8 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_html": op10_html,
+        "op12_divergence": op12_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE}
+    return {"op5_mixing": mixing.ORACLE, "op12_divergence": divergence.ORACLE}
