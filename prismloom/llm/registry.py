@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prismloom.llm import divergence, language, media, mixing, pages, pii, quality, scoring, simhash, substrings, tokens
+from prismloom.llm import alignment, divergence, language, media, minhash, mixing, pages, pii, quality, scoring, simhash, substrings, tokens
 from prismloom.llm.common import table
 
 
@@ -57,6 +57,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+#: The model of the sentencepiece tokenizer that op11 aligns with VOCABULARY.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), alignment.read_vocabularies(VOCABULARY, PIECES))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -73,7 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_html": op10_html,
+        "op11_alignment": op11_alignment,
         "op12_divergence": op12_divergence,
+        "op13_minhash": op13_minhash,
     }
 
 
