@@ -129,18 +129,6 @@ def box_summary(rows: DataFrame, value: str) -> DataFrame:
     return rows.agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev(x), 6).alias("std"), F.min(x).alias("least"), *quartiles, F.max(x).alias("most"))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, name: str, k: int = 1) -> DataFrame:
-    """The k categories of right(name, vector) with the largest dot product with each left(key, vector).
-
-    right is a closed vocabulary of categories; every row of left meets all of it.
-    """
-    met = left.select(key, F.col("vector").alias("a")).crossJoin(right.select(name, F.col("vector").alias("b"))).select(key, name, words.dot(F.col("a"), F.col("b")).alias("score"))
-    if k == 1:
-        return met.groupBy(key).agg(F.max(F.struct("score", name)).alias("best")).select(key, f"best.{name}", "best.score")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(name).desc()))
-    return met.withColumn("place", place).where(F.col("place") <= k)
-
-
 # Sequential choices within one image: each depends on the last.
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismloom.functions import boxes, draws, words
+from prismloom.functions import boxes, draws, masks, words
 from prismloom.plans.scene import Scene
 
 
@@ -131,6 +131,15 @@ def proposed_boxes(texts: DataFrame, width: str = "width", height: str = "height
     return good.select("image_id", "box_no", *[(F.col("n")[k] * F.col(size[k])).cast("int").alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))])
 
 
+def _to_add(met: DataFrame, first_areas: DataFrame, second_areas: DataFrame, mode: int, most_overlap: float, most_iou: float) -> DataFrame:
+    """Of met(image_id, region_id, overlap, iou, area) the regions that a merge mode takes."""
+    medians = first_areas.groupBy("image_id").agg(F.percentile("area", 0.5).alias("median"))
+    quartiles = second_areas.groupBy("image_id").agg(F.percentile("area", 0.75).alias("quartile"))
+    both = met.join(medians, "image_id", "left").join(quartiles, "image_id").where(F.col("iou") <= most_iou)
+    free, medium, large = F.col("overlap") < most_overlap, F.col("area") > F.coalesce("median", F.lit(0.0)), F.col("area") > F.col("quartile")
+    return both.where({0: free | medium | large, 1: free, 2: medium, 3: medium & free, 4: large & free}[mode]).select("image_id", "region_id")
+
+
 def merged_regions(first: DataFrame, second: DataFrame, mode: int, most_overlap: float = 0.6, most_iou: float = 0.7) -> DataFrame:
     """Regions of second to add to first, by their boxes: image_id, region_id.
 
@@ -139,14 +148,32 @@ def merged_regions(first: DataFrame, second: DataFrame, mode: int, most_overlap:
     free, 2 medium, 3 medium and free, 4 large and free; none takes regions with IoU over most_iou with one of first.
     """
     f = first.select("image_id", *[F.col(c).alias(f"f_{c}") for c in ("x1", "y1", "x2", "y2")])
-    medians = first.groupBy("image_id").agg(F.percentile(boxes.area(""), 0.5).alias("median"))
-    quartiles = second.groupBy("image_id").agg(F.percentile(boxes.area(""), 0.75).alias("quartile"))
     met = second.join(f, "image_id", "left").groupBy("image_id", "region_id").agg(
         F.max(F.coalesce(boxes.intersection("", "f_") / boxes.area(""), F.lit(0.0))).alias("overlap"), F.max(F.coalesce(boxes.iou("", "f_"), F.lit(0.0))).alias("iou"), F.max(boxes.area("")).alias("area")
     )
-    both = met.join(medians, "image_id", "left").join(quartiles, "image_id").where(F.col("iou") <= most_iou)
-    free, medium, large = F.col("overlap") < most_overlap, F.col("area") > F.coalesce("median", F.lit(0.0)), F.col("area") > F.col("quartile")
-    return both.where({0: free | medium | large, 1: free, 2: medium, 3: medium & free, 4: large & free}[mode]).select("image_id", "region_id")
+    area = boxes.area("").alias("area")
+    return _to_add(met, first.select("image_id", area), second.select("image_id", area), mode, most_overlap, most_iou)
+
+
+def mask_overlaps(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Pairs of masks of an image that share pixels: image_id, first_id, region_id and shared, their number.
+
+    first(image_id, first_id, mask), second(image_id, region_id, mask). Boxes decide which pairs are worth a sweep.
+    """
+    a = first.select("image_id", "first_id", F.col("mask").alias("f_mask"), masks.bounds("mask").alias("f"))
+    b = second.select("image_id", "region_id", "mask", masks.bounds("mask").alias("b"))
+    near = (F.col("f.x1") < F.col("b.x2")) & (F.col("b.x1") < F.col("f.x2")) & (F.col("f.y1") < F.col("b.y2")) & (F.col("b.y1") < F.col("f.y2"))
+    met = a.join(b, "image_id").where(near)
+    return met.select("image_id", "first_id", "region_id", masks.intersection_area("f_mask", "mask").alias("shared")).where("shared > 0")
+
+
+def merged_by_masks(first: DataFrame, second: DataFrame, mode: int, most_overlap: float = 0.6, most_iou: float = 0.7) -> DataFrame:
+    """As merged_regions, with areas and overlaps of masks. first(image_id, first_id, mask), second(image_id, region_id, mask)."""
+    areas = [df.select("image_id", key, masks.area("mask").alias("area")) for df, key in ((first, "first_id"), (second, "region_id"))]
+    shared = mask_overlaps(first, second).join(areas[0].withColumnRenamed("area", "f_area"), ["image_id", "first_id"]).join(areas[1], ["image_id", "region_id"])
+    most = shared.groupBy("image_id", "region_id").agg(F.max(F.col("shared") / F.col("area")).alias("overlap"), F.max(F.col("shared") / (F.col("area") + F.col("f_area") - F.col("shared"))).alias("iou"))
+    met = areas[1].join(most, ["image_id", "region_id"], "left").fillna(0.0, ["overlap", "iou"])
+    return _to_add(met, areas[0], areas[1], mode, most_overlap, most_iou)
 
 
 def embedded_json(text: Column, schema: str) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismloom.functions import boxes, draws, words
+from prismloom.functions import boxes, draws, rasters, words
 from prismloom.operators.multi import running
 from prismloom.plans.scene import Scene
 
@@ -164,28 +164,41 @@ def head_of_relation(scene: Scene, n_choice: int = N_CHOICE) -> DataFrame:
     )
 
 
-# Depth and segmentation: pixels(image_id, y, x, depth, obj_idx), obj_idx of the last mask over a pixel or null.
+# Depth and segmentation: maps(image_id, depth, labels) with packed maps (functions.rasters); label 0 is no object, label k the object k - 1.
 
 
-def depth_points(pixels: DataFrame, farther: bool = False, gap: int = DEPTH_GAP, tries: int = 10) -> DataFrame:
+def _first_pair(points: DataFrame, farther: bool, gap: int) -> DataFrame:
+    """Of points(image_id, p), taken two by two, the first two whose values differ by at least gap; the larger is closer."""
+    no = F.sequence(F.lit(1), F.floor(F.size("p") / 2))
+    pairs = F.when(F.size("p") > 1, F.transform(no, lambda k: F.struct(F.element_at("p", (2 * k - 1).cast("int")).alias("a"), F.element_at("p", (2 * k).cast("int")).alias("b"))))
+    good = F.filter(pairs, lambda x: F.abs(x["a"]["value"] - x["b"]["value"]) >= gap)
+    first = points.select("image_id", good.alias("good")).where(F.size("good") > 0).select("image_id", F.col("good")[0].alias("g"))
+    near = F.col("g.a.value") > F.col("g.b.value")
+    a, b = (F.struct(F.col(f"g.{s}.x").alias("x"), F.col(f"g.{s}.y").alias("y")) for s in "ab")
+    out = first.select("image_id", F.when(near, a).otherwise(b).alias("closer"), F.when(near, b).otherwise(a).alias("farther"))
+    return out.withColumn("answer", F.col("farther" if farther else "closer"))
+
+
+def _prefix(op: str) -> F.Column:
+    return F.concat_ws("|", F.lit(op), F.coalesce(F.col("image_id").cast("string"), F.lit("")))
+
+
+def depth_points(maps: DataFrame, farther: bool = False, gap: int = DEPTH_GAP, tries: int = 10) -> DataFrame:
     """Two points of an image whose depths differ by at least gap, the larger closer: the first of `tries` drawn pairs that does.
 
-    Pairs are adjacent in a drawn order of the image's pixels, so no pixels are crossed.
+    Pairs are adjacent in an order of the image's pixels by a key of each, of which only the first are kept.
     """
-    order = Window.partitionBy("image_id").orderBy(draws.key("depth_points", "image_id", "y", "x"), "y", "x")
-    pairs = pixels.select("image_id", "x", "y", F.col("depth").cast("int").alias("depth"), F.row_number().over(order).alias("no"), *[F.lead(c).over(order).alias(f"{c}2") for c in ("x", "y", "depth")])
-    good = pairs.where(f"no % 2 = 1 and no <= {2 * tries} and abs(depth - cast(depth2 as int)) >= {gap}")
-    first = good.groupBy("image_id").agg(F.min(F.struct("no", "x", "y", "depth", "x2", "y2", "depth2")).alias("p")).select("image_id", "p.*")
-    near = F.col("depth") > F.col("depth2")
-    a, b = (F.struct(F.col(f"x{s}").alias("x"), F.col(f"y{s}").alias("y")) for s in ("", "2"))
-    out = first.select("image_id", F.when(near, a).otherwise(b).alias("closer"), F.when(near, b).otherwise(a).alias("farther"))
-    return out.withColumn("answer", F.col("farther" if farther else "closer"))
+    return _first_pair(maps.select("image_id", rasters.keyed_points("depth", _prefix("depth_points"), F.lit(2 * tries)).alias("p")), farther, gap)
+
+
+def depth_probes(maps: DataFrame, farther: bool = False, gap: int = DEPTH_GAP, tries: int = 10) -> DataFrame:
+    """As depth_points, but the places are drawn by offset and only these are read: `tries` pairs cost the same on any image."""
+    return _first_pair(maps.select("image_id", rasters.drawn_points("depth", _prefix("depth_probes"), F.lit(2 * tries)).alias("p")), farther, gap)
 
 
-def object_depths(pixels: DataFrame) -> DataFrame:
-    """The most frequent depth of each object's pixels, the smallest of equals."""
-    counts = pixels.where("obj_idx is not null").groupBy("image_id", "obj_idx", "depth").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("image_id", "obj_idx").agg(F.max_by("depth", F.struct("n", -F.col("depth").cast("int"))).alias("depth"))
+def object_depths(maps: DataFrame) -> DataFrame:
+    """image_id, obj_idx and the most frequent depth of the object's pixels, the smallest of equals."""
+    return maps.select("image_id", F.inline(rasters.object_depths("depth", "labels")))
 
 
 def object_depth_pairs(scene: Scene, depths: DataFrame, farther: bool = False, gap: int = DEPTH_GAP) -> DataFrame:
@@ -219,17 +232,13 @@ def object_depth_anchors(scene: Scene, depths: DataFrame, farther: bool = False,
     return out.withColumn("answer", F.col("farther" if farther else "closer")).withColumn("candidates", F.array("closer", "farther"))
 
 
-def segment_points(pixels: DataFrame, different: bool = False) -> DataFrame:
+def segment_points(maps: DataFrame, different: bool = False, by_rank: bool = False) -> DataFrame:
     """For each object: an anchor and another of its points, drawn, and of all points outside it the one whose distance from the anchor is closest to theirs.
 
-    Each pixel meets the objects of its image and only the best stays, before any shuffle of the pairs; distances count to
-    six digits, and of ties the first by x and y is taken.
+    The two points have the first and the last key of the object's pixels or, by_rank, two drawn ranks, which costs two
+    keys an object of any size. The point outside is looked for on rings around the distance; distances count to six
+    digits, and of ties the first by x and y is taken.
     """
-    inside = pixels.where("obj_idx is not null").select("image_id", "obj_idx", F.struct("x", "y").alias("p"), draws.key("segment_points", "image_id", "obj_idx", "y", "x").alias("k"))
-    own = inside.groupBy("image_id", "obj_idx").agg(F.min(F.struct("k", "p")).alias("first"), F.max(F.struct("k", "p")).alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("image_id", "obj_idx", F.col("first.p").alias("anchor_point"), F.col("last.p").alias("same_point"))
-    outside = pixels.select("image_id", F.col("obj_idx").alias("its"), F.struct("x", "y").alias("p"))
-    away = lambda p: F.hypot(F.col("anchor_point.x") - F.col(f"{p}.x"), F.col("anchor_point.y") - F.col(f"{p}.y"))
-    met = own.join(outside, "image_id").where(~F.col("its").eqNullSafe(F.col("obj_idx")))
-    best = F.min(F.struct(F.round(F.abs(away("p") - away("same_point")), 6).alias("off"), "p")).alias("best")
-    out = met.groupBy("image_id", "obj_idx", "anchor_point", "same_point").agg(best).withColumn("diff_point", F.col("best.p")).drop("best")
-    return out.withColumn("answer", F.col("diff_point" if different else "same_point")).withColumn("candidates", F.array("same_point", "diff_point"))
+    found = (rasters.drawn_segment_points if by_rank else rasters.keyed_segment_points)("labels", _prefix("segment_points"))
+    out = maps.select("image_id", F.inline(found)).withColumn("answer", F.col("diff_point" if different else "same_point"))
+    return out.withColumn("candidates", F.array("same_point", "diff_point"))

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismloom.functions import boxes, words
-from prismloom.operators import graph, metrics, multi, parse, records, shaping, single
+from prismloom.functions import boxes, rasters, words
+from prismloom.operators import graph, metrics, multi, nearest, parse, records, shaping, single
 from prismloom.plans.queries import (
     COMPONENTS_SQL,
     ORACLES,
@@ -20,7 +18,7 @@ from prismloom.plans.queries import (
     REGIONS_SQL,
     _edges_with_boxes,
     _table,
-    embedding_pixels,
+    embedding_maps,
     iou_sql,
     joined,
     key_sql,
@@ -31,16 +29,7 @@ from prismloom.plans.queries import (
 )
 from prismloom.plans.scene import SCENE_SQL, Scene
 from prismloom.sources import annotations, files, sinks
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder that the executors share; a temporary one only for a local session that names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="prismloom-")
-    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+from prismloom.sources.scratch import scratch
 
 
 def said(df: DataFrame, *keys: str) -> DataFrame:
@@ -59,22 +48,26 @@ def nation_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "nation").select(F.col("n_name").alias("image_id"), F.concat(F.lower("n_name"), F.lit(".jpg")).alias("data_path"), annotation.alias("annotation"), F.lit("atlas").alias("source"))
 
 
+#: Bytes of a range of a document here: far below an entry's, so that entries reach over ranges and files.
+RANGE = 50
+
+
 def written_document(spark: SparkSession, rows: DataFrame) -> str:
     path = scratch(spark)
-    annotations.annotation_document(rows).write.text(path)
+    annotations.write_document(rows, path, files=3)
     return path
 
 
 @table_query("s1_annotation_file", "select n_name as image_id, lower(n_name) || '.jpg' as data_path, 'atlas' as source, 100 as width, n_name as label, n_nationkey::int + 10 as x2 from nation")
 def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = annotations.read_keyed(spark, written_document(spark, nation_document(spark, sf_dir)))
+    read = annotations.read_keyed(spark, written_document(spark, nation_document(spark, sf_dir)), RANGE, parts=True)
     return read.select("image_id", "data_path", "source", "width", F.col("labels")[0].alias("label"), F.col("bboxes")[0][2].alias("x2"))
 
 
 @table_query("s2_merged_annotation_files", "select n_name as image_id, n_name as label, n_comment as caption, 100 as width from (select *, 'about ' || lower(n_name) as n_comment from nation)")
 def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("image_id"), F.lit(None).cast("string").alias("data_path"), F.struct(F.concat(F.lit("about "), F.lower("n_name")).alias("caption")).alias("annotation"), F.lit(None).cast("string").alias("source"))
-    read = [annotations.read_keyed(spark, written_document(spark, d)) for d in (nation_document(spark, sf_dir), more)]
+    read = [annotations.read_keyed(spark, written_document(spark, d), RANGE, parts=True) for d in (nation_document(spark, sf_dir), more)]
     return annotations.merge(read).select("image_id", F.col("labels")[0].alias("label"), "caption", "width")
 
 
@@ -262,7 +255,7 @@ def u8(spark: SparkSession, sf_dir: str) -> DataFrame:
     s as (select e.vec_id, m.label, sum(e.x * m.x) as score from (select vec_id, unnest(embedding)::double as x, unnest(range(64)) as i from embeddings) e join m using (i) group by all)
     select vec_id, label, place from (select *, cast(row_number() over (partition by vec_id order by score desc, label desc) as int) as place from s) where place <= 3""")
 def w12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.nearest(*_centred(spark, sf_dir), "vec_id", "label", 3).select("vec_id", "label", "place")
+    return nearest.nearest(*_centred(spark, sf_dir), "vec_id", "label", 3).select("vec_id", "label", "place")
 
 
 def _centred(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -585,7 +578,7 @@ def d8(s: Scene) -> DataFrame:
 
 @table_query("p5_cropped", f"with {_PX} select image_id, box_no, (x - x1)::int as x, (y - y1)::int as y, depth from px, (values (0, 1, 2, 4, 6), (1, 5, 0, 8, 3)) v(box_no, x1, y1, x2, y2) where x >= x1 and x < x2 and y >= y1 and y < y2")
 def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = embedding_pixels(spark, sf_dir).select("image_id", "x", "y", "depth")
     box = lambda *n: F.struct(*[F.lit(v).alias(c) for c, v in zip(("box_no", "x1", "y1", "x2", "y2"), n, strict=True)])
-    cuts = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.inline(F.array(box(0, 1, 2, 4, 6), box(1, 5, 0, 8, 3))))
-    return boxes.cropped(pixels, cuts)
+    cuts = embedding_maps(spark, sf_dir).select("image_id", "depth", F.inline(F.array(box(0, 1, 2, 4, 6), box(1, 5, 0, 8, 3))))
+    parts = cuts.select("image_id", "box_no", rasters.cropped("depth", "x1", "y1", "x2", "y2").alias("part"))
+    return parts.select("image_id", "box_no", F.inline(rasters.values("part"))).withColumnRenamed("value", "depth")

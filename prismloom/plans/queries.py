@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismloom.functions import boxes, draws, grammar, words
-from prismloom.operators import graph, metrics, multi, parse, records, single
+from prismloom.functions import boxes, draws, grammar, masks, rasters, words
+from prismloom.operators import graph, metrics, multi, nearest, parse, records, single
 from prismloom.plans.scene import SCENE_SQL, Scene, disjoint_sql, driver_scene
+from prismloom.plans.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -870,7 +871,7 @@ def x19(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     means = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
-    return metrics.nearest(vectors.select("vec_id", F.col("embedding").alias("vector")), means, "vec_id", "label").withColumn("score", F.round("score", 5))
+    return nearest.nearest(vectors.select("vec_id", F.col("embedding").alias("vector")), means, "vec_id", "label").withColumn("score", F.round("score", 5))
 
 
 @table_query(
@@ -890,23 +891,25 @@ def x26(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Depth and masks: an image of 8 x 8 pixels from each embedding; a pixel's object by quadrant.
 
 
-def embedding_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def embedding_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, depth and labels, packed."""
+    ship(spark)
     v = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding")
     low, high = F.array_min("embedding"), F.array_max("embedding")
-    scaled = v.select("image_id", F.posexplode(F.transform("embedding", lambda x: ((x.cast("double") - low) / (high - low).cast("double") * 255).cast("int"))).alias("i", "depth"))
-    x, y = F.col("i") % 8, F.floor(F.col("i") / 8).cast("int")
-    quadrant = F.when((x < 4) & (y < 4), 0).when((x >= 4) & (y < 4), 1).when((x < 4) & (y >= 4), 2)
-    return scaled.select("image_id", x.alias("x"), y.alias("y"), "depth", quadrant.cast("int").alias("obj_idx"))
+    scaled = F.transform("embedding", lambda x: F.coalesce(((x.cast("double") - low) / F.nullif(high - low, F.lit(0)).cast("double") * 255).cast("int"), F.lit(0)))
+    quadrant = lambda i: F.when((i % 8 < 4) & (i < 32), 1).when(i < 32, 2).when(i % 8 < 4, 3).otherwise(0)
+    labels = F.transform(F.sequence(F.lit(0), F.lit(63)), quadrant)
+    return v.select("image_id", rasters.packed(scaled, 8, 8).alias("depth"), rasters.packed(labels, 8, 8).alias("labels"))
 
 
 @table_query("g14_closer_point")
 def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return single.depth_points(embedding_pixels(spark, sf_dir)).select("image_id", "closer.x", "closer.y", F.col("farther.x").alias("far_x"), F.col("farther.y").alias("far_y"))
+    return single.depth_points(embedding_maps(spark, sf_dir)).select("image_id", "closer.x", "closer.y", F.col("farther.x").alias("far_x"), F.col("farther.y").alias("far_y"))
 
 
 @table_query("g15_farther_point")
 def g15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return single.depth_points(embedding_pixels(spark, sf_dir), farther=True).select("image_id", "answer.x", "answer.y")
+    return single.depth_points(embedding_maps(spark, sf_dir), farther=True).select("image_id", "answer.x", "answer.y")
 
 
 @table_query(
@@ -916,14 +919,16 @@ def g15(spark: SparkSession, sf_dir: str) -> DataFrame:
     select image_id, cast(obj_idx as int) as obj_idx, depth from (select *, row_number() over (partition by image_id, obj_idx order by n desc, depth) as r from (select image_id, obj_idx, depth, count(*) as n from obj where obj_idx is not null group by all)) where r = 1""",
 )
 def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return single.object_depths(embedding_pixels(spark, sf_dir))
+    return single.object_depths(embedding_maps(spark, sf_dir))
 
 
 def _embedding_scene(spark: SparkSession, sf_dir: str) -> tuple[Scene, DataFrame]:
-    pixels = embedding_pixels(spark, sf_dir)
-    objects = pixels.where("obj_idx is not null").groupBy("image_id", "obj_idx").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2")).withColumn("label", F.element_at(F.array(F.lit("gear"), F.lit("bolt"), F.lit("rod")), F.col("obj_idx") + 1))
+    maps = embedding_maps(spark, sf_dir)
+    each = maps.select("image_id", F.inline(rasters.object_masks("labels"))).withColumn("box", masks.bounds("mask"))
+    label = F.element_at(F.array(F.lit("gear"), F.lit("bolt"), F.lit("rod")), F.col("obj_idx") + 1)
+    objects = each.select("image_id", "obj_idx", "box.*", label.alias("label"))
     scene = driver_scene(spark, sf_dir)
-    return Scene(objects.select("image_id").distinct(), objects, scene.relations, scene.attribute_vocab, scene.object_vocab), single.object_depths(pixels)
+    return Scene(objects.select("image_id").distinct(), objects, scene.relations, scene.attribute_vocab, scene.object_vocab), single.object_depths(maps)
 
 
 for _no, _name, _f in ((16, "closer_object", lambda s, d: single.object_depth_pairs(s, d)), (17, "farther_object", lambda s, d: single.object_depth_pairs(s, d, farther=True)), (18, "closer_to_anchor", lambda s, d: single.object_depth_anchors(s, d)), (19, "farther_to_anchor", lambda s, d: single.object_depth_anchors(s, d, farther=True))):
@@ -937,4 +942,4 @@ for _no, _different in ((20, False), (21, True)):
 
     @table_query(f"g{_no}_{'diff' if _different else 'same'}_object_point")
     def g20(spark: SparkSession, sf_dir: str, different=_different) -> DataFrame:
-        return single.segment_points(embedding_pixels(spark, sf_dir), different).select("image_id", "obj_idx", "anchor_point.x", "anchor_point.y", F.col("answer.x").alias("answer_x"), F.col("answer.y").alias("answer_y"))
+        return single.segment_points(embedding_maps(spark, sf_dir), different).select("image_id", "obj_idx", "anchor_point.x", "anchor_point.y", F.col("answer.x").alias("answer_x"), F.col("answer.y").alias("answer_y"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismloom.plans.scene import Scene
+from prismloom.sources import json_objects
 
 #: All fields of an image's annotation. Relations come as [head, name, target] in one array of mixed types.
 ANNOTATION = (
@@ -17,15 +18,15 @@ ANNOTATION = (
 IMAGE = f"data_path: string, source: string, annotation: struct<{', '.join(x.replace(' ', ': ', 1) for x in ANNOTATION.split(', '))}>"
 
 
-def read_keyed(spark: SparkSession, path: str) -> DataFrame:
-    """image_id, row_idx (its place in the file), data_path, source and the annotation's fields.
+def read_keyed(spark: SparkSession, path: str, range_bytes: int = json_objects.RANGE, parts: bool = False) -> DataFrame:
+    """image_id, row_idx (its place in the document), data_path, source and the annotation's fields.
 
-    The file is one JSON object and can't be split; many images belong in many files.
+    Each file is one JSON object, which many tasks read in ranges; with parts, a folder's files together are one.
     """
-    text = spark.read.text(path, wholetext=True)
-    parsed = text.select(F.from_json("value", f"map<string, struct<{IMAGE}>>").alias("m"))
-    rows = parsed.select(F.posexplode(F.map_entries("m")).alias("row_idx", "e")).select(F.col("e.key").alias("image_id"), "row_idx", "e.value.data_path", "e.value.source", "e.value.annotation.*")
-    return rows
+    found = json_objects.entries(spark, path, range_bytes, parts)
+    parsed = F.map_entries(F.from_json(F.concat(F.lit("{"), "entry", F.lit("}")), f"map<string, struct<{IMAGE}>>"))[0]
+    rows = found.select(F.col("row_idx").cast("int").alias("row_idx"), parsed.alias("e"))
+    return rows.select(F.col("e.key").alias("image_id"), "row_idx", "e.value.data_path", "e.value.source", "e.value.annotation.*")
 
 
 def merge(files: Sequence[DataFrame], check: bool = True) -> DataFrame:
@@ -76,7 +77,7 @@ def image_id(path: Column) -> Column:
     return F.split_part(F.element_at(F.split(path, "/"), -1), F.lit("."), F.lit(1))
 
 
-def annotation_document(rows: DataFrame) -> DataFrame:
-    """One JSON object per group of rows(image_id, data_path, annotation, source), keyed by image id: a file's content."""
-    entry = F.struct("image_id", F.struct("data_path", "annotation", "source"))
-    return rows.groupBy().agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("value"))
+def write_document(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """rows(image_id, data_path, annotation, source) as one JSON object by image id, in parts that follow each other."""
+    entry = rows.select(F.col("image_id").cast("string").alias("image_id"), F.to_json(F.struct("data_path", "annotation", "source")).alias("entry"))
+    json_objects.write_document(entry, path, "image_id", "entry", files)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import os
+import pickle
 import re
 import tarfile
 from collections.abc import Callable, Iterator
@@ -11,9 +13,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismloom.functions import masks, rasters
+from prismloom.plans.shipping import ship
+
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "gif", "webp", "tif", "tiff")
 
 
@@ -107,6 +113,95 @@ def label_mask(masks: DataFrame) -> DataFrame:
     return masks.groupBy("image_id", "y", "x").agg(F.max("mask").alias("obj_idx"))
 
 
+def _csr_lists(content: bytes) -> list[dict]:
+    """The masks of a pickled list of sparse matrices. Only the names below are looked up, none of which runs code of the file."""
+    return [m.mask() for m in _MatrixReader(io.BytesIO(content)).load()]
+
+
+class SparseMatrix:
+    """What a pickle says of a sparse matrix of rows: its shape, the ends of its rows, its columns."""
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+
+    def mask(self) -> dict:
+        columns = np.asarray(self.indices)
+        set_ = np.asarray(self.data).astype(bool) if getattr(self, "data", None) is not None else np.ones(len(columns), bool)
+        ends = np.concatenate(([0], np.cumsum(set_)))[np.asarray(self.indptr)]
+        return masks.from_csr(ends, columns[set_].astype(np.int64), tuple(int(n) for n in getattr(self, "_shape", None) or self.shape))
+
+
+class _MatrixReader(pickle.Unpickler):
+    """A pickle of numpy arrays and sparse matrices of rows; anything else in it is an error."""
+
+    def find_class(self, module: str, name: str):
+        if module.startswith("scipy.sparse") and name in ("csr_matrix", "csr_array"):
+            return SparseMatrix
+        if module.startswith("numpy") and name in ("ndarray", "dtype", "_reconstruct", "_frombuffer", "scalar"):
+            place = {"ndarray": np, "dtype": np, "_frombuffer": np._core.numeric}.get(name, np._core.multiarray)
+            return getattr(place, name)
+        if (module, name) == ("_codecs", "encode"):
+            return codecs.encode
+        raise pickle.UnpicklingError(f"{module}.{name} isn't read from pickled masks")
+
+
+def _planes(content: bytes) -> list[np.ndarray]:
+    data = np.load(io.BytesIO(content), allow_pickle=False)
+    if data.ndim not in (2, 3):
+        raise ValueError(f"an array of {data.ndim} dimensions is no mask")
+    return list(data[None] if data.ndim == 2 else data)
+
+
+def csr_masks(lists: DataFrame) -> DataFrame:
+    """image_id, mask_no and run-length mask of lists(image_id, content), whose content is a pickled list of sparse matrices."""
+    ship(lists.sparkSession)
+
+    @F.arrow_udf(f"array<{masks.MASK}>")
+    def read(content: pa.Array) -> pa.Array:
+        return pa.array([None if c is None else _csr_lists(c) for c in content.to_pylist()], pa.list_(masks._ARROW))
+
+    return lists.select("image_id", F.posexplode(read("content")).alias("mask_no", "mask"))
+
+
+def mask_lists(spark: SparkSession, path: str) -> DataFrame:
+    """image_id, mask_no and run-length mask of the files in a folder: pickled lists of sparse matrices (.pkl) and arrays of masks (.npy).
+
+    A file that holds anything else is an error. Empty masks are rows too.
+    """
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                found = _csr_lists(content) if name.endswith(".pkl") else [masks.from_array(plane) for plane in _planes(content)]
+                image = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                rows = [{"image_id": image, "mask_no": k, "mask": m} for k, m in enumerate(found)]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("image_id", pa.string()), ("mask_no", pa.int32()), ("mask", masks._ARROW)]))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pkl,npy}").load(path).select("path", "content")
+    return files.mapInArrow(run, f"image_id string, mask_no int, mask {masks.MASK}")
+
+
+def array_maps(spark: SparkSession, path: str, scaled: bool = False) -> DataFrame:
+    """image_id and packed map of two-dimensional .npy files; scaled, their values go from 0 (the least) to 255 (the greatest)."""
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                plane = np.load(io.BytesIO(content), allow_pickle=False)
+                if plane.ndim != 2:
+                    raise ValueError(f"{name}: {plane.ndim} dimensions")
+                if scaled:
+                    low, high = (float(plane.min()), float(plane.max())) if plane.size else (0.0, 0.0)
+                    plane = ((plane.astype(float) - low) / (high - low or 1.0) * 255).astype(np.uint8)
+                row = {"image_id": name.rsplit("/", 1)[-1].rsplit(".", 1)[0], "map": rasters.map_of(plane.astype(np.int64))}
+                yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("image_id", pa.string()), ("map", pa.struct([("width", pa.int32()), ("height", pa.int32()), ("data", pa.binary())]))]))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+    return files.mapInArrow(run, f"image_id string, map {rasters.MAP}")
+
+
 # Named readers
 
 _READERS: dict[str, Callable[..., DataFrame]] = {"json": read_any, "jsonl": read_any, "parquet": read_parquet_list, "coco": coco}

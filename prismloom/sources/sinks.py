@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import io
+import pickle
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from prismloom.functions import masks
+from prismloom.plans.shipping import ship
+from prismloom.sources.files import SparseMatrix
+
 
 def write_records(df: DataFrame, path: str, mode: str = "error") -> None:
     """Instruction records as JSON lines."""
@@ -73,3 +80,73 @@ def mask_images(pixels: DataFrame, first: int = 30, step: int = 20) -> DataFrame
             yield pd.DataFrame({"image_id": frame["image_id"], "png": images})
 
     return points.mapInPandas(run, f"image_id {pixels.schema['image_id'].dataType.simpleString()}, png binary")
+
+
+def mask_pngs(layers: DataFrame, first: int = 30, step: int = 20) -> DataFrame:
+    """image_id and a PNG of the list of run-length masks in `masks`, mask k in grey first + k * step (modulo 256), later ones on top."""
+    ship(layers.sparkSession)
+
+    @F.arrow_udf("binary")
+    def drawn(column: pa.Array) -> pa.Array:
+        out = []
+        for each in column.to_pylist():
+            shape = next((m for m in each or [] if m is not None), None)
+            if shape is None:
+                out.append(None)
+                continue
+            canvas = np.zeros(shape["width"] * shape["height"], np.uint8)
+            for k, m in enumerate(each):
+                if m is not None:
+                    masks.painted(canvas, m, (first + k * step) % 256)
+            out.append(png(canvas.reshape(shape["height"], shape["width"])))
+        return pa.array(out, pa.binary())
+
+    return layers.select("image_id", drawn("masks").alias("png"))
+
+
+def grey_of(content: bytes) -> np.ndarray:
+    """The pixels of an image written by png()."""
+    at, parts, shape = 8, [], (0, 0)
+    while at < len(content):
+        size, kind = struct.unpack(">I4s", content[at : at + 8])
+        data = content[at + 8 : at + 8 + size]
+        shape = struct.unpack(">II", data[:8])[::-1] if kind == b"IHDR" else shape
+        parts += [data] if kind == b"IDAT" else []
+        at += 12 + size
+    return np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(shape[0], shape[1] + 1)[:, 1:]
+
+
+class _MatrixWriter(pickle._Pickler):
+    """Writes SparseMatrix under the name that readers of sparse matrices know."""
+
+    def save_global(self, obj, name=None):
+        if obj is not SparseMatrix:
+            return super().save_global(obj, name)
+        self.save("scipy.sparse._csr")
+        self.save("csr_matrix")
+        self.write(pickle.STACK_GLOBAL)
+        self.memoize(obj)
+
+
+def csr_list(each: list[dict]) -> bytes:
+    """Masks as a pickled list of sparse matrices of booleans."""
+    out = []
+    for m in each:
+        indptr, indices, shape = masks.to_csr(m)
+        matrix = SparseMatrix()
+        matrix.__setstate__({"_shape": shape, "maxprint": 50, "indptr": indptr.astype(np.int32), "indices": indices.astype(np.int32), "data": np.ones(len(indices), bool), "_has_sorted_indices": True, "_has_canonical_format": True})
+        out.append(matrix)
+    stream = io.BytesIO()
+    _MatrixWriter(stream, 4).dump(out)
+    return stream.getvalue()
+
+
+def mask_csr_lists(layers: DataFrame) -> DataFrame:
+    """image_id and the pickled list of sparse matrices of the run-length masks in `masks`."""
+    ship(layers.sparkSession)
+
+    @F.arrow_udf("binary")
+    def written(column: pa.Array) -> pa.Array:
+        return pa.array([None if each is None else csr_list([m for m in each if m is not None]) for each in column.to_pylist()], pa.binary())
+
+    return layers.select("image_id", written("masks").alias("content"))
