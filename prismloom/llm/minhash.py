@@ -12,7 +12,7 @@ sets agree on a place as often as their similarity says, with the concentration
    families: candidates are always of one family. Families are cut into blocks of about `BLOCK` nodes or `BLOCK_BYTES`.
 3. Each block is verified inside, on full sets: a matrix of shingles that occur more than once gives all intersections,
    and pairs that share a band and are alike enough are links. A family of one block is done.
-4. In larger families the hubs that most nodes would choose meet every block. That joins most copies into one component,
+4. In larger families some of the most central nodes, one of each of `HUBS` parts, meet every block. That joins most copies into one component,
    whose members need not be compared any further. A node of which more than 15 % of the shingles occur in no other node
    of the family can't have a link. What remains outside the family's main component meets the family block by block.
 5. Components of the links name the classes.
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismloom.llm.common import mapped, materialize, text_chunks
@@ -265,8 +265,9 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         return found
     members = materialize(mapped(with_text.where("blocks > 1").select("node", "family", "bands", "text"), _sets, "node long, family long, bands array<long>, hashes binary"), "op13-members")
     blocks = _blocked(members, large, "op13-blocks")
-    order = Window.partitionBy("family").orderBy(F.desc("weight"), "node")
-    hubs = members.select("family", "node").join(weights.hint("merge"), "node").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS).select("node")
+    # each of HUBS parts of a family names its most central node: maxima that combine before they are sent
+    part = F.pmod(F.xxhash64("node", F.lit("part")), F.lit(HUBS))
+    hubs = members.select("family", "node").join(weights.hint("merge"), "node").groupBy("family", part).agg(F.max(F.struct("weight", "node")).alias("hub")).select(F.col("hub.node").alias("node"))
     hubs = members.join(materialize(hubs, "op13-central").hint("merge"), "node", "left_semi").groupBy("family").agg(F.collect_list(F.struct("node", "bands", "hashes")).alias("left"))
     right = blocks.select("family", F.col("list").alias("right"))
     inside = _verified(blocks.select(F.col("list").alias("left")))
