@@ -151,25 +151,25 @@ class Aligner:
     def _segment(key: str) -> str:
         return key[1:] if key[:1] == "\0" and key[1:2] in (" ", "\n", "\t") else key if key[:1] == "\n" else " " + key
 
-    def _encoded(self, batch: list[str]) -> list[tuple[list[int], list[int], bool]]:
-        """Ids of A and of B, and whether both join to the segment, for each segment."""
+    def _encoded(self, batch: list[str]) -> list[np.ndarray]:
+        """For each segment how many ids A and B give and whether both join to it; and the ids of A and of B, one segment after the other."""
         whole = "".join(batch)
         raw = whole.encode("utf-8", "surrogatepass")
-        ids_a, ids_b = self.a.encode(whole, add_special_tokens=False).ids, self._b_ids(whole)
-        if b"".join([self.a_bytes[k] for k in ids_a]) == raw == b"".join([self.b_bytes[k] for k in ids_b]):
+        found = self.a.encode(whole, add_special_tokens=False).ids, self._b_ids(whole)
+        if b"".join([self.a_bytes[k] for k in found[0]]) == raw == b"".join([self.b_bytes[k] for k in found[1]]):
             ends = np.cumsum([len(s.encode("utf-8", "surrogatepass")) for s in batch])
-            at = []
-            for ids, lengths in ((ids_a, self.a_len), (ids_b, self.b_len)):
-                tokens = np.cumsum(lengths[ids])
+            ids, counts = [np.array(x, np.int64) for x in found], []
+            for x, lengths in zip(ids, (self.a_len, self.b_len), strict=True):
+                tokens = np.cumsum(lengths[x])
                 cut = np.searchsorted(tokens, ends)
                 if not np.array_equal(tokens[cut], ends):
                     break
-                at.append([0, *(cut + 1).tolist()])
+                counts.append(np.diff(cut + 1, prepend=0))
             else:
-                return [(ids_a[i:j], ids_b[k:m], True) for i, j, k, m in zip(at[0], at[0][1:], at[1], at[1][1:], strict=False)]
+                return [*counts, np.ones(len(batch), np.int64), *ids]
         if len(batch) > 1:
-            return [x for s in batch for x in self._encoded([s])]
-        return [([], [], False)]
+            return [np.concatenate(x) for x in zip(*(self._encoded([s]) for s in batch), strict=True)]
+        return [np.zeros(1, np.int64)] * 3 + [np.zeros(0, np.int64)] * 2
 
     def learn(self) -> None:
         """Encode the segments that are new since the last call."""
@@ -177,19 +177,15 @@ class Aligner:
         if done == len(self.segments):
             return
         new = [self._segment(k) for k in list(self.segments)[done:]]
-        found: list = [None] * len(new)
         # one after the other they stand as in a text; those that end in white space, or don't begin with it, go alone
-        joined = [k for k, s in enumerate(new) if s[0] in " \n\t" and not s[-1].isspace()] if self.cuts else []
-        for at in range(0, len(joined), AT_ONCE):
-            part = joined[at : at + AT_ONCE]
-            for k, x in zip(part, self._encoded([new[k] for k in part]), strict=True):
-                found[k] = x
-        for k, s in enumerate(new):
-            if found[k] is None:
-                found[k] = self._encoded([s])[0]
-        n_a, n_b = (np.array([len(x[side]) for x in found], np.int64) for side in (0, 1))
-        flat_a, flat_b = (np.array([k for x in found for k in x[side]], np.int64) for side in (0, 1))
-        good = np.array([x[2] for x in found], np.int64)
+        joined = [k for k, s in enumerate(new) if self.cuts and s[0] in " \n\t" and not s[-1].isspace()]
+        alone = sorted(set(range(len(new))) - set(joined))
+        batches = [joined[at : at + AT_ONCE] for at in range(0, len(joined), AT_ONCE)] + [[k] for k in alone]
+        encoded = [np.concatenate(x) for x in zip(*(self._encoded([new[k] for k in part]) for part in batches), strict=True)]
+        n_a, n_b, good = encoded[:3]
+        back = np.argsort(np.array(joined + alone, np.int64))  # from the order of encoding to that of the numbers
+        flat_a, flat_b = (ids[_gather(np.cumsum(n) - n, n, back)] for ids, n in zip(encoded[3:], (n_a, n_b), strict=True))
+        n_a, n_b, good = n_a[back], n_b[back], good[back]
         # offsets where both end; segments join without gaps, so all are found at once
         ends_a, ends_b = np.cumsum(self.a_len[flat_a]), np.cumsum(self.b_len[flat_b])
         _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
