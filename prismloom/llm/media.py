@@ -1,6 +1,6 @@
 """Media columns: chroma fingerprints of recordings, and their alignment.
 
-A recording is a WAV file in a binary column. Its spectrum is folded into twelve pitch classes a frame; sums over
+A recording is a WAV file of 8, 16, 24 or 32 bits in a binary column, resampled to one rate. Its spectrum is folded into twelve pitch classes a frame; sums over
 rectangles of frames and pitch classes come from an integral image, and sixteen filters that compare such sums give two
 bits each, so every position of a 16-frame window gives one packed 32-bit integer.
 
@@ -58,29 +58,57 @@ def write_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
     return out.getvalue()
 
 
+def _samples(frames: bytes, width: int) -> np.ndarray | None:
+    """Samples between -1 and 1 of whole numbers of 8 (without sign), 16, 24 or 32 bits; None of other widths."""
+    if width == 1:
+        return np.frombuffer(frames, np.uint8).astype(np.float32) / 128 - 1
+    if width == 3:
+        whole = np.zeros((len(frames) // 3, 4), np.uint8)
+        whole[:, 1:] = np.frombuffer(frames, np.uint8)[: len(frames) // 3 * 3].reshape(-1, 3)
+        return whole.view("<i4")[:, 0].astype(np.float32) / 2147483648
+    if width in (2, 4):
+        return np.frombuffer(frames[: len(frames) // width * width], f"<i{width}").astype(np.float32) / (32768 if width == 2 else 2147483648)
+    return None
+
+
+def resampled(samples: np.ndarray, rate: int) -> np.ndarray:
+    """Samples at RATE: each is the mean of what lies in its share of time, so higher tones don't fold into lower ones much."""
+    if rate == RATE or not len(samples):
+        return samples
+    ends = np.arange(int(len(samples) * RATE / rate) + 1) * (rate / RATE)
+    total = np.concatenate(([0.0], np.cumsum(samples, dtype=np.float64)))
+    return (np.diff(np.interp(ends, np.arange(len(total)), total)) * (RATE / rate)).astype(np.float32)
+
+
 def read_wav(media: bytes | None) -> tuple[np.ndarray, int]:
-    """Samples of the channels' mean and the rate; nothing where media isn't a 16-bit WAV file."""
-    try:
-        with wave.open(io.BytesIO(media or b""), "rb") as f:
-            if f.getsampwidth() != 2:
-                return np.zeros(0, np.float32), RATE
-            data = np.frombuffer(f.readframes(f.getnframes()), "<i2").reshape(-1, f.getnchannels())
-            return data.mean(axis=1, dtype=np.float32) / 32768, f.getframerate()
-    except (wave.Error, EOFError, ValueError):
-        return np.zeros(0, np.float32), RATE
+    """Samples of the channels' mean at RATE, and RATE; no samples where media isn't a WAV file of whole numbers, or its header makes no sense."""
+    return _heard(media), RATE
 
 
-@lru_cache(maxsize=8)
-def _folding(rate: int) -> np.ndarray:
+def _heard(media: bytes | None) -> np.ndarray:
+    try:
+        with wave.open(io.BytesIO(media or b""), "rb") as f:
+            rate, channels = f.getframerate(), f.getnchannels()
+            data = _samples(f.readframes(f.getnframes()), f.getsampwidth())
+            if data is None or rate <= 0 or channels <= 0:
+                return np.zeros(0, np.float32)
+            data = data[: len(data) // channels * channels].reshape(-1, channels)
+            return resampled(data.mean(axis=1, dtype=np.float32), rate)
+    except (wave.Error, EOFError, ValueError, MemoryError, OverflowError, ZeroDivisionError):
+        return np.zeros(0, np.float32)
+
+
+@lru_cache(maxsize=1)
+def _folding() -> np.ndarray:
     """Spectrum bins x pitch classes."""
-    hertz = np.fft.rfftfreq(FRAME, 1 / rate)
+    hertz = np.fft.rfftfreq(FRAME, 1 / RATE)
     fold = np.zeros((len(hertz), 12), np.float32)
     for k in np.flatnonzero((hertz >= LOWEST) & (hertz <= HIGHEST)):
         fold[k, round(12 * np.log2(hertz[k] / 440)) % 12] = 1
     return fold
 
 
-def chroma(samples: np.ndarray, rate: int = RATE) -> tuple[np.ndarray, np.ndarray]:
+def chroma(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frames x 12 shares of energy, and which frames have any."""
     if len(samples) < FRAME:
         return np.zeros((0, 12), np.float32), np.zeros(0, bool)
@@ -88,7 +116,7 @@ def chroma(samples: np.ndarray, rate: int = RATE) -> tuple[np.ndarray, np.ndarra
     energy = np.empty((len(frames), 12), np.float32)
     for k in range(0, len(frames), 4096):  # a long recording's spectrum isn't held whole
         block = frames[k : k + 4096] * np.hanning(FRAME).astype(np.float32)
-        energy[k : k + 4096] = (np.abs(np.fft.rfft(block, axis=1)).astype(np.float32) ** 2) @ _folding(rate)
+        energy[k : k + 4096] = (np.abs(np.fft.rfft(block, axis=1)).astype(np.float32) ** 2) @ _folding()
     whole = energy.sum(axis=1, keepdims=True)
     return energy / np.maximum(whole, 1e-9), whole[:, 0] > 1e-9
 
@@ -100,7 +128,7 @@ def fingerprint(media: bytes | None) -> np.ndarray:
 
 def heard(media: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprint, and which of its windows have sound."""
-    image, loud = chroma(*read_wav(media))
+    image, loud = chroma(read_wav(media)[0])
     n = len(image) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.uint32), np.zeros(0, bool)
@@ -152,7 +180,7 @@ def align(recordings: DataFrame, every: int = QUERY_EVERY) -> DataFrame:
     apart over MIN_OVERLAP integers or more; match_id is the class with the fewest errors, then the smallest.
     """
     found = materialize(fingerprints(recordings), "op6-fingerprints")
-    classes = found.groupBy("digest").agg(F.min("rec_id").alias("class_id"), F.first("items").alias("items"), F.first("loud").alias("loud"), F.max((F.col("rec_id") % every == 0).cast("int")).alias("asked"))
+    classes = found.groupBy("digest").agg(F.min("rec_id").alias("class_id"), F.first("items").alias("items"), F.max("loud").alias("loud"), F.max((F.col("rec_id") % every == 0).cast("int")).alias("asked"))
     classes = materialize(classes.where("class_id is not null"), "op6-classes")
     keys = F.array(*[F.struct(F.lit(k).alias("which"), F.col("item").bitwiseAND(F.lit(mask)).alias("part")) for k, mask in enumerate(KEYS)])
     places = classes.select("class_id", "asked", F.posexplode(F.arrays_zip("items", "loud")).alias("at", "window")).where("window.loud").select("class_id", "asked", "at", F.col("window.items").alias("item"))
