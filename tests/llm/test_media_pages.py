@@ -155,3 +155,77 @@ def test_inline_parts_named_as_something_else():
 @pytest.mark.parametrize("mess", ["<div", "<p class='x>y", "<!-- open", "<script>never closed", "</p></div>", "<a " * 3000])
 def test_broken_pages(mess):
     assert isinstance(pages.page_blocks(f"<p>before</p>{mess}"), list)
+
+
+SENTENCES = " ".join(f"This is sentence {k} of the story." for k in range(30))
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<body><form><nav>Home News</nav><div class='content'><p>{SENTENCES}</p></div></form></body>",
+        f"<body><nav>Home</nav><div class='layout no-sidebar has-comments'><article><p>{SENTENCES}</p></article></div></body>",
+        f"<body><div class='sidebar'><article><p>{SENTENCES}</p></article></div><footer>End of page</footer></body>",
+        f"<body><div class='content'><p>{SENTENCES}</p></div><nav><article>Read more about that other thing</article></nav></body>",
+        f"<body><div id='with-menu'><p>{SENTENCES}</p></div><div class='comments'>first one</div></body>",
+    ],
+)
+def test_pages_that_names_hid_keep_their_text(html):
+    assert [t for z, t in pages.kept_blocks(html) if z == pages.OPEN] == [SENTENCES]
+
+
+def test_teasers_do_not_replace_the_page():
+    html = f"<body><div class='content'><p>{SENTENCES}</p></div><ul><li><article>Read more about it</article></li></ul></body>"
+    assert [t for z, t in pages.kept_blocks(html) if z == pages.OPEN] == [SENTENCES, "Read more about it"]
+
+
+def test_text_of_main_before_its_article_stays():
+    html = f"<body><header>Site</header><main><h1>Title of it</h1><article><p>{SENTENCES}</p></article></main><div>other words</div></body>"
+    assert [t for z, t in pages.kept_blocks(html) if z == pages.OPEN] == ["Title of it", SENTENCES]
+
+
+def test_comments_longer_than_the_article_stay_out():
+    html = f"<body><article><p>{SENTENCES}</p></article><div class='comments'>{'I liked that a lot. ' * 200}</div></body>"
+    assert [t for z, t in pages.kept_blocks(html) if z == pages.OPEN] == [SENTENCES]
+
+
+def wav(samples, rate, width, channels=1):
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(channels)
+        f.setsampwidth(width)
+        f.setframerate(rate)
+        scaled = np.repeat(np.clip(samples, -1, 1), channels)
+        if width == 1:
+            f.writeframes(((scaled + 1) * 127.5).astype(np.uint8).tobytes())
+        else:
+            whole = (scaled * (2 ** (8 * width - 1) - 1)).astype("<i4")
+            f.writeframes(whole.view(np.uint8).reshape(-1, 4)[:, :width].tobytes())
+    return out.getvalue()
+
+
+def tune(rate, seconds=12):
+    at = np.arange(int(rate * seconds)) / rate
+    notes = np.array([220, 330, 262, 440, 294, 392, 349, 247, 523, 587, 311, 370])[(at * 1.7).astype(int) % 12]
+    return 0.5 * np.sin(2 * np.pi * np.cumsum(notes) / rate)
+
+
+@pytest.mark.parametrize(("rate", "width", "channels"), [(4096, 1, 1), (4096, 3, 2), (4096, 4, 1), (8000, 2, 1), (44_100, 2, 2), (48_000, 4, 1), (22_050, 3, 1)])
+def test_recordings_of_any_rate_and_width_sound_alike(rate, width, channels):
+    want = media.fingerprint(wav(tune(media.RATE), media.RATE, 2))
+    found = media.fingerprint(wav(tune(rate), rate, width, channels))
+    assert abs(len(found) - len(want)) <= 1
+    n = min(len(found), len(want))
+    assert np.bitwise_count(found[:n] ^ want[:n]).sum() / (32 * n) < 0.1
+
+
+def test_broken_headers_have_no_integers():
+    good = bytearray(wav(tune(media.RATE, 3), media.RATE, 2))
+    for at, value in ((24, b"\0\0\0\0"), (22, b"\0\0"), (34, b"\0\0"), (34, b"\x28\0"), (20, b"\3\0"), (4, b"\xff\xff\xff\x7f"), (40, b"\xff\xff\xff\xff")):
+        broken = bytes(good[:at] + value + good[at + len(value) :])
+        assert len(media.fingerprint(broken)) in (0, len(media.fingerprint(bytes(good))))
+    assert len(media.fingerprint(bytes(good[:44]))) == 0 == len(media.fingerprint(bytes(good[:30]))) == len(media.fingerprint(b"RIFF"))
+    assert len(media.fingerprint(bytes(good[:24] + b"\0\0\0\0" + good[28:]))) == 0
