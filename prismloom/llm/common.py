@@ -58,6 +58,14 @@ def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(function, schema)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with as many underscores before it as it takes to clash with none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismloom.llm.common import mapped, text_chunks
+from prismloom.llm.common import mapped, text_chunks, unused
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -171,5 +171,6 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs, as they are, whose language is determined with at least this posterior."""
     model = fit(docs.where(learnable()))
     cols = docs.columns
-    judged = predict(docs, model, cols, ("__lang_pred", "__score"))
-    return judged.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in cols])
+    predicted, score = unused("__lang_pred", cols), unused("__score", cols)
+    judged = predict(docs, model, cols, (predicted, score))
+    return judged.where((F.col(predicted) != UNDETERMINED) & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in cols])

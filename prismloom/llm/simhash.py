@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismloom.llm.common import delete_table, mapped, materialize, text_chunks, write_table
+from prismloom.llm.common import delete_table, mapped, materialize, text_chunks, unused, write_table
 
 SHINGLE = 4
 SEED = 42
@@ -168,8 +168,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id. Rows without a doc_id stay only where none has one."""
-    keep = classes(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    marked = docs.withColumn("__own_id", F.col("doc_id").cast("long")).withColumn("__own_hash", text_hash())
-    same = F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_hash") == F.col("__hash"))
-    kept = marked.join(keep.hint("merge"), same, "left_semi").dropDuplicates(["__own_id", "__own_hash"])
+    own_id, own_hash, its_id, its_hash = (unused(f"__{c}", docs.columns) for c in ("own_id", "own_hash", "id", "hash"))
+    keep = classes(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias(its_id), F.col("text_hash").alias(its_hash)).distinct()
+    marked = docs.withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_hash, text_hash())
+    same = F.col(own_id).eqNullSafe(F.col(its_id)) & (F.col(own_hash) == F.col(its_hash))
+    kept = marked.join(keep.hint("merge"), same, "left_semi").dropDuplicates([own_id, own_hash])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
