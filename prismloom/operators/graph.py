@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from prismloom.functions import draws, words
 from prismloom.plans.scene import Scene
+from prismloom.sources.scratch import stored
 
 REFERENCE_SIZE = 3
 
@@ -80,22 +81,31 @@ def _subsets(attributes: Column, size: int) -> Column:
     return found
 
 
-def references(scene: Scene, size: int = REFERENCE_SIZE, exclude_category: bool = False) -> DataFrame:
+def nodes(scene: Scene) -> DataFrame:
+    """image_id, obj_idx, component, label and sorted attributes of each object."""
+    own = scene.objects.select("image_id", "obj_idx", "label", F.array_sort(F.array_distinct("attributes")).alias("attributes"))
+    return own.join(components(scene), ["image_id", "obj_idx"])
+
+
+def references(scene: Scene, size: int = REFERENCE_SIZE, exclude_category: bool = False, of: DataFrame | None = None) -> DataFrame:
     """Ways to refer to an object: `size` of its attributes, or some of them with one neighbour and attributes of it.
 
     image_id, obj_idx, other (null without a neighbour), attributes, other_name, other_attributes, rel, direction; with
-    exclude_category also category: for each category of the object's attributes, references that use none of it.
+    exclude_category also category: for each category of the object's attributes, references that use none of it. of is a
+    stored table like nodes(), whose component and label then stand beside each reference.
     """
-    own = scene.objects.select("image_id", "obj_idx", "label", F.array_sort(F.array_distinct("attributes")).alias("attributes"))
-    subject = own.drop("label")
+    own = scene.objects.select("image_id", "obj_idx", "label", F.array_sort(F.array_distinct("attributes")).alias("attributes")) if of is None else of
+    subject = own if of is not None else own.drop("label")
     if exclude_category:
         typed = scene.attributes().groupBy("image_id", "obj_idx", "category").agg(F.collect_set("attribute").alias("of_category"))
         subject = subject.join(typed, ["image_id", "obj_idx"]).withColumn("attributes", F.array_except("attributes", "of_category")).drop("of_category")
-    keep = ["image_id", "obj_idx", *(["category"] if exclude_category else [])]
+    keep = [c for c in subject.columns if c != "attributes"]
     nothing = F.array().cast("array<string>")
-    alone = subject.select(*keep, F.explode(_subsets(F.col("attributes"), size)).alias("attributes"), F.lit(None).cast("int").alias("other"), F.lit(None).cast("string").alias("other_name"), nothing.alias("other_attributes"), F.lit(None).cast("string").alias("rel"), F.lit(None).cast("int").alias("direction"))
     near = own.select("image_id", F.col("obj_idx").alias("other"), F.col("label").alias("other_name"), F.col("attributes").alias("theirs"))
     beside = adjacency(scene).where("obj_idx <> other").distinct().join(near, ["image_id", "other"]).join(subject, ["image_id", "obj_idx"])
+    if of is not None:
+        subject, beside = stored(subject), stored(beside)
+    alone = subject.select(*keep, F.explode(_subsets(F.col("attributes"), size)).alias("attributes"), F.lit(None).cast("int").alias("other"), F.lit(None).cast("string").alias("other_name"), nothing.alias("other_attributes"), F.lit(None).cast("string").alias("rel"), F.lit(None).cast("int").alias("direction"))
     parts = [
         beside.select(*keep, "other", "other_name", "rel", "direction", F.explode(_subsets(F.col("attributes"), i)).alias("attributes"), "theirs")
         .select(*keep, "attributes", "other", "other_name", F.explode(_subsets(F.col("theirs"), size - 1 - i)).alias("other_attributes"), "rel", "direction")
@@ -107,6 +117,27 @@ def references(scene: Scene, size: int = REFERENCE_SIZE, exclude_category: bool
     return out
 
 
+#: What a reference says; two references with equal parts are one.
+PARTS = ("attributes", "other_name", "other_attributes", "rel", "direction")
+
+
+def structural_key(*more: str) -> Column:
+    """128 bits for what a reference says, built from its parts without writing it out: equal for equal attributes, neighbour, relation and direction."""
+    sides = [F.xxhash64(F.lit(salt), *more, F.xxhash64(F.lit(salt), "attributes"), F.xxhash64(F.lit(salt), "rel", "direction", "other_name", F.xxhash64(F.lit(salt), "other_attributes"))) for salt in (1, 2)]
+    return F.struct(sides[0].alias("k1"), sides[1].alias("k2"))
+
+
+def _keyed_references(scene: Scene, size: int, exclude_category: bool = False, of: DataFrame | None = None) -> DataFrame:
+    """References with component, label and key, stored; their texts are still to be written."""
+    return stored(references(scene, size, exclude_category, stored(nodes(scene)) if of is None else of).withColumn("key", structural_key()))
+
+
+def _said(grouped: DataFrame, refs: DataFrame, joint: str) -> DataFrame:
+    """grouped(image_id, component, key, one, ...) with the reference's text. one is an object that it fits, which holds the parts."""
+    parts = refs.select("image_id", F.col("obj_idx").alias("one"), "key", *PARTS).dropDuplicates(["image_id", "one", "key"])
+    return _texts(grouped.join(parts, ["image_id", "one", "key"]), joint).drop("key", "one", *PARTS)
+
+
 def _named(attributes: Column, name: Column) -> Column:
     return F.when(F.size(attributes) > 0, F.concat(words.and_list(attributes), F.lit(" "), name)).otherwise(name)
 
@@ -124,39 +155,38 @@ def _texts(df: DataFrame, joint: str) -> DataFrame:
 
 def fitting(scene: Scene, size: int = REFERENCE_SIZE, joint: str = " that ") -> DataFrame:
     """image_id, component, reference and how many objects of the component it fits."""
-    refs = _texts(references(scene, size), joint).join(components(scene), ["image_id", "obj_idx"])
-    return refs.groupBy("image_id", "component", "reference").agg(F.count_distinct("obj_idx").alias("n"))
+    refs = _keyed_references(scene, size)
+    grouped = refs.groupBy("image_id", "component", "key").agg(F.count_distinct("obj_idx").alias("n"), F.min("obj_idx").alias("one"))
+    return _said(grouped, refs, joint).select("image_id", "component", "reference", "n")
 
 
 def object_questions(scene: Scene, size: int = REFERENCE_SIZE) -> DataFrame:
     """What a reference means, per component of more than one object: all names it fits, one drawn as answer."""
-    parts = components(scene)
-    larger = parts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("image_id", "component"))).where("n > 1").drop("n")
-    refs = _texts(references(scene, size), " that ").join(larger, ["image_id", "obj_idx"]).join(scene.objects.select("image_id", "obj_idx", "label"), ["image_id", "obj_idx"])
-    grouped = refs.groupBy("image_id", "component", "reference").agg(F.sort_array(F.collect_set("label")).alias("answers"))
-    names = larger.join(scene.objects.select("image_id", "obj_idx", "label"), ["image_id", "obj_idx"]).groupBy("image_id", "component").agg(F.sort_array(F.collect_set("label")).alias("names"))
+    own = stored(nodes(scene))
+    refs = _keyed_references(scene, size, of=own)
+    of = own.groupBy("image_id", "component").agg(F.sort_array(F.collect_set("label")).alias("names"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    grouped = refs.groupBy("image_id", "component", "key").agg(F.sort_array(F.collect_set("label")).alias("answers"), F.min("obj_idx").alias("one")).join(of, ["image_id", "component"])
     keys = ("object_questions", "image_id", "component", "reference")
-    return grouped.join(names, ["image_id", "component"]).select(
+    return _said(grouped, refs, " that ").select(
         "image_id", "component", F.concat(F.lit("What is the "), "reference", F.lit("?")).alias("prompt"), "answers", draws.pick(F.col("answers"), *keys).alias("answer"), draws.some(F.array_except("names", "answers"), 3, *keys).alias("others")
     )
 
 
 def attribute_questions(scene: Scene, size: int = REFERENCE_SIZE) -> DataFrame:
     """What an attribute category of a referred object is; "other" is asked for as "attribute"."""
-    parts = components(scene)
-    refs = _texts(references(scene, size, exclude_category=True), " that ").join(parts, ["image_id", "obj_idx"])
-    valued = refs.join(scene.attributes().select("image_id", "obj_idx", "category", "attribute"), ["image_id", "obj_idx", "category"])
-    grouped = valued.groupBy("image_id", "component", "category", "reference").agg(F.sort_array(F.collect_set("attribute")).alias("answers"))
+    refs = _keyed_references(scene, size, exclude_category=True)
+    valued = refs.select("image_id", "component", "obj_idx", "category", "key").join(scene.attributes().select("image_id", "obj_idx", "category", "attribute"), ["image_id", "obj_idx", "category"])
+    grouped = valued.groupBy("image_id", "component", "category", "key").agg(F.sort_array(F.collect_set("attribute")).alias("answers"), F.min("obj_idx").alias("one"))
     kind = F.when(F.col("category") == "other", "attribute").otherwise(F.col("category"))
-    return grouped.select("image_id", "component", "category", F.concat(F.lit("What is the "), kind, F.lit(" of the "), "reference", F.lit("?")).alias("prompt"), "answers", draws.pick(F.col("answers"), "attribute_questions", "image_id", "component", "category", "reference").alias("answer"))
+    return _said(grouped, refs, " that ").select("image_id", "component", "category", F.concat(F.lit("What is the "), kind, F.lit(" of the "), "reference", F.lit("?")).alias("prompt"), "answers", draws.pick(F.col("answers"), "attribute_questions", "image_id", "component", "category", "reference").alias("answer"))
 
 
 def relation_questions(scene: Scene, size: int = REFERENCE_SIZE) -> DataFrame:
     """The relations from one object to another, each given by a reference that fits it alone and doesn't use the other."""
-    refs = _texts(references(scene, size), ", which ").join(components(scene), ["image_id", "obj_idx"])
+    refs = _keyed_references(scene, size)
     # the neighbours that one reference uses are objects of one image
-    grouped = refs.groupBy("image_id", "component", "reference").agg(F.min("obj_idx").alias("obj_idx"), F.max("obj_idx").alias("last"), F.collect_set(F.struct("other")).alias("uses"))
-    alone = grouped.where("obj_idx = last").select("image_id", "obj_idx", "reference", F.explode("uses.other").alias("other"))
+    grouped = refs.groupBy("image_id", "component", "key").agg(F.min("obj_idx").alias("one"), F.max("obj_idx").alias("last"), F.collect_set(F.struct("other")).alias("uses")).where("one = last")
+    alone = stored(_said(grouped.withColumn("obj_idx", F.col("one")), refs, ", which ").select("image_id", "obj_idx", "reference", F.explode("uses.other").alias("other")))
     rels = scene.relations.groupBy("image_id", "head", "target").agg(F.sort_array(F.collect_set("rel")).alias("answers"))
     side = lambda p, end: alone.select("image_id", F.col("obj_idx").alias(end), F.col("other").alias(f"{p}_uses"), F.col("reference").alias(f"{p}_reference"))
     both = rels.join(side("a", "head"), ["image_id", "head"]).where(~F.col("a_uses").eqNullSafe(F.col("target"))).join(side("b", "target"), ["image_id", "target"]).where(~F.col("b_uses").eqNullSafe(F.col("head")))
@@ -173,6 +203,30 @@ def as_json(scene: Scene) -> DataFrame:
     return each.groupBy("image_id").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("obj_idx").cast("string"), "node"))))).alias("graph"))
 
 
+def topological(scene: Scene) -> DataFrame:
+    """image_id, component, obj_idx and place: heads before targets, of those that may come next the smallest index; where edges run in a circle, by number of edges.
+
+    Edges are single_edges. A component's nodes and edges are one row, bounded by an image; each step of the aggregate takes
+    the smallest node all of whose heads are taken.
+    """
+    parts = components(scene)
+    members = parts.groupBy("image_id", "component").agg(F.sort_array(F.collect_list("obj_idx")).alias("nodes"))
+    edges = single_edges(scene).join(parts.withColumnRenamed("obj_idx", "head"), ["image_id", "head"]).groupBy("image_id", "component").agg(F.collect_list(F.struct("head", "target")).alias("edges"))
+    both = members.join(edges, ["image_id", "component"], "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<head:int,target:int>>")))
+    none = F.array().cast("array<int>")
+
+    def step(taken: Column, _: Column) -> Column:
+        ready = F.filter("nodes", lambda n: ~F.array_contains(taken, n) & F.forall("edges", lambda e: (e["target"] != n) | F.array_contains(taken, e["head"])))
+        return F.concat(taken, F.slice(ready, 1, 1))
+
+    ordered = F.aggregate("nodes", none, step)
+    degree = lambda n: F.size(F.filter("edges", lambda e: (e["head"] == n) | (e["target"] == n)))
+    by_degree = F.transform(F.array_sort(F.transform("nodes", lambda n: F.struct((-degree(n)).alias("d"), n.alias("n")))), lambda x: x["n"])
+    found = both.select("image_id", "component", ordered.alias("ordered"), by_degree.alias("by_degree"), "nodes")
+    order = F.when(F.size("ordered") == F.size("nodes"), F.col("ordered")).otherwise(F.col("by_degree"))
+    return found.select("image_id", "component", F.posexplode(order).alias("place", "obj_idx"))
+
+
 # Captions: a component's text depends on what was mentioned before, so it is written object by object.
 
 CAPTION = "image_id long, component int, size int, caption string"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from prismloom.functions import draws, words
 from prismloom.plans.scene import Scene
-
+from prismloom.sources.scratch import stored
 
 #: Successive numbers of a group that one task orders.
 RANGE = 10_000
@@ -92,14 +92,15 @@ def _with_and_without(having: DataFrame, universe: DataFrame, all_of: list[str],
 
     What a group lacks is never listed. In the drawn order of the universe, which its groups share, the group's own images
     have the numbers r_0 < r_1 < ...; r_j - j images before r_j are lacking, so the k-th that is lacking has the number k + (how
-    many j have r_j - j <= k): a running count over as many rows as having has, twice.
+    many j have r_j - j <= k): a running count over as many rows as having has, twice. What is read more than once is stored.
     """
-    shared = ranked(universe.select(*all_of, "image_id").distinct(), all_of, draws.key(f"{op}|without_id", *all_of, "image_id"), "rank")
-    with_id = ranked(having.select(*by, "image_id"), by, draws.key(f"{op}|with_id", *by, "image_id"), "k")
-    placed = having.select(*by, "image_id").join(shared, [*all_of, "image_id"]).withColumn("__range", F.floor(F.col("rank") / RANGE))
+    having = stored(having.select(*by, "image_id"))
+    shared = stored(ranked(universe.select(*all_of, "image_id").distinct(), all_of, draws.key(f"{op}|without_id", *all_of, "image_id"), "rank"))
+    with_id = ranked(having, by, draws.key(f"{op}|with_id", *by, "image_id"), "k")
+    placed = stored(having.join(shared, [*all_of, "image_id"]).withColumn("__range", F.floor(F.col("rank") / RANGE)))
     gaps = running(placed, by, "__range", ["rank"], F.lit(1), "j").select(*by, (F.col("rank") - F.col("j") + 1).alias("at"), F.lit(1).alias("own"), F.lit(None).cast("long").alias("k"), F.lit(None).cast(having.schema["image_id"].dataType).alias("with_id"))
     asked = with_id.select(*by, F.col("k").alias("at"), F.lit(0).alias("own"), "k", F.col("image_id").alias("with_id"))
-    events = gaps.unionByName(asked).withColumn("__range", F.floor(F.col("at") / RANGE))
+    events = stored(gaps.unionByName(asked).withColumn("__range", F.floor(F.col("at") / RANGE)))
     counted = running(events, by, "__range", ["at", F.col("own").desc()], F.col("own"), "passed").where("own = 0")
     return counted.withColumn("rank", F.col("k") + F.col("passed")).join(shared.withColumnRenamed("image_id", "without_id"), [*all_of, "rank"]).select(*by, "with_id", "without_id")
 
@@ -112,7 +113,7 @@ def has_not_object(scene: Scene, n_sample: int | None = None) -> DataFrame:
 
 def has_relation(scene: Scene, n_sample: int | None = None, negated: bool = False) -> DataFrame:
     """Of two images with a label pair, one with a relation between them and one without, which has (or hasn't) it."""
-    index, pair = scene.relation_index(), ["head_label", "target_label"]
+    index, pair = stored(scene.relation_index()), ["head_label", "target_label"]
     op = "has_not_relation" if negated else "has_relation"
     out = _with_and_without(index, index, pair, [*pair, "rel"], op)
     out = out.select(F.col("head_label").alias("object1"), F.col("rel").alias("relation"), F.col("target_label").alias("object2"), "with_id", "without_id", F.lit(negated).alias("negated"))

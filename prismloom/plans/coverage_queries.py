@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,8 +102,7 @@ def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @table_query("s15_mixed_sources", "select 'people' as source, c_name as name from customer union all select 'shops', s_name from supplier")
 def s15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    os.environ["PRISMLOOM_EXAMPLE_TABLES"] = sf_dir
-    mix = files.read_mix(spark, [{"type": "parquet", "path": "$PRISMLOOM_EXAMPLE_TABLES/customer.parquet", "name": "people"}, {"type": "parquet", "path": "${PRISMLOOM_EXAMPLE_TABLES}/supplier.parquet", "name": "shops"}])
+    mix = files.read_mix(spark, [{"type": "parquet", "path": "$TABLES/customer.parquet", "name": "people"}, {"type": "parquet", "path": "${TABLES}/supplier.parquet", "name": "shops"}], {"TABLES": sf_dir})
     return mix.select("source", F.coalesce("c_name", "s_name").alias("name"))
 
 

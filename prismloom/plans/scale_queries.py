@@ -7,9 +7,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from prismloom.operators import generators, nearest, tuples
-from prismloom.plans.queries import ORACLES, _table, joined, key_sql, scene_query, table_query
-from prismloom.plans.scene import VOCAB_OBJECTS, Scene
+from prismloom.operators import generators, graph, nearest, tuples
+from prismloom.plans.queries import COMPONENTS_SQL, ORACLES, _table, joined, key_sql, scene_query, table_query
+from prismloom.plans.scene import SCENE_SQL, VOCAB_OBJECTS, Scene
 
 # Uniform tuples
 
@@ -90,6 +90,29 @@ ORACLES["t10_user_generator_exists"] = ORACLES["g1_exists_object"]
 ORACLES["t11_user_generator_leftmost"] = ORACLES["g4_leftmost"]
 
 
+# Order of a component's objects
+
+
+@scene_query("w14b_topological_order")
+def w14b(s: Scene) -> DataFrame:
+    return graph.topological(s)
+
+
+ORACLES["w14b_topological_order"] = f"""with recursive {SCENE_SQL}, {COMPONENTS_SQL},
+    single as (select image_id, head, target from (select *, row_number() over (partition by image_id, least(head, target), greatest(head, target) order by {key_sql('single_edges', 'image_id', 'head', 'rel', 'target')}, head, rel) as no from relations) where no = 1),
+    members as (select image_id, component, list_sort(list(obj_idx)) as nodes from reach group by all),
+    kept as (select r.image_id, r.component, list({{'head': s.head, 'target': s.target}}) as edges from single s join reach r on r.image_id = s.image_id and r.obj_idx = s.head group by all),
+    g as (select m.*, coalesce(k.edges, []) as edges from members m left join kept k using (image_id, component)),
+    walk(image_id, component, taken) as (
+      select image_id, component, []::int[] from g
+      union all
+      select image_id, component, list_append(taken, next) from (select w.*, list_min(list_filter(g.nodes, lambda n: not list_contains(w.taken, n) and len(list_filter(g.edges, lambda e: e.target = n and not list_contains(w.taken, e.head))) = 0)) as next
+        from walk w join g using (image_id, component)) where next is not null),
+    longest as (select image_id, component, arg_max(taken, len(taken)) as taken from walk group by all),
+    chosen as (select image_id, component, case when len(taken) = len(nodes) then taken else list_transform(list_sort(list_transform(nodes, lambda n: {{'d': -len(list_filter(edges, lambda e: e.head = n or e.target = n)), 'n': n}})), lambda x: x.n) end as o from g join longest using (image_id, component))
+    select image_id, component, unnest(range(len(o)))::int as place, unnest(o)::int as obj_idx from chosen"""
+
+
 # Nearest categories in a vocabulary as large as the table
 
 

@@ -8,7 +8,7 @@ import os
 import pickle
 import re
 import tarfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
 import numpy as np
@@ -211,19 +211,20 @@ def register_reader(kind: str, reader: Callable[..., DataFrame]) -> None:
     _READERS[kind] = reader
 
 
-def with_environment(config):
-    """$VAR and ${VAR} in all strings of nested lists and dicts."""
+def with_environment(config, variables: Mapping[str, str] = os.environ):
+    """$VAR and ${VAR} in all strings of nested lists and dicts, by the environment or other variables; unknown ones stay."""
     if isinstance(config, dict):
-        return {k: with_environment(v) for k, v in config.items()}
+        return {k: with_environment(v, variables) for k, v in config.items()}
     if isinstance(config, list):
-        return [with_environment(v) for v in config]
-    return os.path.expandvars(config) if isinstance(config, str) else config
+        return [with_environment(v, variables) for v in config]
+    known = lambda m: variables.get(m[1] or m[2], m[0])
+    return re.sub(r"\$(?:(\w+)|\{([^}]*)\})", known, config) if isinstance(config, str) else config
 
 
-def read_mix(spark: SparkSession, configs: list[dict]) -> DataFrame:
-    """All datasets of configs ({"type", "path", "name"}), tagged with their name as source."""
+def read_mix(spark: SparkSession, configs: list[dict], variables: Mapping[str, str] = os.environ) -> DataFrame:
+    """All datasets of configs ({"type", "path", "name"}), tagged with their name as source; see with_environment for variables."""
     parts = []
-    for c in with_environment(configs):
+    for c in with_environment(configs, variables):
         if c["type"] not in _READERS:
             raise ValueError(f"no reader of type {c['type']!r}; there are {sorted(_READERS)}")
         parts.append(_READERS[c["type"]](spark, c["path"]).withColumn("source", F.lit(c.get("name", c["type"]))))

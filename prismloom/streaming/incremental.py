@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def generate_stream(images: DataFrame, generate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+def generate_stream(images: DataFrame, generate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: list[str], time: str | None = None, kept: str = "1 day") -> StreamingQuery:
     """Run generate on each micro-batch of images, those whose keys came before left out, and write its rows to path/batch=<number>.
 
     Which keys came before is the stream's own state, partitioned by key, so a batch costs by its own size and not by what
-    path holds. A batch that is run again after a failure replaces what it wrote. Generators of single images need no state.
+    path holds. With time, the name of an event-time column, a key is kept for `kept` behind the newest time and then
+    forgotten, so the state is bounded by what arrives in that while; without, it grows with the keys. A batch that is run
+    again after a failure replaces what it wrote. Generators of single images need no state.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         generate(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return images.dropDuplicates(keys).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    new = images.withWatermark(time, kept).dropDuplicatesWithinWatermark(keys) if time else images.dropDuplicates(keys)
+    return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_counts(rows: DataFrame, kind: str, value: str) -> DataFrame:

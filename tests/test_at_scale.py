@@ -172,3 +172,86 @@ def test_index_finds_the_nearest(spark, vectors, monkeypatch):
     every = {(r.id, r.name) for r in nearest.indexed(left, right, "id", "name", 10, cells=20, probes=20).collect()}
     assert every == exact
     assert nearest.indexed(left, right.where(F.lit(False)), "id", "name", 3).collect() == []
+
+
+def test_order_of_nodes_is_that_of_captions(spark):
+    from prismloom.operators import graph
+    from prismloom.plans.scene import Scene
+
+    draw = random.Random(9)
+    objects, relations = [], []
+    for image in range(60):
+        n = draw.randrange(1, 8)
+        objects += [(image, k, "x", 0, 0, 1, 1, 1.0, []) for k in range(n)]
+        relations += [(image, draw.randrange(n), "r", draw.randrange(n)) for _ in range(draw.randrange(9))]
+    schema = "image_id long, obj_idx int, label string, x1 int, y1 int, x2 int, y2 int, det_score double, attributes array<string>"
+    scene = Scene(None, spark.createDataFrame(objects, schema), spark.createDataFrame(relations, "image_id long, head int, rel string, target int"), None, None)
+    edges = {}
+    for r in graph.single_edges(scene).collect():
+        edges.setdefault(r.image_id, []).append((r.head, r.rel, r.target))
+    found = {}
+    for r in sorted(graph.topological(scene).collect()):
+        found.setdefault((r.image_id, r.component), []).append((r.place, r.obj_idx))
+    assert sum(len(x) for x in found.values()) == len(objects)
+    cycles = 0
+    for (image, _), order in found.items():
+        nodes = sorted(n for _, n in order)
+        want = graph._order(nodes, [e for e in edges.get(image, []) if e[0] in nodes])
+        assert [n for _, n in sorted(order)] == want
+        cycles += want != sorted(want) and any(e[0] == e[2] for e in edges.get(image, []))
+    assert cycles
+
+
+def test_models_are_asked_once(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from prismloom.operators import models
+
+    log, broken, cache = tmp_path / "log", tmp_path / "broken", str(tmp_path / "cache")
+    log.mkdir()
+    broken.write_text("")
+
+    def model(inputs):
+        import uuid
+
+        if any(r["text"] == "bad" for r in inputs) and broken.exists():
+            raise RuntimeError("no answer")
+        (log / uuid.uuid4().hex).write_text("\n".join(f"{r['text']}" for r in inputs))
+        return [{"length": len(r["text"] or "")} for r in inputs]
+
+    texts = [f"t{k % 30}" for k in range(90)] + ["bad", None, "bad"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string").repartition(3)
+    answer = StructType().add("length", "integer")
+    runs = models.run_batches(rows, ["text"], model, answer, cache, batches=4, at_once=7)
+    next(runs)  # interrupted behind the first batch
+    runs.close()
+    first = models.answered(rows, ["text"], cache).where("answer is not null").count()
+    assert 0 < first < 90
+    out = models.asked(rows, ["text"], model, answer, cache, batches=4, at_once=7, tries=2)
+    assert {(r.text, r.answer and r.answer.length, r.attempts) for r in out.collect()} == {(t, len(t or ""), 1) for t in texts if t != "bad"} | {("bad", None, 2)}
+    assert [(r.attempts, r.error) for r in models.retry_table(spark, cache).collect()] == [(2, "RuntimeError: no answer")]
+    broken.unlink()
+    again = models.asked(rows, ["text"], model, answer, cache, batches=4, at_once=7, tries=3)
+    assert again.where("answer is null").count() == 0
+    asked = Counter(t for f in log.iterdir() for t in f.read_text().split("\n"))
+    assert set(asked.values()) == {1} and len(asked) == 32
+
+
+def test_old_keys_of_a_stream_are_forgotten(spark, tmp_path):
+    from prismloom.streaming import incremental
+
+    source, out = str(tmp_path / "s"), str(tmp_path / "o")
+    schema = "id long, at timestamp"
+
+    def feed(rows):
+        spark.createDataFrame(rows, "id long, at string").selectExpr("id", "cast(at as timestamp) at").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        query = incremental.generate_stream(stream, lambda batch: batch, out, str(tmp_path / "c"), ["id"], time="at", kept="1 hour")
+        query.awaitTermination()
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    day = "2026-01-01 "
+    assert feed([(k, day + "10:00:00") for k in range(20)]) == 20
+    assert feed([(3, day + "10:30:00"), (99, day + "15:00:00")]) <= 21
+    assert feed([(99, day + "15:10:00"), (100, day + "15:20:00")]) == 2  # the twenty of ten o'clock are gone
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [*range(20), 99, 100]

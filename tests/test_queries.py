@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from prismloom.plans import coverage_queries, more_queries, pixel_queries, scale_queries  # noqa: F401  register their queries
+from prismloom.plans import coverage_queries, more_queries, pixel_queries, rich_queries, scale_queries  # noqa: F401  register their queries
 from prismloom.plans import queries as library
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
