@@ -1,5 +1,5 @@
 import corpus_pipeline
-from prismloom.llm import tokens
+from prismloom.llm import language, simhash, tokens
 from prismloom.llm.common import table
 from prismloom.llm.registry import VOCABULARY
 
@@ -50,3 +50,14 @@ def test_every_stage_alone_on_odd_documents(spark, odd_docs):
     assert {d for d, t, _ in masked if t and "[email]" in t} == {8}
     mixed = [(r.doc_id, r.text) for r in stages["mixing"](spark, odd_docs, "").collect()]
     assert all((t or "").strip(" \t\n\r\x0b\x0c") for _, t in mixed) and all(mixed.count(x) <= 2 * before.count(x) for x in set(mixed))
+
+
+def test_columns_named_like_those_of_the_stages_stay(spark):
+    names = ["__id", "__hash", "__own_id", "__own_hash", "___own_id", "__lang_pred", "__score", "FP", "Text_Hash", "component_id"]
+    texts = ["the cat sat on the mat and the dog lay by the door " * 3, "the cat sat on the mat and the dog lay by the door " * 3, "der hund lag an der tür und die katze sass auf der matte " * 3]
+    rows = [(k, t, "de" if k == 2 else "en", *[f"{n} {k}" for n in names]) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    for kept in (simhash.one_of_each(docs), language.accepted(docs)):
+        assert kept.columns == docs.columns
+        assert {tuple(r) for r in kept.collect()} <= set(rows)
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {0, 2}
