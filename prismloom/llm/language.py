@@ -10,7 +10,7 @@ lost; how frequent languages are is counted over all rows. The matrix is bounded
 Prediction reads whole texts of every row and nothing but the text.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without any learnable row everything is
-`und`. A null doc_id is neither held out nor learned from. Very long texts are read whole, one at a time. Repeated rows
+`und`; an empty table gives no rows. A null doc_id is neither held out nor learned from. Very long texts are read whole, one at a time. Repeated rows
 are scored alike; columns other than doc_id, text and lang are not read. Ties go to the first language by code point.
 A letter is what Unicode calls one, so number signs are none; no n-gram reaches over a U+0000 in a text.
 """

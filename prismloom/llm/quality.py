@@ -6,6 +6,7 @@ on bad documents; the posterior probability of "good" then replaces demanding th
 
 Defined results: a null or empty text has no words and fails the base test; an empty table gives no rows; repeated rows
 are judged alike; very long texts are read whole; a quality of exactly one half counts as good, which settles ties. Columns other than doc_id and text are not read.
+A row whose doc_id is null is judged like any other.
 """
 
 from __future__ import annotations

@@ -15,8 +15,9 @@ Counts combine before they are sent, joins can be split by Spark, and no group o
 ever gathered.
 
 Defined results: a null text has no words; fewer than LENGTH words are never removed; equal texts get equal results;
-repeated rows remove each other where long enough; very long texts are read whole. Columns but doc_id and text are not
-read.
+repeated rows remove each other where long enough; very long texts are read whole; of anchors that tie in a window the
+first counts, in each copy of the window alike; an empty table gives no rows; a row whose doc_id is null takes part like
+any other. Columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
