@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from prismloom.functions import draws, words
 from prismloom.plans.scene import Scene
-from prismloom.sources.scratch import stored
 
 REFERENCE_SIZE = 3
 
@@ -75,67 +74,84 @@ def adjacency(scene: Scene) -> DataFrame:
 
 def _subsets(attributes: Column, size: int) -> Column:
     """All subsets of this size of a sorted array of distinct values, as sorted arrays: each step appends what comes after the last."""
-    found = F.array(F.array().cast("array<string>"))
-    for _ in range(size):
+    if size == 0:
+        return F.array(F.array().cast("array<string>"))
+    found = F.transform(attributes, lambda a: F.array(a))
+    for _ in range(size - 1):
         found = F.flatten(F.transform(found, lambda c: F.transform(F.filter(attributes, lambda a: F.coalesce(a > F.get(c, F.size(c) - 1), F.lit(True))), lambda a: F.concat(c, F.array(a)))))  # noqa: B023
     return found
 
 
-def nodes(scene: Scene) -> DataFrame:
-    """image_id, obj_idx, component, label and sorted attributes of each object."""
-    own = scene.objects.select("image_id", "obj_idx", "label", F.array_sort(F.array_distinct("attributes")).alias("attributes"))
-    return own.join(components(scene), ["image_id", "obj_idx"])
+def _edges(scene: Scene) -> DataFrame:
+    """A row per image: its relations, each once."""
+    return scene.relations.groupBy("image_id").agg(F.collect_set(F.struct("head", "rel", "target")).alias("edges"))
 
 
-def references(scene: Scene, size: int = REFERENCE_SIZE, exclude_category: bool = False, of: DataFrame | None = None) -> DataFrame:
-    """Ways to refer to an object: `size` of its attributes, or some of them with one neighbour and attributes of it.
+def _pictures(scene: Scene, typed: bool = False) -> DataFrame:
+    """A row per image: image_id, nodes (obj_idx, label, sorted attributes, component, kinds) and edges (head, rel, target), each once.
 
-    image_id, obj_idx, other (null without a neighbour), attributes, other_name, other_attributes, rel, direction; with
-    exclude_category also category: for each category of the object's attributes, references that use none of it. of is a
-    stored table like nodes(), whose component and label then stand beside each reference.
+    kinds are an object's attributes with their categories if typed, else null. All that follows is about one image, whose
+    objects and relations are few, so it stays in the tasks that hold the images: nothing is shuffled after this.
     """
-    own = scene.objects.select("image_id", "obj_idx", "label", F.array_sort(F.array_distinct("attributes")).alias("attributes")) if of is None else of
-    subject = own if of is not None else own.drop("label")
+    own = scene.objects.select("image_id", "obj_idx", "label", F.coalesce(F.array_sort(F.array_distinct("attributes")), F.array().cast("array<string>")).alias("attributes"))
+    kind = "array<struct<category:string,attribute:string>>"
+    if typed:
+        each = own.withColumn("attribute", F.explode_outer("attributes")).join(F.broadcast(scene.attribute_vocab), "attribute", "left")
+        own = each.groupBy("image_id", "obj_idx", "label", "attributes").agg(F.collect_set(F.when(F.col("category").isNotNull(), F.struct("category", "attribute"))).alias("kinds"))
+    else:
+        own = own.withColumn("kinds", F.lit(None).cast(kind))
+    objects = own.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("obj_idx", "label", "attributes", "kinds"))).alias("nodes"))
+    edges = _edges(scene)
+    both = objects.join(edges, "image_id", "left").withColumn("edges", F.coalesce("edges", F.array().cast(edges.schema["edges"].dataType)))
+
+    def linked(found: Column, edge: Column) -> Column:
+        """All of the classes of an edge's ends become the least of both."""
+        ends = F.transform(F.filter(found, lambda x: x["n"].isin(edge["head"], edge["target"])), lambda x: x["c"])
+        return F.transform(F.array(ends), lambda e: F.transform(found, lambda x: F.struct(x["n"].alias("n"), F.when(F.array_contains(e, x["c"]), F.array_min(e)).otherwise(x["c"]).alias("c"))))[0]
+
+    alone = F.transform("nodes", lambda o: F.struct(o["obj_idx"].alias("n"), o["obj_idx"].alias("c")))
+    classes = F.aggregate("edges", alone, linked)
+    named = F.zip_with("nodes", classes, lambda o, x: F.struct(o["obj_idx"].alias("obj_idx"), o["label"].alias("label"), o["attributes"].alias("attributes"), x["c"].alias("component"), o["kinds"].alias("kinds")))
+    return both.select("image_id", named.alias("nodes"), "edges")
+
+
+def _ways(attributes: Column, theirs: Column, size: int) -> Column:
+    """Of an object with a neighbour: every choice of i of its attributes with size - 1 - i of the neighbour's."""
+    parts = [F.flatten(F.transform(_subsets(attributes, i), lambda a: F.transform(_subsets(theirs, size - 1 - i), lambda b: F.struct(a.alias("attributes"), b.alias("other_attributes"))))) for i in range(size)]  # noqa: B023
+    return F.concat(*parts)
+
+
+def _referred(pictures: DataFrame, size: int, exclude_category: bool = False) -> DataFrame:
+    """References (see references) of pictures, with component and label, with exclude_category also category and the object's attributes of it, and the image's nodes and edges."""
+    view = lambda e, mine, other, direction: F.struct(e[mine].alias("obj_idx"), e[other].alias("other"), e["rel"].alias("rel"), F.lit(direction).alias("direction"))
+    apart = F.filter("edges", lambda e: e["head"] != e["target"])
+    near = F.concat(F.transform(apart, lambda e: view(e, "head", "target", 0)), F.transform(apart, lambda e: view(e, "target", "head", 1)))
+    bare = F.transform("nodes", lambda o: F.struct(o["obj_idx"].alias("obj_idx"), F.lit(None).cast("int").alias("other"), F.lit(None).cast("string").alias("rel"), F.lit(None).cast("int").alias("direction")))
+    at = lambda idx: F.get(F.filter("nodes", lambda o: o["obj_idx"] == F.col(idx)), F.lit(0))
+    seen = pictures.select("*", F.inline(F.concat(near, bare))).withColumns({"mine": at("obj_idx"), "theirs": at("other")})
+    given, more = F.col("mine.attributes"), []
     if exclude_category:
-        typed = scene.attributes().groupBy("image_id", "obj_idx", "category").agg(F.collect_set("attribute").alias("of_category"))
-        subject = subject.join(typed, ["image_id", "obj_idx"]).withColumn("attributes", F.array_except("attributes", "of_category")).drop("of_category")
-    keep = [c for c in subject.columns if c != "attributes"]
+        seen = seen.withColumn("category", F.explode(F.array_distinct("mine.kinds.category"))).withColumn("of_category", F.transform(F.filter("mine.kinds", lambda k: k["category"] == F.col("category")), lambda k: k["attribute"]))
+        given, more = F.array_except(given, "of_category"), ["category", "of_category"]
+    said = seen.select("*", F.col("mine.component").alias("component"), F.col("mine.label").alias("label"), F.col("theirs.label").alias("other_name"), given.alias("given"), "mine", "theirs")
     nothing = F.array().cast("array<string>")
-    near = own.select("image_id", F.col("obj_idx").alias("other"), F.col("label").alias("other_name"), F.col("attributes").alias("theirs"))
-    beside = adjacency(scene).where("obj_idx <> other").distinct().join(near, ["image_id", "other"]).join(subject, ["image_id", "obj_idx"])
-    if of is not None:
-        subject, beside = stored(subject), stored(beside)
-    alone = subject.select(*keep, F.explode(_subsets(F.col("attributes"), size)).alias("attributes"), F.lit(None).cast("int").alias("other"), F.lit(None).cast("string").alias("other_name"), nothing.alias("other_attributes"), F.lit(None).cast("string").alias("rel"), F.lit(None).cast("int").alias("direction"))
-    parts = [
-        beside.select(*keep, "other", "other_name", "rel", "direction", F.explode(_subsets(F.col("attributes"), i)).alias("attributes"), "theirs")
-        .select(*keep, "attributes", "other", "other_name", F.explode(_subsets(F.col("theirs"), size - 1 - i)).alias("other_attributes"), "rel", "direction")
-        for i in range(size)
-    ]
-    out = alone
-    for p in parts:
-        out = out.unionByName(p)
-    return out
-
-
-#: What a reference says; two references with equal parts are one.
-PARTS = ("attributes", "other_name", "other_attributes", "rel", "direction")
-
+    ways = F.when(F.col("other").isNull(), F.transform(_subsets(F.col("given"), size), lambda a: F.struct(a.alias("attributes"), nothing.alias("other_attributes")))).when(F.col("mine").isNotNull() & F.col("theirs").isNotNull(), _ways(F.col("given"), F.col("theirs.attributes"), size))
+    return said.select("image_id", "nodes", "edges", "obj_idx", "component", "label", *more, "other", "other_name", "rel", "direction", F.inline(ways))
 
-def structural_key(*more: str) -> Column:
-    """128 bits for what a reference says, built from its parts without writing it out: equal for equal attributes, neighbour, relation and direction."""
-    sides = [F.xxhash64(F.lit(salt), *more, F.xxhash64(F.lit(salt), "attributes"), F.xxhash64(F.lit(salt), "rel", "direction", "other_name", F.xxhash64(F.lit(salt), "other_attributes"))) for salt in (1, 2)]
-    return F.struct(sides[0].alias("k1"), sides[1].alias("k2"))
 
+def references(scene: Scene, size: int = REFERENCE_SIZE, exclude_category: bool = False) -> DataFrame:
+    """Ways to refer to an object: `size` of its attributes, or some of them with one neighbour and attributes of it.
 
-def _keyed_references(scene: Scene, size: int, exclude_category: bool = False, of: DataFrame | None = None) -> DataFrame:
-    """References with component, label and key, stored; their texts are still to be written."""
-    return stored(references(scene, size, exclude_category, stored(nodes(scene)) if of is None else of).withColumn("key", structural_key()))
+    image_id, obj_idx, other (null without a neighbour), attributes, other_name, other_attributes, rel, direction; with
+    exclude_category also category: for each category of the object's attributes, references that use none of it.
+    """
+    found = _referred(_pictures(scene, exclude_category), size, exclude_category)
+    return found.select("image_id", "obj_idx", *(["category"] if exclude_category else []), "attributes", "other", "other_name", "other_attributes", "rel", "direction")
 
 
-def _said(grouped: DataFrame, refs: DataFrame, joint: str) -> DataFrame:
-    """grouped(image_id, component, key, one, ...) with the reference's text. one is an object that it fits, which holds the parts."""
-    parts = refs.select("image_id", F.col("obj_idx").alias("one"), "key", *PARTS).dropDuplicates(["image_id", "one", "key"])
-    return _texts(grouped.join(parts, ["image_id", "one", "key"]), joint).drop("key", "one", *PARTS)
+def _told(scene: Scene, size: int, joint: str, exclude_category: bool = False) -> DataFrame:
+    """References with their texts; an image's are in one task, so grouping them shuffles nothing."""
+    return _texts(_referred(_pictures(scene, exclude_category), size, exclude_category), joint)
 
 
 def _named(attributes: Column, name: Column) -> Column:
@@ -155,43 +171,45 @@ def _texts(df: DataFrame, joint: str) -> DataFrame:
 
 def fitting(scene: Scene, size: int = REFERENCE_SIZE, joint: str = " that ") -> DataFrame:
     """image_id, component, reference and how many objects of the component it fits."""
-    refs = _keyed_references(scene, size)
-    grouped = refs.groupBy("image_id", "component", "key").agg(F.count_distinct("obj_idx").alias("n"), F.min("obj_idx").alias("one"))
-    return _said(grouped, refs, joint).select("image_id", "component", "reference", "n")
+    return _told(scene, size, joint).groupBy("image_id", "component", "reference").agg(F.size(F.collect_set("obj_idx")).cast("long").alias("n"))
 
 
 def object_questions(scene: Scene, size: int = REFERENCE_SIZE) -> DataFrame:
     """What a reference means, per component of more than one object: all names it fits, one drawn as answer."""
-    own = stored(nodes(scene))
-    refs = _keyed_references(scene, size, of=own)
-    of = own.groupBy("image_id", "component").agg(F.sort_array(F.collect_set("label")).alias("names"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    grouped = refs.groupBy("image_id", "component", "key").agg(F.sort_array(F.collect_set("label")).alias("answers"), F.min("obj_idx").alias("one")).join(of, ["image_id", "component"])
+    members = F.filter("nodes", lambda o: o["component"] == F.col("component"))
+    told = _told(scene, size, " that ").withColumn("members", members).where(F.size("members") > 1)
+    names = F.sort_array(F.array_distinct(F.transform("members", lambda o: o["label"])))
+    grouped = told.groupBy("image_id", "component", "reference").agg(F.sort_array(F.collect_set("label")).alias("answers"), F.first(names).alias("names"))
     keys = ("object_questions", "image_id", "component", "reference")
-    return _said(grouped, refs, " that ").select(
+    return grouped.select(
         "image_id", "component", F.concat(F.lit("What is the "), "reference", F.lit("?")).alias("prompt"), "answers", draws.pick(F.col("answers"), *keys).alias("answer"), draws.some(F.array_except("names", "answers"), 3, *keys).alias("others")
     )
 
 
 def attribute_questions(scene: Scene, size: int = REFERENCE_SIZE) -> DataFrame:
     """What an attribute category of a referred object is; "other" is asked for as "attribute"."""
-    refs = _keyed_references(scene, size, exclude_category=True)
-    valued = refs.select("image_id", "component", "obj_idx", "category", "key").join(scene.attributes().select("image_id", "obj_idx", "category", "attribute"), ["image_id", "obj_idx", "category"])
-    grouped = valued.groupBy("image_id", "component", "category", "key").agg(F.sort_array(F.collect_set("attribute")).alias("answers"), F.min("obj_idx").alias("one"))
+    told = _told(scene, size, " that ", exclude_category=True)
+    grouped = told.groupBy("image_id", "component", "category", "reference").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("of_category")))).alias("answers"))
     kind = F.when(F.col("category") == "other", "attribute").otherwise(F.col("category"))
-    return _said(grouped, refs, " that ").select("image_id", "component", "category", F.concat(F.lit("What is the "), kind, F.lit(" of the "), "reference", F.lit("?")).alias("prompt"), "answers", draws.pick(F.col("answers"), "attribute_questions", "image_id", "component", "category", "reference").alias("answer"))
+    return grouped.select("image_id", "component", "category", F.concat(F.lit("What is the "), kind, F.lit(" of the "), "reference", F.lit("?")).alias("prompt"), "answers", draws.pick(F.col("answers"), "attribute_questions", "image_id", "component", "category", "reference").alias("answer"))
 
 
 def relation_questions(scene: Scene, size: int = REFERENCE_SIZE) -> DataFrame:
-    """The relations from one object to another, each given by a reference that fits it alone and doesn't use the other."""
-    refs = _keyed_references(scene, size)
+    """The relations from one object to another, each given by a reference that fits it alone and doesn't use the other.
+
+    An image's references that fit one object alone are gathered beside its edges, both bounded by the image.
+    """
+    told = _told(scene, size, ", which ")
     # the neighbours that one reference uses are objects of one image
-    grouped = refs.groupBy("image_id", "component", "key").agg(F.min("obj_idx").alias("one"), F.max("obj_idx").alias("last"), F.collect_set(F.struct("other")).alias("uses")).where("one = last")
-    alone = stored(_said(grouped.withColumn("obj_idx", F.col("one")), refs, ", which ").select("image_id", "obj_idx", "reference", F.explode("uses.other").alias("other")))
-    rels = scene.relations.groupBy("image_id", "head", "target").agg(F.sort_array(F.collect_set("rel")).alias("answers"))
-    side = lambda p, end: alone.select("image_id", F.col("obj_idx").alias(end), F.col("other").alias(f"{p}_uses"), F.col("reference").alias(f"{p}_reference"))
-    both = rels.join(side("a", "head"), ["image_id", "head"]).where(~F.col("a_uses").eqNullSafe(F.col("target"))).join(side("b", "target"), ["image_id", "target"]).where(~F.col("b_uses").eqNullSafe(F.col("head")))
-    prompt = F.concat(F.lit("What is the relation from the "), "a_reference", F.lit(", to the "), "b_reference", F.lit("?"))
-    return both.select("image_id", "head", "target", prompt.alias("prompt"), "answers").distinct()
+    grouped = told.groupBy("image_id", "component", "reference").agg(F.min("obj_idx").alias("one"), F.max("obj_idx").alias("last"), F.collect_set(F.struct("other")).alias("uses")).where("one = last")
+    alone = grouped.groupBy("image_id").agg(F.collect_list(F.struct(F.col("one").alias("obj_idx"), "reference", F.col("uses.other").alias("uses"))).alias("alone"))
+    pairs = _edges(scene).select("image_id", "edges", F.explode(F.array_distinct(F.transform("edges", lambda e: F.struct(e["head"].alias("head"), e["target"].alias("target"))))).alias("p"))
+    rels = F.sort_array(F.array_distinct(F.transform(F.filter("edges", lambda e: (e["head"] == F.col("p.head")) & (e["target"] == F.col("p.target"))), lambda e: e["rel"])))
+    both = pairs.select("image_id", "p.head", "p.target", rels.alias("answers")).join(alone, "image_id")
+    side = lambda end, other: F.transform(F.filter("alone", lambda r: (r["obj_idx"] == F.col(end)) & F.exists(r["uses"], lambda u: ~u.eqNullSafe(F.col(other)))), lambda r: r["reference"])
+    sides = both.select("image_id", "head", "target", "answers", side("head", "target").alias("a"), side("target", "head").alias("b"))
+    prompts = F.array_distinct(F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.concat(F.lit("What is the relation from the "), a, F.lit(", to the "), b, F.lit("?"))))))
+    return sides.select("image_id", "head", "target", F.explode(prompts).alias("prompt"), "answers")
 
 
 def as_json(scene: Scene) -> DataFrame:

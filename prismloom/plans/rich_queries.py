@@ -17,13 +17,13 @@ _WORDS = [a for a, _ in VOCAB_ATTRIBUTES]
 
 def rich_scene(spark: SparkSession, sf_dir: str) -> Scene:
     ship(spark)
-    line, part = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/part.parquet")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    line, part = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumnRenamed("l_orderkey", "image_id"), spark.read.parquet(f"{sf_dir}/part.parquet")
+    order = Window.partitionBy("image_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     name, vocab = F.split("p_name", " "), F.array(*[F.lit(w) for w in _WORDS])
     more = lambda c, every: F.when(F.col(c) % every > 0, F.get(vocab, (F.col(c) % len(_WORDS)).cast("int")))
     attributes = F.array_sort(F.array_distinct(F.array_compact(F.array(name[0], more("l_suppkey", 3), more("l_partkey", 2)))))
     raw = line.join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("image_id"), (F.row_number().over(order) - 1).cast("int").alias("obj_idx"), name[1].alias("label"), attributes.alias("attributes"), "l_suppkey", "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("rel")
+        "image_id", (F.row_number().over(order) - 1).cast("int").alias("obj_idx"), name[1].alias("label"), attributes.alias("attributes"), "l_suppkey", "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("rel")
     )
     n = F.count(F.lit(1)).over(Window.partitionBy("image_id"))
     sized = raw.withColumn("n", n).where("l_partkey % 5 > 0").withColumn("target", ((F.col("l_suppkey") * 7 + F.col("l_partkey") * 3) % F.col("n")).cast("int"))

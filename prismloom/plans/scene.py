@@ -113,11 +113,12 @@ class Scene:
 def driver_scene(spark: SparkSession, sf_dir: str) -> Scene:
     """The scene-graph reading of lineitem and part: orders are images, line items objects, and neighbours relate."""
     ship(spark)
-    line, part = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/part.parquet")
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
+    # named before the window, so that what groups by image finds the images together and shuffles nothing
+    line, part = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumnRenamed("l_orderkey", "image_id"), spark.read.parquet(f"{sf_dir}/part.parquet")
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
     name = F.split("p_name", " ")
     raw = line.join(part.select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("image_id"),
+        "image_id",
         place.cast("int").alias("obj_idx"),
         name[1].alias("label"),
         F.array(name[0]).alias("attributes"),
@@ -136,7 +137,7 @@ def driver_scene(spark: SparkSession, sf_dir: str) -> Scene:
     here, after = F.col("obj_idx"), F.col("obj_idx") + 1
     both = F.array(F.when(F.col("forward"), F.struct(here.alias("head"), F.col("rel").alias("rel"), after.alias("target"))), F.when(F.col("backward"), F.struct(after.alias("head"), F.lit("near").alias("rel"), here.alias("target"))))
     relations = linked.select("image_id", F.explode(F.filter(both, lambda e: e.isNotNull())).alias("e")).select("image_id", "e.head", "e.rel", "e.target")
-    images = line.select(F.col("l_orderkey").alias("image_id")).distinct().select("image_id", F.lit(CANVAS).alias("width"), F.lit(CANVAS).alias("height"))
+    images = line.select("image_id").distinct().select("image_id", F.lit(CANVAS).alias("width"), F.lit(CANVAS).alias("height"))
     return Scene(images, objects, relations, spark.createDataFrame(VOCAB_ATTRIBUTES, "attribute string, category string"), spark.createDataFrame(VOCAB_OBJECTS, "object string, countable int"))
 
 

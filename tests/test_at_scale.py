@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from collections import Counter
 from itertools import combinations
 from math import comb
@@ -10,7 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismloom.operators import generators, nearest, tuples
+from prismloom.operators import generators, graph, nearest, tuples
+from prismloom.plans.rich_queries import rich_scene
+from prismloom.plans.scene import Scene
 from prismloom.sources import annotations, json_objects
 
 
@@ -255,3 +258,21 @@ def test_old_keys_of_a_stream_are_forgotten(spark, tmp_path):
     assert feed([(3, day + "10:30:00"), (99, day + "15:00:00")]) <= 21
     assert feed([(99, day + "15:10:00"), (100, day + "15:20:00")]) == 2  # the twenty of ten o'clock are gone
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [*range(20), 99, 100]
+
+
+@pytest.mark.parametrize("ask", ["fitting", "object_questions", "attribute_questions", "relation_questions"])
+def test_references_are_grouped_where_their_images_are(spark, small, ask):
+    plan = getattr(graph, ask)(rich_scene(spark, small), 2)._jdf.queryExecution().executedPlan().toString()
+    by = {re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)}
+    assert "image_id" in by and by <= {"image_id", "l_partkey", "p_partkey"}
+
+
+def test_references_that_read_alike_are_one(spark):
+    objects = spark.createDataFrame([(1, 0, "rod", ["red"]), (1, 1, "small bolt", ["dark"]), (1, 2, "bolt", ["dark small"]), (1, 3, "rod", None)], "image_id long, obj_idx int, label string, attributes array<string>")
+    relations = spark.createDataFrame([(1, 0, "near", 1), (1, 3, "near", 2), (1, 0, "on", 3), (1, 2, "by", 7)], "image_id long, head int, rel string, target int")
+    scene = Scene(objects.select("image_id").distinct(), objects, relations.where("target < 7"), spark.createDataFrame([("red", "color")], "attribute string, category string"), spark.createDataFrame([("rod", 1)], "object string, countable int"))
+    found = {r.reference: r.n for r in graph.fitting(scene, 2).collect()}
+    assert found["object that is near the dark small bolt"] == 2 and found["red object that is near the small bolt"] == 1
+    assert found["object that the red rod is on"] == 1
+    loose = Scene(scene.images, objects, relations, scene.attribute_vocab, scene.object_vocab)
+    assert {r.reference: r.n for r in graph.fitting(loose, 2).collect()} == found  # a relation to no object says nothing
