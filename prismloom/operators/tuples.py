@@ -11,7 +11,8 @@ numbered in the drawn order of multi.ranked, so no task sees all groups, all dra
 
 from __future__ import annotations
 
-from math import comb, factorial
+from decimal import Decimal
+from math import comb
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -48,18 +49,25 @@ def _unranked(n: int):
 
 
 def _tuples_of(m: Column, n: int) -> Column:
-    """C(m, n); the product of n numbers must fit 38 digits."""
-    product = F.lit(1).cast(WIDE)
-    for k in range(n):
-        product = (product * (m - k).cast("decimal(19,0)")).cast(WIDE)
-    return F.when(m >= n, F.call_function("div", product, F.lit(factorial(n)).cast(WIDE)).cast(WIDE)).otherwise(F.lit(0).cast(WIDE))
+    """C(m, n), which must fit 38 digits. One number a group, so Python's whole numbers may count: Spark's div ends at 64 bits."""
+
+    @F.arrow_udf(WIDE)
+    def counted(sizes: pa.Array) -> pa.Array:
+        return pa.array([Decimal(comb(x, n)) for x in sizes.to_pylist()], pa.decimal128(38, 0))
+
+    return counted(m.cast("long"))
+
+
+def _whole(n: int) -> Column:
+    """A whole number of up to 38 digits; a literal of Python's ends at 64 bits."""
+    return F.lit(str(n)).cast(WIDE)
 
 
 def _drawn_rank(op: str, k: Column, total: Column) -> Column:
     """A number from 0 up to total: 96 bits of a key, modulo total."""
     key = draws.key(op, k)
     part = lambda at: F.conv(F.substring(key, at, 12), 16, 10).cast(WIDE)
-    return F.pmod((part(1) * F.lit(1 << 48).cast("decimal(19,0)")).cast(WIDE) + part(13), total.cast(WIDE)).cast(WIDE)
+    return F.pmod((part(1) * F.lit(1 << 48).cast("decimal(19,0)")).cast(WIDE) + part(13), total).cast(WIDE)
 
 
 def drawn_ranks(df: DataFrame, total: int, n_sample: int, op: str) -> DataFrame:
@@ -71,7 +79,7 @@ def drawn_ranks(df: DataFrame, total: int, n_sample: int, op: str) -> DataFrame:
         kept = keyed.orderBy("k", "rank").limit(wanted)
         return ranked(kept.withColumn("image_id", F.col("rank")), [], F.col("k")).select("no", "rank")
     # at most every second number is taken, so a fresh draw succeeds at least every second time
-    tries = spark.range(4 * n_sample + 200).select("id", _drawn_rank(op, F.col("id"), F.lit(total)).alias("rank"))
+    tries = spark.range(4 * n_sample + 200).select("id", _drawn_rank(op, F.col("id"), _whole(total)).alias("rank"))
     first = tries.groupBy("rank").agg(F.min("id").alias("k")).orderBy("k").limit(wanted)
     return ranked(first.withColumn("image_id", F.col("k")), [], draws.key(f"{op}|no", "k")).select("no", "rank")
 
@@ -92,7 +100,7 @@ def uniform_tuples(index: DataFrame, by: list[str], n: int, n_sample: int, op: s
     ends = running(keyed, [], "part", ["key", *by], F.col("tuples"), "end").select(*by, "tuples", (F.col("end") - F.col("tuples")).cast(WIDE).alias("start"))
     slices = max(1, min(n_sample, total))
     width = -(-total // slices)
-    slice_of = lambda c: F.call_function("div", c.cast(WIDE), F.lit(width).cast(WIDE))
+    slice_of = lambda c: F.call_function("div", c.cast(WIDE), _whole(width))
     groups = ends.withColumn("slice", F.explode(F.sequence(slice_of(F.col("start")), slice_of(F.col("start") + F.col("tuples") - 1))))
     chosen = drawn_ranks(index, total, n_sample, op).withColumn("slice", slice_of(F.col("rank")))
     found = chosen.join(groups, "slice").where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("tuples")))

@@ -276,3 +276,12 @@ def test_references_that_read_alike_are_one(spark):
     assert found["object that the red rod is on"] == 1
     loose = Scene(scene.images, objects, relations, scene.attribute_vocab, scene.object_vocab)
     assert {r.reference: r.n for r in graph.fitting(loose, 2).collect()} == found  # a relation to no object says nothing
+
+
+@pytest.mark.parametrize(("images", "n"), [(2000, 8), (90, 30)])
+def test_more_tuples_than_64_bits_hold(spark, images, n):
+    index = spark.range(images).selectExpr("'a' as label", "id as image_id").unionByName(spark.range(n).selectExpr("'b' as label", "id as image_id"))
+    assert comb(images, n) > 2**63
+    found = tuples.uniform_tuples(index, ["label"], n, 20, "wide").collect()
+    assert sorted(r.no for r in found) == list(range(20))
+    assert all(len({r[f"image_id_{k}"] for k in range(n)}) == n for r in found)
