@@ -135,7 +135,12 @@ def _to_add(met: DataFrame, first_areas: DataFrame, second_areas: DataFrame, mod
     """Of met(image_id, region_id, overlap, iou, area) the regions that a merge mode takes."""
     medians = first_areas.groupBy("image_id").agg(F.percentile("area", 0.5).alias("median"))
     quartiles = second_areas.groupBy("image_id").agg(F.percentile("area", 0.75).alias("quartile"))
-    both = met.join(medians, "image_id", "left").join(quartiles, "image_id").where(F.col("iou") <= most_iou)
+    return _taken(met.join(medians, "image_id", "left").join(quartiles, "image_id"), mode, most_overlap, most_iou)
+
+
+def _taken(met: DataFrame, mode: int, most_overlap: float, most_iou: float) -> DataFrame:
+    """The same with median and quartile beside each region."""
+    both = met.where(F.col("iou") <= most_iou)
     free, medium, large = F.col("overlap") < most_overlap, F.col("area") > F.coalesce("median", F.lit(0.0)), F.col("area") > F.col("quartile")
     return both.where({0: free | medium | large, 1: free, 2: medium, 3: medium & free, 4: large & free}[mode]).select("image_id", "region_id")
 
@@ -155,25 +160,52 @@ def merged_regions(first: DataFrame, second: DataFrame, mode: int, most_overlap:
     return _to_add(met, first.select("image_id", area), second.select("image_id", area), mode, most_overlap, most_iou)
 
 
-def mask_overlaps(first: DataFrame, second: DataFrame) -> DataFrame:
+def _beside(first: DataFrame, second: DataFrame) -> DataFrame:
+    """A row per image of second: f and b, the masks of first and second with key, mask, area and box. Both are bounded by an image and read once."""
+    listed = lambda df, key, name: df.groupBy("image_id").agg(F.collect_list(F.struct(F.col(key).alias("key"), "mask", masks.area("mask").alias("area"), masks.bounds("mask").alias("box"))).alias(name))
+    f = listed(first, "first_id", "f")
+    return listed(second, "region_id", "b").join(f, "image_id", "left").withColumn("f", F.coalesce("f", F.array().cast(f.schema["f"].dataType)))
+
+
+def _near(region: str) -> Column:
+    """Those of f whose boxes meet a region's: only they are worth a sweep."""
+    b = F.col(region)["box"]
+    return F.filter("f", lambda x: (x["box"]["x1"] < b["x2"]) & (b["x1"] < x["box"]["x2"]) & (x["box"]["y1"] < b["y2"]) & (b["y1"] < x["box"]["y2"]))
+
+
+def mask_overlaps(first: DataFrame, second: DataFrame, ordered: bool = False) -> DataFrame:
     """Pairs of masks of an image that share pixels: image_id, first_id, region_id and shared, their number.
 
-    first(image_id, first_id, mask), second(image_id, region_id, mask). Boxes decide which pairs are worth a sweep.
+    first(image_id, first_id, mask), second(image_id, region_id, mask). Boxes decide which pairs are worth a sweep, and
+    with ordered only those with first_id < region_id are.
     """
-    a = first.select("image_id", "first_id", F.col("mask").alias("f_mask"), masks.bounds("mask").alias("f"))
-    b = second.select("image_id", "region_id", "mask", masks.bounds("mask").alias("b"))
-    near = (F.col("f.x1") < F.col("b.x2")) & (F.col("b.x1") < F.col("f.x2")) & (F.col("f.y1") < F.col("b.y2")) & (F.col("b.y1") < F.col("f.y2"))
-    met = a.join(b, "image_id").where(near)
-    return met.select("image_id", "first_id", "region_id", masks.intersection_area("f_mask", "mask").alias("shared")).where("shared > 0")
+    wanted = F.filter(_near("r"), lambda x: x["key"] < F.col("r.key")) if ordered else _near("r")
+    met = _beside(first, second).select("image_id", "f", F.explode("b").alias("r")).select("image_id", "r", F.explode(wanted).alias("x"))
+    return met.select("image_id", F.col("x.key").alias("first_id"), F.col("r.key").alias("region_id"), masks.intersection_area("x.mask", "r.mask").alias("shared")).where("shared > 0")
+
+
+def _percentile(values: Column, share: float) -> Column:
+    """As F.percentile, of an array in order; null of an empty one."""
+    at = (F.size(values) - 1) * F.lit(share)
+    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+    of = lambda k: F.get(values, k).cast("double")
+    return F.when(F.size(values) > 0, F.when(of(low) == of(high), of(low)).otherwise((high - at) * of(low) + (at - low) * of(high)))
 
 
 def merged_by_masks(first: DataFrame, second: DataFrame, mode: int, most_overlap: float = 0.6, most_iou: float = 0.7) -> DataFrame:
-    """As merged_regions, with areas and overlaps of masks. first(image_id, first_id, mask), second(image_id, region_id, mask)."""
-    areas = [df.select("image_id", key, masks.area("mask").alias("area")) for df, key in ((first, "first_id"), (second, "region_id"))]
-    shared = mask_overlaps(first, second).join(areas[0].withColumnRenamed("area", "f_area"), ["image_id", "first_id"]).join(areas[1], ["image_id", "region_id"])
-    most = shared.groupBy("image_id", "region_id").agg(F.max(F.col("shared") / F.col("area")).alias("overlap"), F.max(F.col("shared") / (F.col("area") + F.col("f_area") - F.col("shared"))).alias("iou"))
-    met = areas[1].join(most, ["image_id", "region_id"], "left").fillna(0.0, ["overlap", "iou"])
-    return _to_add(met, areas[0], areas[1], mode, most_overlap, most_iou)
+    """As merged_regions, with areas and overlaps of masks. first(image_id, first_id, mask), second(image_id, region_id, mask).
+
+    A region meets the masks of first in its image's row; what is grouped afterwards are numbers, not masks.
+    """
+    areas = lambda c: F.array_sort(F.filter(F.transform(c, lambda x: x["area"]), lambda a: a.isNotNull()))
+    given = _beside(first, second).select("image_id", "f", "b", _percentile(areas("f"), 0.5).alias("median"), _percentile(areas("b"), 0.75).alias("quartile"))
+    each = given.select("image_id", "f", "median", "quartile", F.explode("b").alias("r")).select("image_id", "median", "quartile", "r", F.explode_outer(_near("r")).alias("x"))
+    shared = each.select("image_id", F.col("r.key").alias("region_id"), "median", "quartile", F.col("r.area").alias("area"), F.col("x.area").alias("f_area"), masks.intersection_area("x.mask", "r.mask").alias("shared"))
+    most = lambda of: F.max(F.when(F.col("shared") > 0, F.col("shared") / of))
+    met = shared.groupBy("image_id", "region_id").agg(
+        most(F.col("area")).alias("overlap"), most(F.col("area") + F.col("f_area") - F.col("shared")).alias("iou"), *[F.max(c).alias(c) for c in ("area", "median", "quartile")]
+    )
+    return _taken(met.fillna(0.0, ["overlap", "iou"]), mode, most_overlap, most_iou)
 
 
 def embedded_json(text: Column, schema: str) -> Column:

@@ -86,7 +86,7 @@ _PAIRS = "select a.image_id, a.obj_idx as first_id, b.obj_idx as region_id, coun
 @scene_query("j12_shared_pixels", f"{_PAIRS} and a.obj_idx < b.obj_idx group by all", CELLS_SQL)
 def j12(s: Scene) -> DataFrame:
     each = diamonds(s).select("image_id", "obj_idx", "mask")
-    return parse.mask_overlaps(each.withColumnRenamed("obj_idx", "first_id"), each.withColumnRenamed("obj_idx", "region_id")).where("first_id < region_id")
+    return parse.mask_overlaps(each.withColumnRenamed("obj_idx", "first_id"), each.withColumnRenamed("obj_idx", "region_id"), ordered=True)
 
 
 @scene_query("s4_label_map", f"select image_id, obj_idx, count(*) as area, sum(y * {GRID} + x)::bigint as offsets from tops group by all", CELLS_SQL)

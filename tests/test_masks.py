@@ -179,3 +179,16 @@ def test_large_images_are_probed(spark):
     assert near - far >= single.DEPTH_GAP
     points = single.segment_points(maps, by_rank=True).collect()[0]
     assert labels[points.anchor_point.y, points.anchor_point.x] == labels[points.same_point.y, points.same_point.x] == 1 and labels[points.diff_point.y, points.diff_point.x] == 0
+
+
+def test_masks_of_an_image_meet_without_being_shuffled(spark, small):
+    import re
+
+    from prismloom.plans import pixel_queries  # noqa: F401  registers its queries
+    from prismloom.plans.queries import QUERIES
+
+    for name in ("sg18c_merged_by_masks_0", "j12_shared_pixels"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet [l_orderkey") == 2, name  # once for each side
+        by = {re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)}
+        assert by <= {"image_id", "l_partkey", "p_partkey", "image_id, region_id"}, name
