@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from prismloom.functions import draws, words
 from prismloom.plans.scene import Scene
 
 REFERENCE_SIZE = 3
+#: Rows that a task makes of its images before it passes them on.
+BATCH = 20_000
 
 
 def single_edges(scene: Scene) -> DataFrame:
@@ -21,26 +26,32 @@ def single_edges(scene: Scene) -> DataFrame:
     return scene.relations.withColumn("__no", place).where("__no = 1").drop("__no")
 
 
+def _classes(own: list[int], ends: Iterable[tuple[int, int]]) -> dict[int, int]:
+    """Each node's component, named by its smallest node; ends that are no nodes connect nothing."""
+    parent = {n: n for n in own}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for h, t in ends:
+        if h in parent and t in parent:
+            a, b = find(h), find(t)
+            parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in parent}
+
+
 def _roots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over each image's edges; the smaller index is the root."""
+    """The components of each image's objects."""
     for frame in frames:
         images, nodes, roots = [], [], []
         for image_id, own, heads, targets in zip(frame["image_id"], frame["nodes"], frame["heads"], frame["targets"], strict=True):
-            parent = {n: n for n in own.tolist()}
-
-            def find(x: int, parent: dict[int, int] = parent) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            if heads is not None:
-                for h, t in zip(heads.tolist(), targets.tolist(), strict=True):
-                    a, b = find(h), find(t)
-                    parent[max(a, b)] = min(a, b)
-            images += [image_id] * len(parent)
-            nodes += parent
-            roots += [find(n) for n in parent]
+            found = _classes(own.tolist(), zip(heads.tolist(), targets.tolist(), strict=True) if heads is not None else ())
+            images += [image_id] * len(found)
+            nodes += found
+            roots += found.values()
         yield pd.DataFrame({"image_id": images, "obj_idx": nodes, "component": roots})
 
 
@@ -87,56 +98,104 @@ def _edges(scene: Scene) -> DataFrame:
     return scene.relations.groupBy("image_id").agg(F.collect_set(F.struct("head", "rel", "target")).alias("edges"))
 
 
-def _pictures(scene: Scene, typed: bool = False) -> DataFrame:
-    """A row per image: image_id, nodes (obj_idx, label, sorted attributes, component, kinds) and edges (head, rel, target), each once.
+def _lists(column: pa.Array) -> list:
+    """A column as Python lists, however deep."""
+    if not (pa.types.is_list(column.type) or pa.types.is_large_list(column.type)):
+        return column.to_pylist()
+    values, ends = _lists(column.flatten()), column.offsets.to_pylist()
+    return [values[a - ends[0] : b - ends[0]] for a, b in itertools.pairwise(ends)]
+
 
-    kinds are an object's attributes with their categories if typed, else null. All that follows is about one image, whose
-    objects and relations are few, so it stays in the tasks that hold the images: nothing is shuffled after this.
+Nodes = dict[int, tuple[str, list[str]]]
+Edges = list[tuple[int, str, int]]
+KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+
+
+def _per_image(scene: Scene, rows: Callable[[Nodes, Edges], Iterable[tuple]], fields: dict[str, str]) -> DataFrame:
+    """image_id and what rows gives for each image's nodes (obj_idx -> label and sorted attributes) and edges, each once.
+
+    An image's objects and relations are few and come as one row. What follows from them is many times as much and is made
+    and grouped while the image passes: the task holds a batch of it, and nothing of it is sorted, shuffled or stored.
     """
-    own = scene.objects.select("image_id", "obj_idx", "label", F.coalesce(F.array_sort(F.array_distinct("attributes")), F.array().cast("array<string>")).alias("attributes"))
-    kind = "array<struct<category:string,attribute:string>>"
-    if typed:
-        each = own.withColumn("attribute", F.explode_outer("attributes")).join(F.broadcast(scene.attribute_vocab), "attribute", "left")
-        own = each.groupBy("image_id", "obj_idx", "label", "attributes").agg(F.collect_set(F.when(F.col("category").isNotNull(), F.struct("category", "attribute"))).alias("kinds"))
-    else:
-        own = own.withColumn("kinds", F.lit(None).cast(kind))
-    objects = own.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("obj_idx", "label", "attributes", "kinds"))).alias("nodes"))
-    edges = _edges(scene)
-    both = objects.join(edges, "image_id", "left").withColumn("edges", F.coalesce("edges", F.array().cast(edges.schema["edges"].dataType)))
-
-    def linked(found: Column, edge: Column) -> Column:
-        """All of the classes of an edge's ends become the least of both."""
-        ends = F.transform(F.filter(found, lambda x: x["n"].isin(edge["head"], edge["target"])), lambda x: x["c"])
-        return F.transform(F.array(ends), lambda e: F.transform(found, lambda x: F.struct(x["n"].alias("n"), F.when(F.array_contains(e, x["c"]), F.array_min(e)).otherwise(x["c"]).alias("c"))))[0]
-
-    alone = F.transform("nodes", lambda o: F.struct(o["obj_idx"].alias("n"), o["obj_idx"].alias("c")))
-    classes = F.aggregate("edges", alone, linked)
-    named = F.zip_with("nodes", classes, lambda o, x: F.struct(o["obj_idx"].alias("obj_idx"), o["label"].alias("label"), o["attributes"].alias("attributes"), x["c"].alias("component"), o["kinds"].alias("kinds")))
-    return both.select("image_id", named.alias("nodes"), "edges")
-
-
-def _ways(attributes: Column, theirs: Column, size: int) -> Column:
-    """Of an object with a neighbour: every choice of i of its attributes with size - 1 - i of the neighbour's."""
-    parts = [F.flatten(F.transform(_subsets(attributes, i), lambda a: F.transform(_subsets(theirs, size - 1 - i), lambda b: F.struct(a.alias("attributes"), b.alias("other_attributes"))))) for i in range(size)]  # noqa: B023
-    return F.concat(*parts)
-
-
-def _referred(pictures: DataFrame, size: int, exclude_category: bool = False) -> DataFrame:
-    """References (see references) of pictures, with component and label, with exclude_category also category and the object's attributes of it, and the image's nodes and edges."""
-    view = lambda e, mine, other, direction: F.struct(e[mine].alias("obj_idx"), e[other].alias("other"), e["rel"].alias("rel"), F.lit(direction).alias("direction"))
-    apart = F.filter("edges", lambda e: e["head"] != e["target"])
-    near = F.concat(F.transform(apart, lambda e: view(e, "head", "target", 0)), F.transform(apart, lambda e: view(e, "target", "head", 1)))
-    bare = F.transform("nodes", lambda o: F.struct(o["obj_idx"].alias("obj_idx"), F.lit(None).cast("int").alias("other"), F.lit(None).cast("string").alias("rel"), F.lit(None).cast("int").alias("direction")))
-    at = lambda idx: F.get(F.filter("nodes", lambda o: o["obj_idx"] == F.col(idx)), F.lit(0))
-    seen = pictures.select("*", F.inline(F.concat(near, bare))).withColumns({"mine": at("obj_idx"), "theirs": at("other")})
-    given, more = F.col("mine.attributes"), []
-    if exclude_category:
-        seen = seen.withColumn("category", F.explode(F.array_distinct("mine.kinds.category"))).withColumn("of_category", F.transform(F.filter("mine.kinds", lambda k: k["category"] == F.col("category")), lambda k: k["attribute"]))
-        given, more = F.array_except(given, "of_category"), ["category", "of_category"]
-    said = seen.select("*", F.col("mine.component").alias("component"), F.col("mine.label").alias("label"), F.col("theirs.label").alias("other_name"), given.alias("given"), "mine", "theirs")
-    nothing = F.array().cast("array<string>")
-    ways = F.when(F.col("other").isNull(), F.transform(_subsets(F.col("given"), size), lambda a: F.struct(a.alias("attributes"), nothing.alias("other_attributes")))).when(F.col("mine").isNotNull() & F.col("theirs").isNotNull(), _ways(F.col("given"), F.col("theirs.attributes"), size))
-    return said.select("image_id", "nodes", "edges", "obj_idx", "component", "label", *more, "other", "other_name", "rel", "direction", F.inline(ways))
+    own = F.struct("obj_idx", F.col("label").alias("label"), F.coalesce(F.array_sort(F.array_distinct(F.array_compact("attributes"))), F.array().cast("array<string>")).alias("attributes"))
+    objects = scene.objects.groupBy("image_id").agg(F.collect_list(own).alias("nodes"))
+    both = objects.join(_edges(scene), "image_id", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    pictures = both.select("image_id", "nodes.obj_idx", "nodes.label", "nodes.attributes", none(F.col("edges.head"), "int").alias("head"), none(F.col("edges.rel"), "string").alias("rel"), none(F.col("edges.target"), "int").alias("target"))
+
+    def batch(images: list, out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        made = [pa.array(c, KINDS[k]) for c, k in zip(zip(*out, strict=True), fields.values(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(images, kind), *made], names=["image_id", *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        images, out, kind = [], [], None
+        for b in batches:
+            kind = b.schema.field("image_id").type
+            for image_id, idx, labels, attributes, heads, rels, targets in zip(*[_lists(c) for c in b.columns], strict=True):
+                for row in rows(dict(zip(idx, zip(labels, attributes, strict=True), strict=True)), list(zip(heads, rels, targets, strict=True))):
+                    images.append(image_id)
+                    out.append(row)
+                    if len(out) == BATCH:
+                        yield batch(images, out, kind)
+                        images, out = [], []
+        if out:
+            yield batch(images, out, kind)
+
+    kind = scene.objects.schema["image_id"].dataType.simpleString()
+    return pictures.mapInArrow(run, ", ".join([f"image_id {kind}", *(f"{c} {k}" for c, k in fields.items())]))
+
+
+Way = tuple[tuple[str, ...], int | None, str | None, tuple[str, ...], str | None, int | None]
+
+
+def _neighbours(nodes: Nodes, edges: Edges) -> dict[int, list[tuple[int, str, int]]]:
+    """Both views of each edge between different objects: obj_idx -> other, rel, direction (0 out, 1 in)."""
+    near: dict[int, list[tuple[int, str, int]]] = {n: [] for n in nodes}
+    for h, rel, t in edges:
+        if h != t and h in nodes and t in nodes:
+            near[h].append((t, rel, 0))
+            near[t].append((h, rel, 1))
+    return near
+
+
+def _ways(nodes: Nodes, given: list[str], near: list[tuple[int, str, int]], size: int) -> Iterator[Way]:
+    """Of an object: every choice of `size` of the given attributes, and of i of them with one neighbour and size - 1 - i of its own."""
+    for a in itertools.combinations(given, size):
+        yield a, None, None, (), None, None
+    for other, rel, direction in near:
+        name, theirs = nodes[other]
+        for i in range(size):
+            for a in itertools.combinations(given, i):
+                for b in itertools.combinations(theirs, size - 1 - i):
+                    yield a, other, name, b, rel, direction
+
+
+def _reading(way: Way, joint: str) -> str:
+    """What reference_text gives."""
+    a, _, name, b, rel, direction = way
+    mine = f"{_anded(a)} object" if a else "object"
+    if name is None or rel is None:
+        return mine
+    other = f"{_anded(b)} {name}" if b else name
+    return f"{mine}{joint}is {rel} the {other}" if direction == 0 else f"{mine}{joint}the {other} is {rel}"
+
+
+def _categories(scene: Scene) -> dict[str, list[str]]:
+    """Attribute -> its categories; the vocabulary is a parameter of bounded size."""
+    found: dict[str, list[str]] = {}
+    for r in scene.attribute_vocab.select("attribute", "category").distinct().collect():
+        if r.category is not None:
+            found.setdefault(r.attribute, []).append(r.category)
+    return found
+
+
+def _by_category(attributes: list[str], categories: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Category -> the attributes of it."""
+    found: dict[str, list[str]] = {}
+    for a in attributes:
+        for c in categories.get(a, ()):
+            found.setdefault(c, []).append(a)
+    return found
 
 
 def references(scene: Scene, size: int = REFERENCE_SIZE, exclude_category: bool = False) -> DataFrame:
@@ -145,13 +204,17 @@ def references(scene: Scene, size: int = REFERENCE_SIZE, exclude_category: bool
     image_id, obj_idx, other (null without a neighbour), attributes, other_name, other_attributes, rel, direction; with
     exclude_category also category: for each category of the object's attributes, references that use none of it.
     """
-    found = _referred(_pictures(scene, exclude_category), size, exclude_category)
-    return found.select("image_id", "obj_idx", *(["category"] if exclude_category else []), "attributes", "other", "other_name", "other_attributes", "rel", "direction")
+    categories = _categories(scene) if exclude_category else {}
 
+    def rows(nodes: Nodes, edges: Edges) -> Iterator[tuple]:
+        near = _neighbours(nodes, edges)
+        for n, (_, attributes) in nodes.items():
+            for category, own in _by_category(attributes, categories).items() if exclude_category else [(None, ())]:
+                for way in _ways(nodes, [a for a in attributes if a not in own], near[n], size):
+                    yield (n, category, *way) if exclude_category else (n, *way)
 
-def _told(scene: Scene, size: int, joint: str, exclude_category: bool = False) -> DataFrame:
-    """References with their texts; an image's are in one task, so grouping them shuffles nothing."""
-    return _texts(_referred(_pictures(scene, exclude_category), size, exclude_category), joint)
+    fields = {"obj_idx": "int", **({"category": "string"} if exclude_category else {}), "attributes": "array<string>", "other": "int", "other_name": "string", "other_attributes": "array<string>", "rel": "string", "direction": "int"}
+    return _per_image(scene, rows, fields)
 
 
 def _named(attributes: Column, name: Column) -> Column:
@@ -171,15 +234,35 @@ def _texts(df: DataFrame, joint: str) -> DataFrame:
 
 def fitting(scene: Scene, size: int = REFERENCE_SIZE, joint: str = " that ") -> DataFrame:
     """image_id, component, reference and how many objects of the component it fits."""
-    return _told(scene, size, joint).groupBy("image_id", "component", "reference").agg(F.size(F.collect_set("obj_idx")).cast("long").alias("n"))
+
+    def rows(nodes: Nodes, edges: Edges) -> Iterator[tuple]:
+        near, of = _neighbours(nodes, edges), _classes(list(nodes), ((h, t) for h, _, t in edges))
+        fits: dict[tuple[int, str], set[int]] = {}
+        for n, (_, attributes) in nodes.items():
+            for way in _ways(nodes, attributes, near[n], size):
+                fits.setdefault((of[n], _reading(way, joint)), set()).add(n)
+        return ((*k, len(v)) for k, v in fits.items())
+
+    return _per_image(scene, rows, {"component": "int", "reference": "string", "n": "long"})
 
 
 def object_questions(scene: Scene, size: int = REFERENCE_SIZE) -> DataFrame:
     """What a reference means, per component of more than one object: all names it fits, one drawn as answer."""
-    members = F.filter("nodes", lambda o: o["component"] == F.col("component"))
-    told = _told(scene, size, " that ").withColumn("members", members).where(F.size("members") > 1)
-    names = F.sort_array(F.array_distinct(F.transform("members", lambda o: o["label"])))
-    grouped = told.groupBy("image_id", "component", "reference").agg(F.sort_array(F.collect_set("label")).alias("answers"), F.first(names).alias("names"))
+
+    def rows(nodes: Nodes, edges: Edges) -> Iterator[tuple]:
+        near, of = _neighbours(nodes, edges), _classes(list(nodes), ((h, t) for h, _, t in edges))
+        members = Counter(of.values())
+        names: dict[int, set[str]] = {c: set() for c in members}
+        meant: dict[tuple[int, str], set[str]] = {}
+        for n, (label, attributes) in nodes.items():
+            if members[of[n]] > 1:
+                own = {label} - {None}
+                names[of[n]] |= own
+                for way in _ways(nodes, attributes, near[n], size):
+                    meant.setdefault((of[n], _reading(way, " that ")), set()).update(own)
+        return ((*k, sorted(v), sorted(names[k[0]])) for k, v in meant.items())
+
+    grouped = _per_image(scene, rows, {"component": "int", "reference": "string", "answers": "array<string>", "names": "array<string>"})
     keys = ("object_questions", "image_id", "component", "reference")
     return grouped.select(
         "image_id", "component", F.concat(F.lit("What is the "), "reference", F.lit("?")).alias("prompt"), "answers", draws.pick(F.col("answers"), *keys).alias("answer"), draws.some(F.array_except("names", "answers"), 3, *keys).alias("others")
@@ -188,28 +271,47 @@ def object_questions(scene: Scene, size: int = REFERENCE_SIZE) -> DataFrame:
 
 def attribute_questions(scene: Scene, size: int = REFERENCE_SIZE) -> DataFrame:
     """What an attribute category of a referred object is; "other" is asked for as "attribute"."""
-    told = _told(scene, size, " that ", exclude_category=True)
-    grouped = told.groupBy("image_id", "component", "category", "reference").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("of_category")))).alias("answers"))
+    categories = _categories(scene)
+
+    def rows(nodes: Nodes, edges: Edges) -> Iterator[tuple]:
+        near, of = _neighbours(nodes, edges), _classes(list(nodes), ((h, t) for h, _, t in edges))
+        meant: dict[tuple[int, str, str], set[str]] = {}
+        for n, (_, attributes) in nodes.items():
+            for category, own in _by_category(attributes, categories).items():
+                for way in _ways(nodes, [a for a in attributes if a not in own], near[n], size):
+                    meant.setdefault((of[n], category, _reading(way, " that ")), set()).update(own)
+        return ((*k, sorted(v)) for k, v in meant.items())
+
+    grouped = _per_image(scene, rows, {"component": "int", "category": "string", "reference": "string", "answers": "array<string>"})
     kind = F.when(F.col("category") == "other", "attribute").otherwise(F.col("category"))
     return grouped.select("image_id", "component", "category", F.concat(F.lit("What is the "), kind, F.lit(" of the "), "reference", F.lit("?")).alias("prompt"), "answers", draws.pick(F.col("answers"), "attribute_questions", "image_id", "component", "category", "reference").alias("answer"))
 
 
 def relation_questions(scene: Scene, size: int = REFERENCE_SIZE) -> DataFrame:
-    """The relations from one object to another, each given by a reference that fits it alone and doesn't use the other.
+    """The relations from one object to another, each given by a reference that fits it alone and doesn't use the other."""
+
+    def rows(nodes: Nodes, edges: Edges) -> Iterator[tuple]:
+        near, of = _neighbours(nodes, edges), _classes(list(nodes), ((h, t) for h, _, t in edges))
+        used: dict[tuple[int, str], tuple[set[int], set[int | None]]] = {}
+        for n, (_, attributes) in nodes.items():
+            for way in _ways(nodes, attributes, near[n], size):
+                fits, uses = used.setdefault((of[n], _reading(way, ", which ")), (set(), set()))
+                fits.add(n)
+                uses.add(way[1])
+        alone: dict[int, list[tuple[str, set[int | None]]]] = {}
+        for (_, reference), (fits, uses) in used.items():
+            if len(fits) == 1:
+                alone.setdefault(*fits, []).append((reference, uses))
+        rels: dict[tuple[int, int], set[str | None]] = {}
+        for h, rel, t in edges:
+            rels.setdefault((h, t), set()).add(rel)
+        for (h, t), found in rels.items():
+            answers = sorted(found, key=lambda r: (r is not None, r))
+            heads, targets = [[r for r, uses in alone.get(end, ()) if uses - {other}] for end, other in ((h, t), (t, h))]
+            for prompt in dict.fromkeys(f"What is the relation from the {a}, to the {b}?" for a in heads for b in targets):
+                yield h, t, prompt, answers
 
-    An image's references that fit one object alone are gathered beside its edges, both bounded by the image.
-    """
-    told = _told(scene, size, ", which ")
-    # the neighbours that one reference uses are objects of one image
-    grouped = told.groupBy("image_id", "component", "reference").agg(F.min("obj_idx").alias("one"), F.max("obj_idx").alias("last"), F.collect_set(F.struct("other")).alias("uses")).where("one = last")
-    alone = grouped.groupBy("image_id").agg(F.collect_list(F.struct(F.col("one").alias("obj_idx"), "reference", F.col("uses.other").alias("uses"))).alias("alone"))
-    pairs = _edges(scene).select("image_id", "edges", F.explode(F.array_distinct(F.transform("edges", lambda e: F.struct(e["head"].alias("head"), e["target"].alias("target"))))).alias("p"))
-    rels = F.sort_array(F.array_distinct(F.transform(F.filter("edges", lambda e: (e["head"] == F.col("p.head")) & (e["target"] == F.col("p.target"))), lambda e: e["rel"])))
-    both = pairs.select("image_id", "p.head", "p.target", rels.alias("answers")).join(alone, "image_id")
-    side = lambda end, other: F.transform(F.filter("alone", lambda r: (r["obj_idx"] == F.col(end)) & F.exists(r["uses"], lambda u: ~u.eqNullSafe(F.col(other)))), lambda r: r["reference"])
-    sides = both.select("image_id", "head", "target", "answers", side("head", "target").alias("a"), side("target", "head").alias("b"))
-    prompts = F.array_distinct(F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.concat(F.lit("What is the relation from the "), a, F.lit(", to the "), b, F.lit("?"))))))
-    return sides.select("image_id", "head", "target", F.explode(prompts).alias("prompt"), "answers")
+    return _per_image(scene, rows, {"head": "int", "target": "int", "prompt": "string", "answers": "array<string>"})
 
 
 def as_json(scene: Scene) -> DataFrame:
@@ -254,7 +356,7 @@ def _ordinal(n: int) -> str:
     return f"{n}{'th' if 10 < n % 100 < 14 else {1: 'st', 2: 'nd', 3: 'rd'}.get(n % 10, 'th')}"
 
 
-def _anded(parts: list[str]) -> str:
+def _anded(parts: Sequence[str]) -> str:
     return " and ".join(parts) if len(parts) < 3 else ", ".join([*parts[:-1], f"and {parts[-1]}"])
 
 

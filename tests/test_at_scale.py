@@ -267,6 +267,22 @@ def test_references_are_grouped_where_their_images_are(spark, small, ask):
     assert "image_id" in by and by <= {"image_id", "l_partkey", "p_partkey"}
 
 
+@pytest.mark.parametrize("ask", ["fitting", "object_questions", "attribute_questions", "relation_questions"])
+def test_references_are_never_sorted_or_hashed_by_a_task(spark, small, ask):
+    plan = getattr(graph, ask)(rich_scene(spark, small), 2)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"(?:Aggregate\(keys=|Sort )\[(.*?)\]", plan)
+    assert keys and not any(re.search("reference|component|other", k) for k in keys)
+
+
+@pytest.mark.parametrize("batch", [1, 3])
+def test_batches_of_an_image_that_makes_many_rows(spark, small, monkeypatch, batch):
+    scene = rich_scene(spark, small)
+    part = Scene(scene.images, scene.objects.where("image_id < 40"), scene.relations.where("image_id < 40"), scene.attribute_vocab, scene.object_vocab)
+    whole = sorted(graph.relation_questions(part, 2).collect())
+    monkeypatch.setattr(graph, "BATCH", batch)
+    assert whole and sorted(graph.relation_questions(part, 2).collect()) == whole
+
+
 def test_references_that_read_alike_are_one(spark):
     objects = spark.createDataFrame([(1, 0, "rod", ["red"]), (1, 1, "small bolt", ["dark"]), (1, 2, "bolt", ["dark small"]), (1, 3, "rod", None)], "image_id long, obj_idx int, label string, attributes array<string>")
     relations = spark.createDataFrame([(1, 0, "near", 1), (1, 3, "near", 2), (1, 0, "on", 3), (1, 2, "by", 7)], "image_id long, head int, rel string, target int")
