@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prismloom.operators import graph, multi, single
 from prismloom.plans.queries import CHOICES_SQL, ORACLES, QUERIES, joined, key_sql, pick_sql, some_sql
-from prismloom.plans.scene import VOCAB_ATTRIBUTES, Scene, driver_scene
+from prismloom.plans.scene import VOCAB_ATTRIBUTES, Scene, by_image, driver_scene
 from prismloom.plans.shipping import ship
 
 _WORDS = [a for a, _ in VOCAB_ATTRIBUTES]
@@ -22,7 +22,8 @@ def rich_scene(spark: SparkSession, sf_dir: str) -> Scene:
     name, vocab = F.split("p_name", " "), F.array(*[F.lit(w) for w in _WORDS])
     more = lambda c, every: F.when(F.col(c) % every > 0, F.get(vocab, (F.col(c) % len(_WORDS)).cast("int")))
     attributes = F.array_sort(F.array_distinct(F.array_compact(F.array(name[0], more("l_suppkey", 3), more("l_partkey", 2)))))
-    raw = line.join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).select(
+    objects = line.join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+    raw = by_image(objects, line).select(
         "image_id", (F.row_number().over(order) - 1).cast("int").alias("obj_idx"), name[1].alias("label"), attributes.alias("attributes"), "l_suppkey", "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("rel")
     )
     n = F.count(F.lit(1)).over(Window.partitionBy("image_id"))

@@ -12,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismloom.operators import generators, graph, nearest, tuples
+from prismloom.plans import scene as scenes
 from prismloom.plans.rich_queries import rich_scene
-from prismloom.plans.scene import Scene
+from prismloom.plans.scene import Scene, driver_scene
 from prismloom.sources import annotations, json_objects
 
 
@@ -283,6 +284,13 @@ def test_batches_of_an_image_that_makes_many_rows(spark, small, monkeypatch, bat
     assert whole and sorted(graph.relation_questions(part, 2).collect()) == whole
 
 
+@pytest.mark.parametrize("read", [driver_scene, rich_scene])
+def test_tasks_of_images_follow_the_input(spark, small, monkeypatch, read):
+    monkeypatch.setattr(scenes, "TASK_OBJECTS", 500)
+    held = read(spark, small).objects.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in held) > 5000 and max(r["count"] for r in held) < 1000
+
+
 def test_references_that_read_alike_are_one(spark):
     objects = spark.createDataFrame([(1, 0, "rod", ["red"]), (1, 1, "small bolt", ["dark"]), (1, 2, "bolt", ["dark small"]), (1, 3, "rod", None)], "image_id long, obj_idx int, label string, attributes array<string>")
     relations = spark.createDataFrame([(1, 0, "near", 1), (1, 3, "near", 2), (1, 0, "on", 3), (1, 2, "by", 7)], "image_id long, head int, rel string, target int")
