@@ -8,6 +8,7 @@ the runs of a whole Arrow batch.
 
 from __future__ import annotations
 
+import itertools
 from typing import NamedTuple
 
 import numpy as np
@@ -214,7 +215,9 @@ def union_of_groups(df: DataFrame, by: list[str], mask: str = "mask") -> DataFra
 def from_csr(indptr: np.ndarray, indices: np.ndarray, shape: tuple[int, int]) -> dict:
     """A sparse matrix's rows and columns as a mask; columns may stand in any order and repeat."""
     y = np.repeat(np.arange(shape[0], dtype=np.int64), np.diff(indptr))
-    at = np.unique(y * (shape[1] + 1) + indices)
+    at = y * (shape[1] + 1) + indices
+    if not (at[1:] > at[:-1]).all():
+        at = np.unique(at)
     first = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1))) if len(at) else np.zeros(0, np.int64)
     start = at[first]
     return {"width": int(shape[1]), "height": int(shape[0]), "starts": (start // (shape[1] + 1) * shape[1] + start % (shape[1] + 1)).tolist(), "lengths": np.diff(np.append(first, len(at))).tolist()}
@@ -235,7 +238,23 @@ def to_csr(mask: dict) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
     return np.concatenate(([0], np.cumsum(per_row))), x, (mask["height"], mask["width"])
 
 
+def lists_of(column: pa.Array) -> list[list[dict | None] | None]:
+    """What to_pylist gives of a column of lists of masks, but with starts and lengths as parts of one numpy array each."""
+    values = column.flatten()
+    known = pc.is_valid(values).to_pylist()
+    sizes = [pc.struct_field(values, c).to_pylist() for c in ("width", "height")]
+    runs = []
+    for c in ("starts", "lengths"):
+        part = pc.struct_field(values, c)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)).tolist()
+        flat = pc.list_flatten(part).to_numpy(zero_copy_only=False)
+        runs.append([flat[a:b] for a, b in itertools.pairwise([0, *ends])])
+    each = [{"width": w, "height": h, "starts": a, "lengths": n} if there else None for there, w, h, a, n in zip(known, *sizes, *runs, strict=True)]
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [each[a:b] if there else None for there, (a, b) in zip(pc.is_valid(column).to_pylist(), itertools.pairwise([0, *ends]), strict=True)]
+
+
 def painted(canvas: np.ndarray, mask: dict, value: int) -> None:
     """Give the mask's pixels of a flat canvas a value."""
-    for start, length in zip(mask["starts"], mask["lengths"], strict=True):
-        canvas[start : start + length] = value
+    starts, lengths = np.asarray(mask["starts"], np.int64), np.asarray(mask["lengths"], np.int64)
+    canvas[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))] = value

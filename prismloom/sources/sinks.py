@@ -59,7 +59,9 @@ def complete_ids(df: DataFrame, key: str, expected: int | None = None) -> DataFr
 def png(grey: np.ndarray) -> bytes:
     """An 8-bit grey image."""
     height, width = grey.shape
-    raw = b"".join(b"\0" + row.astype(np.uint8).tobytes() for row in grey)
+    rows = np.zeros((height, width + 1), np.uint8)  # a row's first byte says that it's stored as it is
+    rows[:, 1:] = grey
+    raw = rows.tobytes()
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
@@ -89,7 +91,7 @@ def mask_pngs(layers: DataFrame, first: int = 30, step: int = 20) -> DataFrame:
     @F.arrow_udf("binary")
     def drawn(column: pa.Array) -> pa.Array:
         out = []
-        for each in column.to_pylist():
+        for each in masks.lists_of(column):
             shape = next((m for m in each or [] if m is not None), None)
             if shape is None:
                 out.append(None)
@@ -116,16 +118,16 @@ def grey_of(content: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(shape[0], shape[1] + 1)[:, 1:]
 
 
-class _MatrixWriter(pickle._Pickler):
-    """Writes SparseMatrix under the name that readers of sparse matrices know."""
+class _MatrixWriter:
+    """Writes lists of SparseMatrix under the name that readers of sparse matrices know."""
 
-    def save_global(self, obj, name=None):
-        if obj is not SparseMatrix:
-            return super().save_global(obj, name)
-        self.save("scipy.sparse._csr")
-        self.save("csr_matrix")
-        self.write(pickle.STACK_GLOBAL)
-        self.memoize(obj)
+    def __init__(self, stream: io.IOBase, protocol: int):
+        self.stream, self.protocol = stream, min(protocol, 3)  # the last that names classes by a line of text outside of frames
+
+    def dump(self, matrices: list[SparseMatrix]) -> None:
+        own = f"c{SparseMatrix.__module__}\n{SparseMatrix.__qualname__}\n".encode()
+        # the class is named once, before anything else of the first matrix
+        self.stream.write(pickle.dumps(matrices, self.protocol).replace(own, b"cscipy.sparse._csr\ncsr_matrix\n", 1))
 
 
 def csr_list(each: list[dict]) -> bytes:
@@ -147,6 +149,6 @@ def mask_csr_lists(layers: DataFrame) -> DataFrame:
 
     @F.arrow_udf("binary")
     def written(column: pa.Array) -> pa.Array:
-        return pa.array([None if each is None else csr_list([m for m in each if m is not None]) for each in column.to_pylist()], pa.binary())
+        return pa.array([None if each is None else csr_list([m for m in each if m is not None]) for each in masks.lists_of(column)], pa.binary())
 
     return layers.select("image_id", written("masks").alias("content"))

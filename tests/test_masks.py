@@ -144,6 +144,22 @@ def test_images_of_masks(spark):
     assert np.array_equal(sinks.grey_of(bytes(sinks.mask_pngs(df).first().png)), grey)
 
 
+def test_layers_as_arrays():
+    one, none = masks.from_array(np.eye(3, dtype=int)), masks.from_array(np.zeros((2, 2), int))
+    rows = [[one, None, none], None, [], [none, one]]
+    column = pa.array(rows, pa.list_(masks._ARROW))
+    plain = lambda lists: [None if r is None else [None if m is None else {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in m.items()} for m in r] for r in lists]
+    assert plain(masks.lists_of(column)) == rows and plain(masks.lists_of(column[2:])) == rows[2:] and plain(masks.lists_of(column[:1])) == rows[:1]
+
+
+def test_lists_are_not_pickled_in_python():
+    each = [masks.from_array(a) for a in planes(4, 15)]
+    content = sinks.csr_list(each)
+    assert not issubclass(sinks._MatrixWriter, pickle._Pickler)
+    assert b"SparseMatrix" not in content and content.count(b"scipy.sparse._csr\ncsr_matrix") == 1
+    assert files._csr_lists(content) == each and files._csr_lists(sinks.csr_list([])) == []
+
+
 def test_maps_of_files(spark, tmp_path):
     depth = np.arange(12, dtype=float).reshape(3, 4) * 2.5 - 4
     np.save(tmp_path / "d.npy", depth)
