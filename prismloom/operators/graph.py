@@ -349,9 +349,6 @@ def topological(scene: Scene) -> DataFrame:
 
 # Captions: a component's text depends on what was mentioned before, so it is written object by object.
 
-CAPTION = "image_id long, component int, size int, caption string"
-
-
 def _ordinal(n: int) -> str:
     return f"{n}{'th' if 10 < n % 100 < 14 else {1: 'st', 2: 'nd', 3: 'rd'}.get(n % 10, 'th')}"
 
@@ -408,23 +405,31 @@ def component_caption(objects: dict[int, tuple[str, list[str], bool]], edges: li
     return ";\n".join(clauses) + "."
 
 
-def _captions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for r in frame.itertuples():
-            objects = {o["obj_idx"]: (o["label"], list(o["attributes"]), o["many"]) for o in r.objects}
-            rows.append((r.image_id, r.component, len(objects), component_caption(objects, [(e["head"], e["rel"], e["target"]) for e in (r.edges if r.edges is not None else [])])))
-        yield pd.DataFrame(rows, columns=["image_id", "component", "size", "caption"])
-
-
 def captions(scene: Scene) -> DataFrame:
-    """image_id, component, size and caption of every component. The list of a component's objects is bounded by an image."""
-    parts = components(scene)
-    nodes = scene.objects.join(parts, ["image_id", "obj_idx"]).groupBy("image_id", "component").agg(
-        F.sort_array(F.collect_list(F.struct("obj_idx", "label", F.array_sort("attributes").alias("attributes"), words.looks_plural(F.col("label")).alias("many")))).alias("objects")
+    """image_id, component, size and caption of every component. An image's objects and drawn edges come as one row, and its components are found there."""
+    kind = scene.objects.schema["image_id"].dataType.simpleString()
+    own = F.struct("obj_idx", F.col("label").alias("label"), F.array_sort("attributes").alias("attributes"), words.looks_plural(F.col("label")).alias("many"))
+    nodes = scene.objects.groupBy("image_id").agg(F.sort_array(F.collect_list(own)).alias("nodes"))
+    edges = single_edges(scene).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("head", "rel", "target"))).alias("edges"))
+    none = lambda c, of: F.coalesce(c, F.array().cast(f"array<{of}>"))
+    both = nodes.join(edges, "image_id", "left").select(
+        "image_id", "nodes.obj_idx", "nodes.label", none(F.col("nodes.attributes"), "array<string>").alias("attributes"), "nodes.many", none(F.col("edges.head"), "int").alias("head"), none(F.col("edges.rel"), "string").alias("rel"), none(F.col("edges.target"), "int").alias("target")
     )
-    edges = single_edges(scene).join(parts.withColumnRenamed("obj_idx", "head"), ["image_id", "head"]).groupBy("image_id", "component").agg(F.sort_array(F.collect_list(F.struct("head", "rel", "target"))).alias("edges"))
-    return nodes.join(edges, ["image_id", "component"], "left").mapInPandas(_captions, CAPTION)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for image_id, idx, labels, attributes, many, heads, rels, targets in zip(*[_lists(c) for c in b.columns], strict=True):
+                objects = dict(zip(idx, zip(labels, attributes, many, strict=True), strict=True))
+                of = _classes(idx, zip(heads, targets, strict=True))
+                for component in sorted(set(of.values())):
+                    part = {n: o for n, o in objects.items() if of[n] == component}
+                    out.append((image_id, component, len(part), component_caption(part, [e for e in zip(heads, rels, targets, strict=True) if of.get(e[0]) == component])))
+            if out:
+                kinds = [b.schema.field("image_id").type, pa.int32(), pa.int32(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["image_id", "component", "size", "caption"])
+
+    return both.mapInArrow(run, f"image_id {kind}, component int, size int, caption string")
 
 
 def image_captions(scene: Scene) -> DataFrame:

@@ -291,6 +291,11 @@ def test_tasks_of_images_follow_the_input(spark, small, monkeypatch, read):
     assert sum(r["count"] for r in held) > 5000 and max(r["count"] for r in held) < 1000
 
 
+def test_captions_read_objects_and_relations_once(spark, small):
+    plan = graph.image_captions(rich_scene(spark, small))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[l_orderkey", plan)) == 2
+
+
 def test_references_that_read_alike_are_one(spark):
     objects = spark.createDataFrame([(1, 0, "rod", ["red"]), (1, 1, "small bolt", ["dark"]), (1, 2, "bolt", ["dark small"]), (1, 3, "rod", None)], "image_id long, obj_idx int, label string, attributes array<string>")
     relations = spark.createDataFrame([(1, 0, "near", 1), (1, 3, "near", 2), (1, 0, "on", 3), (1, 2, "by", 7)], "image_id long, head int, rel string, target int")
