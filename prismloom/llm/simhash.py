@@ -117,12 +117,14 @@ def links(fps: DataFrame, small: int = SMALL) -> DataFrame:
     return pairs.unionByName(ball_links(met.where(F.col("n") > small).select("fp").distinct()))
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """edges(a, b) with m, the least of a and all its b: least of each part of a's edges, then least of at most PARTS parts."""
-    split = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
-    parts = split.groupBy("a", "part").agg(F.min("b").alias("m"))
-    least = parts.select("a", "part", F.least(F.min("m").over(Window.partitionBy("a")), "a").alias("m"))
-    return split.join(least.hint("merge"), ["a", "part"]).drop("part")
+def _stars(edges: DataFrame) -> DataFrame:
+    """For each part of a's edges in edges(a, b), repeated ones once: a, the b's as `ends`, and m, the least of a and all its b.
+
+    The ends are gathered once, by part, and read twice: the least of each part, then that of at most PARTS parts, comes back to them.
+    """
+    parts = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS))).groupBy("a", "part").agg(F.collect_set("b").alias("ends"))
+    least = parts.select("a", "part", F.least(F.min(F.array_min("ends")).over(Window.partitionBy("a")), "a").alias("m"))
+    return parts.join(least.hint("merge"), ["a", "part"]).drop("part")
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
@@ -133,8 +135,9 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     for _ in range(rounds):
         stars = spark.read.schema("a long, b long").parquet(path)
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = _with_least(large).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        large = _stars(both).select(F.explode(F.filter("ends", lambda b: b > F.col("a"))).alias("a"), F.col("m").alias("b"))
+        ends = _stars(large).select(F.explode(F.array_append("ends", F.col("a"))).alias("a"), F.col("m").alias("b"))
+        small = ends.where("a <> b").distinct()
         before, path = path, write_table(small, name)
         delete_table(spark, before)
         stars = spark.read.schema("a long, b long").parquet(path)

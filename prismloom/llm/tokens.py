@@ -28,12 +28,12 @@ import json
 import sys
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismloom.llm.common import mapped, text_chunks
@@ -255,12 +255,24 @@ def little_endian(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-@lru_cache(maxsize=2)
 def compiled(vocabulary: str) -> MergeAutomaton:
-    """One automaton for each vocabulary and driver."""
     return MergeAutomaton(vocabulary)
 
 
+_broadcasts: dict[tuple[str, str], Broadcast] = {}
+
+
+def broadcast(spark: SparkSession, vocabulary: str) -> Broadcast:
+    """The vocabulary's automaton, compiled and broadcast once for each application; the driver doesn't keep it."""
+    context = spark.sparkContext
+    key = context.applicationId, hashlib.md5(vocabulary.encode()).hexdigest()
+    if key not in _broadcasts:
+        while len(_broadcasts) >= 2:
+            del _broadcasts[next(iter(_broadcasts))]
+        _broadcasts[key] = context.broadcast(compiled(vocabulary))
+    return _broadcasts[key]
+
+
 def read_vocabulary(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -270,7 +282,7 @@ def _mapped(docs: DataFrame, keep: list[str], extra: str, make, vocabulary: str)
     """keep (columns of docs) and what make(automaton, text) returns for each whole text, as the columns `extra`."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    shared = docs.sparkSession.sparkContext.broadcast(compiled(vocabulary))
+    shared = broadcast(docs.sparkSession, vocabulary)
     others = [c for c in keep if c != "text"]
     given = docs.select(*[F.col(f"`{c}`") for c in others], F.col("text"))
     schema = given.select(*[F.col(f"`{c}`") for c in keep]).schema

@@ -392,6 +392,13 @@ def test_simhash_links_large_and_small_keys(spark, small_keys):
     assert [roots.get(v, v) for _, v in prints] == want
 
 
+def test_stars_gather_the_ends_once(spark):
+    edges = spark.createDataFrame([(5, k) for k in range(6, 900)] * 2 + [(5, 3), (2, 9)], "a long, b long")
+    rows = simhash._stars(edges).collect()
+    assert {r.m for r in rows if r.a == 5} == {3} and [(r.ends, r.m) for r in rows if r.a == 2] == [([9], 2)]
+    assert sorted(b for r in rows if r.a == 5 for b in r.ends) == [3, *range(6, 900)]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     roots = {r.node: r.root for r in simhash.components(edges).collect()}

@@ -1,3 +1,5 @@
+import gc
+
 import corpus_pipeline
 from prismloom.llm import language, simhash, tokens
 from prismloom.llm.common import table
@@ -22,6 +24,14 @@ def test_stages(spark, small, tmp_path):
     assert all(automaton.decode(bytes(r.token_ids)) == texts[r.doc_id] for r in docs.collect())
 
 
+def test_driver_keeps_no_automaton(spark, odd_docs):
+    vocabulary = tokens.read_vocabulary(VOCABULARY)
+    made = tokens.encode(odd_docs, vocabulary)
+    gc.collect()
+    assert not any(isinstance(x, tokens.MergeAutomaton) for x in gc.get_objects())
+    assert tokens.broadcast(spark, vocabulary) is tokens.broadcast(spark, vocabulary) and made.where("n_tokens > 0").count() > 0
+
+
 def test_odd_documents(spark, odd_docs, no_docs):
     """Nulls in every column, empty and very long texts, ties, repeated rows, an empty table and clashing names, through every stage."""
     for docs in (odd_docs, no_docs):
