@@ -5,38 +5,42 @@ something else (navigation, footers, adverts, forms, comments and the like) or i
 says what others have or lack ("no-sidebar"), nor does a name or a form that wraps most of the page. What may be kept is
 the article, or without one, or beside mere teasers, the blocks in neither.
 
-The token streams of a host's pages, all blocks in page order, are concatenated, and their suffixes are sorted by their
-first RUN tokens (prefix doubling, a separator of its own after each page). A substring of RUN tokens that stands on at
-least MIN_PAGES and SHARE of the distinct pages is boilerplate: whatever such substrings cover is removed, inside the
-article too, and so are whole blocks, also shorter ones, that repeat alike. Pages are distinct if what may be kept
-differs, so copies count once. Unique runs stay.
-
-A host's pages are dealt by hash into shards of about SHARD characters of HTML, each with a suffix array and a decision
-of its own, so no host meets in one task. The hosts that need more than one shard are joined by broadcast: only those
-with more than 1 / MOST_HOSTS of all characters, of which there can't be more than MOST_HOSTS, and what is smaller but
-still large is cut into shards as it streams through its task.
+Pages of a host are one class if what may be kept of them is equal, and a class counts as its first page by hash, so copies
+count once and get one text. The token streams of these pages, all blocks in page order, are concatenated, and their
+suffixes are sorted by their first RUN tokens (prefix doubling, a separator of its own after each page). A substring of
+RUN tokens that stands on at least MIN_PAGES and SHARE of the host's classes is boilerplate: whatever such substrings
+cover is removed, inside the article too, and so are whole blocks, also shorter ones, that repeat alike. Unique runs stay.
+
+A host over about SHARD characters is dealt by hash of the class into shards, so that it doesn't meet in one task, and
+is still decided as a whole: what stands on SHARE of a host's classes stands on SHARE of those of one shard at least, so
+the suffix array of each shard finds candidates, all shards count them by 128-bit hash, and the sums decide. Sizes choose
+the way, not the result. Which hosts are dealt is broadcast: only those with more than 1 / MOST_HOSTS of all characters,
+of which there can't be more than MOST_HOSTS.
 
 Defined results: a null, empty or textless page gives an empty text; a null url is a host of its own; a <br> is white
-space; repeated rows give a row each; very long pages are read whole; an empty table gives no rows; where pages tie in
-their hash they stand in one shard in any order, which changes nothing. Columns but page_id, url and html are not read,
+space; repeated rows give a row each; very long pages are read whole; an empty table gives no rows; pages that tie in
+their hash go by their blocks. Columns but page_id, url and html are not read,
 so clashing names do no harm.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismloom.llm.common import mapped, row_chunks
+from prismloom.llm.common import mapped, materialize, row_chunks
 
 RUN, MIN_PAGES, SHARE = 30, 3, 0.5
 SHARD = 4_000_000
@@ -215,11 +219,14 @@ def host(url: Column) -> Column:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pages' blocks, packed, in place of html."""
+    """The pages' blocks, packed, in place of html, and the hash of what may be kept."""
     for rows in row_chunks(batches, "html", 2_000_000):
-        packed = [zlib.compress(json.dumps(kept_blocks(r["html"])).encode(), 6) for r in rows]
-        columns = [pa.array([r["host"] for r in rows], pa.string()), *[pa.array([r[c] for r in rows], pa.int64()) for c in ("shard", "place", "page_id")], pa.array([r["url"] for r in rows], pa.string())]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], names=["host", "shard", "place", "page_id", "url", "packed"])
+        blocks = [kept_blocks(r["html"]) for r in rows]
+        kinds = [hashlib.md5(json.dumps([text for zone, text in x if zone > NAMED]).encode()).digest() for x in blocks]
+        packed = [zlib.compress(json.dumps(x).encode(), 6) for x in blocks]
+        chars = [sum(len(text) for _, text in x) for x in blocks]
+        columns = [pa.array([r["host"] for r in rows], pa.string()), pa.array(kinds, pa.binary()), *[pa.array([r[c] for r in rows], pa.int64()) for c in ("place", "page_id")], pa.array([r["url"] for r in rows], pa.string())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary()), pa.array(chars, pa.int64())], names=["host", "kind", "place", "page_id", "url", "packed", "chars"])
 
 
 def suffix_ranks(stream: np.ndarray, length: int) -> np.ndarray:
@@ -234,8 +241,8 @@ def suffix_ranks(stream: np.ndarray, length: int) -> np.ndarray:
     return ranks
 
 
-def repeated_runs(streams: list[list[str]], distinct: np.ndarray, least: float) -> list[np.ndarray]:
-    """For each stream which of its tokens lie in a run of RUN that stands in at least so many distinct ones."""
+def run_starts(streams: list[list[str]], distinct: np.ndarray, least: float) -> list[np.ndarray]:
+    """For each stream where in it runs of RUN tokens begin that stand in at least so many distinct ones."""
     numbers: dict[str, int] = {}
     flat: list[int] = []
     for k, stream in enumerate(streams):
@@ -244,81 +251,212 @@ def repeated_runs(streams: list[list[str]], distinct: np.ndarray, least: float)
     owner = np.repeat(np.arange(len(streams)), [len(x) + 1 for x in streams])
     ends = np.cumsum([len(x) + 1 for x in streams])
     starts = np.flatnonzero(np.arange(len(flat)) + RUN < ends[owner]) if flat else np.zeros(0, np.int64)
-    change = np.zeros(len(flat) + 1, np.int64)
-    if len(starts):
-        ranks = suffix_ranks(np.array(flat, np.int64), RUN)[starts]
-        kinds = np.unique(ranks * (int(distinct.max()) + 1) + distinct[owner[starts]]) // (int(distinct.max()) + 1)
-        often = np.bincount(kinds, minlength=int(ranks.max()) + 1) >= least
-        hits = starts[often[ranks]]
-        np.add.at(change, hits, 1)
-        np.add.at(change, hits + RUN, -1)
-    covered = np.cumsum(change[:-1]) > 0
-    return [covered[e - len(x) - 1 : e - 1] for e, x in zip(ends, streams, strict=True)]
+    if not len(starts):
+        return [starts for _ in streams]
+    ranks = suffix_ranks(np.array(flat, np.int64), RUN)[starts]
+    kinds = np.unique(ranks * (int(distinct.max()) + 1) + distinct[owner[starts]]) // (int(distinct.max()) + 1)
+    often = np.bincount(kinds, minlength=int(ranks.max()) + 1) >= least
+    hits = starts[often[ranks]]
+    cuts = np.searchsorted(hits, ends).tolist()
+    return [hits[a:b] - (e - len(x) - 1) for a, b, e, x in zip([0, *cuts], cuts, ends.tolist(), streams, strict=False)]
+
+
+def covered(starts: np.ndarray, length: int) -> np.ndarray:
+    """Which of so many tokens lie in a run that begins at one of the starts."""
+    change = np.zeros(length + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + RUN, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def repeated_runs(streams: list[list[str]], distinct: np.ndarray, least: float) -> list[np.ndarray]:
+    """For each stream which of its tokens lie in a run of RUN that stands in at least so many distinct ones."""
+    return [covered(s, len(x)) for s, x in zip(run_starts(streams, distinct, least), streams, strict=True)]
+
+
+def tokens_of(blocks: list[tuple[int, str]]) -> list[str]:
+    return [t for _, text in blocks for t in text.split(" ")]
+
+
+def holders(pages: list[list[tuple[int, str]]]) -> Counter:
+    """On how many of the pages each block stands that may be kept."""
+    return Counter(text for blocks in pages for text in {text for zone, text in blocks if zone > NAMED})
+
+
+def without(blocks: list[tuple[int, str]], gone: np.ndarray, repeated: Callable[[str], bool]) -> tuple[str, int]:
+    """A page's text without the tokens that are gone and the blocks that are repeated, and how many tokens that were."""
+    texts, at, removed = [], 0, 0
+    for zone, text in blocks:
+        tokens = text.split(" ")
+        cut = gone[at : at + len(tokens)]
+        at += len(tokens)
+        if zone == NAMED:
+            continue
+        if repeated(text):
+            removed += len(tokens)
+        elif cut.any():
+            removed += int(cut.sum())
+            texts.append(" ".join(t for t, x in zip(tokens, cut.tolist(), strict=True) if not x))
+        else:
+            texts.append(text)
+    return "\n\n".join(x for x in texts if x), removed
 
 
 def main_texts(pages: list[list[tuple[int, str]]]) -> list[tuple[str, int]]:
-    """The main text of each of a shard's pages, given as blocks, and how many tokens of it were boilerplate."""
-    tops = [max((z for z, _ in blocks), default=NAMED) for blocks in pages]
-    kept = [[text for z, text in blocks if z == top > NAMED] for blocks, top in zip(pages, tops, strict=True)]
-    classes: dict[tuple[str, ...], int] = {}
-    distinct = np.array([classes.setdefault(tuple(x), len(classes)) for x in kept], np.int64)
-    least = max(MIN_PAGES, SHARE * len(classes))
-    holders: dict[str, int] = {}
-    for own in classes:
-        for text in set(own):
-            holders[text] = holders.get(text, 0) + 1
-    covered = repeated_runs([[t for _, text in blocks for t in text.split(" ")] for blocks in pages], distinct, least)
-    out = []
-    for blocks, top, gone in zip(pages, tops, covered, strict=True):
-        texts, at, removed = [], 0, 0
-        for zone, text in blocks:
-            tokens = text.split(" ")
-            cut = gone[at : at + len(tokens)]
-            at += len(tokens)
-            if zone != top or top == NAMED:
-                continue
-            if holders[text] >= least:
-                removed += len(tokens)
-            elif cut.any():
-                removed += int(cut.sum())
-                texts.append(" ".join(t for t, x in zip(tokens, cut.tolist(), strict=True) if not x))
-            else:
-                texts.append(text)
-        out.append(("\n\n".join(x for x in texts if x), removed))
+    """The main text of each class of a host, given as its first page's blocks, and how many tokens of it were boilerplate."""
+    least = max(MIN_PAGES, SHARE * len(pages))
+    held = holders(pages)
+    gone = repeated_runs([tokens_of(x) for x in pages], np.arange(len(pages)), least)
+    return [without(x, g, lambda text: held[text] >= least) for x, g in zip(pages, gone, strict=True)]
+
+
+def unpacked(packed: bytes):
+    return json.loads(zlib.decompress(packed))
+
+
+def _small_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by host, kind, place and packed: each host's pages with their texts."""
+    classes: list[list] = []
+    rows_of: list[tuple[int, dict]] = []
+    last = None
+
+    def done() -> pa.RecordBatch:
+        texts = main_texts(classes)
+        found = [(r["page_id"], r["url"], *texts[k]) for k, r in rows_of]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string()), pa.array([len(x[2]) for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int64())],
+            names=["page_id", "url", "text", "n_chars", "n_repeated"],
+        )
+
+    for rows in row_chunks(batches, "packed", 500_000):
+        for r in rows:
+            packed, key = r.pop("packed"), (r["host"], r["kind"])
+            if last and key[0] != last[0]:
+                yield done()
+                classes, rows_of = [], []
+            if key != last:
+                classes.append(unpacked(packed))
+            rows_of.append((len(classes) - 1, r))
+            last = key
+    if rows_of:
+        yield done()
+
+
+def run_ids(tokens: list[str], known: dict[str, tuple[int, int]]) -> np.ndarray:
+    """Two 64-bit hashes of each run of RUN tokens. known keeps those of tokens."""
+    for t in tokens:
+        if t not in known:
+            known[t] = xxhash.xxh64_intdigest(t, 1), xxhash.xxh64_intdigest(t, 2)
+    each = np.array([known[t] for t in tokens], np.uint64).reshape(-1, 2)
+    out = np.zeros((max(len(tokens) - RUN + 1, 0), 2), np.uint64)
+    for k in range(RUN):
+        out = out * np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64) + each[k : k + len(out)]
     return out
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host, shard and place: one suffix array for each shard, or part of one where it is large."""
+def block_id(text: str) -> bytes:
+    return np.array([xxhash.xxh64_intdigest(text, 3), xxhash.xxh64_intdigest(text, 4)], np.uint64).tobytes()
+
+
+def found_starts(ids: np.ndarray, wanted: set[bytes], first: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Where wanted runs begin, and their hashes. first: the wanted ones' first halves."""
+    maybe = np.flatnonzero(np.isin(ids[:, 0], first))
+    keys = [ids[k].tobytes() for k in maybe.tolist()]
+    return maybe[np.array([x in wanted for x in keys], bool)], [x for x in keys if x in wanted]
+
+
+def _halves(wanted: set[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(wanted), np.uint64)[::2]
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes sorted by host and shard: a row a shard, with its classes packed, their number and the candidates."""
     held: list[dict] = []
-    size = 0
 
     def done() -> pa.RecordBatch:
-        texts = main_texts([r["blocks"] for r in held])
+        pages = [unpacked(r["packed"]) for r in held]
+        least, known = SHARE * len(pages), {}
+        streams = [tokens_of(x) for x in pages]
+        starts = run_starts(streams, np.arange(len(pages)), least)
+        found = {block_id(text) for text, n in holders(pages).items() if n >= least}
+        for stream, at in zip(streams, starts, strict=True):
+            if len(at):
+                found |= {x.tobytes() for x in run_ids(stream, known)[at]}
+        packed = zlib.compress(json.dumps([[r["kind"].hex(), x] for r, x in zip(held, pages, strict=True)]).encode(), 6)
         return pa.RecordBatch.from_arrays(
-            [pa.array([r["page_id"] for r in held], pa.int64()), pa.array([r["url"] for r in held], pa.string()), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())],
-            names=["page_id", "url", "text", "n_chars", "n_repeated"],
+            [pa.array([held[0]["host"]], pa.string()), pa.array([held[0]["shard"]], pa.int64()), pa.array([len(pages)], pa.int64()), pa.array([packed], pa.binary()), pa.array([sorted(found)], pa.list_(pa.binary()))],
+            names=["host", "shard", "n", "packed", "candidates"],
         )
 
     for rows in row_chunks(batches, "packed", 500_000):
         for r in rows:
-            if held and ((r["host"], r["shard"]) != (held[0]["host"], held[0]["shard"]) or size > 2 * SHARD):
+            if held and (r["host"], r["shard"]) != (held[0]["host"], held[0]["shard"]):
                 yield done()
-                held, size = [], 0
-            r["blocks"] = json.loads(zlib.decompress(r.pop("packed")))
-            size += sum(len(text) for _, text in r["blocks"])
+                held = []
             held.append(r)
     if held:
         yield done()
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each shard on how many of its classes each of the host's candidates stands."""
+    for rows in row_chunks(batches, "packed", 1):
+        for r in rows:
+            wanted, known, counts = set(r["ids"]), {}, Counter()
+            first = _halves(wanted)
+            for _, blocks in unpacked(r["packed"]):
+                own = {x for zone, text in blocks if zone > NAMED and (x := block_id(text)) in wanted}
+                counts.update(own | set(found_starts(run_ids(tokens_of(blocks), known), wanted, first)[1]))
+            yield pa.RecordBatch.from_arrays([pa.array([r["host"]] * len(counts), pa.string()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["host", "id", "n"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each class of a shard, given the host's boilerplate."""
+    for rows in row_chunks(batches, "packed", 1):
+        for r in rows:
+            wanted, known, kinds, texts = set(r["ids"] or []), {}, [], []
+            first = _halves(wanted)
+            for kind, blocks in unpacked(r["packed"]):
+                tokens = tokens_of(blocks)
+                starts = found_starts(run_ids(tokens, known), wanted, first)[0] if wanted else np.zeros(0, np.int64)
+                kinds.append(bytes.fromhex(kind))
+                texts.append(without(blocks, covered(starts, len(tokens)), lambda text, w=wanted: block_id(text) in w))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["host"]] * len(kinds), pa.string()), pa.array(kinds, pa.binary()), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())],
+                names=["host", "kind", "text", "n_chars", "n_repeated"],
+            )
+
+
+def _large_hosts(parsed: DataFrame, large: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars and n_repeated of the pages of large(host, shards)."""
+    rows = parsed.join(F.broadcast(large), "host")
+    classes = rows.groupBy("host", "kind", "shards").agg(F.min(F.struct("place", "packed")).alias("first"))
+    dealt = classes.select("host", F.pmod(F.xxhash64("kind"), "shards").alias("shard"), "kind", "first.packed")
+    shards = materialize(mapped(dealt.repartition("host", "shard").sortWithinPartitions("host", "shard", "kind"), _shards, "host string, shard long, n long, packed binary, candidates array<binary>"), "op10-shards")
+
+    def to_shards(ids: DataFrame) -> DataFrame:
+        """(host, id) as a list for each shard of the host."""
+        lists = ids.groupBy("host").agg(F.collect_set("id").alias("ids")).join(F.broadcast(large), "host")
+        return lists.select("host", "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
+
+    candidates = to_shards(shards.select("host", F.explode("candidates").alias("id")))
+    given = shards.select("host", "shard", "packed")
+    counts = mapped(given.join(candidates, ["host", "shard"]).select("host", "packed", "ids"), _count, "host string, id binary, n long")
+    of_host = shards.groupBy("host").agg(F.sum("n").alias("classes"))
+    boilerplate = counts.groupBy("host", "id").agg(F.sum("n").alias("n")).join(of_host, "host").where((F.col("n") >= MIN_PAGES) & (F.col("n") >= SHARE * F.col("classes")))
+    chosen = to_shards(boilerplate.select("host", "id"))
+    texts = mapped(given.join(chosen, ["host", "shard"], "left").select("host", "packed", "ids"), _cut, "host string, kind binary, text string, n_chars long, n_repeated long")
+    return rows.select("host", "kind", "page_id", "url").join(texts, ["host", "kind"]).select("page_id", "url", "text", "n_chars", "n_repeated")
+
+
 def extract(pages: DataFrame, shard: int = SHARD) -> DataFrame:
     """page_id, url, text, n_chars and n_repeated (tokens that were boilerplate though their place might be kept) of every row."""
-    given = pages.select(F.col("page_id").cast("long"), "url", "html", host(F.col("url")).alias("host"))
-    sizes = given.groupBy("host").agg(F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("chars"))
+    given = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url", "html").alias("place"), F.col("page_id").cast("long"), "url", "html")
+    parsed = materialize(mapped(given, _parse, "host string, kind binary, place long, page_id long, url string, packed binary, chars long"), "op10-parsed")
+    sizes = parsed.groupBy("host").agg(F.sum("chars").alias("chars"))
     all_ = sizes.agg(F.sum("chars")).first()[0] or 0
     large = sizes.where(F.col("chars") > max(shard, all_ / MOST_HOSTS)).select("host", F.ceil(F.col("chars") / shard).alias("shards"))
-    place = F.xxhash64("page_id", "url", "html")
-    dealt = given.join(F.broadcast(large), "host", "left").select("host", F.pmod(place, F.coalesce("shards", F.lit(1))).alias("shard"), place.alias("place"), "page_id", "url", "html")
-    parsed = mapped(dealt, _parse, "host string, shard long, place long, page_id long, url string, packed binary")
-    return mapped(parsed.repartition("host", "shard").sortWithinPartitions("host", "shard", "place"), _extract, "page_id long, url string, text string, n_chars long, n_repeated long")
+    large = materialize(large, "op10-large")
+    small = parsed.join(F.broadcast(large), "host", "left_anti").select("host", "kind", "place", "page_id", "url", "packed")
+    found = mapped(small.repartition("host").sortWithinPartitions("host", "kind", "place", "packed"), _small_hosts, "page_id long, url string, text string, n_chars long, n_repeated long")
+    return found.unionByName(_large_hosts(parsed, large))

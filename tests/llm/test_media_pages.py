@@ -148,6 +148,21 @@ def test_repeated_runs_decide_inside_articles(spark):
         assert {r.n_repeated for r in found if r.page_id < 120} == {40}
 
 
+def test_a_hosts_size_does_not_decide(spark):
+    """What half of a host's pages say, and less than half, is decided alike however the host is dealt; copies get one text."""
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = []
+    for k in range(60):
+        often = words("often", 40) if k % 2 else words(f"own{k}x", 40)
+        seldom = words("seldom", 35) if k % 9 < 4 else words(f"else{k}x", 35)
+        rows.append((k, f"http://a.com/{k}", f"<article><p>{words(f'p{k}w', 20)} {often} end{k}</p><p>{seldom}</p>{'<p>read more</p>' * (k % 2)}</article>"))
+    rows += [(100 + k, "http://a.com/copy", f"<article><p>copied {words('c', 50)}</p></article><footer>{words('f', 40)} {k}</footer>") for k in range(30)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = [sorted(map(tuple, pages.extract(frame, shard).collect())) for shard in (pages.SHARD, 5_000, 900)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    assert all(words("seldom", 35) in x[2] for x in found[0] if x[0] < 60 and x[0] % 9 < 4)
+
+
 def test_inline_parts_named_as_something_else():
     assert pages.page_blocks("<article><p>one <span class='ad'>buy</span> two</p></article>") == [(pages.ARTICLE, "one two"), (pages.NAMED, "buy")]
 
