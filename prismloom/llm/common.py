@@ -34,16 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def write_table(df: DataFrame, name: str) -> str:
+def write_table(df: DataFrame, name: str, compression: str | None = None) -> str:
     """Write df as Parquet in the shared folder; the new table's path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name, compression))
 
 
 def delete_table(spark: SparkSession, path: str) -> None:

@@ -6,16 +6,20 @@ says what others have or lack ("no-sidebar"), nor does a name or a form that wra
 the article, or without one, or beside mere teasers, the blocks in neither.
 
 Pages of a host are one class if what may be kept of them is equal, and a class counts as its first page by hash, so copies
-count once and get one text. The token streams of these pages, all blocks in page order, are concatenated, and their
-suffixes are sorted by their first RUN tokens (prefix doubling, a separator of its own after each page). A substring of
-RUN tokens that stands on at least MIN_PAGES and SHARE of the host's classes is boilerplate: whatever such substrings
-cover is removed, inside the article too, and so are whole blocks, also shorter ones, that repeat alike. Unique runs stay.
-
-A host over about SHARD characters is dealt by hash of the class into shards, so that it doesn't meet in one task, and
-is still decided as a whole: what stands on SHARE of a host's classes stands on SHARE of those of one shard at least, so
-the suffix array of each shard finds candidates, all shards count them by 128-bit hash, and the sums decide. Sizes choose
-the way, not the result. Which hosts are dealt is broadcast: only those with more than 1 / MOST_HOSTS of all characters,
-of which there can't be more than MOST_HOSTS.
+count once and get one text. Equal runs of RUN tokens are found by sorting suffixes of the pages' token streams, all blocks
+in page order, by their first RUN tokens (prefix doubling, a separator of its own after each piece). A run that stands on at
+least MIN_PAGES and SHARE of the host's classes is boilerplate: whatever such runs cover is removed, inside the article too,
+and so are whole blocks, also shorter ones, that repeat alike. Unique runs stay.
+
+Pages are parsed once, stored once and not shuffled for this; the way is one for hosts of all sizes. Of each run of RUN
+tokens the ANCHOR neighbours with the smallest hash are its anchor, so equal runs have equal anchors. Anchors and kept
+blocks fall into MARKS numbers, and a host's pages are counted by number: a number that too few of them have holds no
+boilerplate. Only what lies in runs of the remaining numbers (mostly boilerplate, on most hosts nothing) goes to the suffix
+arrays. They count in shards of a host, of about SHARD characters each, on how many of its classes each run stands, by
+128-bit hash, and the sums decide. Each page is then cut by its host's boilerplate; where pages of a class surround what
+they share with different parts, so that other runs may cover it, what the class's first page loses is looked up. Spark
+broadcasts what it looks up unless that is large, else it shuffles the pages, with the same result. Which hosts are dealt
+is broadcast: only those with more than 1 / MOST_HOSTS of all that the arrays get, at most MOST_HOSTS.
 
 Defined results: a null, empty or textless page gives an empty text; a null url is a host of its own; a <br> is white
 space; repeated rows give a row each; very long pages are read whole; an empty table gives no rows; pages that tie in
@@ -28,7 +32,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -44,6 +47,7 @@ from prismloom.llm.common import mapped, materialize, row_chunks
 
 RUN, MIN_PAGES, SHARE = 30, 3, 0.5
 SHARD = 4_000_000
+ANCHOR, MARKS = 6, 4096
 MOST_HOSTS = 100_000
 ARTICLE, MAIN, OPEN, NAMED = 3, 2, 1, 0
 
@@ -117,6 +121,8 @@ class _Blocks(HTMLParser):
         return frozenset(k for k, (n, inside) in self.of_named.items() if n > WRAPS * self.words and (inside > WRAPS * n if self.in_article else n > WRAPS_ALL * self.words))
 
     def flush(self) -> None:
+        if not self.text:
+            return
         zone = max((z for z, _ in self.text), default=NAMED)  # inline parts may be named as something else
         for own in (zone, *([NAMED] if zone > NAMED else [])):
             if text := " ".join("".join(x for z, x in self.text if z == own or z > NAMED < own).split()):
@@ -218,15 +224,138 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"^www\.", "")
 
 
+def anchors(streams: list[list[str]], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of RUN tokens of the streams where it begins in its stream, the stream and the number of its anchor. known keeps hashes of tokens."""
+    tokens = [t for x in streams for t in x]
+    if len(known) > 200_000:
+        known.clear()
+    for t in set(tokens) - known.keys():
+        known[t] = xxhash.xxh64_intdigest(t, 5)
+    hashes = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+    lengths = np.array([len(x) for x in streams], np.int64)
+    ends = np.cumsum(lengths)
+    if len(tokens) < RUN:
+        return (np.zeros(0, np.int64),) * 3
+    grams = np.zeros(len(tokens) - ANCHOR + 1, np.uint64)
+    for k in range(ANCHOR):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(grams)]
+    grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    grams ^= grams >> np.uint64(32)
+    least, reach, width = grams, 1, RUN - ANCHOR + 1
+    while reach < width:
+        step = min(reach, width - reach)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        reach += step
+    owner = np.repeat(np.arange(len(streams)), lengths)
+    starts = np.flatnonzero(np.arange(len(least)) + RUN <= ends[owner[: len(least)]])
+    owner = owner[starts]
+    return starts - (ends - lengths)[owner], owner, (least[starts] % np.uint64(MARKS)).astype(np.int64)
+
+
+def block_mark(text: str) -> int:
+    return xxhash.xxh64_intdigest(text, 6) % MARKS
+
+
+def marks_of(pages: list[list[tuple[int, str]]], known: dict[str, int]) -> list[bytes]:
+    """The numbers that anchors and kept blocks of each page fall into, each once."""
+    _, owner, mark = anchors([tokens_of(x) for x in pages], known)
+    keys = owner * MARKS + mark
+    keys = keys[np.diff(keys, prepend=-1) != 0]  # neighbours mostly share an anchor
+    blocks = [k * MARKS + block_mark(text) for k, x in enumerate(pages) for zone, text in x if zone > NAMED]
+    found = np.unique(np.concatenate([keys, np.array(blocks, np.int64)]))
+    cuts = np.searchsorted(found, np.arange(len(pages) + 1) * MARKS).tolist()
+    return [(found[a:b] % MARKS).astype(np.uint16).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+PARSED = "host string, kind binary, place long, page_id long, url string, packed string, marks binary"
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pages' blocks, packed, in place of html, and the hash of what may be kept."""
+    """The pages' blocks, packed, in place of html, the hash of what may be kept, and the page's marks."""
+    known: dict[str, int] = {}
     for rows in row_chunks(batches, "html", 2_000_000):
         blocks = [kept_blocks(r["html"]) for r in rows]
         kinds = [hashlib.md5(json.dumps([text for zone, text in x if zone > NAMED]).encode()).digest() for x in blocks]
-        packed = [zlib.compress(json.dumps(x).encode(), 6) for x in blocks]
-        chars = [sum(len(text) for _, text in x) for x in blocks]
+        packed = [json.dumps(x, ensure_ascii=False) for x in blocks]
         columns = [pa.array([r["host"] for r in rows], pa.string()), pa.array(kinds, pa.binary()), *[pa.array([r[c] for r in rows], pa.int64()) for c in ("place", "page_id")], pa.array([r["url"] for r in rows], pa.string())]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary()), pa.array(chars, pa.int64())], names=["host", "kind", "place", "page_id", "url", "packed", "chars"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.string()), pa.array(marks_of(blocks, known), pa.binary())], names=["host", "kind", "place", "page_id", "url", "packed", "marks"])
+
+
+def _mark_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each host how many of the pages have each mark, in rows that others may add to."""
+    counts: dict[str, np.ndarray] = {}
+
+    def done() -> pa.RecordBatch:
+        marks = [np.flatnonzero(x) for x in counts.values()]
+        found = [x[k].astype(np.uint32).tobytes() for x, k in zip(counts.values(), marks, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([k.astype(np.uint16).tobytes() for k in marks], pa.binary()), pa.array(found, pa.binary())], names=["host", "marks", "n"])
+
+    for rows in row_chunks(batches, "marks", 500_000):
+        for r in rows:
+            if r["host"] not in counts:
+                if len(counts) >= 1000:
+                    yield done()
+                    counts.clear()
+                counts[r["host"]] = np.zeros(MARKS, np.int64)
+            counts[r["host"]][np.frombuffer(r["marks"], np.uint16)] += 1  # a page has a mark but once
+    if counts:
+        yield done()
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _mark_counts, sorted by host: a row for each host with marks that enough of its pages have for a run of boilerplate."""
+    host, classes, counts = None, 0, np.zeros(MARKS, np.int64)
+
+    def done() -> Iterator[pa.RecordBatch]:
+        often = np.flatnonzero(counts >= max(MIN_PAGES, SHARE * classes)) if host is not None else []
+        if len(often):
+            yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([classes], pa.int64()), pa.array([often.astype(np.uint16).tobytes()], pa.binary())], names=["host", "classes", "wanted"])
+
+    for rows in row_chunks(batches, "marks", 500_000):
+        for r in rows:
+            if r["host"] != host:
+                yield from done()
+                host, classes, counts = r["host"], r["classes"], np.zeros(MARKS, np.int64)
+            counts[np.frombuffer(r["marks"], np.uint16)] += np.frombuffer(r["n"], np.uint32)
+    yield from done()
+
+
+def kept_places(blocks: list[tuple[int, str]]) -> np.ndarray:
+    """For each token its place among the page's tokens that may be kept, -1 for others."""
+    kept = np.repeat([zone > NAMED for zone, _ in blocks], [text.count(" ") + 1 for _, text in blocks]) if blocks else np.zeros(0, bool)
+    return np.where(kept, np.cumsum(kept) - 1, -1)
+
+
+def pieces_of(blocks: list[tuple[int, str]], starts: np.ndarray, wanted: np.ndarray) -> str:
+    """What runs from the starts cover, as stretches of tokens with their kept_places in runs of neighbours, and the kept blocks that have a wanted mark."""
+    tokens, kept = tokens_of(blocks), kept_places(blocks)
+    edges = np.flatnonzero(np.diff(covered(starts, len(tokens)), prepend=False, append=False)).reshape(-1, 2).tolist()
+    stretches = []
+    for a, b in edges:
+        own = kept[a:b]
+        breaks = [0, *(np.flatnonzero(np.diff(own) != (own[:-1] >= 0)) + 1).tolist(), b - a]
+        stretches.append([" ".join(tokens[a:b]), [[int(own[i]), j - i] for i, j in zip(breaks, breaks[1:], strict=False)]])
+    return json.dumps([stretches, sorted({block_id(text).hex() for zone, text in blocks if zone > NAMED and wanted[block_mark(text)]})], ensure_ascii=False)
+
+
+def stretches_of(pieces: list) -> list[tuple[list[str], np.ndarray]]:
+    """Tokens and kept_places of each stretch of pieces_of."""
+    return [(text.split(" "), np.concatenate([np.arange(at, at + n) if at >= 0 else np.full(n, -1) for at, n in runs])) for text, runs in pieces[0]]
+
+
+def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages' pieces, given the marks that are wanted."""
+    known: dict[str, int] = {}
+    for rows in row_chunks(batches, "packed", 500_000):
+        blocks = [json.loads(r["packed"]) for r in rows]
+        wanted = np.zeros((len(rows), MARKS), bool)
+        for k, r in enumerate(rows):
+            wanted[k, np.frombuffer(r["wanted"], np.uint16)] = True
+        starts, owner, mark = anchors([tokens_of(x) for x in blocks], known)
+        hits = wanted[owner, mark]
+        starts, cuts = starts[hits], np.searchsorted(owner[hits], np.arange(len(rows) + 1)).tolist()
+        pieces = [pieces_of(x, starts[cuts[k] : cuts[k + 1]], wanted[k]) for k, x in enumerate(blocks)]
+        yield pa.RecordBatch.from_arrays([pa.array([r["host"] for r in rows], pa.string()), pa.array([r["kind"] for r in rows], pa.binary()), pa.array([r["place"] for r in rows], pa.int64()), pa.array(pieces, pa.string())], names=["host", "kind", "place", "pieces"])
 
 
 def suffix_ranks(stream: np.ndarray, length: int) -> np.ndarray:
@@ -241,8 +370,17 @@ def suffix_ranks(stream: np.ndarray, length: int) -> np.ndarray:
     return ranks
 
 
-def run_starts(streams: list[list[str]], distinct: np.ndarray, least: float) -> list[np.ndarray]:
-    """For each stream where in it runs of RUN tokens begin that stand in at least so many distinct ones."""
+class Runs(NamedTuple):
+    """Where in the streams, laid end to end with a separator after each, runs of RUN tokens begin, their ranks, equal for equal ones, on how many distinct ones each rank stands, and the stream of each token and end of each stream."""
+
+    starts: np.ndarray
+    ranks: np.ndarray
+    holders: np.ndarray
+    owner: np.ndarray
+    ends: np.ndarray
+
+
+def sorted_runs(streams: list[list[str]], distinct: np.ndarray) -> Runs:
     numbers: dict[str, int] = {}
     flat: list[int] = []
     for k, stream in enumerate(streams):
@@ -252,13 +390,20 @@ def run_starts(streams: list[list[str]], distinct: np.ndarray, least: float) ->
     ends = np.cumsum([len(x) + 1 for x in streams])
     starts = np.flatnonzero(np.arange(len(flat)) + RUN < ends[owner]) if flat else np.zeros(0, np.int64)
     if not len(starts):
-        return [starts for _ in streams]
+        return Runs(starts, starts, starts, owner, ends)
     ranks = suffix_ranks(np.array(flat, np.int64), RUN)[starts]
     kinds = np.unique(ranks * (int(distinct.max()) + 1) + distinct[owner[starts]]) // (int(distinct.max()) + 1)
-    often = np.bincount(kinds, minlength=int(ranks.max()) + 1) >= least
-    hits = starts[often[ranks]]
-    cuts = np.searchsorted(hits, ends).tolist()
-    return [hits[a:b] - (e - len(x) - 1) for a, b, e, x in zip([0, *cuts], cuts, ends.tolist(), streams, strict=False)]
+    return Runs(starts, ranks, np.bincount(kinds, minlength=int(ranks.max()) + 1), owner, ends)
+
+
+def run_starts(streams: list[list[str]], distinct: np.ndarray, least: float) -> list[np.ndarray]:
+    """For each stream where in it runs of RUN tokens begin that stand in at least so many distinct ones."""
+    runs = sorted_runs(streams, distinct)
+    if not len(runs.starts):
+        return [runs.starts for _ in streams]
+    hits = runs.starts[runs.holders[runs.ranks] >= least]
+    cuts = np.searchsorted(hits, runs.ends).tolist()
+    return [hits[a:b] - (e - len(x) - 1) for a, b, e, x in zip([0, *cuts], cuts, runs.ends.tolist(), streams, strict=False)]
 
 
 def covered(starts: np.ndarray, length: int) -> np.ndarray:
@@ -310,38 +455,6 @@ def main_texts(pages: list[list[tuple[int, str]]]) -> list[tuple[str, int]]:
     return [without(x, g, lambda text: held[text] >= least) for x, g in zip(pages, gone, strict=True)]
 
 
-def unpacked(packed: bytes):
-    return json.loads(zlib.decompress(packed))
-
-
-def _small_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host, kind, place and packed: each host's pages with their texts."""
-    classes: list[list] = []
-    rows_of: list[tuple[int, dict]] = []
-    last = None
-
-    def done() -> pa.RecordBatch:
-        texts = main_texts(classes)
-        found = [(r["page_id"], r["url"], *texts[k]) for k, r in rows_of]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string()), pa.array([len(x[2]) for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int64())],
-            names=["page_id", "url", "text", "n_chars", "n_repeated"],
-        )
-
-    for rows in row_chunks(batches, "packed", 500_000):
-        for r in rows:
-            packed, key = r.pop("packed"), (r["host"], r["kind"])
-            if last and key[0] != last[0]:
-                yield done()
-                classes, rows_of = [], []
-            if key != last:
-                classes.append(unpacked(packed))
-            rows_of.append((len(classes) - 1, r))
-            last = key
-    if rows_of:
-        yield done()
-
-
 def run_ids(tokens: list[str], known: dict[str, tuple[int, int]]) -> np.ndarray:
     """Two 64-bit hashes of each run of RUN tokens. known keeps those of tokens."""
     for t in tokens:
@@ -370,93 +483,113 @@ def _halves(wanted: set[bytes]) -> np.ndarray:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes sorted by host and shard: a row a shard, with its classes packed, their number and the candidates."""
-    held: list[dict] = []
+    """Classes' pieces sorted by host and shard: on how many of a shard's classes each run and block stands, and whether a part that may be kept is in it."""
+    held: list[list] = []
+    key: tuple = ()
 
     def done() -> pa.RecordBatch:
-        pages = [unpacked(r["packed"]) for r in held]
-        least, known = SHARE * len(pages), {}
-        streams = [tokens_of(x) for x in pages]
-        starts = run_starts(streams, np.arange(len(pages)), least)
-        found = {block_id(text) for text, n in holders(pages).items() if n >= least}
-        for stream, at in zip(streams, starts, strict=True):
-            if len(at):
-                found |= {x.tobytes() for x in run_ids(stream, known)[at]}
-        packed = zlib.compress(json.dumps([[r["kind"].hex(), x] for r, x in zip(held, pages, strict=True)]).encode(), 6)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([held[0]["host"]], pa.string()), pa.array([held[0]["shard"]], pa.int64()), pa.array([len(pages)], pa.int64()), pa.array([packed], pa.binary()), pa.array([sorted(found)], pa.list_(pa.binary()))],
-            names=["host", "shard", "n", "packed", "candidates"],
-        )
-
-    for rows in row_chunks(batches, "packed", 500_000):
+        stretches = [(k, *x) for k, page in enumerate(held) for x in stretches_of(page)]
+        streams = [tokens for _, tokens, _ in stretches]
+        runs, known, ids, counts, kept = sorted_runs(streams, np.array([k for k, _, _ in stretches], np.int64)), {}, [], [], []
+        if len(runs.starts):
+            ranks, first = np.unique(runs.ranks, return_index=True)
+            may = np.cumsum(np.concatenate([np.append(places >= 0, False) for _, _, places in stretches]))
+            touches = may[runs.starts + RUN - 1] > np.where(runs.starts > 0, may[runs.starts - 1], 0)
+            counts, kept = runs.holders[ranks].tolist(), (np.bincount(runs.ranks, touches)[ranks] > 0).tolist()
+            at = runs.starts[first]
+            order = np.argsort(at)
+            cuts, found = np.searchsorted(at[order], runs.ends).tolist(), [b""] * len(at)
+            for x, end, a, b in zip(streams, runs.ends.tolist(), [0, *cuts], cuts, strict=False):
+                if a < b:
+                    own = run_ids(x, known)
+                    for k in order[a:b].tolist():
+                        found[k] = own[at[k] - (end - len(x) - 1)].tobytes()
+            ids = found
+        blocks = Counter(x for page in held for x in page[1])
+        columns = [[key[0]] * (len(ids) + len(blocks)), [*ids, *map(bytes.fromhex, blocks)], [*counts, *blocks.values()], [*kept, *[True] * len(blocks)]]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.binary(), pa.int64(), pa.bool_()), strict=True)], names=["host", "id", "n", "kept"])
+
+    for rows in row_chunks(batches, "pieces", 500_000):
         for r in rows:
-            if held and (r["host"], r["shard"]) != (held[0]["host"], held[0]["shard"]):
+            if held and (r["host"], r["shard"]) != key:
                 yield done()
                 held = []
-            held.append(r)
+            key = r["host"], r["shard"]
+            held.append(json.loads(r["pieces"]))
     if held:
         yield done()
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each shard on how many of its classes each of the host's candidates stands."""
-    for rows in row_chunks(batches, "packed", 1):
+def _losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which of the tokens of a class that may be kept its first page's pieces lose to the host's boilerplate, by kept_places."""
+    known: dict[str, tuple[int, int]] = {}
+    for rows in row_chunks(batches, "pieces", 500_000):
+        if len(known) > 200_000:
+            known.clear()
+        lost = []
         for r in rows:
-            wanted, known, counts = set(r["ids"]), {}, Counter()
-            first = _halves(wanted)
-            for _, blocks in unpacked(r["packed"]):
-                own = {x for zone, text in blocks if zone > NAMED and (x := block_id(text)) in wanted}
-                counts.update(own | set(found_starts(run_ids(tokens_of(blocks), known), wanted, first)[1]))
-            yield pa.RecordBatch.from_arrays([pa.array([r["host"]] * len(counts), pa.string()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["host", "id", "n"])
+            wanted = set(r["ids"])
+            first, gone = _halves(wanted), [np.zeros(0, np.int64)]
+            for tokens, places in stretches_of(json.loads(r["pieces"])):
+                gone.append(places[covered(found_starts(run_ids(tokens, known), wanted, first)[0], len(tokens)) & (places >= 0)])
+            lost.append(np.concatenate(gone).astype(np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([r["host"] for r in rows], pa.string()), pa.array([r["kind"] for r in rows], pa.binary()), pa.array(lost, pa.binary())], names=["host", "kind", "lost"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of each class of a shard, given the host's boilerplate."""
-    for rows in row_chunks(batches, "packed", 1):
+    """The text of each page, given its host's boilerplate and, where its class has it, what the class loses."""
+    known: dict[str, tuple[int, int]] = {}
+    of_host: dict[str, tuple[set[bytes], np.ndarray]] = {}
+    for rows in row_chunks(batches, "packed", 500_000):
+        if len(known) > 200_000:
+            known.clear()
+        texts = []
         for r in rows:
-            wanted, known, kinds, texts = set(r["ids"] or []), {}, [], []
-            first = _halves(wanted)
-            for kind, blocks in unpacked(r["packed"]):
-                tokens = tokens_of(blocks)
-                starts = found_starts(run_ids(tokens, known), wanted, first)[0] if wanted else np.zeros(0, np.int64)
-                kinds.append(bytes.fromhex(kind))
-                texts.append(without(blocks, covered(starts, len(tokens)), lambda text, w=wanted: block_id(text) in w))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["host"]] * len(kinds), pa.string()), pa.array(kinds, pa.binary()), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())],
-                names=["host", "kind", "text", "n_chars", "n_repeated"],
-            )
-
-
-def _large_hosts(parsed: DataFrame, large: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars and n_repeated of the pages of large(host, shards)."""
-    rows = parsed.join(F.broadcast(large), "host")
-    classes = rows.groupBy("host", "kind", "shards").agg(F.min(F.struct("place", "packed")).alias("first"))
-    dealt = classes.select("host", F.pmod(F.xxhash64("kind"), "shards").alias("shard"), "kind", "first.packed")
-    shards = materialize(mapped(dealt.repartition("host", "shard").sortWithinPartitions("host", "shard", "kind"), _shards, "host string, shard long, n long, packed binary, candidates array<binary>"), "op10-shards")
-
-    def to_shards(ids: DataFrame) -> DataFrame:
-        """(host, id) as a list for each shard of the host."""
-        lists = ids.groupBy("host").agg(F.collect_set("id").alias("ids")).join(F.broadcast(large), "host")
-        return lists.select("host", "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
-
-    candidates = to_shards(shards.select("host", F.explode("candidates").alias("id")))
-    given = shards.select("host", "shard", "packed")
-    counts = mapped(given.join(candidates, ["host", "shard"]).select("host", "packed", "ids"), _count, "host string, id binary, n long")
-    of_host = shards.groupBy("host").agg(F.sum("n").alias("classes"))
-    boilerplate = counts.groupBy("host", "id").agg(F.sum("n").alias("n")).join(of_host, "host").where((F.col("n") >= MIN_PAGES) & (F.col("n") >= SHARE * F.col("classes")))
-    chosen = to_shards(boilerplate.select("host", "id"))
-    texts = mapped(given.join(chosen, ["host", "shard"], "left").select("host", "packed", "ids"), _cut, "host string, kind binary, text string, n_chars long, n_repeated long")
-    return rows.select("host", "kind", "page_id", "url").join(texts, ["host", "kind"]).select("page_id", "url", "text", "n_chars", "n_repeated")
+            blocks = json.loads(r["packed"])
+            if not r["ids"]:
+                texts.append(("\n\n".join(text for zone, text in blocks if zone > NAMED), 0))
+                continue
+            if r["host"] not in of_host:
+                if len(of_host) >= 1000:
+                    of_host.clear()
+                of_host[r["host"]] = (ids := set(r["ids"])), _halves(ids)
+            wanted, first = of_host[r["host"]]
+            tokens = tokens_of(blocks)
+            if r["lost"] is None:
+                gone = covered(found_starts(run_ids(tokens, known), wanted, first)[0], len(tokens))
+            else:
+                gone = np.zeros(len(tokens), bool)
+                gone[np.flatnonzero(kept_places(blocks) >= 0)[np.frombuffer(r["lost"], np.int32)]] = True
+            texts.append(without(blocks, gone, lambda text, w=wanted: block_id(text) in w))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r["page_id"] for r in rows], pa.int64()), pa.array([r["url"] for r in rows], pa.string()), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())],
+            names=["page_id", "url", "text", "n_chars", "n_repeated"],
+        )
+
+
+def _boilerplate(classes: DataFrame, frequent: DataFrame, shard: int) -> DataFrame:
+    """host and ids, the hashes of runs and blocks that are boilerplate, by the classes' pieces."""
+    sizes = classes.groupBy("host").agg(F.sum(F.length("pieces")).alias("chars"))
+    all_ = sizes.agg(F.sum("chars")).first()[0] or 0
+    large = sizes.where(F.col("chars") > max(shard, all_ / MOST_HOSTS)).select("host", F.ceil(F.col("chars") / shard).alias("shards"))
+    dealt = classes.join(F.broadcast(large), "host", "left").select("host", F.coalesce(F.pmod(F.xxhash64("kind"), "shards"), F.lit(0)).alias("shard"), "pieces")
+    counts = mapped(dealt.repartition("host", "shard").sortWithinPartitions("host", "shard"), _shards, "host string, id binary, n long, kept boolean")
+    sums = counts.groupBy("host", "id").agg(F.sum("n").alias("n"), F.max("kept").alias("kept")).where("kept")
+    chosen = sums.join(frequent.select("host", "classes"), "host").where((F.col("n") >= MIN_PAGES) & (F.col("n") >= SHARE * F.col("classes")))
+    return chosen.groupBy("host").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
 def extract(pages: DataFrame, shard: int = SHARD) -> DataFrame:
     """page_id, url, text, n_chars and n_repeated (tokens that were boilerplate though their place might be kept) of every row."""
     given = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url", "html").alias("place"), F.col("page_id").cast("long"), "url", "html")
-    parsed = materialize(mapped(given, _parse, "host string, kind binary, place long, page_id long, url string, packed binary, chars long"), "op10-parsed")
-    sizes = parsed.groupBy("host").agg(F.sum("chars").alias("chars"))
-    all_ = sizes.agg(F.sum("chars")).first()[0] or 0
-    large = sizes.where(F.col("chars") > max(shard, all_ / MOST_HOSTS)).select("host", F.ceil(F.col("chars") / shard).alias("shards"))
-    large = materialize(large, "op10-large")
-    small = parsed.join(F.broadcast(large), "host", "left_anti").select("host", "kind", "place", "page_id", "url", "packed")
-    found = mapped(small.repartition("host").sortWithinPartitions("host", "kind", "place", "packed"), _small_hosts, "page_id long, url string, text string, n_chars long, n_repeated long")
-    return found.unionByName(_large_hosts(parsed, large))
+    parsed = materialize(mapped(given, _parse, PARSED), "op10-parsed", "zstd")
+    sizes = parsed.groupBy("host").agg(F.countDistinct("kind").alias("classes")).where(F.col("classes") >= MIN_PAGES)
+    counted = mapped(parsed.select("host", "marks"), _mark_counts, "host string, marks binary, n binary").join(sizes, "host")
+    frequent = materialize(mapped(counted.repartition("host").sortWithinPartitions("host"), _frequent, "host string, classes long, wanted binary"), "op10-frequent")
+    reduced = mapped(parsed.join(frequent, "host").select("host", "kind", "place", "packed", "wanted"), _reduce, "host string, kind binary, place long, pieces string")
+    classes = reduced.groupBy("host", "kind").agg(F.min(F.struct("place", "pieces")).alias("first"), (F.min(F.md5("pieces")) != F.max(F.md5("pieces"))).alias("varied"))
+    classes = materialize(classes.select("host", "kind", "first.pieces", "varied"), "op10-classes", "zstd")
+    boilerplate = materialize(_boilerplate(classes, frequent, shard), "op10-boilerplate")
+    lost = materialize(mapped(classes.where("varied").join(boilerplate, "host").select("host", "kind", "pieces", "ids"), _losses, "host string, kind binary, lost binary"), "op10-lost")
+    rows = parsed.join(boilerplate, "host", "left").join(lost, ["host", "kind"], "left").select("host", "page_id", "url", "packed", "ids", "lost")
+    return mapped(rows, _cut, "page_id long, url string, text string, n_chars long, n_repeated long")

@@ -1,8 +1,10 @@
 import html
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prismloom.llm import media, pages
 from prismloom.llm.common import table
@@ -163,6 +165,46 @@ def test_a_hosts_size_does_not_decide(spark):
     assert all(words("seldom", 35) in x[2] for x in found[0] if x[0] < 60 and x[0] % 9 < 4)
 
 
+def test_pages_are_stored_once_and_not_shuffled(spark, monkeypatch):
+    """What a host's pages share is found, however it is dealt, without the pages' texts being written or shuffled again."""
+    stored = {}
+    materialize = pages.materialize
+    monkeypatch.setattr(pages, "materialize", lambda df, name, *more: stored.setdefault(name, materialize(df, name, *more)))
+    size = lambda df: sum(Path(f.removeprefix("file:")).stat().st_size for f in df.inputFiles())
+    rng = np.random.default_rng(7)
+    own = [" ".join(f"w{x}" for x in rng.integers(0, 100_000, 400)) for _ in range(300)]
+    rows = [(k, f"http://{'hot' if k % 3 else 'other'}.com/{k}", f"<article><p>{text}</p></article><p>about us</p>") for k, text in enumerate(own)]
+    found = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), 50_000)
+    assert {r.page_id: r.text for r in found.collect()} == dict(enumerate(own))
+    assert sum(size(x) for name, x in stored.items() if name != "op10-parsed") < 0.1 * size(stored["op10-parsed"])
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pages_equal_each_host_at_once(spark, seed):
+    """Copies among different menus, passages in articles and outside: as main_texts of each class's first page."""
+    rng = np.random.default_rng(seed)
+    words = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 300, n))
+    rows = []
+    for name, n in (("a", 60), ("b", 7), ("c", 3), ("d", 2)):
+        shared, menus, articles = [words(25), words(33), words(60)], [words(20), words(45)], []
+        for k in range(n):
+            if k % 3 < 2:
+                own = [words(int(rng.integers(3, 60))), *(f"{words(2)} {x} {words(2)}" if rng.random() < 0.3 else x for x in shared if rng.random() < 0.6)]
+                articles.append("".join(f"<p>{own[i]}</p>" for i in rng.permutation(len(own))))
+            copied = articles[int(rng.integers(len(articles)))] if k % 3 == 2 else articles[-1]
+            rows.append((len(rows), f"http://{name}.com/{k}", f"<nav>{menus[k % 2]}</nav><article>{copied}</article><footer>{(*menus, *shared)[int(rng.integers(5))]}</footer>"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first: dict = {}
+    for r in sorted(frame.withColumn("place", F.xxhash64("page_id", "url", "html")).collect(), key=lambda r: r.place):
+        blocks = pages.kept_blocks(r.html)
+        first.setdefault(r.url.split("/")[2], {}).setdefault(tuple(t for z, t in blocks if z > pages.NAMED), []).append((r.page_id, blocks))
+    want = {k: text for classes in first.values() for members, text in zip(classes.values(), pages.main_texts([m[0][1] for m in classes.values()]), strict=True) for k, _ in members}
+    assert any(n for _, n in want.values())
+    for shard in (pages.SHARD, 2_000):
+        assert {r.page_id: (r.text, r.n_repeated) for r in pages.extract(frame, shard).collect()} == want
+
+
 def test_inline_parts_named_as_something_else():
     assert pages.page_blocks("<article><p>one <span class='ad'>buy</span> two</p></article>") == [(pages.ARTICLE, "one two"), (pages.NAMED, "buy")]
 
