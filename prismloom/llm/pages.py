@@ -17,9 +17,9 @@ blocks fall into MARKS numbers, and a host's pages are counted by number: a numb
 boilerplate. Only what lies in runs of the remaining numbers (mostly boilerplate, on most hosts nothing) goes to the suffix
 arrays. They count in shards of a host, of about SHARD characters each, on how many of its classes each run stands, by
 128-bit hash, and the sums decide. Each page is then cut by its host's boilerplate; where pages of a class surround what
-they share with different parts, so that other runs may cover it, what the class's first page loses is looked up. Spark
-broadcasts what it looks up unless that is large, else it shuffles the pages, with the same result. Which hosts are dealt
-is broadcast: only those with more than 1 / MOST_HOSTS of all that the arrays get, at most MOST_HOSTS.
+they share with different parts, so that other runs may cover it, what the class's first page loses is looked up. What is
+looked up is broadcast up to LOOKED_UP bytes; if it is larger, the pages may be shuffled, with the same result. Which hosts
+are dealt is broadcast: only those with more than 1 / MOST_HOSTS of all that the arrays get, at most MOST_HOSTS.
 
 Defined results: a null, empty or textless page gives an empty text; a null url is a host of its own; a <br> is white
 space; repeated rows give a row each; very long pages are read whole; an empty table gives no rows; pages that tie in
@@ -49,6 +49,8 @@ RUN, MIN_PAGES, SHARE = 30, 3, 0.5
 SHARD = 4_000_000
 ANCHOR, MARKS = 6, 4096
 MOST_HOSTS = 100_000
+#: Bytes up to which what pages look up is broadcast, whatever Spark's own threshold.
+LOOKED_UP = 16_000_000
 ARTICLE, MAIN, OPEN, NAMED = 3, 2, 1, 0
 
 BLOCKS = frozenset(
@@ -224,21 +226,35 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"^www\.", "")
 
 
-def anchors(streams: list[list[str]], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of RUN tokens of the streams where it begins in its stream, the stream and the number of its anchor. known keeps hashes of tokens."""
-    tokens = [t for x in streams for t in x]
+Known = dict[str, int]
+
+
+def hashes_of(tokens: list[str], known: Known, seed: int) -> np.ndarray:
+    """64-bit hashes of tokens. known keeps them."""
     if len(known) > 200_000:
         known.clear()
-    for t in set(tokens) - known.keys():
-        known[t] = xxhash.xxh64_intdigest(t, 5)
-    hashes = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+    for t in tokens:
+        if t not in known:
+            known[t] = xxhash.xxh64_intdigest(t, seed)
+    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def rolled(hashes: np.ndarray, length: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """A hash of each `length` neighbours."""
+    out = np.zeros(max(len(hashes) - length + 1, 0), np.uint64)
+    for k in range(length):
+        out = out * np.uint64(factor) + hashes[k : k + len(out)]
+    return out
+
+
+def anchors(streams: list[list[str]], known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of RUN tokens of the streams where it begins in its stream, the stream and the number of its anchor. known keeps hashes of tokens."""
+    tokens = [t for x in streams for t in x]
     lengths = np.array([len(x) for x in streams], np.int64)
     ends = np.cumsum(lengths)
     if len(tokens) < RUN:
         return (np.zeros(0, np.int64),) * 3
-    grams = np.zeros(len(tokens) - ANCHOR + 1, np.uint64)
-    for k in range(ANCHOR):
-        grams = grams * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(grams)]
+    grams = rolled(hashes_of(tokens, known, 5), ANCHOR)
     grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     grams ^= grams >> np.uint64(32)
     least, reach, width = grams, 1, RUN - ANCHOR + 1
@@ -256,7 +272,7 @@ def block_mark(text: str) -> int:
     return xxhash.xxh64_intdigest(text, 6) % MARKS
 
 
-def marks_of(pages: list[list[tuple[int, str]]], known: dict[str, int]) -> list[bytes]:
+def marks_of(pages: list[list[tuple[int, str]]], known: Known) -> list[bytes]:
     """The numbers that anchors and kept blocks of each page fall into, each once."""
     _, owner, mark = anchors([tokens_of(x) for x in pages], known)
     keys = owner * MARKS + mark
@@ -272,7 +288,7 @@ PARSED = "host string, kind binary, place long, page_id long, url string, packed
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pages' blocks, packed, in place of html, the hash of what may be kept, and the page's marks."""
-    known: dict[str, int] = {}
+    known: Known = {}
     for rows in row_chunks(batches, "html", 2_000_000):
         blocks = [kept_blocks(r["html"]) for r in rows]
         kinds = [hashlib.md5(json.dumps([text for zone, text in x if zone > NAMED]).encode()).digest() for x in blocks]
@@ -345,7 +361,7 @@ def stretches_of(pieces: list) -> list[tuple[list[str], np.ndarray]]:
 
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pages' pieces, given the marks that are wanted."""
-    known: dict[str, int] = {}
+    known: Known = {}
     for rows in row_chunks(batches, "packed", 500_000):
         blocks = [json.loads(r["packed"]) for r in rows]
         wanted = np.zeros((len(rows), MARKS), bool)
@@ -455,30 +471,22 @@ def main_texts(pages: list[list[tuple[int, str]]]) -> list[tuple[str, int]]:
     return [without(x, g, lambda text: held[text] >= least) for x, g in zip(pages, gone, strict=True)]
 
 
-def run_ids(tokens: list[str], known: dict[str, tuple[int, int]]) -> np.ndarray:
-    """Two 64-bit hashes of each run of RUN tokens. known keeps those of tokens."""
-    for t in tokens:
-        if t not in known:
-            known[t] = xxhash.xxh64_intdigest(t, 1), xxhash.xxh64_intdigest(t, 2)
-    each = np.array([known[t] for t in tokens], np.uint64).reshape(-1, 2)
-    out = np.zeros((max(len(tokens) - RUN + 1, 0), 2), np.uint64)
-    for k in range(RUN):
-        out = out * np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64) + each[k : k + len(out)]
-    return out
+def run_ids(tokens: list[str], known: tuple[Known, Known]) -> np.ndarray:
+    """Two 64-bit hashes of each run of RUN tokens."""
+    return np.stack([rolled(hashes_of(tokens, known[0], 1), RUN), rolled(hashes_of(tokens, known[1], 2), RUN, 0xD6E8FEB86659FD93)], axis=1)
 
 
 def block_id(text: str) -> bytes:
     return np.array([xxhash.xxh64_intdigest(text, 3), xxhash.xxh64_intdigest(text, 4)], np.uint64).tobytes()
 
 
-def found_starts(ids: np.ndarray, wanted: set[bytes], first: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Where wanted runs begin, and their hashes. first: the wanted ones' first halves."""
-    maybe = np.flatnonzero(np.isin(ids[:, 0], first))
-    keys = [ids[k].tobytes() for k in maybe.tolist()]
-    return maybe[np.array([x in wanted for x in keys], bool)], [x for x in keys if x in wanted]
+def found_starts(tokens: list[str], wanted: set[bytes], known: tuple[Known, Known]) -> np.ndarray:
+    """Where wanted runs begin."""
+    return np.array([k for k, x in enumerate(run_ids(tokens, known)) if x.tobytes() in wanted], np.int64)
 
 
 def _halves(wanted: set[bytes]) -> np.ndarray:
+    """The first hashes of wanted runs, among those of blocks."""
     return np.frombuffer(b"".join(wanted), np.uint64)[::2]
 
 
@@ -490,7 +498,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done() -> pa.RecordBatch:
         stretches = [(k, *x) for k, page in enumerate(held) for x in stretches_of(page)]
         streams = [tokens for _, tokens, _ in stretches]
-        runs, known, ids, counts, kept = sorted_runs(streams, np.array([k for k, _, _ in stretches], np.int64)), {}, [], [], []
+        runs, known, ids, counts, kept = sorted_runs(streams, np.array([k for k, _, _ in stretches], np.int64)), ({}, {}), [], [], []
         if len(runs.starts):
             ranks, first = np.unique(runs.ranks, return_index=True)
             may = np.cumsum(np.concatenate([np.append(places >= 0, False) for _, _, places in stretches]))
@@ -522,44 +530,47 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Which of the tokens of a class that may be kept its first page's pieces lose to the host's boilerplate, by kept_places."""
-    known: dict[str, tuple[int, int]] = {}
+    known: tuple[Known, Known] = {}, {}
     for rows in row_chunks(batches, "pieces", 500_000):
-        if len(known) > 200_000:
-            known.clear()
         lost = []
         for r in rows:
             wanted = set(r["ids"])
-            first, gone = _halves(wanted), [np.zeros(0, np.int64)]
+            gone = [np.zeros(0, np.int64)]
             for tokens, places in stretches_of(json.loads(r["pieces"])):
-                gone.append(places[covered(found_starts(run_ids(tokens, known), wanted, first)[0], len(tokens)) & (places >= 0)])
+                gone.append(places[covered(found_starts(tokens, wanted, known), len(tokens)) & (places >= 0)])
             lost.append(np.concatenate(gone).astype(np.int32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([r["host"] for r in rows], pa.string()), pa.array([r["kind"] for r in rows], pa.binary()), pa.array(lost, pa.binary())], names=["host", "kind", "lost"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each page, given its host's boilerplate and, where its class has it, what the class loses."""
-    known: dict[str, tuple[int, int]] = {}
+    known: tuple[Known, Known] = {}, {}
     of_host: dict[str, tuple[set[bytes], np.ndarray]] = {}
     for rows in row_chunks(batches, "packed", 500_000):
-        if len(known) > 200_000:
-            known.clear()
-        texts = []
+        if len(of_host) > 10_000:
+            of_host.clear()
+        pages = [json.loads(r["packed"]) for r in rows]
+        streams = [tokens_of(x) if r["ids"] else [] for r, x in zip(rows, pages, strict=True)]
         for r in rows:
-            blocks = json.loads(r["packed"])
+            if r["ids"] and r["host"] not in of_host:
+                of_host[r["host"]] = (ids := set(r["ids"])), _halves(ids)
+        ends = np.cumsum([len(x) for x in streams])
+        maybe = np.zeros(0, np.int64)  # runs of any page that begin as wanted ones of any host do
+        if ends[-1]:
+            first = np.concatenate([of_host[h][1] for h in {r["host"] for r in rows if r["ids"]}])
+            maybe = np.flatnonzero(np.isin(rolled(hashes_of([t for x in streams for t in x], known[0], 1), RUN), first))
+        cuts = [0, *np.searchsorted(maybe, ends).tolist()]
+        texts = []
+        for k, (r, blocks, tokens) in enumerate(zip(rows, pages, streams, strict=True)):
             if not r["ids"]:
                 texts.append(("\n\n".join(text for zone, text in blocks if zone > NAMED), 0))
                 continue
-            if r["host"] not in of_host:
-                if len(of_host) >= 1000:
-                    of_host.clear()
-                of_host[r["host"]] = (ids := set(r["ids"])), _halves(ids)
-            wanted, first = of_host[r["host"]]
-            tokens = tokens_of(blocks)
-            if r["lost"] is None:
-                gone = covered(found_starts(run_ids(tokens, known), wanted, first)[0], len(tokens))
-            else:
-                gone = np.zeros(len(tokens), bool)
+            wanted, gone, at = of_host[r["host"]][0], np.zeros(len(tokens), bool), maybe[cuts[k] : cuts[k + 1]] - (int(ends[k]) - len(tokens))
+            at = at[at + RUN <= len(tokens)]
+            if r["lost"] is not None:
                 gone[np.flatnonzero(kept_places(blocks) >= 0)[np.frombuffer(r["lost"], np.int32)]] = True
+            elif len(at):
+                gone = covered(found_starts(tokens[at[0] : at[-1] + RUN], wanted, known) + at[0], len(tokens))
             texts.append(without(blocks, gone, lambda text, w=wanted: block_id(text) in w))
         yield pa.RecordBatch.from_arrays(
             [pa.array([r["page_id"] for r in rows], pa.int64()), pa.array([r["url"] for r in rows], pa.string()), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())],
@@ -567,6 +578,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _looked_up(stored: DataFrame, size: Column) -> DataFrame:
+    return F.broadcast(stored) if (stored.agg(F.sum(size)).first()[0] or 0) <= LOOKED_UP else stored
+
+
 def _boilerplate(classes: DataFrame, frequent: DataFrame, shard: int) -> DataFrame:
     """host and ids, the hashes of runs and blocks that are boilerplate, by the classes' pieces."""
     sizes = classes.groupBy("host").agg(F.sum(F.length("pieces")).alias("chars"))
@@ -586,10 +601,11 @@ def extract(pages: DataFrame, shard: int = SHARD) -> DataFrame:
     sizes = parsed.groupBy("host").agg(F.countDistinct("kind").alias("classes")).where(F.col("classes") >= MIN_PAGES)
     counted = mapped(parsed.select("host", "marks"), _mark_counts, "host string, marks binary, n binary").join(sizes, "host")
     frequent = materialize(mapped(counted.repartition("host").sortWithinPartitions("host"), _frequent, "host string, classes long, wanted binary"), "op10-frequent")
-    reduced = mapped(parsed.join(frequent, "host").select("host", "kind", "place", "packed", "wanted"), _reduce, "host string, kind binary, place long, pieces string")
+    reduced = mapped(parsed.join(_looked_up(frequent, F.length("host") + F.length("wanted") + 32), "host").select("host", "kind", "place", "packed", "wanted"), _reduce, "host string, kind binary, place long, pieces string")
     classes = reduced.groupBy("host", "kind").agg(F.min(F.struct("place", "pieces")).alias("first"), (F.min(F.md5("pieces")) != F.max(F.md5("pieces"))).alias("varied"))
     classes = materialize(classes.select("host", "kind", "first.pieces", "varied"), "op10-classes", "zstd")
     boilerplate = materialize(_boilerplate(classes, frequent, shard), "op10-boilerplate")
     lost = materialize(mapped(classes.where("varied").join(boilerplate, "host").select("host", "kind", "pieces", "ids"), _losses, "host string, kind binary, lost binary"), "op10-lost")
-    rows = parsed.join(boilerplate, "host", "left").join(lost, ["host", "kind"], "left").select("host", "page_id", "url", "packed", "ids", "lost")
+    rows = parsed.join(_looked_up(boilerplate, F.length("host") + 32 * F.size("ids")), "host", "left")
+    rows = rows.join(_looked_up(lost, F.length("host") + F.length("lost") + 64), ["host", "kind"], "left").select("host", "page_id", "url", "packed", "ids", "lost")
     return mapped(rows, _cut, "page_id long, url string, text string, n_chars long, n_repeated long")
