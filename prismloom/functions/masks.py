@@ -64,13 +64,43 @@ def _read(masks: pa.Array) -> tuple[Shapes, Runs]:
 def _written(shapes: Shapes, runs: Runs) -> pa.Array:
     """The mask column of canonical runs, in the order of their masks; null where a shape isn't known."""
     w = shapes.width[runs.of]
-    starts = runs.start // (w + 1) * w + runs.start % (w + 1)
-    offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(runs.of, minlength=len(shapes.width))))), pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (starts, runs.end - runs.start)]
+    return _column(shapes, runs.of, runs.start // (w + 1) * w + runs.start % (w + 1), runs.end - runs.start)
+
+
+def _column(shapes: Shapes, of: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    offsets = pa.array(ends_of(np.bincount(of, minlength=len(shapes.width))), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (starts, lengths)]
     sizes = [pa.array(x.astype(np.int32)) for x in (shapes.width, shapes.height)]
     return pa.StructArray.from_arrays([*sizes, *lists], fields=list(_ARROW), mask=pa.array(~shapes.known))
 
 
+def of_runs(width: np.ndarray, height: np.ndarray, of: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The mask column of canonical runs, in the order of their masks (`of`)."""
+    return _column(Shapes(width, height, np.ones(len(width), bool)), of, starts, lengths)
+
+
+def ends_of(sizes: np.ndarray) -> np.ndarray:
+    """0 and the running sum: where parts of these sizes begin and end."""
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
+def in_parts(sizes: np.ndarray, most: int):
+    """Ranges (first, end) of successive items whose sizes add up to about `most`, so that what is made of a range is bounded."""
+    ends, first = ends_of(sizes), 0
+    while first < len(sizes):
+        end = max(int(np.searchsorted(ends, ends[first] + most, "right")) - 1, first + 1)
+        yield first, end
+        first = end
+
+
+def of_spans(width: np.ndarray, height: np.ndarray, of: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.Array:
+    """The mask column of spans left <= x < right of rows, cut to the images; at most one a row, by mask (`of`) and row."""
+    w = width[of]
+    left, right = np.maximum(left, 0), np.minimum(right, w)
+    some = (left < right) & (y >= 0) & (y < height[of])
+    return of_runs(width, height, of[some], (y * w + left)[some], (right - left)[some])
+
+
 def _swept(a: Runs, b: Runs, room: int, want) -> Runs:
     """Canonical runs of the pixels for which want(in a, in b) holds; want(False, False) must not."""
     n, m = len(a.of), len(b.of)
@@ -167,6 +197,23 @@ def area(mask: str | Column) -> Column:
     return F.aggregate(m["lengths"], F.lit(0).cast("long"), lambda total, n: total + n)
 
 
+@F.arrow_udf(StructType([StructField("area", LongType()), StructField("offsets", LongType())]))
+def sums(mask: pa.Array) -> pa.Array:
+    """The pixels of a mask and the sum of their offsets, which tells masks of the same area apart."""
+    known = pc.is_valid(mask).to_numpy(zero_copy_only=False)
+    starts, lengths = (pc.struct_field(mask, c) for c in ("starts", "lengths"))
+    of = pc.list_parent_indices(starts).to_numpy(zero_copy_only=False)
+    first, n = (pc.list_flatten(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (starts, lengths))
+    totals = []
+    for each in (n, first * n + n * (n - 1) // 2):
+        ends = ends_of(each)[ends_of(np.bincount(of, minlength=len(mask)))]
+        totals.append(pa.array(np.diff(ends), pa.int64()))
+    return pa.StructArray.from_arrays(totals, names=["area", "offsets"], mask=pa.array(~known))
+
+
+sums = sums.asNondeterministic()  # as intersection_area
+
+
 def bounds(mask: str | Column) -> Column:
     """The box around a mask, ends exclusive; null for an empty one."""
     m = F.col(mask) if isinstance(mask, str) else mask
@@ -212,15 +259,50 @@ def union_of_groups(df: DataFrame, by: list[str], mask: str = "mask") -> DataFra
     return grouped.select(*by, canonical(F.struct("width", "height", F.col("runs.starts").alias("starts"), F.col("runs.lengths").alias("lengths"))).alias(mask))
 
 
+#: Pixels (and rows) that are spread out at once where the runs of many masks become places or back.
+PIXELS = 1 << 21
+
+
 def from_csr(indptr: np.ndarray, indices: np.ndarray, shape: tuple[int, int]) -> dict:
     """A sparse matrix's rows and columns as a mask; columns may stand in any order and repeat."""
-    y = np.repeat(np.arange(shape[0], dtype=np.int64), np.diff(indptr))
-    at = y * (shape[1] + 1) + indices
+    return of_csr([indptr], [indices], [None], [shape])[0].as_py()
+
+
+def of_csr(indptr: list[np.ndarray], indices: list[np.ndarray], data: list[np.ndarray | None], shapes: list[tuple[int, int]]) -> pa.Array:
+    """The mask column of the rows and columns of sparse matrices. Columns may stand in any order and repeat, and what is stored as zero is none."""
+    parts = []
+    for a, b in in_parts(np.array([len(x) + len(p) for x, p in zip(indices, indptr, strict=True)], np.int64), PIXELS):
+        parts.append(_of_csr(indptr[a:b], indices[a:b], data[a:b], np.array(shapes[a:b], np.int64)))
+    return pa.concat_arrays(parts) if parts else pa.array([], _ARROW)
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts).astype(np.int64, copy=False) if parts else np.zeros(0, np.int64)
+
+
+def _of_csr(indptr: list[np.ndarray], indices: list[np.ndarray], data: list[np.ndarray | None], shapes: np.ndarray) -> pa.Array:
+    height, width = shapes.T
+    if [len(p) for p in indptr] != (height + 1).tolist():
+        raise ValueError("a sparse matrix's rows are not those of its shape")
+    until, ends = _joined(indptr), ends_of(height + 1)
+    first, last, n = until[ends[:-1]], until[ends[1:] - 1], np.array([len(x) for x in indices], np.int64)
+    if first.any() or (last != n).any():  # room before the first row or after the last one
+        indices, data = ([None if x is None else x[a:b] for x, a, b in zip(xs, first.tolist(), last.tolist(), strict=True)] for xs in (indices, data))
+    rows = np.delete(np.diff(until), ends[1:-1] - 1)  # not from the last row of a matrix to the next matrix
+    y, x = np.repeat(np.arange(len(rows)), rows), _joined(indices)
+    if any(d is not None for d in data):
+        kept = np.concatenate([np.ones(len(i), bool) if d is None else d for d, i in zip(data, indices, strict=True)]).astype(bool)
+        y, x = y[kept], x[kept]
+    of = np.repeat(np.arange(len(height)), height)
+    if ((x < 0) | (x >= width[of[y]])).any():
+        raise ValueError("a sparse matrix has a column outside of its shape")
+    room = int(width.max(initial=0)) + 1
+    at = y * room + x
     if not (at[1:] > at[:-1]).all():
         at = np.unique(at)
     first = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1))) if len(at) else np.zeros(0, np.int64)
-    start = at[first]
-    return {"width": int(shape[1]), "height": int(shape[0]), "starts": (start // (shape[1] + 1) * shape[1] + start % (shape[1] + 1)).tolist(), "lengths": np.diff(np.append(first, len(at))).tolist()}
+    y, x = np.divmod(at[first], room)
+    return of_runs(width, height, of[y], (y - ends_of(height)[of[y]]) * width[of[y]] + x, np.diff(np.append(first, len(at))))
 
 
 def from_array(plane: np.ndarray) -> dict:
@@ -231,11 +313,26 @@ def from_array(plane: np.ndarray) -> dict:
 
 def to_csr(mask: dict) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
     """indptr, indices and shape."""
-    starts, lengths = np.array(mask["starts"], np.int64), np.array(mask["lengths"], np.int64)
-    y = starts // max(mask["width"], 1)
-    per_row = np.bincount(y, weights=lengths, minlength=mask["height"]).astype(np.int64)
-    x = np.repeat(starts - y * mask["width"] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-    return np.concatenate(([0], np.cumsum(per_row))), x, (mask["height"], mask["width"])
+    return next(csr_of(pa.array([mask], _ARROW)))
+
+
+def csr_of(column: pa.Array):
+    """indptr, indices (of four bytes each) and shape of each mask of a column without nulls."""
+    sizes = pc.list_value_length(pc.struct_field(column, "starts")).to_numpy(zero_copy_only=False)
+    ends = ends_of(sizes)
+    area = np.diff(ends_of(pc.list_flatten(pc.struct_field(column, "lengths")).to_numpy(zero_copy_only=False))[ends])
+    for a, b in in_parts(area + pc.struct_field(column, "height").to_numpy(zero_copy_only=False), PIXELS):
+        shapes, runs = _read(column[a:b])
+        y, x = np.divmod(runs.start, shapes.width[runs.of] + 1)
+        n = runs.end - runs.start
+        indices = (np.repeat(x - ends_of(n)[:-1], n) + np.arange(int(n.sum()))).astype(np.int32)
+        first = ends_of(shapes.height + 1)
+        until = np.cumsum(np.bincount(first[runs.of] + y + 1, weights=n, minlength=first[-1]).astype(np.int64))
+        indptr = (until - np.repeat(until[first[:-1]], shapes.height + 1)).astype(np.int32)
+        place = [*until[first[:-1]].tolist(), len(indices)]
+        rows = first.tolist()
+        for k, shape in enumerate(zip(shapes.height.tolist(), shapes.width.tolist(), strict=True)):
+            yield indptr[rows[k] : rows[k + 1]], indices[place[k] : place[k + 1]], shape
 
 
 def lists_of(column: pa.Array) -> list[list[dict | None] | None]:

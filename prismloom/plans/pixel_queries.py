@@ -6,9 +6,14 @@ middle.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from prismloom.functions import masks, rasters
 from prismloom.operators import parse, single
@@ -24,27 +29,41 @@ cells as (select image_id, obj_idx, label, y, unnest(range(gx1 + abs(2 * y - gy1
 tops as (select image_id, y, x, max(obj_idx) as obj_idx from cells group by all)"""
 
 
+def boxed(s: Scene) -> DataFrame:
+    """image_id, obj_idx and the grid's box of each object."""
+    cell = lambda c, up: F.floor((F.col(c) + up) / 16).cast("int")
+    return s.objects.select("image_id", "obj_idx", cell("x1", 0).alias("gx1"), cell("x2", 15).alias("gx2"), cell("y1", 0).alias("gy1"), cell("y2", 15).alias("gy2"))
+
+
 def diamonds(s: Scene) -> DataFrame:
     """image_id, obj_idx, the grid's box and mask of each object."""
-    cell = lambda c, up: F.floor((F.col(c) + up) / 16).cast("int")
-    boxed = s.objects.select("image_id", "obj_idx", cell("x1", 0).alias("gx1"), cell("x2", 15).alias("gx2"), cell("y1", 0).alias("gy1"), cell("y2", 15).alias("gy2"))
     cut = lambda y: F.floor(F.abs(2 * y - F.col("gy1") - F.col("gy2") + 1) / 4).cast("int")
     grid = F.lit(GRID)
     mask = masks.from_rows(grid, grid, F.col("gy1"), F.col("gy2"), lambda y: F.col("gx1") + cut(y), lambda y: F.col("gx2") - cut(y))
     # a condition that Spark can't foresee keeps it from drawing the mask anew wherever it is read
-    return boxed.withColumn("mask", F.when(F.monotonically_increasing_id() >= 0, mask))
+    return boxed(s).withColumn("mask", F.when(F.monotonically_increasing_id() >= 0, mask))
 
 
 def layers(s: Scene) -> DataFrame:
-    """image_id and the list of its objects' masks, by index."""
-    each = diamonds(s).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("obj_idx", "mask"))).alias("l"))
-    return each.select("image_id", F.col("l.mask").alias("masks"))
-
-
-def offsets_sum(mask: str) -> Column:
-    """The sum of the offsets of a mask's pixels, which tells masks of the same area apart."""
-    runs = F.zip_with(F.col(mask)["starts"], F.col(mask)["lengths"], lambda a, n: a.cast("long") * n + F.floor(n * (n - 1) / 2))
-    return F.aggregate(runs, F.lit(0).cast("long"), lambda total, n: total + n)
+    """image_id and the list of its objects' masks, by index: the masks of diamonds(), drawn for a whole Arrow batch after boxes were grouped."""
+
+    @F.arrow_udf(ArrayType(masks.MASK_TYPE))
+    def drawn(column: pa.Array) -> pa.Array:
+        each = column.flatten()
+        sides = [pc.struct_field(each, c) for c in ("gx1", "gy1", "gx2", "gy2")]
+        known = reduce(pc.and_, (pc.is_valid(c) for c in sides)).to_numpy(zero_copy_only=False)
+        left, top, right, bottom = (pc.fill_null(c, 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in sides)
+        low = np.maximum(top, 0)
+        rows = np.where(known, np.maximum(np.minimum(bottom, GRID) - low, 0), 0)
+        of = np.repeat(np.arange(len(rows)), rows)
+        y = np.repeat(low - masks.ends_of(rows)[:-1], rows) + np.arange(len(of))
+        cut = np.abs(2 * y - top[of] - bottom[of] + 1) // 4
+        size = np.full(len(rows), GRID)
+        found = masks.of_spans(size, size, of, y, left[of] + cut, right[of] - cut)
+        return pa.ListArray.from_arrays(pa.array(masks.ends_of(pc.list_value_length(column).to_numpy(zero_copy_only=False)), pa.int32()), found)
+
+    each = boxed(s).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("obj_idx", "gx1", "gy1", "gx2", "gy2"))).alias("l"))
+    return each.select("image_id", drawn("l").alias("masks"))
 
 
 # Masks
@@ -65,7 +84,7 @@ def p14(s: Scene) -> DataFrame:
     sides = [F.col(c) for c in ("gx1", "gy1", "gx2", "gy2")]
     grid = F.lit(GRID)
     each = diamonds(s).withColumn("whole", masks.from_box(grid, grid, sides[0] - 1, sides[1] - 1, sides[2] + 1, sides[3] + 1)).withColumn("rim", masks.box_border(grid, grid, *sides, 1))
-    return each.select("image_id", "obj_idx", masks.area("whole").alias("area"), offsets_sum("whole").alias("offsets"), masks.area("rim").alias("rim"))
+    return each.select("image_id", "obj_idx", masks.sums("whole").alias("s"), masks.area("rim").alias("rim")).select("image_id", "obj_idx", "s.*", "rim")
 
 
 @scene_query(
@@ -92,20 +111,20 @@ def j12(s: Scene) -> DataFrame:
 @scene_query("s4_label_map", f"select image_id, obj_idx, count(*) as area, sum(y * {GRID} + x)::bigint as offsets from tops group by all", CELLS_SQL)
 def s4(s: Scene) -> DataFrame:
     seen = layers(s).select("image_id", F.posexplode(masks.visible("masks")).alias("obj_idx", "mask"))
-    return seen.select("image_id", "obj_idx", masks.area("mask").alias("area"), offsets_sum("mask").alias("offsets")).where("area > 0")
+    return seen.select("image_id", "obj_idx", masks.sums("mask").alias("s")).select("image_id", "obj_idx", "s.*").where("area > 0")
 
 
 @scene_query("s4b_packed_label_map", "select t.image_id, t.obj_idx, count(*) as area from tops t group by all", CELLS_SQL)
 def s4b(s: Scene) -> DataFrame:
     maps = layers(s).select("image_id", rasters.label_map("masks").alias("labels"))
-    each = maps.select("image_id", F.inline(rasters.object_masks("labels")))
-    return each.select("image_id", "obj_idx", masks.area("mask").alias("area"))
+    each = maps.select("image_id", rasters.object_masks("labels").alias("found")).select("image_id", F.inline("found"))
+    return each.select("image_id", "obj_idx", masks.sums("mask")["area"].alias("area"))
 
 
 @scene_query("u9_mask_unions", f"select image_id, count(*) as area, sum(y * {GRID} + x)::bigint as offsets from tops group by image_id", CELLS_SQL)
 def u9(s: Scene) -> DataFrame:
     whole = masks.union_of_groups(diamonds(s).select("image_id", "mask"), ["image_id"])
-    return whole.select("image_id", masks.area("mask").alias("area"), offsets_sum("mask").alias("offsets")).where("area > 0")
+    return whole.select("image_id", masks.sums("mask").alias("s")).select("image_id", "s.*").where("area > 0")
 
 
 _AREAS = "areas as (select image_id, obj_idx, count(c.x) as area from diamonds d left join cells c using (image_id, obj_idx) group by all)"
@@ -142,7 +161,7 @@ def k5(s: Scene) -> DataFrame:
 @scene_query("k5b_sparse_mask_lists", f"select image_id, obj_idx as mask_no, count(*) as area, sum(y * {GRID} + x)::bigint as offsets from cells group by all", CELLS_SQL)
 def k5b(s: Scene) -> DataFrame:
     read = files.csr_masks(sinks.mask_csr_lists(layers(s)))
-    return read.select("image_id", "mask_no", masks.area("mask").alias("area"), offsets_sum("mask").alias("offsets")).where("area > 0")
+    return read.select("image_id", "mask_no", masks.sums("mask").alias("s")).select("image_id", "mask_no", "s.*").where("area > 0")
 
 
 # Probes of packed maps

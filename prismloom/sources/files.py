@@ -9,11 +9,12 @@ import pickle
 import re
 import tarfile
 from collections.abc import Callable, Iterator, Mapping
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,9 +114,17 @@ def label_mask(masks: DataFrame) -> DataFrame:
     return masks.groupBy("image_id", "y", "x").agg(F.max("mask").alias("obj_idx"))
 
 
+#: Bytes of pickles that are held as Python's objects at once.
+READ = 1 << 22
+
+
 def _csr_lists(content: bytes) -> list[dict]:
     """The masks of a pickled list of sparse matrices. Only the names below are looked up, none of which runs code of the file."""
-    return [m.mask() for m in _MatrixReader(io.BytesIO(content)).load()]
+    return _masks_of(_matrices(content)).to_pylist()
+
+
+def _matrices(content: bytes) -> list[_Matrix]:
+    return _MatrixReader(io.BufferedReader(io.BytesIO(content))).load()  # buffered, as else each step of the pickle is a read of its own
 
 
 class SparseMatrix:
@@ -124,25 +133,38 @@ class SparseMatrix:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
 
-    def mask(self) -> dict:
-        columns = np.asarray(self.indices)
-        set_ = np.asarray(self.data).astype(bool) if getattr(self, "data", None) is not None else np.ones(len(columns), bool)
-        ends = np.concatenate(([0], np.cumsum(set_)))[np.asarray(self.indptr)]
-        return masks.from_csr(ends, columns[set_].astype(np.int64), tuple(int(n) for n in getattr(self, "_shape", None) or self.shape))
+
+class _Matrix:
+    """A SparseMatrix as it is read: its fields are filled without a call of Python."""
+
+
+def _masks_of(matrices: list[_Matrix]) -> pa.Array:
+    fields = [m.__dict__ for m in matrices]
+    return masks.of_csr(
+        [np.asarray(m["indptr"]) for m in fields],
+        [np.asarray(m["indices"]) for m in fields],
+        [None if (data := m.get("data")) is None else np.asarray(data) for m in fields],
+        [m.get("_shape") or m["shape"] for m in fields],
+    )
 
 
 class _MatrixReader(pickle.Unpickler):
     """A pickle of numpy arrays and sparse matrices of rows; anything else in it is an error."""
 
     def find_class(self, module: str, name: str):
-        if module.startswith("scipy.sparse") and name in ("csr_matrix", "csr_array"):
-            return SparseMatrix
-        if module.startswith("numpy") and name in ("ndarray", "dtype", "_reconstruct", "_frombuffer", "scalar"):
-            place = {"ndarray": np, "dtype": np, "_frombuffer": np._core.numeric}.get(name, np._core.multiarray)
-            return getattr(place, name)
-        if (module, name) == ("_codecs", "encode"):
-            return codecs.encode
-        raise pickle.UnpicklingError(f"{module}.{name} isn't read from pickled masks")
+        return _named(module, name)
+
+
+@lru_cache(100)
+def _named(module: str, name: str):
+    if module.startswith("scipy.sparse") and name in ("csr_matrix", "csr_array"):
+        return _Matrix
+    if module.startswith("numpy") and name in ("ndarray", "dtype", "_reconstruct", "_frombuffer", "scalar"):
+        place = {"ndarray": np, "dtype": np, "_frombuffer": np._core.numeric}.get(name, np._core.multiarray)
+        return getattr(place, name)
+    if (module, name) == ("_codecs", "encode"):
+        return codecs.encode
+    raise pickle.UnpicklingError(f"{module}.{name} isn't read from pickled masks")
 
 
 def _planes(content: bytes) -> list[np.ndarray]:
@@ -158,9 +180,15 @@ def csr_masks(lists: DataFrame) -> DataFrame:
 
     @F.arrow_udf(f"array<{masks.MASK}>")
     def read(content: pa.Array) -> pa.Array:
-        return pa.array([None if c is None else _csr_lists(c) for c in content.to_pylist()], pa.list_(masks._ARROW))
-
-    return lists.select("image_id", F.posexplode(read("content")).alias("mask_no", "mask"))
+        parts, ends = [pa.array([], masks._ARROW)], [np.zeros(1, np.int64)]
+        for a, b in masks.in_parts(pc.fill_null(pc.binary_length(content), 0).to_numpy(zero_copy_only=False), READ):
+            lists = [_matrices(c) if c is not None else [] for c in content[a:b].to_pylist()]
+            parts.append(_masks_of([m for each in lists for m in each]))
+            ends.append(ends[-1][-1] + masks.ends_of([len(each) for each in lists])[1:])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.concat_arrays(parts), mask=pc.is_null(content))
+
+    # first read, then exploded: what wrote the lists and what reads them again are one step of Python where nothing lies between
+    return lists.select("image_id", read("content").alias("masks")).select("image_id", F.posexplode("masks").alias("mask_no", "mask"))
 
 
 def mask_lists(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import itertools
 import pickle
+import pickletools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -11,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -130,17 +133,39 @@ class _MatrixWriter:
         self.stream.write(pickle.dumps(matrices, self.protocol).replace(own, b"cscipy.sparse._csr\ncsr_matrix\n", 1))
 
 
+def _kept(written: bytes, at: int) -> bytes:
+    """Steps of a pickle that make a value, keep it under a number and take it from the stack."""
+    return written + b"q" + bytes([at]) + b"0"
+
+
+def _plain(value) -> bytes:
+    return pickletools.optimize(pickle.dumps(value, 3))[2:-1]  # without its header and end, and what it keeps for itself
+
+
+_NAMES = ("_shape", "maxprint", "indptr", "indices", "data", "_has_sorted_indices", "_has_canonical_format")
+#: What all matrices of a list share: the class, how an array begins, the two kinds of numbers and the names of fields.
+_SHARED = [b"cscipy.sparse._csr\ncsr_matrix\n", _plain(np.zeros(0, np.int32).__reduce__()[0]), _plain((np.ndarray, (0,), b"b")), _plain(np.dtype(np.int32)), _plain(np.dtype(bool)), *map(_plain, _NAMES)]
+_HEAD = b"\x80\x03" + b"".join(_kept(x, k) for k, x in enumerate(_SHARED)) + b"]("
+_CLASS, _MAKE, _EMPTY, _INT, _BOOL, *_FIELDS = (b"h" + bytes([k]) for k in range(len(_SHARED)))
+_SHAPE, _MOST, _INDPTR, _INDICES, _DATA, _SORTED, _CANONICAL = _FIELDS
+_NEW = _CLASS + b")\x81}(" + _MOST + b"K2" + _SORTED + b"\x88" + _CANONICAL + b"\x88" + _SHAPE + b"J%bJ%b\x86"
+_ARRAY = _MAKE + _EMPTY + b"R(K\x01J%b\x85" + b"%b\x89B%b"
+_MATRIX = _NEW + _INDPTR + _ARRAY + b"%btb" + _INDICES + _ARRAY + b"%btb" + _DATA + _ARRAY + b"%btbub"
+
+
+def csr_pickles(column: pa.Array) -> list[bytes]:
+    """Each mask of a column without nulls as the steps of a pickle that make a sparse matrix of booleans, see _HEAD."""
+    number = struct.Struct("<i").pack
+    out = []
+    for indptr, indices, (height, width) in masks.csr_of(column):
+        rows, n, wide = number(height + 1), number(len(indices)), number(4 * len(indices))
+        out.append(_MATRIX % (number(height), number(width), rows, _INT, number(4 * height + 4), indptr.tobytes(), n, _INT, wide, indices.tobytes(), n, _BOOL, n, b"\x01" * len(indices)))
+    return out
+
+
 def csr_list(each: list[dict]) -> bytes:
     """Masks as a pickled list of sparse matrices of booleans."""
-    out = []
-    for m in each:
-        indptr, indices, shape = masks.to_csr(m)
-        matrix = SparseMatrix()
-        matrix.__setstate__({"_shape": shape, "maxprint": 50, "indptr": indptr.astype(np.int32), "indices": indices.astype(np.int32), "data": np.ones(len(indices), bool), "_has_sorted_indices": True, "_has_canonical_format": True})
-        out.append(matrix)
-    stream = io.BytesIO()
-    _MatrixWriter(stream, 4).dump(out)
-    return stream.getvalue()
+    return _HEAD + b"".join(csr_pickles(pa.array(each, masks._ARROW))) + b"e."
 
 
 def mask_csr_lists(layers: DataFrame) -> DataFrame:
@@ -149,6 +174,10 @@ def mask_csr_lists(layers: DataFrame) -> DataFrame:
 
     @F.arrow_udf("binary")
     def written(column: pa.Array) -> pa.Array:
-        return pa.array([None if each is None else csr_list([m for m in each if m is not None]) for each in masks.lists_of(column)], pa.binary())
+        there = column.flatten().is_valid()
+        each = csr_pickles(column.flatten().drop_null())
+        ends = masks.ends_of(there.to_numpy(zero_copy_only=False))[masks.ends_of(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))].tolist()
+        known = column.is_valid().to_pylist()
+        return pa.array([b"".join((_HEAD, *each[a:b], b"e.")) if k else None for k, (a, b) in zip(known, itertools.pairwise(ends), strict=True)], pa.binary())
 
     return layers.select("image_id", written("masks").alias("content"))

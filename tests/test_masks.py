@@ -208,3 +208,36 @@ def test_masks_of_an_image_meet_without_being_shuffled(spark, small):
         assert plan.count("FileScan parquet [l_orderkey") == 2, name  # once for each side
         by = {re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)}
         assert by <= {"image_id", "l_partkey", "p_partkey", "image_id, region_id"}, name
+
+
+def test_lists_of_matrices_are_read_in_parts(monkeypatch):
+    each = [*planes(40, 17), *planes(5, 18, 1, 4), np.zeros((0, 3), bool)]
+    column_ = column(each)
+    for most in (1, 30, 1 << 21):
+        monkeypatch.setattr(masks, "PIXELS", most)
+        matrices = list(masks.csr_of(column_))
+        assert [m[2] for m in matrices] == [a.shape for a in each]
+        assert masks.of_csr(*(list(x) for x in zip(*((p, i, None, s) for p, i, s in matrices), strict=True))).equals(column_)
+        assert masks.sums.func(column_).to_pylist() == [{"area": int(a.sum()), "offsets": int(np.flatnonzero(a).sum())} for a in each]
+    indptr, indices, data = np.array([0, 1, 2]), np.array([2, 0, 9, 9]), np.array([1, 0, 1, 1])
+    assert masks.of_csr([indptr], [indices], [data], [(2, 3)]).to_pylist() == [masks.from_array(np.array([[0, 0, 1], [0, 0, 0]]))]  # room after the last row
+    with pytest.raises(ValueError, match="outside of its shape"):
+        masks.from_csr(np.array([0, 1]), np.array([5]), (1, 3))
+
+
+def test_masks_of_layers_are_those_of_diamonds(spark, small):
+    from prismloom.plans.pixel_queries import diamonds, layers
+    from prismloom.plans.scene import driver_scene
+
+    scene = driver_scene(spark, small)
+    found = {(r.image_id, k): m for r in layers(scene).collect() for k, m in enumerate(r.masks)}
+    assert found == {(r.image_id, r.obj_idx): r.mask for r in diamonds(scene).collect()}
+
+
+def test_lists_are_drawn_written_and_read_in_one_step_of_python(spark, small):
+    from prismloom.plans import pixel_queries  # noqa: F401  registers its queries
+    from prismloom.plans.queries import QUERIES
+
+    plan = QUERIES["k5b_sparse_mask_lists"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "read(written(drawn(" in plan and plan.count("ArrowEvalPython [") == 2  # and one that sums up masks
+    assert "aggregate(" not in plan and "Exchange hashpartitioning(image_id" in plan and "ENSURE_REQUIREMENTS" not in plan
