@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
@@ -19,6 +21,8 @@ from prismloom.functions import masks
 
 MAP = "struct<width:int,height:int,data:binary>"
 MAP_TYPE = StructType([StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("data", BinaryType())])
+_MAP = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("data", pa.binary())])
+_OBJECT = pa.struct([("obj_idx", pa.int32()), ("mask", masks._ARROW)])
 _TYPES = {1: np.dtype("u1"), 2: np.dtype("<u2"), 4: np.dtype("<u4")}
 
 
@@ -50,10 +54,13 @@ def array_of(raster: dict) -> np.ndarray:
     return np.frombuffer(raster["data"], _TYPES[len(raster["data"]) // pixels if pixels else 1]).reshape(raster["height"], raster["width"])
 
 
+def _bytes_for(most: int) -> int:
+    return 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+
+
 def map_of(array: np.ndarray) -> dict:
     """Rows of whole numbers as a map of as few bytes a pixel as they need."""
-    most = int(array.max(initial=0))
-    kind = _TYPES[1 if most < 1 << 8 else 2 if most < 1 << 16 else 4]
+    kind = _TYPES[_bytes_for(int(array.max(initial=0)))]
     return {"width": array.shape[1], "height": array.shape[0], "data": np.ascontiguousarray(array.astype(kind)).tobytes()}
 
 
@@ -89,34 +96,75 @@ def object_depths(depth: pa.Array, labels: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("obj_idx", pa.int32()), ("depth", pa.int32())])))
 
 
+def _plain_parts(labels: pa.Array):
+    """Sizes of successive maps with their pixels, image by image, and where each begins; about masks.PIXELS at once. Unknown maps have no pixels."""
+    known = labels.is_valid().to_numpy(zero_copy_only=False)
+    width, height = (np.where(known, pc.fill_null(pc.struct_field(labels, c), 0).to_numpy(zero_copy_only=False), 0).astype(np.int64) for c in ("width", "height"))
+    data = pc.struct_field(labels, "data")
+    for a, b in masks.in_parts(width * height, masks.PIXELS):
+        each = [np.frombuffer(d, _TYPES[len(d) // n]) for d, n in zip(data[a:b].to_pylist(), (width * height)[a:b].tolist(), strict=True) if n]
+        yield width[a:b], height[a:b], np.concatenate(each) if each else np.zeros(0, np.uint8), masks.ends_of(width[a:b] * height[a:b])
+
+
 @F.arrow_udf(ArrayType(StructType([StructField("obj_idx", IntegerType()), StructField("mask", masks.MASK_TYPE)])))
 def object_masks(labels: pa.Array) -> pa.Array:
     """The run-length mask of each object of a label map. Label 0 is no object, label k the object k - 1."""
-    out = []
-    for m in labels.to_pylist():
-        if m is None:
-            out.append(None)
-            continue
-        array = array_of(m)
-        out.append([{"obj_idx": k - 1, "mask": masks.from_array(array == k)} for k in np.unique(array).tolist() if k])
-    return pa.array(out, pa.list_(pa.struct([("obj_idx", pa.int32()), ("mask", masks._ARROW)])))
+    parts, counts = [pa.array([], _OBJECT)], [np.zeros(0, np.int64)]
+    for width, height, pixels, ends in _plain_parts(labels):
+        begins = np.ones(len(pixels), bool)
+        np.not_equal(pixels[1:], pixels[:-1], out=begins[1:])
+        rows = np.repeat(np.arange(len(height)), height)
+        begins[(ends[rows] + (np.arange(len(rows)) - masks.ends_of(height)[rows]) * width[rows])[width[rows] > 0]] = True
+        start = np.flatnonzero(begins)
+        label, length = pixels[start].astype(np.int64), np.diff(np.append(start, len(pixels)))
+        start, label, length = (x[label > 0] for x in (start, label, length))
+        image = np.searchsorted(ends, start, "right") - 1
+        order = np.argsort(image << 32 | label, kind="stable")
+        start, label, length, image = (x[order] for x in (start, label, length, image))
+        new = np.ones(len(start), bool)
+        new[1:] = (image[1:] != image[:-1]) | (label[1:] != label[:-1])
+        found = masks.of_runs(width[image[new]], height[image[new]], np.cumsum(new) - 1, start - ends[image], length)
+        parts.append(pa.StructArray.from_arrays([pa.array((label[new] - 1).astype(np.int32)), found], fields=list(_OBJECT)))
+        counts.append(np.bincount(image[new], minlength=len(width)))
+    ends = pa.array(masks.ends_of(np.concatenate(counts)), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.concat_arrays(parts), mask=pc.is_null(labels))
 
 
 @F.arrow_udf(MAP_TYPE)
 def label_map(layers: pa.Array) -> pa.Array:
     """The label map of a list of masks: of several over a pixel the last one counts. Mask k has label k + 1."""
-    out = []
-    for each in layers.to_pylist():
-        shape = next((m for m in each or [] if m is not None), None)
-        if shape is None:
-            out.append(None)
-            continue
-        canvas = np.zeros(shape["width"] * shape["height"], np.uint32)
-        for k, m in enumerate(each):
-            if m is not None:
-                masks.painted(canvas, m, k + 1)
-        out.append(map_of(canvas.reshape(shape["height"], shape["width"])))
-    return pa.array(out, pa.struct([("width", pa.int32()), ("height", pa.int32()), ("data", pa.binary())]))
+    each, count = layers.flatten(), pc.fill_null(pc.list_value_length(layers), 0).to_numpy(zero_copy_only=False)
+    there = each.is_valid().to_numpy(zero_copy_only=False)
+    ends, of = masks.ends_of(count), np.repeat(np.arange(len(count)), count)
+    label = (np.arange(len(of)) - ends[of] + 1)[there]
+    each, of = each.filter(pa.array(there)), of[there]
+    known, first = np.unique(of, return_index=True)  # an image is as large as its first mask
+    size = np.zeros((2, len(count)), np.int64)
+    for k, c in enumerate(("width", "height")):
+        size[k, known] = pc.struct_field(each, c).to_numpy(zero_copy_only=False)[first]
+    pixels, data = size[0] * size[1], [pa.array([], pa.binary())]
+    for a, b in masks.in_parts(pixels, masks.PIXELS):
+        here = slice(*np.searchsorted(of, (a, b)).tolist())
+        data.append(_painted(each[here], of[here] - a, label[here], pixels[a:b]))
+    sizes = [pa.array(x.astype(np.int32)) for x in size]
+    return pa.StructArray.from_arrays([*sizes, pa.concat_arrays(data)], fields=list(_MAP), mask=pa.array(~np.isin(np.arange(len(count)), known)))
+
+
+def _painted(each: pa.Array, of: np.ndarray, label: np.ndarray, pixels: np.ndarray) -> pa.Array:
+    """The pixels of images, of as few bytes as their labels need; the greatest label counts."""
+    ends = masks.ends_of(pixels)
+    kind = _TYPES[_bytes_for(int(label.max(initial=0)))]
+    canvas = np.zeros(ends[-1], kind)
+    parent = pc.list_parent_indices(pc.struct_field(each, "starts")).to_numpy(zero_copy_only=False)
+    start, length = (pc.list_flatten(pc.struct_field(each, c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("starts", "lengths"))
+    if (start + length > pixels[of[parent]]).any():
+        raise IndexError("a mask reaches out of its image")
+    start += ends[of[parent]]
+    np.maximum.at(canvas, np.repeat(start - masks.ends_of(length)[:-1], length) + np.arange(int(length.sum())), np.repeat(label[parent].astype(kind), length))
+    if kind.itemsize == 1:
+        return pa.Array.from_buffers(pa.binary(), len(pixels), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(canvas)])
+    planes = [canvas[a:b] for a, b in itertools.pairwise(ends.tolist())]
+    return pa.array([x.astype(_TYPES[_bytes_for(int(x.max(initial=0)))]).tobytes() for x in planes], pa.binary())
 
 
 def _uniform(key: str) -> float:

@@ -241,3 +241,33 @@ def test_lists_are_drawn_written_and_read_in_one_step_of_python(spark, small):
     plan = QUERIES["k5b_sparse_mask_lists"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "read(written(drawn(" in plan and plan.count("ArrowEvalPython [") == 2  # and one that sums up masks
     assert "aggregate(" not in plan and "Exchange hashpartitioning(image_id" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_lists_become_maps_and_masks_again_in_parts(spark, small, monkeypatch):
+    from prismloom.plans import pixel_queries  # noqa: F401  registers its queries
+    from prismloom.plans.queries import QUERIES
+
+    draw = np.random.default_rng(19)
+    lists = [[*planes(5, 20)], None, [], [None, *planes(2, 21, 3, 2)], [None], [np.zeros((0, 4), bool)], [draw.random((6, 70)) < 0.5 for _ in range(300)], planes(1, 22)]
+    rows = pa.array([None if x is None else [None if a is None else masks.from_array(a) for a in x] for x in lists], pa.list_(masks._ARROW))
+    tops = []
+    for x in lists:
+        shape = next((a.shape for a in x or [] if a is not None), None)
+        tops.append(None if shape is None else np.zeros(shape, int))
+        for k, a in enumerate(x or []):
+            if a is not None:
+                tops[-1][a] = k + 1
+    want = [None if t is None else rasters.map_of(t) for t in tops]
+    objects = [None if t is None else [{"obj_idx": k - 1, "mask": masks.from_array(t == k)} for k in np.unique(t).tolist() if k] for t in tops]
+    assert tops[6].max() == 300
+    for most in (1, 50, 1 << 21):
+        monkeypatch.setattr(masks, "PIXELS", most)
+        maps = rasters.label_map.func(rows)
+        assert maps.to_pylist() == want and rasters.label_map.func(rows[3:]).to_pylist() == want[3:]
+        assert rasters.object_masks.func(maps).to_pylist() == objects and rasters.object_masks.func(maps[3:]).to_pylist() == objects[3:]
+    assert rasters.label_map.func(rows[:0]).to_pylist() == [] == rasters.object_masks.func(maps[:0]).to_pylist()
+    large = [masks.from_array(np.ones((2, 2))), masks.from_array(np.ones((3, 3)))]
+    with pytest.raises(IndexError):
+        rasters.label_map.func(pa.array([large, large], pa.list_(masks._ARROW)))
+    plan = QUERIES["s4b_packed_label_map"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "object_masks(label_map(drawn(" in plan and "aggregate(" not in plan
