@@ -10,15 +10,22 @@ give the rows of a range their numbers, and successors are found in blocks of nu
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from prismloom.functions import draws, words
+from prismloom.functions import draws, masks, words
 from prismloom.plans.scene import Scene
+from prismloom.plans.shipping import ship
 from prismloom.sources.scratch import stored
 
 #: Successive numbers of a group that one task orders.
 RANGE = 10_000
+#: Images of a batch that are looked through at once.
+IMAGES = 1 << 20
 
 
 def running(df: DataFrame, by: list[str], part: str, order: list[str], value: Column, name: str) -> DataFrame:
@@ -30,9 +37,17 @@ def running(df: DataFrame, by: list[str], part: str, order: list[str], value: Co
 
 
 def ranked(df: DataFrame, by: list[str], drawn: Column, name: str = "no") -> DataFrame:
-    """df with each image's number in the drawn order of its group, from 0."""
-    keyed = df.withColumn("__drawn", drawn).withColumn("__part", F.substring("__drawn", 1, 3))
-    return running(keyed, by, "__part", ["__drawn", "image_id"], F.lit(1), name).withColumn(name, F.col(name) - 1).drop("__drawn")
+    """df with each image's number in the drawn order of its group, from 0. The draw, longer than most rows, is made again behind the shuffle."""
+    keyed = df.withColumn("__part", F.substring(drawn, 1, 3))
+    place = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(drawn, "image_id"))
+    placed = keyed.repartition(*by, "__part").withColumn("__place", place)
+    starts = keyed.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n")).select(*by, "__part", _before("__n", by).alias("__start"))
+    return placed.join(starts, [*by, "__part"]).withColumn(name, F.col("__start") + F.col("__place") - 1).drop("__part", "__place", "__start")
+
+
+def _before(n: str, by: list[str]) -> Column:
+    """The sum of n over the parts of a group before this one."""
+    return F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def neighbours(df: DataFrame, by: list[str], op: str, carry: list[str], n: int = 2) -> DataFrame:
@@ -87,22 +102,73 @@ def has_attributed_object(scene: Scene, n_sample: int | None = None, negated: bo
     return limited(out, n_sample, op, ["object", "image_id_0", "image_id_1"])
 
 
+def _lacking(images: pa.Array, needed: pa.Array) -> pa.Array:
+    """Of lists of (image_id, held) and of needed (what, k, m): for each needed what the first m images that don't hold it, numbered from k."""
+    parts = []
+    for a, b in masks.in_parts(pc.list_value_length(images).to_numpy(zero_copy_only=False), IMAGES):
+        each, need = images[a:b].flatten(), needed[a:b].flatten()
+        first = masks.ends_of(pc.list_value_length(images[a:b]).to_numpy(zero_copy_only=False))
+        asks = pc.list_value_length(needed[a:b]).to_numpy(zero_copy_only=False)
+        held, (what, k, m) = pc.struct_field(each, "held"), (pc.struct_field(need, c) for c in ("what", "k", "m"))
+        k, m = (x.to_numpy(zero_copy_only=False) for x in (k, m))
+        owner = pc.list_parent_indices(held).to_numpy(zero_copy_only=False)
+        names = pa.concat_arrays([pc.list_flatten(held), what]).dictionary_encode()
+        code, some = names.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(names.dictionary)
+        list_of = np.searchsorted(first, owner, "right") - 1
+        own = list_of * some + code[: len(owner)]
+        order = np.lexsort((owner, own))
+        own, place = own[order], (owner - first[list_of])[order]
+        asked_of = np.repeat(np.arange(b - a), asks)
+        asked = asked_of * some + code[len(owner) :]
+        low, high = np.searchsorted(own, asked), np.searchsorted(own, asked, "right")
+        # the j-th place that holds it has place - j before it that don't: an l-th lacking one stands behind as many holders as have no more than l
+        of = np.repeat(np.arange(len(low)), high - low)
+        j = np.arange(len(of)) - masks.ends_of(high - low)[of]
+        room = int(max(m.max(initial=0), place.max(initial=0))) + 1
+        gaps = of * room + place[low[of] + j] - j
+        question = np.repeat(np.arange(len(m)), m)
+        lth = np.arange(len(question)) - masks.ends_of(m)[question]
+        passed = np.searchsorted(gaps, question * room + lth, "right") - masks.ends_of(high - low)[question]
+        found = pc.struct_field(each, "image_id").take(pa.array(first[asked_of[question]] + lth + passed))
+        flat = pa.StructArray.from_arrays([what.take(pa.array(question)), pa.array(k[question] + lth), found], names=["what", "k", "without_id"])
+        ends = np.concatenate(([0], np.cumsum(m)))[masks.ends_of(asks)]
+        parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
+    return pa.concat_arrays(parts)
+
+
 def _with_and_without(having: DataFrame, universe: DataFrame, all_of: list[str], by: list[str], op: str) -> DataFrame:
     """Per group `by` pairs of the k-th drawn image of having and the k-th drawn image of universe (grouped by all_of) that having lacks.
 
-    What a group lacks is never listed. In the drawn order of the universe, which its groups share, the group's own images
-    have the numbers r_0 < r_1 < ...; r_j - j images before r_j are lacking, so the k-th that is lacking has the number k + (how
-    many j have r_j - j <= k): a running count over as many rows as having has, twice. What is read more than once is stored.
+    What a group lacks is never listed as a whole: as many images as have it are asked for at most. The drawn order of the
+    universe, which its groups share, is cut into parts of the draw. Counts say how many images of a part lack what a group
+    has and how many do before it, so each part is shuffled once, with what its images hold, and gives the numbers that are
+    asked of it by itself. An image's row, with all it holds, is stored, as it is read more than once.
     """
-    having = stored(having.select(*by, "image_id"))
-    shared = stored(ranked(universe.select(*all_of, "image_id").distinct(), all_of, draws.key(f"{op}|without_id", *all_of, "image_id"), "rank"))
-    with_id = ranked(having, by, draws.key(f"{op}|with_id", *by, "image_id"), "k")
-    placed = stored(having.join(shared, [*all_of, "image_id"]).withColumn("__range", F.floor(F.col("rank") / RANGE)))
-    gaps = running(placed, by, "__range", ["rank"], F.lit(1), "j").select(*by, (F.col("rank") - F.col("j") + 1).alias("at"), F.lit(1).alias("own"), F.lit(None).cast("long").alias("k"), F.lit(None).cast(having.schema["image_id"].dataType).alias("with_id"))
-    asked = with_id.select(*by, F.col("k").alias("at"), F.lit(0).alias("own"), "k", F.col("image_id").alias("with_id"))
-    events = stored(gaps.unionByName(asked).withColumn("__range", F.floor(F.col("at") / RANGE)))
-    counted = running(events, by, "__range", ["at", F.col("own").desc()], F.col("own"), "passed").where("own = 0")
-    return counted.withColumn("rank", F.col("k") + F.col("passed")).join(shared.withColumnRenamed("image_id", "without_id"), [*all_of, "rank"]).select(*by, "with_id", "without_id")
+    (what,) = (c for c in by if c not in all_of)
+    group, parts = [*all_of, "image_id"], [*all_of, "__part"]
+    rows = having.select(*group, what).groupBy(*group).agg(F.collect_set(what).alias("held"))
+    if universe is not having:
+        rows = universe.select(*group).distinct().join(rows, group, "left").withColumn("held", F.coalesce("held", F.array().cast(rows.schema["held"].dataType)))
+    rows = stored(rows, within=True)
+    ship(rows.sparkSession)
+    asked = ranked(rows.select(*group, F.explode("held").alias(what)), by, draws.key(f"{op}|with_id", *by, "image_id"), "k").select(*by, "k", F.col("image_id").alias("with_id"))
+
+    drawn = draws.key(f"{op}|without_id", *group)
+    keyed = rows.withColumn("__part", F.substring(drawn, 1, 3))
+    sizes = keyed.groupBy(*parts).agg(F.count(F.lit(1)).alias("n")).withColumn("first", _before("n", all_of))
+    own = keyed.select(*parts, F.explode("held").alias(what)).groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("own"))
+    totals = rows.select(*all_of, F.explode("held").alias(what)).groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
+    # of the images before a part at most `total` have it, so where twice as many came before, enough lack it
+    near = (totals.join(sizes, all_of) if all_of else totals.crossJoin(sizes)).where("first < 2 * total").join(own, [*by, "__part"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    counted = near.withColumn("k", F.col("first") - _before("own", by)).withColumn("m", F.least(F.col("n") - F.col("own"), F.col("total") - F.col("k"))).where("m > 0")
+    needed = counted.groupBy(*parts).agg(F.collect_list(F.struct(F.col(what).alias("what"), "k", "m")).alias("needed"))
+
+    kinds = {c: rows.schema[c].dataType for c in ("image_id", "held")}
+    lacking = F.arrow_udf(_lacking, ArrayType(StructType([StructField("what", kinds["held"].elementType), StructField("k", LongType()), StructField("without_id", kinds["image_id"])])))
+    placed = keyed.repartition(*parts).groupBy(*parts).agg(F.sort_array(F.collect_list(F.struct(drawn.alias("drawn"), "image_id", "held"))).alias("l"))
+    placed = placed.join(needed, parts).select(*all_of, lacking(F.transform("l", lambda x: F.struct(x["image_id"].alias("image_id"), x["held"].alias("held"))), F.col("needed")).alias("found"))
+    found = placed.select(*all_of, F.explode("found").alias("f")).select(*all_of, F.col("f.what").alias(what), "f.k", "f.without_id")
+    return asked.join(found, [*by, "k"]).select(*by, "with_id", "without_id")
 
 
 def has_not_object(scene: Scene, n_sample: int | None = None) -> DataFrame:
@@ -113,7 +179,7 @@ def has_not_object(scene: Scene, n_sample: int | None = None) -> DataFrame:
 
 def has_relation(scene: Scene, n_sample: int | None = None, negated: bool = False) -> DataFrame:
     """Of two images with a label pair, one with a relation between them and one without, which has (or hasn't) it."""
-    index, pair = stored(scene.relation_index()), ["head_label", "target_label"]
+    index, pair = scene.relation_index(), ["head_label", "target_label"]
     op = "has_not_relation" if negated else "has_relation"
     out = _with_and_without(index, index, pair, [*pair, "rel"], op)
     out = out.select(F.col("head_label").alias("object1"), F.col("rel").alias("relation"), F.col("target_label").alias("object2"), "with_id", "without_id", F.lit(negated).alias("negated"))

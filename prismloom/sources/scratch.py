@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +20,27 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table in a new shared folder: what several parts of a plan read is computed once, and a lost executor costs no more."""
+@contextmanager
+def _planned(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Settings (with __ for dots) that hold only for what is planned and run meanwhile."""
+    names = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, within: bool = False) -> DataFrame:
+    """df as a table in a new shared folder: what several parts of a plan read is computed once, and a lost executor costs no more.
+
+    The files of its shuffles are gone when it is written. Within: what was dealt by a key is joined and grouped by
+    more keys where it is, so nothing is shuffled again; for keys as even as images.
+    """
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    with _planned(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **({"spark__sql__requireAllClusterKeysForCoPartition": "false"} if within else {})):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

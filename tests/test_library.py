@@ -291,6 +291,64 @@ def test_hot_groups_are_cut_into_ranges(spark, monkeypatch):
     assert {(r.label, r.with_id, r.without_id) for r in pairs} == want and len(pairs) == len(want)
 
 
+def test_images_that_lack_are_found_in_their_part(spark, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from prismloom.operators import multi
+
+    draw, names = random.Random(3), ["a", "b", "c", "d"]
+    lists = [[{"image_id": 100 * k + i, "held": draw.sample(names, draw.choice([0, 1, 2, 4]))} for i in range(draw.choice([1, 3, 40]))] for k in range(30)]
+    needed = [[{"what": w, "k": draw.randrange(50), "m": n} for w in names if (n := draw.randint(0, sum(w not in x["held"] for x in each)))] for each in lists]
+    want = [[{"what": q["what"], "k": q["k"] + i, "without_id": x} for q in ask for i, x in enumerate([x["image_id"] for x in each if q["what"] not in x["held"]][: q["m"]])] for each, ask in zip(lists, needed, strict=True)]
+    kinds = pa.list_(pa.struct([("image_id", pa.int64()), ("held", pa.list_(pa.string()))])), pa.list_(pa.struct([("what", pa.string()), ("k", pa.int64()), ("m", pa.int64())]))
+    for most in (1, 50, 1 << 20):
+        monkeypatch.setattr(multi, "IMAGES", most)
+        found = multi._lacking(pa.array(lists, kinds[0]), pa.array(needed, kinds[1]))
+        assert found.to_pylist() == want
+
+
+def test_pairs_with_and_without_within_groups(spark, monkeypatch):
+    import hashlib
+    import random
+
+    from prismloom.operators import multi
+
+    calls = []
+    monkeypatch.setattr(multi, "stored", lambda df, f=multi.stored, **more: calls.append(more) or f(df, **more))
+    key = lambda *parts: hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    draw = random.Random(4)
+    rows = sorted({(draw.choice("pq"), draw.choice("uvwxyz"), draw.randrange(300)) for _ in range(900)})
+    having = spark.createDataFrame(rows, "pair string, rel string, image_id long")
+    found = multi._with_and_without(having, having, ["pair"], ["pair", "rel"], "op")
+    want = []
+    for pair, rel in sorted({r[:2] for r in rows}):
+        own = {i for p, x, i in rows if (p, x) == (pair, rel)}
+        lacking = sorted({i for p, _, i in rows if p == pair} - own, key=lambda i: (key("op|without_id", pair, i), i))
+        want += [(pair, rel, a, b) for a, b in zip(sorted(own, key=lambda i: (key("op|with_id", pair, rel, i), i)), lacking)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert calls == [{"within": True}]  # one table is stored
+
+
+def test_shuffles_of_stored_tables_are_not_kept(spark):
+    import time
+    from pathlib import Path
+
+    from prismloom.sources.scratch import stored
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    before, settings = files(), ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    were = [spark.conf.get(k, None) for k in settings]
+    assert len(stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), within=True).collect()) == 7
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and [spark.conf.get(k, None) for k in settings] == were
+
+
 def test_subsets_of_many_attributes(spark):
     from prismloom.operators import graph
 
